@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenlog.llm import token_files
+from lumenlog.llm import media, sharding, token_files, vector_search
 from lumenlog.llm.shared import shared_dir
 
 
@@ -19,5 +20,37 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
-QUERIES = {"op1_token_files": op1_token_files}
-ORACLE: dict[str, str] = {}
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over embeddings: every vec_id divisible by 100 against all rows."""
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over documents: 40 shards of near equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40, law="bytes")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over documents: FLAC streams, decoded to PCM blocks and read back."""
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op3_top_k": op3_top_k, "op7_sharding": op7_sharding, "op10_media": op10_media}
+ORACLE: dict[str, str] = {"op3_top_k": OP3_SQL}
