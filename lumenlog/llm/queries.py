@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import media, sharding, token_files, vector_search
+from lumenlog.llm import jaccard_join, media, sharding, token_files, vector_search
 from lumenlog.llm.shared import shared_dir
 
 
@@ -47,10 +47,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40, law="bytes")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over documents: sets of 3-word shingles that are 90 parts in 100 alike."""
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 over documents: FLAC streams, decoded to PCM blocks and read back."""
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_top_k": op3_top_k, "op7_sharding": op7_sharding, "op10_media": op10_media}
+QUERIES = {"op1_token_files": op1_token_files, "op3_top_k": op3_top_k, "op7_sharding": op7_sharding, "op8_jaccard_join": op8_jaccard_join, "op10_media": op10_media}
 ORACLE: dict[str, str] = {"op3_top_k": OP3_SQL}
