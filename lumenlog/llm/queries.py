@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import jaccard_join, media, sharding, token_files, vector_search
+from lumenlog.llm import jaccard_join, media, mixing, segmentations, sharding, substring_dedup, token_counts, token_files, toxicity, vector_search
 from lumenlog.llm.shared import shared_dir
 
 
@@ -20,6 +20,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over documents: tokens of every whole text under the public model's pieces."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 over embeddings: every vec_id divisible by 100 against all rows."""
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
@@ -42,6 +47,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op4_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over documents: ids of every whole text, and two segmentations sampled without replacement."""
+    return segmentations.encoded(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", k=2)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over documents; every fifth id by crc32 is held out of the fit."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over documents: the places of passages that stand in two places or more."""
+    return substring_dedup.repeated(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 over documents: 40 shards of near equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40, law="bytes")
@@ -52,10 +73,19 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+#: Target weights of the twenty sources: the first the least, in equal steps.
+MIX = {f"src{i}": i + 1 for i in range(20)}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over documents: the place of every document in the mix of sources."""
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIX).drop("text")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 over documents: FLAC streams, decoded to PCM blocks and read back."""
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_top_k": op3_top_k, "op7_sharding": op7_sharding, "op8_jaccard_join": op8_jaccard_join, "op10_media": op10_media}
+QUERIES = {"op1_token_files": op1_token_files, "op2_token_counts": op2_token_counts, "op3_top_k": op3_top_k, "op4_segmentations": op4_segmentations, "op5_toxicity": op5_toxicity, "op6_substring_dedup": op6_substring_dedup, "op7_sharding": op7_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_media": op10_media}
 ORACLE: dict[str, str] = {"op3_top_k": OP3_SQL}
