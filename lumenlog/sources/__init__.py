@@ -1 +1,187 @@
+"""Readers of event logs, annotations, state tables, pattern files and networks."""
 
+from __future__ import annotations
+
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenlog.functions import OTHER, binary_value, parse_sequence
+
+FORMATS = ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
+
+
+def parsed(text: Column) -> Column:
+    """A timestamp in one of the formats, without zone; null where none fits."""
+    return F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), *(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in FORMATS[3:]))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """File order as a sortable number; it rises inside a file and is no row count."""
+    return rows.withColumn("source_order", F.monotonically_increasing_id())
+
+
+def event_log(spark: SparkSession, path: str, value: str | None = None) -> DataFrame:
+    """Headerless date,time,sensor,value (or timestamp,sensor,value) rows: ts, sensor, value, source_order. Rows without a timestamp or sensor are dropped."""
+    raw = numbered(spark.read.schema("a string, b string, c string, d string").csv(path))
+    four = F.col("d").isNotNull()
+    rows = raw.select(
+        parsed(F.when(four, F.concat_ws(" ", F.trim("a"), F.trim("b"))).otherwise(F.trim("a"))).alias("ts"),
+        F.trim(F.when(four, F.col("c")).otherwise(F.col("b"))).alias("sensor"),
+        F.trim(F.when(four, F.col("d")).otherwise(F.col("c"))).alias("value"),
+        "source_order",
+    ).filter("ts IS NOT NULL AND sensor IS NOT NULL AND value IS NOT NULL")
+    return rows.filter(F.col("value") == value) if value is not None else rows
+
+
+def binary_events(log: DataFrame, on: list[str] | None = None, off: list[str] | None = None) -> DataFrame:
+    """Adds bit; rows whose value is neither on nor off are dropped."""
+    kinds = {k: v for k, v in (("on", on), ("off", off)) if v}
+    return log.withColumn("bit", binary_value("value", **kinds)).filter(F.col("bit").isNotNull())
+
+
+def wide_log(spark: SparkSession, path: str, time: str = "timestamp", drop: tuple[str, ...] = ("Activity", "label")) -> DataFrame:
+    """One 0/1 column for each sensor, as one row for each time and sensor."""
+    raw = numbered(spark.read.option("header", True).csv(path))
+    at = time if time in raw.columns else [c for c in raw.columns if c != "source_order"][-1]
+    sensors = [c for c in raw.columns if c not in (at, "source_order", *drop)]
+    rows = raw.unpivot([at, "source_order"], sensors, "sensor", "value")
+    return rows.select(parsed(F.col(at)).alias("ts"), "sensor", F.col("value").try_cast("double").cast("tinyint").alias("bit"), "source_order")
+
+
+def looks_like_events(spark: SparkSession, path: str) -> bool:
+    """Whether the first five lines have three or four fields, the last an on or off value."""
+    for line in spark.read.text(path).limit(5).collect():
+        parts = [x.strip() for x in line.value.split(",")]
+        if len(parts) in (3, 4) and parts[-1].upper() in ("ON", "OFF", "OPEN", "CLOSE", "PRESENT", "ABSENT", "0", "1"):
+            return True
+    return False
+
+
+def labelled_text(spark: SparkSession, path: str) -> DataFrame:
+    """Lines `date time sensor value [label words begin|end]`: ts, sensor, value, label, mark, source_order."""
+    raw = numbered(spark.read.text(path)).withColumn("f", F.split(F.trim("value"), r"\s+")).filter(F.size("f") >= 4)
+    last = F.lower(F.element_at("f", -1))
+    marked = (F.size("f") >= 6) & last.isin("begin", "end")
+    return raw.select(
+        parsed(F.concat_ws(" ", F.get("f", F.lit(0)), F.get("f", F.lit(1)))).alias("ts"),
+        F.get("f", F.lit(2)).alias("sensor"),
+        F.get("f", F.lit(3)).alias("value"),
+        F.when(marked, F.array_join(F.expr("slice(f, 5, greatest(size(f) - 5, 0))"), " ")).alias("label"),
+        F.when(marked, last).alias("mark"),
+        "source_order",
+    ).filter("ts IS NOT NULL")
+
+
+def mapped(events: DataFrame, sensor_map: DataFrame) -> DataFrame:
+    """Sensors renamed by a small table sensor, name; sensors that it lacks keep their names."""
+    return events.join(sensor_map.select("sensor", "name"), "sensor", "left").withColumn("sensor", F.coalesce("name", "sensor")).drop("name")
+
+
+def sensor_map(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON object of sensor ids and names."""
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("sensor", "name"))
+    return text
+
+
+def state_table(spark: SparkSession, path: str, label: str = "状態") -> DataFrame:
+    """rank, state_id, mask, sensors of a tab-separated table of 0/1 columns; rows with other marks are skipped."""
+    raw = numbered(spark.read.option("header", True).option("sep", "\t").csv(path))
+    sensors = [c for c in raw.columns if c not in (label, "source_order")]
+    valid = raw.filter(F.forall(F.array(*sensors), lambda x: x.isin("0", "1")))
+    mask = sum((F.col(s).cast("long") * F.lit(1 << i) for i, s in enumerate(sensors)), F.lit(0).cast("long"))
+    return valid.select(F.row_number().over(Window.orderBy("source_order")).alias("rank"), F.col(label).alias("state_id"), mask.alias("mask"), F.array(*[F.lit(s) for s in sensors]).alias("sensors"))
+
+
+def state_series(spark: SparkSession, path: str) -> DataFrame:
+    """start_time, end_time, state from a CSV of intervals, or of changes (each holds until the next one; the last is dropped)."""
+    raw = spark.read.option("header", True).csv(path)
+    state = next(c for c in ("state_id", "state", "状態") if c in raw.columns)
+    if "timestamp" in raw.columns:
+        rows = numbered(raw).withColumn("start_time", parsed(F.col("timestamp")))
+        rows = rows.withColumn("end_time", F.lead("start_time").over(Window.orderBy("start_time", "source_order")))
+    else:
+        a, b = next((x, y) for x, y in (("start_time", "end_time"), ("start", "end")) if x in raw.columns)
+        rows = raw.withColumn("_a", parsed(F.col(a))).withColumn("_b", parsed(F.col(b))).select(F.col("_a").alias("start_time"), F.col("_b").alias("end_time"), state)
+    return rows.select("start_time", "end_time", F.col(state).alias("state")).filter("end_time > start_time")
+
+
+def network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a network file; edges without both ends or a chance are skipped."""
+    raw = spark.read.schema("nodes array<struct<state_id: string, active_sensors: array<string>, avg_duration_minutes_per_day: double>>, edges array<struct<`from`: string, `to`: string, probability: double>>").json(path, multiLine=True)
+    nodes = raw.select(F.explode("nodes").alias("n")).select("n.*")
+    edges = raw.select(F.explode("edges").alias("e")).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), F.col("e.probability").alias("prob"))
+    return nodes, edges.dropna()
+
+
+def patterns(spark: SparkSession, path: str) -> DataFrame:
+    """pattern_id, pattern_name, sequence (text) of a CSV or JSON file; names of fields vary, sequences may be lists or text."""
+    raw = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.json(path, multiLine=True)
+    raw = numbered(raw)
+
+    def first(*names: str) -> Column:
+        held = [F.col(f"`{n}`") for n in names if n in raw.columns]
+        return F.coalesce(*(F.array_join(c, "->") if dict(raw.dtypes)[n].startswith("array") else c.cast("string") for n, c in zip([n for n in names if n in raw.columns], held))) if held else F.lit(None).cast("string")
+
+    seq = F.array_join(parse_sequence(first("sequence", "states", "pattern", "遷移のパターン")), "->")
+    nth = F.row_number().over(Window.orderBy("source_order"))
+    rows = raw.select(first("pattern_id", "id").alias("_id"), first("pattern_name", "name", "パターン名").alias("pattern_name"), seq.alias("sequence"), nth.alias("_n"))
+    return rows.filter("sequence <> ''").select(F.coalesce("_id", F.format_string("P%03d", "_n")).alias("pattern_id"), "pattern_name", "sequence")
+
+
+def snapshot_faults(log: DataFrame, start: str, end: str) -> DataFrame:
+    """One row: how many rows of a snapshot break each rule (time inside the period, known values, no repeated row)."""
+    inside = (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz"))
+    again = log.groupBy("ts", "sensor", "value").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicates"))
+    return log.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~inside).alias("outside"), F.count_if(binary_value("value").isNull()).alias("unknown_values")).join(F.broadcast(again))  # one row each
+
+
+def json_candidates(text: str) -> list:
+    """What parses as JSON in a model's answer: the whole text, fenced blocks, balanced pieces; the first that holds records wins."""
+    found = [text, *re.findall(r"```(?:json)?\s*(.*?)```", text, re.S)]
+    for i, c in enumerate(text):
+        if c in "[{":
+            try:
+                found.append(text[i : i + json.JSONDecoder().raw_decode(text[i:])[1]])
+            except ValueError:
+                continue
+            break
+    for piece in found:
+        try:
+            held = json.loads(piece)
+        except ValueError:
+            continue
+        while isinstance(held, dict) and (inner := next((v for k, v in held.items() if k in ("patterns", "data", "results", "パターン") and isinstance(v, (list, dict))), None)) is not None:
+            held = inner
+        return held if isinstance(held, list) else [held]
+    return []
+
+
+def pattern_records(answers: DataFrame, column: str) -> DataFrame:
+    """name, sequence of each record in model answers (key columns stay); Arrow batches, since the text is not regular JSON."""
+    kind = "array<struct<name: string, sequence: string>>"
+
+    @F.pandas_udf(kind)
+    def parse(texts):
+        out = []
+        for t in texts:
+            rows = []
+            for r in json_candidates(t or ""):
+                if isinstance(r, dict):
+                    seq = next((r[k] for k in ("sequence", "states", "遷移のパターン", "pattern") if r.get(k)), None)
+                    parts = [str(x).strip() for x in seq] if isinstance(seq, list) else re.split(r"\s*(?:->|→|\||,)\s*", seq.strip()) if isinstance(seq, str) else []
+                    if parts:
+                        rows.append({"name": next((str(r[k]) for k in ("name", "pattern_name", "パターン名") if r.get(k)), None), "sequence": "->".join(parts)})
+            out.append(rows)
+        import pandas as pd
+
+        return pd.Series(out)
+
+    keys = [c for c in answers.columns if c != column]
+    return answers.select(*keys, F.posexplode(parse(column)).alias("pos", "r")).select(*keys, "pos", "r.*")
+
+
+def is_other(state: Column | str) -> Column:
+    return (F.col(state) if isinstance(state, str) else state) == OTHER
