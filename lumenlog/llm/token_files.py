@@ -12,8 +12,11 @@ doc_id are kept, ordered by text; an empty table gives an empty table; other col
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog.llm.chunks import Hasher, pieces_of
+
 BLOCK_IDS = 1 << 16
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
 FILE_SCHEMA = "part int, block int, base long, n_ids long, width int, doc_ids array<long>, starts array<long>, payload binary"
 
 
@@ -52,36 +57,113 @@ def unpack_ids(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """Ids of a text, by the chunks between blanks and line feeds.
+    """Ids of texts, by the chunks between blanks and line feeds.
 
     The tokenizer turns white space into one blank, composes characters (which a blank never takes part in) and
-    drops blanks before it looks for words, so the ids of a text are those of its chunks one after the other. A
-    chunk that has been seen is looked up; the rest of a batch goes to the library at once.
+    drops blanks before it looks for words, so the ids of a text are those of its chunks one after the other. A letter ends a word of the
+    tokenizer where a full stop or comma follows, so that mark at a chunk's end is looked up apart; and ASCII letters are lower-cased
+    one by one, so they can be before. Chunks of a batch are found and hashed (64 bits of a polynomial over random bytes' values) in numpy; each distinct
+    chunk is looked up once, and what is new goes to the library, many words in one text.
     """
 
-    def __init__(self, path: str, by_chunk: bool = True):
+    def __init__(self, path: str, vocabulary: int, by_chunk: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
         self.by_chunk = by_chunk
-        self.seen: dict[str, bytes] = {}
+        ids = {i: word.endswith("</w>") for word, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.ends = np.array([ids.get(i, False) for i in range(max(ids) + 1)]) if any(ids.values()) else None
+        self.hasher = Hasher(b" \n")
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[int, int] = {}
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, self.kind), 0
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.kind) for x in found]
+
+    def _words(self, stems: list[str]) -> list[np.ndarray]:
+        """Ids of stems of letters: many in one text, which is cut behind the ids that end a word."""
+        out = []
+        for at in range(0, len(stems), 1024):
+            some = stems[at : at + 1024]
+            ids = self._library([" ".join(some)])[0]
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else self._library(some)
+        return out
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _learn(self, keys: list[int], chunks: list[str]) -> None:
+        plain = [i for i, c in enumerate(chunks) if c.isalpha()] if self.ends is not None else []
+        rest = sorted(set(range(len(chunks))).difference(plain))
+        for places, found in ((plain, self._words([chunks[i] for i in plain])), (rest, self._library([chunks[i] for i in rest]))):
+            if not places:
+                continue
+            at, sizes, ids = len(self.seen), np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found)
+            while at + len(found) > len(self.first):
+                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.first[at : at + len(found)] = self.used + np.cumsum(sizes) - sizes
+            self.size[at : at + len(found)] = sizes
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.seen.update(zip((keys[i] for i in places), range(at, at + len(found))))
+
+    def _piece(self, held: list[bytes]) -> list[np.ndarray]:
+        data = b"\n".join(held) + b"\n"
+        if b"<|" not in data:  # the name of a special token is not to be made by lower-casing
+            data = data.lower()
+        x = np.frombuffer(data, np.uint8)
+        start, stop = self.hasher.spans(x)
+        last, before = x[stop - 1], x[np.maximum(stop - 2, 0)] | 32
+        marked = ((last == 46) | (last == 44)) & (stop - start > 1) & (before >= 97) & (before <= 122)
+        stem = stop - marked
+        key, at, back = np.unique(self.hasher.keys(x, start, stem), return_index=True, return_inverse=True)
+        keys = key.tolist()
+        if len(self.seen) + len(keys) > CACHE_CHUNKS:
+            self.forget()
+        number = np.fromiter(map(self.seen.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            a, b = start[at[new]].tolist(), stem[at[new]].tolist()
+            self._learn([keys[i] for i in new.tolist()], [data[i:j].decode("utf-8") for i, j in zip(a, b)])
+            number[new] = np.fromiter(map(self.seen.__getitem__, (keys[i] for i in new.tolist())), np.int64, len(new))
+        number = number[back]
+        size = self.size[number]
+        end = np.cumsum(size + marked)
+        ids = np.zeros(int(end[-1]) if len(end) else 0, self.kind)
+        ids[end[marked] - 1] = np.where(last[marked] == 46, *self.marks)
+        begin = end - size - marked
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        ids[np.repeat(begin, size) + place] = self.pool[np.repeat(self.first[number], size) + place]
+        bounds = np.cumsum([len(t) + 1 for t in held])
+        cut = np.concatenate([[0], np.concatenate([[0], end])[np.searchsorted(start, bounds)]])
+        return [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    @functools.cached_property
+    def marks(self) -> tuple[int, int]:
+        return tuple(int(x[0]) for x in self._library([".", ","]))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
-            return [np.frombuffer(x, "<u4") for x in self._library(texts)]
-        if len(self.seen) > CACHE_CHUNKS:
-            self.seen.clear()
-        seen, out = self.seen, []
-        for at in range(0, len(texts), 256):
-            chunks = [x.replace("\n", " ").split(" ") for x in texts[at : at + 256]]
-            new = list(set().union(*chunks).difference(seen))
-            seen.update(zip(new, self._library(new)))
-            out += [np.frombuffer(b"".join(map(seen.__getitem__, x)), "<u4") for x in chunks]
-        return out
+            return self._library(texts)
+        return [ids for held in pieces_of(texts) for ids in self._piece(held)]
+
+
+_encoders: dict[tuple, ChunkEncoder] = {}
+
+
+def encoder(tokenizer: str, vocabulary: int) -> ChunkEncoder:
+    """The worker's own encoder; tasks that run one after the other in a worker share what it has seen."""
+    key = tokenizer, vocabulary
+    if key not in _encoders:
+        _encoders[key] = ChunkEncoder(_tokenizer_path(tokenizer), vocabulary)
+    return _encoders[key]
 
 
 def _tokenizer_path(name: str) -> str:
@@ -102,8 +184,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: in
         raise ValueError("the end id does not fit the vocabulary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, block, base = ChunkEncoder(_tokenizer_path(tokenizer)), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4")
+        encode, part, block, base = encoder(tokenizer, vocabulary), TaskContext.get().partitionId(), 0, 0
+        end = np.array([end_id], encode.kind)
         ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         starts = [0]
