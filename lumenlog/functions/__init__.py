@@ -149,13 +149,17 @@ def within_band(start: Column | str, end: Column | str, band: Column | str) -> C
     return (_c(end) > _c(start)) & (time_band(start) == _c(band)) & (time_band(last) == _c(band)) & (F.to_date(_c(start)) == F.to_date(last))
 
 
+def _part_at(s: Column, n: int):
+    return lambda i: sequence_text(F.slice(s, i, F.lit(n)))
+
+
 def subsequences(seq: Column | str, least: int = 2, most: int = 4, proper: bool = False) -> Column:
     """Distinct contiguous parts of a sequence, as text."""
     s = _c(seq)
     out = []
     for n in range(least, most + 1):
         starts = F.when(F.size(s) >= n, F.sequence(F.lit(1), F.size(s) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts = F.transform(starts, lambda i, n=n: sequence_text(F.slice(s, i, n)))
+        parts = F.transform(starts, _part_at(s, n))
         out.append(F.when(F.size(s) > n, parts).otherwise(F.array().cast("array<string>")) if proper else parts)
     return F.array_distinct(F.concat(*out))
 

@@ -17,7 +17,8 @@ ORDER = ("ts", "ord")
 
 
 def runs(series: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of every run of one state."""
+    """The first row of every run of one state; rows without a state are left out."""
+    series = series.filter(F.col("state").isNotNull())
     w = Window.partitionBy(*keys).orderBy(*ORDER)
     return series.withColumn("_last", F.lag("state").over(w)).filter(~F.col("state").eqNullSafe(F.col("_last"))).drop("_last")
 
