@@ -5,7 +5,7 @@ each node keeps the best score and the number of tokens up to it, computed once
 count. A document's count is the sum over its pre-tokens. Texts stream through, each worker with its own trie of bounded
 size (it starts anew when full); nothing is shuffled.
 
-Among equal scores the segmentation with fewer tokens counts. Defined results: pre-tokens are split at white space; null and empty texts count 0; rows that repeat, and null ids,
+Among equal scores the segmentation with fewer tokens counts. Defined results: pre-tokens are split at ASCII white space; null and empty texts count 0; rows that repeat, and null ids,
 are counted each; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -13,15 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.llm.chunks import Hasher, Table, pieces_of
 from lumenlog.llm.pieces import Pieces, pieces
-from lumenlog.llm.shared import ROWS
 
 NODES = 600_000
-COUNTED = 500_000
 IN_TRIE = 48
 COUNTS = "doc_id long, n_pretokens long, n_tokens long"
 
@@ -33,7 +33,6 @@ class TrieCounter:
         self.score, self.longest = table.score, max(map(len, table.score))
         self.byte = table.BYTE
         self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}
-        self.count: dict[str, int] = {}
 
     def _best(self, text: str, end: int, above: list[tuple[float, int]]) -> tuple[float, int]:
         """Score and negated count at `end`, from those of all shorter beginnings."""
@@ -59,36 +58,28 @@ class TrieCounter:
                 nodes[token[:end]] = above[-1]
         return -above[-1][1]
 
-    def __call__(self, words: list[str]) -> int:
+    def __call__(self, word: str) -> int:
         if len(self.nodes) > NODES:
             self.nodes = {"": (0.0, 0)}
-        if len(self.count) > COUNTED:
-            self.count.clear()
-        count = self.count
-        found = list(map(count.get, words))
-        if None in found:
-            for i, (w, n) in enumerate(zip(words, found)):
-                if n is None:
-                    if w not in count:
-                        count[w] = self._insert("▁" + w)
-                    found[i] = count[w]
-        return sum(found)
+        return self._insert("▁" + word)
 
 
-_counters: dict[str, TrieCounter] = {}
+_tables: dict[str, Table] = {}
+_hasher = Hasher()
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _counters:
-            _counters[model] = TrieCounter(pieces(model))
-        counter = _counters[model]
+        if model not in _tables:
+            _tables[model] = Table(TrieCounter(pieces(model)), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                piece = batch.slice(at, ROWS)
-                words = [t.split() for t in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([counter(w) for w in words], pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+            at = 0
+            for held in pieces_of(batch.column("text").to_pylist()):
+                spans = _hasher(held)
+                counts = np.concatenate([[0], np.cumsum(_tables[model](spans))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(held)), pa.array(np.diff(spans.first)), pa.array(np.diff(counts[spans.first]))], names=["doc_id", "n_pretokens", "n_tokens"])
+                at += len(held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, COUNTS)
