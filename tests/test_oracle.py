@@ -3,10 +3,12 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from lumenlog.plans import queries as plans
+from lumenlog.plans import more, queries as plans
 
+assert more  # adds its queries to plans
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
@@ -14,14 +16,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("events", "conversations"):
+    for t in ("events", "conversations", "orders", "customer", "lineitem"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(str(tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v for v in r)) for r in frame.itertuples(index=False, name=None))
+    return sorted(str(tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) else v for v in r)) for r in frame.itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLE))
