@@ -29,53 +29,43 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.near import roots_of
+from lumenlog.llm.chunks import Hasher, pieces_of
+from lumenlog.llm.near import flagged, mark_of, parity_map, roots_of
 from lumenlog.llm.shared import counted, written
 
-SLOT_BITS = 19
+SLOT_BITS = 20
+MAP_WORDS = 8
 FRAGMENTS = 4
 ROWS = 1024
-WORDS_HELD = 300_000
-SETS = "row long, doc_id long, n int, sig_a long, sig_b long, prefix array<long>, segments array<array<long>>"
 
 
-class _Hashes(dict):
-    """The 64-bit hash of each word that was seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_HELD:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
+_hasher = Hasher()
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased words; bytes.lower and bytes.split know ASCII only, which is what is wanted."""
-    return (text or "").encode("utf-8").lower().split()
-
-
-def shingles(held: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams."""
-    if not held:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, held), np.uint64, len(held))
-    n = min(n, len(w))
-    x = np.full(len(w) - n + 1, n, np.uint64)
+def windows(w: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n words in a row, from each word on; the last n - 1 have no meaning."""
+    x, size = np.full(len(w), n, np.uint64), max(0, len(w) - n + 1)
     for i in range(n):
-        x = (x ^ w[i : len(w) - n + 1 + i]) * _ODD[i % len(_ODD)]
+        x[:size] = (x[:size] ^ w[i : size + i]) * _ODD[i % len(_ODD)]
         x ^= x >> np.uint64(29)
-    return np.unique(x)
+    return x
+
+
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the word n-grams of each text."""
+    for held in pieces_of(texts):
+        spans = _hasher(held, lower=True)
+        x = windows(spans.key, n)
+        for a, b in zip(spans.first[:-1].tolist(), spans.first[1:].tolist()):
+            yield np.unique(x[a : b - n + 1]) if b - a >= n else windows(spans.key[a:b], b - a)[:1]
 
 
 def counts_by_slot(docs: DataFrame, n: int) -> np.ndarray:
     """In how many documents the n-grams of each slot occur."""
 
     def slots(texts: list[str | None]) -> np.ndarray:
-        return np.concatenate([shingles(words(t), n) >> np.uint64(64 - SLOT_BITS) for t in texts]).astype(np.int64)
+        return np.concatenate([x >> np.uint64(64 - SLOT_BITS) for x in shingle_sets(texts, n)]).astype(np.int64)
 
     return counted(docs.select("text"), slots, 1 << SLOT_BITS)
 
@@ -84,51 +74,68 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The sets of all rows, written: size, signature, prefix in the global order, and segments by fragment."""
-    counts = counts_by_slot(docs, n)
-    order = np.argsort(counts, kind="stable")
-    rank = np.empty(len(counts), np.int32)
-    rank[order] = np.arange(len(counts), dtype=np.int32)
-    mass = np.cumsum(counts[order])
-    cuts = np.searchsorted(mass, mass[-1] * (np.arange(1, FRAGMENTS) / FRAGMENTS)).astype(np.int32)
-    sent = docs.sparkSession.sparkContext.broadcast((rank, cuts))
-    kind = pa.list_(pa.int64())
+class Order:
+    """The global order of n-grams, (rank of the slot, hash), and where its fragments begin."""
+
+    def __init__(self, counts: np.ndarray):
+        order = np.argsort(counts, kind="stable")
+        self.rank = np.empty(len(counts), np.int32)
+        self.rank[order] = np.arange(len(counts), dtype=np.int32)
+        mass = np.cumsum(counts[order])
+        self.cuts = np.searchsorted(mass, mass[-1] * (np.arange(1, FRAGMENTS) / FRAGMENTS)).astype(np.int32)
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A set in order, and where its segments end."""
+        r = self.rank[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        by_rank = np.argsort(r, kind="stable")
+        return x[by_rank].view(np.int64), np.append(np.searchsorted(r[by_rank], self.cuts), len(x))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _lists(held: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate(held), pa.int64()))
+
+
+def _signatures(held: list[np.ndarray]) -> list[pa.Array]:
+    sig = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in held), np.int64).reshape(-1, 2)
+    return [pa.array(sig[:, 0]), pa.array(sig[:, 1])]
+
+
+def document_sets(docs: DataFrame, sent, n: int, num: int, den: int) -> DataFrame:
+    """Size, signature and prefix of every row's set, written; `sent`: the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(at, ROWS)
+                held = [sent.value(x)[0] for x in shingle_sets(piece.column("text").to_pylist(), n)]
+                prefixes = [x[: prefix_size(len(x), num, den)] if len(x) else x for x in held]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(list(map(len, held)), pa.int32()), *_signatures(held), _lists(prefixes), _lists([parity_map(x.view(np.uint64), MAP_WORDS) for x in held])], names=["doc_id", "key", "n", "sig_a", "sig_b", "grams", "bits"])
+
+    rows = _keyed(docs).mapInArrow(run, "doc_id long, key long, n int, sig_a long, sig_b long, grams array<long>, bits array<long>")
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), "sizes", "uncompressed")
+
+
+def whole_sets(docs: DataFrame, sent, n: int, wanted: DataFrame) -> DataFrame:
+    """row, segments of the wanted rows (row, doc_id, key, sig_a, sig_b), from their texts; others are left out before anything is computed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, cuts = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
-                sizes, sigs, prefixes, flat, ends = [], [], [], [], []
-                for text in piece.column("text").to_pylist():
-                    x = shingles(words(text), n)
-                    r = rank[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                    by_rank = np.argsort(r, kind="stable")
-                    x, r = x[by_rank].view(np.int64), r[by_rank]
-                    sizes.append(len(x))
-                    sigs.append(xxhash.xxh3_128_digest(x.tobytes()))
-                    prefixes.append(x[: prefix_size(len(x), num, den)] if len(x) else x)
-                    flat.append(x)
-                    ends += [*np.searchsorted(r, cuts).tolist(), len(x)]
-                ends = np.array(ends).reshape(-1, FRAGMENTS) + np.concatenate([[0], np.cumsum(sizes)[:-1]])[:, None]
-                segments = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends.reshape(-1)]), pa.int32()), pa.array(np.concatenate(flat)))
-                sig = np.frombuffer(b"".join(sigs), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("row"),
-                        piece.column("doc_id"),
-                        pa.array(sizes, pa.int32()),
-                        pa.array(sig[:, 0]),
-                        pa.array(sig[:, 1]),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * FRAGMENTS, pa.int32()), segments).cast(pa.list_(kind)),
-                    ],
-                    names=["row", "doc_id", "n", "sig_a", "sig_b", "prefix", "segments"],
-                )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(run, SETS), "sets", "uncompressed")
+                held, ends = zip(*map(sent.value, shingle_sets(piece.column("text").to_pylist(), n)))
+                begin = np.cumsum([0, *map(len, held)])
+                segments = pa.ListArray.from_arrays(pa.array(np.append(0, (np.array(ends) + begin[:-1, None]).reshape(-1)), pa.int32()), pa.array(np.concatenate(held)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * FRAGMENTS, pa.int32()), segments)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), *_signatures(list(held)), lists], names=["doc_id", "key", "sig_a", "sig_b", "segments"])
+
+    chosen = flagged(_keyed(docs), ["doc_id", "key"], wanted.select(mark_of("doc_id", "key").alias("mark"))).filter("_hit").drop("_hit")
+    found = chosen.mapInArrow(run, "doc_id long, key long, sig_a long, sig_b long, segments array<array<long>>").withColumnRenamed("doc_id", "_id")
+    rows = found.join(wanted, ["key", "sig_a", "sig_b"]).filter(F.col("_id").eqNullSafe(F.col("doc_id")))
+    return rows.select("row", "segments").dropDuplicates(["row"])
 
 
 def _may_reach(x: str, y: str, num: int, den: int) -> Column:
@@ -139,16 +146,42 @@ def _may_reach(x: str, y: str, num: int, den: int) -> Column:
     )
 
 
+def _classed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Every row's doc_id, key (hash of the text) and n, the component's smallest doc_id, and its first document by doc_id and key."""
+    sent = docs.sparkSession.sparkContext.broadcast(Order(counts_by_slot(docs, n)))
+    sets = document_sets(docs, sent, n, num, den)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    equal = sets.filter("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("row", "doc_id", "key")).alias("h"), F.min(name).alias("least"), F.any_value("grams").alias("grams"), F.any_value("bits").alias("bits"))
+    equal = written(equal.select("sig_a", "sig_b", "n", "h.*", "least", "grams", "bits"), "equal", "uncompressed")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        wanted = written(equal.select("row", "doc_id", "key", "sig_a", "sig_b").join(rows, "row"), "wanted")
+        return whole_sets(docs, sent, n, wanted)
+
+    roots = roots_of(equal.select("row", "n", "grams", "bits"), sets_of, num, den, MAP_WORDS, lambda x, y: _may_reach(x, y, num, den))
+    placed = equal.select("sig_a", "sig_b", "n", "row", "least").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    placed = written(placed, "placed")
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("first")), "root").select("sig_a", "sig_b", "n", "first")
+    rows = sets.select("doc_id", "key", "n", "sig_a", "sig_b")
+    full = rows.filter("n > 0").join(named, ["sig_a", "sig_b", "n"]).select("doc_id", "key", "n", "first")
+    return full.unionAll(rows.filter("n = 0").select("doc_id", "key", "n", name.alias("first")))
+
+
 def classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: links where den * overlap >= num * union; the component's smallest doc_id."""
-    sets = document_sets(docs, n, num, den)
-    equal = sets.filter("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.any_value("prefix").alias("prefix"))
-    equal = written(equal, "equal")
-    entries = equal.select("row", "n", F.posexplode("prefix").alias("pos", "gram"))
-    roots = roots_of(entries, sets, num, den, lambda x, y: _may_reach(x, y, num, den))
-    placed = equal.select("sig_a", "sig_b", "n", "row", "least_id").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    placed = written(placed, "placed")
-    named = placed.join(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("sig_a", "sig_b", "n", "component_id")
-    rows = sets.select("doc_id", "n", "sig_a", "sig_b")
-    full = rows.filter("n > 0").join(named, ["sig_a", "sig_b", "n"])
-    return full.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionAll(rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return _classed(docs, n, num, den).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row of each component, its first by doc_id and text; rows without words all stay. Columns as they were.
+
+    Only rows whose doc_id and text are dropped, or come again, are shuffled.
+    """
+    rows = _classed(docs, n, num, den).withColumn("stays", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key") == F.col("first"))
+    fate = rows.filter("n > 0").groupBy("doc_id", "key").agg(F.max("stays").alias("_stays"), F.count(F.lit(1)).alias("_times")).filter("NOT _stays OR _times > 1")
+    fate = written(fate.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "fate")
+    keyed = flagged(docs.withColumn("_text_key", F.xxhash64("text")), ["_text_key"], fate.select(mark_of("_key").alias("mark")))
+    here = keyed.filter("_hit").join(fate, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    again = here.filter("_stays AND _times > 1").dropDuplicates(["doc_id", "_text_key"])
+    once = here.filter("_stays IS NULL OR _stays AND _times = 1")
+    return keyed.filter("NOT _hit").select(docs.columns).unionAll(once.select(docs.columns)).unionAll(again.select(docs.columns))

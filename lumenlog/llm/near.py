@@ -1,15 +1,18 @@
 """Components of rows whose sets are alike, from entries that bring likely pairs together.
 
-An entry says that a row may be met under a key (an n-gram of its prefix, a MinHash band). Rows under one key meet its first row, not each
-other; after the components of these links, only rows outside the component that holds most of a key's rows are
-compared with the key's rows in other components. So all links that could join two components are looked at, and a
+An entry says that a row may be met under a key (an n-gram of its prefix, a MinHash band). Rows under one key meet one of them, not each
+other: first the one that shares most of its keys, then, where a key's rows are still in several components, another one of the
+largest. After that, only rows outside the component that holds most of a key's rows are compared with the key's rows in other
+components, and a map of bits of each row decides in the join which of these pairs can be links at all. So all links that could join two components are looked at, and a
 key with very many alike rows costs as many comparisons as it has rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from lumenlog.llm.components import components
 from lumenlog.llm.shared import written
 
 MARK_BITS = 20
+KEY_BITS = 24
+HUB_TURNS = 2
 
 
 def mark_of(*columns: str) -> Column:
@@ -24,53 +29,129 @@ def mark_of(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << MARK_BITS))
 
 
-def marked(places: DataFrame) -> Column:
-    """Whether column `mark` is one of those in `places` (one column `mark`): a map of bits of fixed size goes to the executors.
+def flagged(rows: DataFrame, columns: list[str], places: DataFrame) -> DataFrame:
+    """rows with `_hit`: whether the row's place in a map of bits is one of those in `places` (one column `mark`).
 
-    It is there to keep most other rows out of a shuffle; some pass by chance, and the join behind it is what decides.
+    The map is a table of 2**MARK_BITS / 64 numbers at most, so it is broadcast; it is there to keep most other rows out of a
+    shuffle. Some pass by chance, and the join behind it is what decides.
     """
-    word = F.bit_or(F.expr("shiftleft(1L, CAST(mark % 64 AS INT))"))
-    words = dict(places.groupBy(F.expr("CAST(mark div 64 AS INT)")).agg(word).collect())
-    held = ", ".join("(-9223372036854775807L - 1L)" if v == -(1 << 63) else f"{v}L" for v in (words.get(i, 0) for i in range(1 << (MARK_BITS - 6))))
-    return F.expr(f"getbit(get(array({held}), CAST(mark div 64 AS INT)), CAST(mark % 64 AS INT)) = 1")
+    words = places.groupBy(F.expr("CAST(mark div 64 AS INT)").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(mark % 64 AS INT))")).alias("_bits"))
+    placed = rows.withColumn("_mark", mark_of(*columns)).withColumn("_word", F.expr("CAST(_mark div 64 AS INT)"))
+    hit = F.coalesce(F.expr("getbit(_bits, CAST(_mark % 64 AS INT)) = 1"), F.lit(False))
+    return placed.join(F.broadcast(words), "_word", "left").withColumn("_hit", hit).drop("_word", "_bits", "_mark")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b, n_a, n_b), those with den * overlap >= num * union, by `segments` of sets: overlaps by fragment, summed per pair."""
+def linked(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b, n_a, n_b), those with den * overlap >= num * union, by `segments` of their sets: overlaps by fragment, summed per pair."""
     pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).select(mark_of("row").alias("mark"))
-    kept = sets.select("row", "segments", mark_of("row").alias("mark")).filter(marked(ends))
-    segments = written(kept.select("row", F.posexplode("segments").alias("fragment", "held")).filter(F.size("held") > 0), "segments", "uncompressed")
-    a = segments.select(F.col("row").alias("a"), "fragment", F.col("held").alias("held_a"))
-    b = segments.select(F.col("row").alias("b"), "fragment", F.col("held").alias("held_b"))
-    partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("held_a", "held_b")).alias("both"))
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    sets = written(sets_of(pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct()), "sets", "uncompressed")
+
+    def side(name: str) -> DataFrame:
+        rows = flagged(sets, ["row"], pairs.select(mark_of(name).alias("mark"))).filter("_hit")
+        return rows.select(F.col("row").alias(name), F.posexplode("segments").alias("fragment", f"held_{name}")).filter(F.size(f"held_{name}") > 0)
+
+    partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("held_a", "held_b")).alias("both"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
     return summed.filter(F.expr(f"{den}L * both >= {num}L * (n_a + n_b - both)")).select("a", "b")
 
 
-def roots_of(entries: DataFrame, sets: DataFrame, num: int, den: int, may_reach: Callable[[str, str], Column]) -> DataFrame:
-    """node, root of the rows that have links. entries: gram (the key), row, n (size of the row's set), pos."""
-    shared = entries.groupBy("gram").agg(F.min(F.struct("row", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram", "h.*")
-    shared = written(shared, "shared")
-    entries = written(entries.join(shared.select("gram"), "gram"), "entries")
+def _bits_allow(x: str, y: str, words: int, num: int, den: int) -> Column:
+    """Whether `bits` leave a pair: a bit tells whether an odd number of a set's members fall to it, so sets whose maps differ in d bits differ
+    in d members at least, and a link allows for the sum of sizes less twice the least overlap only. No link is lost."""
+    apart = " + ".join(f"bit_count({x}.bits[{i}] ^ {y}.bits[{i}])" for i in range(words))
+    return F.expr(f"{apart} <= {x}.n + {y}.n - 2 * ceil({num}L * ({x}.n + {y}.n) / {num + den}L - 1e-9)")
 
-    first = entries.alias("x").join(shared.alias("h"), "gram").filter(F.col("x.row") > F.col("h.row")).filter(may_reach("x", "h"))
-    first = first.select(F.col("h.row").alias("a"), F.col("x.row").alias("b"), F.col("h.n").alias("n_a"), F.col("x.n").alias("n_b")).distinct()
-    links = written(linked(first, sets, num, den), "links")
-    roots = written(components(links), "roots")
 
-    known = entries.join(roots.withColumnRenamed("node", "row"), "row", "left").select("gram", "row", "n", "pos", F.coalesce("root", "row").alias("root"))
-    known = written(known, "known")
-    of_key = known.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
-    split = of_key.groupBy("gram").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    open_ = known.join(split.select("gram", F.col("most.root").alias("main")), "gram")
-    rest = open_.filter("root <> main").alias("x").join(open_.alias("y"), "gram")
-    rest = rest.filter(F.expr("x.root <> y.root AND (y.root = y.main OR x.row < y.row)")).filter(may_reach("x", "y"))
+def parity_map(members: np.ndarray, words: int) -> np.ndarray:
+    """64 * words bits of a set of hashes."""
+    size = 64 * words
+    return np.packbits((np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def shared_entries(held: DataFrame) -> DataFrame:
+    """row, n, pos, gram of the keys in `grams` that two rows hold, and of a few others.
+
+    The keys are counted; those that come twice are marked in a map of 2**KEY_BITS bits, and only what it lets through
+    goes on, which for keys that are mostly unique is a small part.
+    """
+    twice = held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    place = F.shiftrightunsigned("gram", 64 - KEY_BITS)
+    words = twice.select(place.alias("p")).groupBy(F.expr("CAST(p div 64 AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits"))
+    marks = np.zeros(1 << (KEY_BITS - 6), np.uint64)
+    table = words.toArrow()
+    marks[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    sent = held.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("grams")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            grams = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = grams.view(np.uint64) >> np.uint64(64 - KEY_BITS)
+            keep = np.flatnonzero(sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            owner = np.repeat(np.arange(len(n)), n)[keep]
+            pos = keep - (np.cumsum(n) - n)[owner]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(owner)), batch.column("n").take(pa.array(owner)), pa.array(pos.astype(np.int32)), pa.array(grams[keep])], names=["row", "n", "pos", "gram"]
+            )
+
+    return held.select("row", "n", "grams").mapInArrow(run, "row long, n int, pos int, gram long")
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b of joined rows x and y, the smaller row first, each pair once."""
     ordered = F.expr("x.row < y.row")
-    rest = rest.select(
+    return joined.select(
         F.least("x.row", "y.row").alias("a"),
         F.greatest("x.row", "y.row").alias("b"),
         F.when(ordered, F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"),
         F.when(ordered, F.col("y.n")).otherwise(F.col("x.n")).alias("n_b"),
     ).distinct()
-    return components(links.unionAll(linked(rest, sets, num, den)))
+
+
+def roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, words: int, may_reach: Callable[[str, str], Column]) -> DataFrame:
+    """node, root of the rows that have links.
+
+    held: row, n (size of the row's set), grams (its keys), bits (its parity map, of so many words). sets_of: row, segments of the rows of a table.
+    """
+    entries = shared_entries(held)
+    twice = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
+    entries = written(written(entries, "marked").join(twice, "gram"), "entries")
+    # rows that share most of their keys come first: the text that others were copied from
+    central = entries.groupBy("row").agg(F.count(F.lit(1)).alias("c"))
+    entries = entries.join(central, "row").withColumn("order", F.struct((-F.col("c")).alias("c"), "row")).drop("c")
+    known = written(entries.withColumn("root", F.col("row")), "known")
+    maps = held.select("row", "bits")
+
+    links = None
+    for turn in range(HUB_TURNS):
+        order = F.col("order") if turn == 0 else F.struct(F.xxhash64("row", F.lit(turn)).alias("c"), "row")
+        open_ = _open(known)
+        hubs = open_.filter("root = main").groupBy("gram").agg(F.min_by(F.struct("row", "n", "pos", "root"), order).alias("h")).select("gram", "h.*") if turn else known.groupBy("gram").agg(F.min_by(F.struct("row", "n", "pos", "root"), order).alias("h")).select("gram", "h.*")
+        star = (open_ if turn else known).alias("x").join(hubs.alias("y"), "gram").filter("x.root <> y.root").filter(may_reach("x", "y"))
+        pairs = _with_maps(_pairs(star), maps).filter(_bits_allow("x", "y", words, num, den)).select("a", "b", "n_a", "n_b")
+        more = linked(pairs, sets_of, num, den)
+        links = written(more if links is None else links.unionAll(more), "links")
+        roots = written(components(links), "roots").withColumnsRenamed({"node": "row", "root": "_root"})
+        known = written(known.join(roots, "row", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root"), "known")
+
+    open_ = written(_open(known).join(maps, "row"), "open")
+    rest = open_.filter("root <> main").alias("x").join(open_.alias("y"), "gram")
+    rest = rest.filter(F.expr("x.root <> y.root AND (y.root = y.main OR x.row < y.row)") & may_reach("x", "y") & _bits_allow("x", "y", words, num, den))
+    return components(links.unionAll(linked(_pairs(rest), sets_of, num, den)))
+
+
+def _open(known: DataFrame) -> DataFrame:
+    """Entries of keys whose rows are in several components, with the one that most are in."""
+    of_key = known.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
+    split = of_key.groupBy("gram").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    return known.join(split.select("gram", F.col("most.root").alias("main")), "gram")
+
+
+def _with_maps(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    x = maps.select(F.col("row").alias("a"), F.col("bits").alias("bits_a"))
+    y = maps.select(F.col("row").alias("b"), F.col("bits").alias("bits_b"))
+    both = pairs.join(x, "a").join(y, "b")
+    return both.withColumn("x", F.struct(F.col("n_a").alias("n"), F.col("bits_a").alias("bits"))).withColumn("y", F.struct(F.col("n_b").alias("n"), F.col("bits_b").alias("bits")))
