@@ -16,7 +16,6 @@ table gives an empty table; other columns are kept by `cleaned`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.jaccard_join import _ODD, _hashes
-from lumenlog.llm.near import mark_of, marked, roots_of
-from lumenlog.llm.shared import ROWS, written
+from lumenlog.llm.chunks import Hasher, pieces_of
+from lumenlog.llm.jaccard_join import _ODD, windows
+from lumenlog.llm.near import flagged, mark_of, parity_map, roots_of
+from lumenlog.llm.shared import written
 
 MIN_WORDS = 20
 MIN_ROWS = 3
 RECALL = 0.999
+MAP_WORDS = 2
+_hasher = Hasher()
 
 
 def tuned(threshold: float, rows: int = MIN_ROWS, recall: float = RECALL) -> tuple[int, int]:
@@ -47,35 +49,39 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Paragraphs:
     """The paragraphs of some texts that take part: owner (the text's place), number, words, signature, and sorted distinct shingles."""
 
-    def __init__(self, texts: list[str], n: int, min_words: int):
-        self.owner, self.para, held = [], [], []
-        for i, text in enumerate(texts):
-            for j, para in enumerate(text.encode("utf-8").lower().split(b"\n")):
-                if len(para) >= 2 * min_words - 1 and len(words := para.split()) >= min_words:
-                    self.owner.append(i)
-                    self.para.append(j)
-                    held.append(words)
-        self.size = len(held)
-        if not held:
+    def __init__(self, held: list[bytes], n: int, min_words: int):
+        spans = _hasher(held, lower=True)
+        feeds = np.cumsum(np.frombuffer(spans.data, np.uint8) == 10)
+        doc = np.repeat(np.arange(len(held)), np.diff(spans.first))
+        at = np.cumsum([0, *(len(t) + 1 for t in held)])[:-1]
+        line = feeds[spans.start] if len(spans.start) else np.empty(0, np.int64)
+        new = np.ones(len(line), bool)
+        new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
+        begin = np.flatnonzero(new)
+        count = np.diff(np.append(begin, len(line)))
+        kept = count >= min_words
+        self.size = int(kept.sum())
+        if not self.size:
             return
-        self.n_words = np.fromiter(map(len, held), np.int64, len(held))
-        w = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(held)), np.uint64, int(self.n_words.sum()))
+        first = begin[kept]
+        self.owner = doc[first]
+        self.para = line[first] - (feeds[at] - (np.frombuffer(spans.data, np.uint8)[at] == 10))[self.owner]
+        self.n_words = count[kept]
+        w = spans.key[np.repeat(kept, count)]
         ends = np.cumsum(self.n_words)
         self.sig = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w[e - k : e]) for e, k in zip(ends.tolist(), self.n_words.tolist())), np.int64).reshape(-1, 2)
-        x = np.full(len(w), n, np.uint64)
-        for i in range(n):
-            x[: len(w) - n + 1] = (x[: len(w) - n + 1] ^ w[i : len(w) - n + 1 + i]) * _ODD[i % len(_ODD)]
-            x ^= x >> np.uint64(29)
+        x = windows(w, n)
         keep = np.ones(len(w), bool)
         for i in range(1, n):
             keep[ends - i] = False  # windows that reach into the next paragraph
-        x, owner = x[keep], np.repeat(np.arange(len(held)), self.n_words - (n - 1))
-        order = np.lexsort((x, owner))
+        x, owner = x[keep], np.repeat(np.arange(self.size), self.n_words - (n - 1))
+        order = np.argsort(x, kind="stable")
+        order = order[np.argsort(owner[order], kind="stable")]
         x = x[order]
         new = np.ones(len(x), bool)
         new[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
         self.x, owner = x[new], owner[new]
-        self.starts = np.searchsorted(owner, np.arange(len(held)))
+        self.starts = np.searchsorted(owner, np.arange(self.size))
         self.n = np.diff(np.append(self.starts, len(self.x))).astype(np.int32)
 
     def bands(self, bands: int, rows: int) -> np.ndarray:
@@ -97,9 +103,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _pieces(batches: Iterator[pa.RecordBatch], n: int, min_words: int) -> Iterator[tuple[list[pa.Array], Paragraphs]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS // 4):
-            piece = batch.slice(at, ROWS // 4)
-            held = Paragraphs(piece.column("text").to_pylist(), n, min_words)
+        at = 0
+        for texts in pieces_of(batch.column("text").to_pylist()):
+            piece, at = batch.slice(at, len(texts)), at + len(texts)
+            held = Paragraphs(texts, n, min_words)
             if held.size:
                 owner = pa.array(held.owner)
                 yield [piece.column("doc_id").take(owner), piece.column("key").take(owner), pa.array(held.para, pa.int32()), pa.array(held.sig[:, 0]), pa.array(held.sig[:, 1])], held
@@ -111,9 +118,11 @@ def paragraph_bands(docs: DataFrame, n: int, bands: int, rows: int, min_words: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, held in _pieces(batches, n, min_words):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(held.size + 1) * bands, pa.int32()), pa.array(held.bands(bands, rows).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*place, pa.array(held.n_words.astype(np.int32)), pa.array(held.n), lists], names=["doc_id", "key", "para", "sig_a", "sig_b", "n_words", "n", "grams"])
+            bits = np.concatenate([parity_map(x, MAP_WORDS) for x in np.split(held.x, held.starts[1:])])
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(held.size + 1) * MAP_WORDS, pa.int32()), pa.array(bits))
+            yield pa.RecordBatch.from_arrays([*place, pa.array(held.n_words.astype(np.int32)), pa.array(held.n), lists, maps], names=["doc_id", "key", "para", "sig_a", "sig_b", "n_words", "n", "grams", "bits"])
 
-    found = _keyed(docs).mapInArrow(run, "doc_id long, key long, para int, sig_a long, sig_b long, n_words int, n int, grams array<long>")
+    found = _keyed(docs).mapInArrow(run, "doc_id long, key long, para int, sig_a long, sig_b long, n_words int, n int, grams array<long>, bits array<long>")
     return written(found.withColumn("row", F.monotonically_increasing_id()), "paragraphs", "uncompressed")
 
 
@@ -125,9 +134,9 @@ def paragraph_sets(docs: DataFrame, n: int, min_words: int, wanted: DataFrame) -
             sets = pa.ListArray.from_arrays(pa.array(np.append(held.starts, len(held.x)), pa.int32()), pa.array(held.x.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*place, pa.ListArray.from_arrays(pa.array(np.arange(held.size + 1), pa.int32()), sets)], names=["doc_id", "key", "para", "sig_a", "sig_b", "segments"])
 
-    chosen = _keyed(docs).withColumn("mark", mark_of("doc_id", "key")).filter(marked(wanted.select(mark_of("doc_id", "key").alias("mark")))).drop("mark")
+    chosen = flagged(_keyed(docs), ["doc_id", "key"], wanted.select(mark_of("doc_id", "key").alias("mark"))).filter("_hit").drop("_hit")
     found = chosen.mapInArrow(run, "doc_id long, key long, para int, sig_a long, sig_b long, segments array<array<long>>")
-    found = found.withColumn("mark", mark_of("key", "para")).filter(marked(wanted.select(mark_of("key", "para").alias("mark")))).drop("mark").withColumnRenamed("doc_id", "_id")
+    found = flagged(found, ["key", "para"], wanted.select(mark_of("key", "para").alias("mark"))).filter("_hit").drop("_hit").withColumnRenamed("doc_id", "_id")
     rows = found.join(wanted, ["key", "para", "sig_a", "sig_b"]).filter(F.col("_id").eqNullSafe(F.col("doc_id")))
     return rows.select("row", "segments").dropDuplicates(["row"])
 
@@ -141,8 +150,8 @@ def repeated(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words
     min_words = max(min_words, n)
     paras = paragraph_bands(docs, n, bands, rows, min_words)
     place = F.struct("doc_id", "key", "para")
-    equal = paras.groupBy("sig_a", "sig_b").agg(F.min(F.struct("row", "n", "doc_id", "key", "para")).alias("h"), F.min(place).alias("low"), F.max(place).alias("high"), F.any_value("grams").alias("grams"))
-    equal = written(equal.select("sig_a", "sig_b", "h.*", "low", "high", "grams"), "equal", "uncompressed")
+    equal = paras.groupBy("sig_a", "sig_b").agg(F.min(F.struct("row", "n", "doc_id", "key", "para")).alias("h"), F.min(place).alias("low"), F.max(place).alias("high"), F.any_value("grams").alias("grams"), F.any_value("bits").alias("bits"))
+    equal = written(equal.select("sig_a", "sig_b", "h.*", "low", "high", "grams", "bits"), "equal", "uncompressed")
 
     def lengths(x: str, y: str) -> Column:
         return F.expr(f"least({x}.n, {y}.n) * {den}L >= greatest({x}.n, {y}.n) * {num}L")
@@ -151,7 +160,7 @@ def repeated(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words
         wanted = written(equal.select("row", "doc_id", "key", "para", "sig_a", "sig_b").join(these, "row"), "wanted")
         return paragraph_sets(docs, n, min_words, wanted)
 
-    roots = roots_of(equal.select("row", "n", "grams"), sets_of, num, den, lengths)
+    roots = roots_of(equal.select("row", "n", "grams", "bits"), sets_of, num, den, MAP_WORDS, lengths)
     placed = equal.select("sig_a", "sig_b", "row", "low", "high").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     placed = written(placed, "placed")
     groups = placed.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("root", "low")
@@ -164,13 +173,12 @@ def cleaned(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words:
     """The documents without the passages that stand elsewhere first; columns as they were. Only documents that lose something are shuffled."""
     gone = repeated(docs, n, num, den, min_words).filter("removed").groupBy("doc_id", "key").agg(F.collect_set("para").alias("_gone"))
     gone = written(gone.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "gone")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text")).withColumn("mark", mark_of("_text_key"))
-    touched = marked(gone.select(mark_of("_key").alias("mark")))
+    keyed = flagged(docs.withColumn("_text_key", F.xxhash64("text")), ["_text_key"], gone.select(mark_of("_key").alias("mark")))
     columns = docs.columns
-    here = keyed.filter(touched).join(gone, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    here = keyed.filter("_hit").join(gone, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     changed = here.withColumn("text", text)
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(columns).unionAll(keyed.filter(~touched).select(columns))
+    return changed.select(columns).unionAll(keyed.filter("NOT _hit").select(columns))
