@@ -117,16 +117,16 @@ class Lists:
         self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool, self.used, self.n = np.zeros(1 << 14, kind), 0, 0
 
-    def add(self, found: list[np.ndarray]) -> None:
-        sizes, joined = np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found)
-        while self.n + len(found) > len(self.first):
+    def append(self, joined: np.ndarray, sizes: np.ndarray) -> None:
+        """More lists, one behind the other, with their sizes."""
+        while self.n + len(sizes) > len(self.first):
             self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
         while self.used + len(joined) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.first[self.n : self.n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(found)] = sizes
+        self.first[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(sizes)] = sizes
         self.pool[self.used : self.used + len(joined)] = joined
-        self.used, self.n = self.used + len(joined), self.n + len(found)
+        self.used, self.n = self.used + len(joined), self.n + len(sizes)
 
     def joined(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of these numbers one behind the other, and where each ends."""

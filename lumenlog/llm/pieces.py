@@ -28,7 +28,8 @@ class Pieces:
                 self.byte[int(piece[3:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 ranked[piece] = (i, max(0.0, -model.get_score(i)))
-        ranked = {p: x for p, x in ranked.items() if x[1] < 1e8}  # runs of blanks have no rank
+        # runs of blanks have no rank; the single one is held to be as rare as its id says
+        ranked = {p: (i, r if r < 1e8 else float(i)) for p, (i, r) in ranked.items() if r < 1e8 or p == "▁"}
         total = math.log(sum(1 / (r + self.SHIFT) for _, r in ranked.values()))
         self.score = {p: -math.log(r + self.SHIFT) - total for p, (_, r) in ranked.items()}
         self.id = {p: i for p, (i, _) in ranked.items()}
