@@ -65,6 +65,15 @@ class TrieCounter:
 
 
 _tables: dict[str, Table] = {}
+
+
+def _table(model: str) -> Table:
+    """The worker's own table; tasks that run one after the other in a worker share what it has seen."""
+    if model not in _tables:
+        _tables[model] = Table(TrieCounter(pieces(model)), np.int64)
+    return _tables[model]
+
+
 _hasher = Hasher()
 
 
@@ -72,13 +81,12 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _tables:
-            _tables[model] = Table(TrieCounter(pieces(model)), np.int64)
+        table = _table(model)
         for batch in batches:
             at = 0
             for held in pieces_of(batch.column("text").to_pylist()):
                 spans = _hasher(held)
-                counts = np.concatenate([[0], np.cumsum(_tables[model](spans))])
+                counts = np.concatenate([[0], np.cumsum(table(spans))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(held)), pa.array(np.diff(spans.first)), pa.array(np.diff(counts[spans.first]))], names=["doc_id", "n_pretokens", "n_tokens"])
                 at += len(held)
 
