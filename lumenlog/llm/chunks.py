@@ -24,6 +24,9 @@ class Spans:
         return self.data[self.start[i] : self.stop[i]].decode("utf-8")
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 class Hasher:
     """Splits at some bytes; a word's hash is a polynomial over random values of its bytes, mixed. Equal words have equal hashes in every process."""
 
@@ -34,20 +37,22 @@ class Hasher:
         self.joint = gaps[:1]
         self.values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         self.base = int(rng.integers(0, 1 << 63)) * 2 + 1
-        self.powers = self.inverse = np.ones(1, np.uint64)
 
-    def _raise(self, n: int) -> None:
-        if n > len(self.powers):
-            n = max(n, 1 << 21)
+    def _raised(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse; hashers of one seed share them."""
+        held = _powers.get(self.base)
+        if held is None or n > len(held[0]):
+            n = max(n, (1 << 20) + (1 << 16))
             factors = np.repeat(np.array([[self.base], [pow(self.base, -1, 1 << 64)]], np.uint64), n, axis=1)
             factors[:, 0] = 1
-            self.powers, self.inverse = np.cumprod(factors, axis=1, dtype=np.uint64)
+            held = _powers[self.base] = tuple(np.cumprod(factors, axis=1, dtype=np.uint64))
+        return held
 
     def keys(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hashes of the stretches [start, stop) of bytes."""
-        self._raise(len(x))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[x] * self.powers[: len(x)], dtype=np.uint64)])
-        h = (sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64)
+        powers, inverse = self._raised(len(x))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[x] * powers[: len(x)], dtype=np.uint64)])
+        h = (sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(31))
@@ -69,7 +74,7 @@ class Hasher:
         return Spans(data, start, stop, self.keys(x, start, stop), np.searchsorted(start, bounds))
 
 
-def pieces_of(texts: list[str | None], most: int = 1 << 21):
+def pieces_of(texts: list[str | None], most: int = 1 << 20):
     """Texts as bytes, in stretches of about `most` bytes."""
     some, size = [], 0
     for t in texts:
