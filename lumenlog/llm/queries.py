@@ -60,7 +60,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 over documents: the places of passages that stand in two places or more."""
-    return substring_dedup.repeated(table(spark, sf_dir, "documents")).drop("key")
+    return substring_dedup.passages(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

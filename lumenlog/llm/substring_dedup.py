@@ -8,30 +8,42 @@ doc_id, then text, then paragraph) keeps its passage, the others lose it.
 Paragraphs with the same words are one class before any banding, and a class meets others as in `near`, so neither a passage that a third of all rows share
 nor a large group of near copies makes pairs in the square of its size.
 
-Defined results: words as in operator 8 (ASCII letters lower-cased, ASCII white space). Null and empty texts and shorter paragraphs stay as they are.
+A passage that is part of a longer line or runs over line ends is found by `runs`, in what the paragraphs' removal leaves: every stretch of RUN words
+or more that stands in two places, exactly, wherever it begins. Of the hashes of SEED words in a row, the least among those in RUN words stands
+for these; equal stretches have equal ones, so only stretches whose least hash comes twice are compared, by the signature of all their words. The first
+place of each stretch of RUN words keeps it, the others lose it, and stretches one word apart with the same first place are one run. So a run's span is the exact
+common one, and no run is missed but by chance of a hash. In a text that repeats itself without a gap, words of the first place stay. Stretches that are
+only nearly alike and lie inside longer lines are found where RUN words on end are equal.
+
+Defined results: words as in operator 8 (ASCII letters lower-cased, ASCII white space). Null and empty texts stay as they are, and so do shorter
+paragraphs where no run reaches into them.
 Rows with the same doc_id and the same text are one document, so they keep or lose a passage together. A null doc_id comes first. An empty
 table gives an empty table; other columns are kept by `cleaned`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.llm.chunks import Hasher, pieces_of
 from lumenlog.llm.jaccard_join import _ODD, windows
-from lumenlog.llm.near import flagged, mark_of, parity_map, roots_of
+from lumenlog.llm.near import KEY_BITS, flagged, mark_of, parity_map, roots_of
 from lumenlog.llm.shared import written
 
 MIN_WORDS = 20
 MIN_ROWS = 3
 RECALL = 0.999
 MAP_WORDS = 2
+RUN = 50
+SEED = 25
+_WORD = re.compile(rb"[^\t\n\v\f\r ]+")
 _hasher = Hasher()
 
 
@@ -169,16 +181,214 @@ def repeated(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words
     return places.select("doc_id", "key", "para", "n_words", F.col("low.doc_id").alias("first_doc_id"), F.col("low.para").alias("first_para"), (F.struct("doc_id", "key", "para") != F.col("low")).alias("removed")).distinct()
 
 
+def _shifted(x: np.ndarray, k: int) -> np.ndarray:
+    return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
+
+
+def _stretched(w: np.ndarray, n: int, odd: list[np.uint64]) -> np.ndarray:
+    """Hashes of n words in a row by doubling, from each word on; the last n - 1 have no meaning."""
+
+    def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = x * odd[0] ^ (y ^ y >> np.uint64(31)) * odd[1]
+        z = (z ^ z >> np.uint64(29)) * odd[2]
+        return z ^ z >> np.uint64(32)
+
+    x, size, out, at = w, 1, None, 0
+    while True:
+        if n & 1:
+            out, at = x if out is None else joined(out, _shifted(x, at)), at + size
+        n >>= 1
+        if not n:
+            return out
+        x, size = joined(x, _shifted(x, size)), 2 * size
+
+
+def _sliding(x: np.ndarray, n: int, of: Callable) -> np.ndarray:
+    """The least or greatest of n values in a row, from each on; the last n - 1 have no meaning."""
+    size = 1
+    while 2 * size <= n:
+        x, size = of(x, _shifted(x, size)), 2 * size
+    return of(x, _shifted(x, n - size)) if size < n else x
+
+
+class Stretches:
+    """The stretches of RUN words of some texts: owner (the text's place), first word, and the least hash of SEED words in them."""
+
+    def __init__(self, held: list[bytes]):
+        self.spans = spans = _hasher(held, lower=True)
+        n = np.diff(spans.first)
+        self.doc = np.repeat(np.arange(len(held)), n)
+        self.at = np.arange(len(self.doc))
+        self.whole = self.at + RUN <= np.repeat(spans.first[1:], n)
+        self.seeds = _stretched(spans.key, SEED, _ODD)
+        self.least = np.where(self.whole, _sliding(self.seeds, RUN - SEED + 1, np.minimum), np.uint64(0))
+
+    @staticmethod
+    def mixed(seeds: np.ndarray) -> np.ndarray:
+        """Least values are small ones; these are spread again."""
+        x = seeds * _ODD[3]
+        x = (x ^ x >> np.uint64(32)) * _ODD[4]
+        return x ^ x >> np.uint64(29)
+
+    def chosen(self) -> np.ndarray:
+        """The words where a hash begins that is the least of some stretch; a text's last RUN - 1 words begin none, so texts don't mix."""
+        k = RUN - SEED
+        most = _sliding(np.concatenate([np.zeros(k, np.uint64), self.least]), k + 1, np.maximum)[: len(self.least)]
+        return np.flatnonzero((self.seeds == most) & (most > 0))
+
+    def signatures(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (_stretched(self.spans.key, RUN, odd)[at].view(np.int64) for odd in (_ODD[1:], [_ODD[4], *_ODD[:2]]))
+        return a, b
+
+
+def _seeds_twice(left: DataFrame) -> np.ndarray:
+    """A map of 2**KEY_BITS bits of the least hashes that stand in two places or more, and of some others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for texts in pieces_of(batch.column("text").to_pylist()):
+                piece, done = batch.slice(done, len(texts)), done + len(texts)
+                held = Stretches(texts)
+                at = held.chosen()
+                if len(at):
+                    word = (at - held.spans.first[held.doc[at]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(held.mixed(held.seeds[at]).view(np.int64)), piece.column("place").take(pa.array(held.doc[at])), pa.array(word)], names=["seed", "place", "word"])
+
+    found = left.select("text", F.xxhash64("doc_id", "key").alias("place")).mapInArrow(run, "seed long, place long, word int")
+    place = F.struct("place", "word")
+    twice = found.groupBy("seed").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
+    bit = F.shiftrightunsigned("seed", 64 - KEY_BITS)
+    table = twice.select(bit.alias("p")).groupBy(F.expr("CAST(p div 64 AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits")).toArrow()
+    marks = np.zeros(1 << (KEY_BITS - 6), np.uint64)
+    marks[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return marks
+
+
+def _line_before(line: int, gone: list[int] | None) -> int:
+    """The number that a line had before lines were taken out."""
+    for g in sorted(gone or ()):
+        if g > line:
+            break
+        line += 1
+    return line
+
+
+def stretches(left: DataFrame) -> DataFrame:
+    """doc_id, key, word, para, sig_a, sig_b of the stretches of RUN words that may stand in two places or more; written."""
+    sent = left.sparkSession.sparkContext.broadcast(_seeds_twice(left))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for texts in pieces_of(batch.column("text").to_pylist()):
+                piece, done = batch.slice(done, len(texts)), done + len(texts)
+                held = Stretches(texts)
+                bit = held.mixed(held.least) >> np.uint64(64 - KEY_BITS)
+                at = np.flatnonzero(held.whole & (sent.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool))
+                if not len(at):
+                    continue
+                x = np.frombuffer(held.spans.data, np.uint8)
+                feeds = np.cumsum(x == 10)
+                begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+                owner = held.doc[at]
+                line = feeds[held.spans.start[at]] - (feeds[begin] - (x[begin] == 10))[owner]
+                gone = piece.column("_gone")
+                for i in np.unique(owner).tolist():
+                    if some := gone[i].as_py():
+                        of, back = np.unique(line[owner == i], return_inverse=True)
+                        line[owner == i] = np.array([_line_before(int(n), some) for n in of])[back]
+                a, b = held.signatures(at)
+                own = pa.array(owner)
+                word = (at - held.spans.first[owner]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(own), piece.column("key").take(own), pa.array(word), pa.array(line.astype(np.int32)), pa.array(a), pa.array(b)], names=["doc_id", "key", "word", "para", "sig_a", "sig_b"])
+
+    return written(left.select("doc_id", "key", "text", "_gone").mapInArrow(run, "doc_id long, key long, word int, para int, sig_a long, sig_b long"), "stretches")
+
+
+def runs(left: DataFrame) -> DataFrame:
+    """The places of all runs of RUN words or more that stand in two places or more of texts (doc_id, key, text, _gone: the lines that were taken out).
+
+    doc_id, key, para (where it begins), start and n_words (counted in the text), first_doc_id and first_para (the place that is kept), removed.
+    """
+    held = stretches(left)
+    place = F.struct("doc_id", "key", "word")
+    firsts = held.groupBy("sig_a", "sig_b").agg(F.min(F.struct("doc_id", "key", "word", "para")).alias("low"), F.min(place).alias("at"), F.max(place).alias("high")).filter("at <> high").select("sig_a", "sig_b", "low")
+    met = held.join(firsts, ["sig_a", "sig_b"]).select("doc_id", "key", "word", "para", "low").distinct()
+    met = met.withColumns({"_apart": F.col("word") - F.col("low.word"), "_own": F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("key") == F.col("low.key"))})
+    line = Window.partitionBy("doc_id", "key", "low.doc_id", "low.key", "_apart").orderBy("word")
+    met = met.withColumn("_run", F.col("word") - F.row_number().over(line))
+    found = met.groupBy("doc_id", "key", F.col("low.doc_id").alias("first_doc_id"), F.col("low.key").alias("_first_key"), "_apart", "_own", "_run").agg(
+        F.min(F.struct("word", "para", F.col("low.para").alias("first_para"))).alias("b"), F.max("word").alias("last")
+    )
+    kept = F.when(F.col("_own") & F.col("_apart").between(1, RUN - 1), RUN - F.col("_apart")).otherwise(0)  # words of the first place itself
+    start = F.col("b.word") + kept
+    return found.select("doc_id", "key", F.col("b.para").alias("para"), start.alias("start"), (F.col("last") + RUN - start).alias("n_words"), "first_doc_id", F.col("b.first_para").alias("first_para"), (~F.col("_own") | (F.col("_apart") != 0)).alias("removed"))
+
+
+def _without_lines(text: str, gone: str) -> Column:
+    lines = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i))
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
+
+
+def _gone(places: DataFrame) -> DataFrame:
+    gone = places.filter("removed").groupBy("doc_id", "key").agg(F.collect_set("para").alias("_gone"))
+    return written(gone.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "gone")
+
+
+def _left(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc_id, key (of the whole text), text without the lines that are gone, and their numbers. Only documents that lose something are shuffled."""
+    keyed = flagged(_keyed(docs), ["key"], gone.select(mark_of("_key").alias("mark")))
+    here = keyed.filter("_hit").join(gone, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    here = written(here.select("doc_id", "key", _without_lines("text", "_gone").alias("text"), "_gone"), "left")
+    return here.unionAll(keyed.filter("NOT _hit").select("doc_id", "key", "text", F.lit(None).cast("array<int>").alias("_gone")))
+
+
+def passages(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words: int = MIN_WORDS) -> DataFrame:
+    """The places of paragraphs as in `repeated`, with no start, and of the `runs` in what these leave."""
+    places = written(repeated(docs, n, num, den, min_words), "places")
+    more = runs(_left(docs, _gone(places)))
+    return places.withColumn("start", F.lit(None).cast("int")).unionByName(more)
+
+
+def without_runs(text: str | None, cuts: list | None) -> str | None:
+    """The text without runs (start, n_words) of its words. The blanks on one side go as well: those before it where only behind it a line ends, or the text."""
+    if not cuts or text is None:
+        return text
+    data = text.encode("utf-8")
+    words = [m.span() for m in _WORD.finditer(data)]
+    joined: list[list[int]] = []
+    for a, n in sorted((c[0], c[1]) for c in cuts):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], a + n)
+        else:
+            joined.append([a, a + n])
+    out, done = [], 0
+    for a, b in joined:
+        before = words[a - 1][1] if a else 0
+        start, stop = words[a][0], words[b - 1][1]
+        if b == len(words) or b"\n" in data[stop : words[b][0]] and b"\n" not in data[before:start] and a:
+            start = max(before, done)
+        else:
+            stop = words[b][0]
+        out.append(data[done:start])
+        done = stop
+    return b"".join([*out, data[done:]]).decode("utf-8")
+
+
 def cleaned(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the passages that stand elsewhere first; columns as they were. Only documents that lose something are shuffled."""
-    gone = repeated(docs, n, num, den, min_words).filter("removed").groupBy("doc_id", "key").agg(F.collect_set("para").alias("_gone"))
-    gone = written(gone.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "gone")
-    keyed = flagged(docs.withColumn("_text_key", F.xxhash64("text")), ["_text_key"], gone.select(mark_of("_key").alias("mark")))
+    gone = _gone(repeated(docs, n, num, den, min_words))
+    cuts = runs(_left(docs, gone)).filter("removed").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n_words")).alias("_cuts"))
+    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.lit(None).cast("array<int>").alias("_gone"), "_cuts")
+    both = gone.withColumn("_cuts", F.lit(None).cast(cuts.schema["_cuts"].dataType)).unionByName(cuts)
+    lost = written(both.groupBy("_id", "_key").agg(F.first("_gone", True).alias("_gone"), F.first("_cuts", True).alias("_cuts")), "lost")
+    keyed = flagged(docs.withColumn("_text_key", F.xxhash64("text")), ["_text_key"], lost.select(mark_of("_key").alias("mark")))
     columns = docs.columns
-    here = keyed.filter("_hit").join(gone, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    changed = here.withColumn("text", text)
+    here = keyed.filter("_hit").join(lost, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    cut = F.udf(without_runs, "string")
+    same = F.col("_gone").isNull() & F.col("_cuts").isNull()
+    changed = here.withColumn("text", cut(_without_lines("text", "_gone"), F.col("_cuts")))
     if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        changed = changed.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return changed.select(columns).unionAll(keyed.filter("NOT _hit").select(columns))

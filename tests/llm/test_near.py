@@ -99,3 +99,29 @@ def test_cleaning_odd_documents(spark, odd_docs, no_docs):
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
     assert {r.doc_id: r.text for r in got.collect()}[6] == ""  # all of it stands in document 4
     assert substring_dedup.cleaned(no_docs).count() == 0 and substring_dedup.repeated(no_docs).count() == 0
+
+
+def test_runs_inside_and_across_lines(spark):
+    """Passages of 50 words or more that lie inside longer lines, over line ends or in lines of a few words are found to the word, and cut."""
+    p, q, s = passage(11, 55), passage(12, 70), passage(13, 50)
+    short = "\n".join(" ".join(q.split()[i : i + 7]) for i in range(0, 70, 7))
+    rows = [
+        (1, f"{passage(21, 200)} {p} {passage(22, 200)}"),
+        (2, f"{passage(23, 150)} {p.upper()} {passage(24, 90)}\nlast line"),
+        (3, f"{passage(25, 30)}\n{short}\n{passage(26, 30)}"),
+        (4, f"{passage(27, 90)} {q}\n{passage(28, 30)}"),
+        (5, f"{passage(29, 80)} {s} {passage(30, 80)}"),
+        (6, f"{passage(31, 80)} {' '.join(s.split()[:49])} {passage(32, 80)}"),
+        (7, f"a b {p} c d {p}"),
+        (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.n_words, r.first_doc_id, r.removed) for r in substring_dedup.passages(docs).collect()}
+    assert got == {(1, 200, 55, 1, False), (2, 150, 55, 1, True), (3, 30, 70, 3, False), (4, 90, 70, 3, True), (7, 2, 55, 1, True), (7, 59, 55, 1, True)}
+    texts = {r.doc_id: r.text for r in substring_dedup.cleaned(docs).collect()}
+    assert texts == {**dict(rows), 2: f"{passage(23, 150)} {passage(24, 90)}\nlast line", 4: f"{passage(27, 90)}\n{passage(28, 30)}", 7: "a b c d"}
+
+
+def test_a_text_that_repeats_itself_keeps_a_run(spark):
+    docs = spark.createDataFrame([(1, "start " + "ha " * 300 + "end")], "doc_id long, text string")
+    assert substring_dedup.cleaned(docs).first().text == "start " + "ha " * 50 + "end"
