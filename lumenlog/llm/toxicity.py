@@ -3,7 +3,7 @@
 1. Language model: counts of character trigrams (ASCII letters after stripping accents, and word ends) over the words of all documents.
 2. Restoration: a token that looks disguised (digits or signs among letters, runs of a letter, letters set apart by blanks) becomes a lattice: a
    sign may stand for itself-like letters or for nothing, a run for one letter or two. Viterbi search finds the letters with the best sum of channel and
-   model costs. Other tokens are only lower-cased and stripped of accents and of the signs around them.
+   model costs. Letters set apart are restored to the last, in overlapping stretches; words of up to LONGEST letters are looked for in them. Other tokens are only lower-cased and stripped of accents and of the signs around them.
 3. Score: words and word beginnings of the restored text are counted in labelled documents of either class. A feature whose precision is above one half
    by the lower end of its Wilson interval is evidence; a document's score is the noisy-or of its three strongest, or the base
    rate where it has none. Features are hashed to FEATURE_BITS bits in each of TABLES tables, whose size is fixed.
@@ -47,6 +47,7 @@ LONGEST = 40
 _ASIDE = "\"'()[]{}<>.,;:?!#%&*_~^-=/\\|+`´“”„«»…"
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
 _RUN = re.compile(r"([a-z])\1\1")
+_LONG_RUN = re.compile(r"([a-z])\1{3,}|([^a-z])\2{2,}")
 
 
 def folded(text: str) -> str:
@@ -61,6 +62,16 @@ def bare(token: str) -> str:
     return re.sub(r"([^\w])\1+$", "", token).strip(_ASIDE)
 
 
+def overlapping(token: str) -> Iterator[str]:
+    """The whole token in stretches of 2 * LONGEST characters, each LONGEST after the one before: what has LONGEST characters at most is whole in one.
+
+    Runs are shortened first to where the lattice tells no longer ones apart.
+    """
+    token = _LONG_RUN.sub(lambda m: m[1] * 3 if m[1] else m[2] * 2, token)
+    for a in range(0, max(1, len(token) - LONGEST), LONGEST):
+        yield token[a : a + 2 * LONGEST]
+
+
 def disguised(token: str) -> bool:
     """Letters with digits or signs among them, or a run of three equal letters."""
     if token.isalpha():
@@ -143,9 +154,9 @@ class Words:
         return [f for w in parts for f in features(w)]
 
     def spaced(self, text: str) -> Iterator[str]:
-        """Letters that stand alone, put together; each restored whole."""
+        """Letters that stand alone, put together; all of them restored, in overlapping stretches."""
         for m in _SPACED.finditer(text):
-            yield self.restore(re.sub(r"[ .\-_*]", "", folded(m[0]))[:LONGEST])
+            yield from map(self.restore, overlapping(re.sub(r"[ .\-_*]", "", folded(m[0]))))
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -199,8 +210,8 @@ def strongest(strength: np.ndarray, found: list[tuple[int, ...]]) -> float:
 
 
 def _stretches(whole: str) -> list[tuple[int, ...]]:
-    """Features of what letters that stood alone may spell, several words included."""
-    return [f for a in range(len(whole)) for b in range(a + 4, min(len(whole), a + 12) + 1) for f in features(whole[a:b])[:1]]
+    """Features of what letters that stood alone may spell, several words included, each of 4 to LONGEST letters."""
+    return [f for a in range(len(whole)) for b in range(a + 4, min(len(whole), a + LONGEST) + 1) for f in features(whole[a:b])[:1]]
 
 
 def _may_be_spaced(spans: Spans, a: int, b: int) -> bool:

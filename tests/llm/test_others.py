@@ -124,3 +124,17 @@ def test_held_out_labels_change_nothing(spark):
     b = a.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     x, y = (sorted(map(tuple, toxicity.scores(docs, t, out).collect())) for t in (a, b))
     assert x == y
+
+
+def words_of(text):
+    counts = np.bincount(toxicity.trigram_places([text] * 50), minlength=toxicity.LETTERS**3)
+    return toxicity.Words(toxicity.Restorer(counts))
+
+
+def test_spelled_out_words_are_found_wherever_they_stand():
+    words = words_of("please bring all these papers over before the incomprehensible scoundrel comes back again tomorrow morning")
+    for before in ("please bring all these papers over before the meeting " * 3, "a" * 300):
+        for word in ("scoundrel", "incomprehensible"):
+            text = " ".join(before.replace(" ", "") + word)
+            found = {f for whole in words.spaced(text) for f in toxicity._stretches(whole)}
+            assert toxicity.features(word)[0] in found
