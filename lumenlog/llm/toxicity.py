@@ -3,7 +3,8 @@
 1. Language model: counts of character trigrams (ASCII letters after stripping accents, and word ends) over the words of all documents.
 2. Restoration: a token that looks disguised (digits or signs among letters, runs of a letter, letters set apart by blanks) becomes a lattice: a
    sign may stand for itself-like letters or for nothing, a run for one letter or two. Viterbi search finds the letters with the best sum of channel and
-   model costs. Letters set apart are restored to the last, in overlapping stretches; words of up to LONGEST letters are looked for in them. Other tokens are only lower-cased and stripped of accents and of the signs around them.
+   model costs. Letters set apart are restored to the last, in overlapping stretches; words of up to LONGEST letters are looked for in them. A chunk without ASCII blanks may be of any length: of one over LONGEST characters the parts between its signs are taken, and
+   its letters as if set apart. Other tokens are only lower-cased and stripped of accents and of the signs around them.
 3. Score: words and word beginnings of the restored text are counted in labelled documents of either class. A feature whose precision is above one half
    by the lower end of its Wilson interval is evidence; a document's score is the noisy-or of its three strongest, or the base
    rate where it has none. Features are hashed to FEATURE_BITS bits in each of TABLES tables, whose size is fixed.
@@ -47,6 +48,8 @@ LONGEST = 40
 _ASIDE = "\"'()[]{}<>.,;:?!#%&*_~^-=/\\|+`´“”„«»…"
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
 _RUN = re.compile(r"([a-z])\1\1")
+_BETWEEN = re.compile("(?:[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "]|_)+")  # stands for no letter
+_NO_LETTER = re.compile(r"[\W\d_]+")
 _LONG_RUN = re.compile(r"([a-z])\1{3,}|([^a-z])\2{2,}")
 
 
@@ -76,7 +79,7 @@ def disguised(token: str) -> bool:
     """Letters with digits or signs among them, or a run of three equal letters."""
     if token.isalpha():
         return _RUN.search(token) is not None
-    return any(c.isalpha() for c in token) and len(token) <= LONGEST
+    return any(c.isalpha() for c in token)
 
 
 def trigram_places(texts: list[str | None]) -> np.ndarray:
@@ -129,13 +132,16 @@ class Restorer:
         return min(((cost + self.rows[a][b][0], text) for (a, b), (cost, text) in states.items()), default=(0.0, ""))[1]
 
 
+def _places(key: str) -> tuple[int, ...]:
+    h, mask = xxhash.xxh3_128_intdigest(key), (1 << FEATURE_BITS) - 1
+    return tuple([(h >> (FEATURE_BITS * t) & mask) + (t << FEATURE_BITS) for t in range(TABLES)])
+
+
 def features(word: str) -> list[tuple[int, ...]]:
     """The places of a word and of its beginnings, one in each of TABLES tables."""
     if len(word) < 3:
         return []
-    mask = (1 << FEATURE_BITS) - 1
-    hashes = (xxhash.xxh3_128_intdigest(k) for k in (word, *(word[:n] + "*" for n in (5, 7) if len(word) > n)))
-    return [tuple((h >> (FEATURE_BITS * t) & mask) + (t << FEATURE_BITS) for t in range(TABLES)) for h in hashes]
+    return [_places(k) for k in (word, *(word[:n] + "*" for n in (5, 7) if len(word) > n))]
 
 
 class Words:
@@ -145,13 +151,18 @@ class Words:
         self.restore = restore
 
     def of(self, chunk: str) -> list[tuple[int, ...]]:
-        if len(chunk) > 200:
-            return []
-        token = bare(folded(chunk))
-        parts = re.findall(r"[a-z]{3,}", token)
-        if disguised(token):
-            parts.append(self.restore(token))
-        return [f for w in parts for f in features(w)]
+        whole = folded(chunk)
+        token = bare(whole)
+        tokens = {token, *map(bare, whole.split())}  # a chunk may hold blanks that are not ASCII
+        if len(token) > LONGEST:
+            tokens |= {bare(x) for between in (_BETWEEN, _NO_LETTER) for x in between.split(token)}
+        found = {f: None for w in re.findall(r"[a-z]{3,}", token) for f in features(w)}
+        for t in sorted(filter(disguised, tokens)):
+            restored = [self.restore(x) for x in overlapping(t)]
+            found |= dict.fromkeys(features(restored[0]))
+            if len(t) > LONGEST:
+                found |= dict.fromkeys(_stretches(*set(restored)))
+        return list(found)
 
     def spaced(self, text: str) -> Iterator[str]:
         """Letters that stand alone, put together; all of them restored, in overlapping stretches."""
@@ -209,9 +220,9 @@ def strongest(strength: np.ndarray, found: list[tuple[int, ...]]) -> float:
     return max((min(float(strength[p]) for p in f) for f in found), default=0.0)
 
 
-def _stretches(whole: str) -> list[tuple[int, ...]]:
+def _stretches(*wholes: str) -> list[tuple[int, ...]]:
     """Features of what letters that stood alone may spell, several words included, each of 4 to LONGEST letters."""
-    return [f for a in range(len(whole)) for b in range(a + 4, min(len(whole), a + LONGEST) + 1) for f in features(whole[a:b])[:1]]
+    return [_places(w) for w in {whole[a:b] for whole in wholes for a in range(len(whole)) for b in range(a + 4, min(len(whole), a + LONGEST) + 1)}]
 
 
 def _may_be_spaced(spans: Spans, a: int, b: int) -> bool:

@@ -138,3 +138,14 @@ def test_spelled_out_words_are_found_wherever_they_stand():
             text = " ".join(before.replace(" ", "") + word)
             found = {f for whole in words.spaced(text) for f in toxicity._stretches(whole)}
             assert toxicity.features(word)[0] in found
+
+
+@pytest.mark.parametrize("joint", ["\u00a0", "\u3000", ",", "/", ".", "_"])
+def test_words_of_long_chunks_are_found(joint):
+    words = words_of("please bring all these papers over before the incomprehensible scoundrel comes back again tomorrow morning")
+    for word in ("scoundrel", "sc0undrel", "scoundreeel", "5coundre1"):
+        for n in (6, 40):
+            chunk = joint.join(["papers", "before", "morning"] * n + [word] + ["again"] * n)
+            assert toxicity.features("scoundrel")[0] in words.of(chunk), (word, n)
+    glued = "".join(["x1y"] * 100) + "s-c-o-u-n-d-r-e-l"
+    assert toxicity.features("scoundrel")[0] in words.of(glued)
