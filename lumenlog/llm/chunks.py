@@ -1,13 +1,45 @@
-"""Words of many texts at once, in numpy: where they stand and their 64-bit hashes, without a Python object for each."""
+"""Words of many texts at once, in numpy: where they stand and their 64-bit hashes, without a Python object for each.
+
+Hashes only bring equal words together. Who keeps a value for a word (`Table`, operators 1, 2, 4 and 5) compares the words' bytes: within a piece
+of text by `Spans.distinct`, with what was seen before by a dictionary of the words themselves.
+"""
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 #: ASCII white space.
 WHITE = bytes([9, 10, 11, 12, 13, 32])
+#: Words of more bytes are hashed by the library, one by one.
+LONG = 256
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_tables: dict[tuple, object] = {}
+
+
+def of_worker(kind: str, key, make: Callable):
+    """The worker's own table of an operator, made once for all of its tasks. When another operator's first task comes, what the others
+    held is let go: a worker serves all stages, and their tables together would not fit."""
+    if (kind, key) not in _tables:
+        for other in [k for k in _tables if k[0] != kind or k[1] != key]:
+            del _tables[other]
+        gc.collect()
+        if name := ctypes.util.find_library("c"):
+            getattr(ctypes.CDLL(name), "malloc_trim", int)(0)
+        _tables[kind, key] = make()
+    return _tables[kind, key]
+
+
+def _limbs(data: bytes) -> np.ndarray:
+    """The 8 bytes from each byte on."""
+    return np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))
 
 
 @dataclass
@@ -20,42 +52,68 @@ class Spans:
     key: np.ndarray
     first: np.ndarray
 
-    def text(self, i: int) -> str:
-        return self.data[self.start[i] : self.stop[i]].decode("utf-8")
-
+    def bytes(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.stop[i]]
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def text(self, i: int) -> str:
+        return self.bytes(i).decode("utf-8")
+
+    def same_as(self, other: np.ndarray) -> np.ndarray:
+        """Whether each word has the bytes of word other[i]."""
+        limbs, size = _limbs(self.data), self.stop - self.start
+        same = size == size[other]
+        live = np.flatnonzero(same & (size > 0) & (size <= LONG) & (other != np.arange(len(size))))
+        at, to, left = self.start[live], self.start[other[live]], size[live]
+        while len(live):
+            equal = ((limbs[at] ^ limbs[to]) & _MASK[np.minimum(left, 8)]) == 0
+            same[live[~equal]] = False
+            more = equal & (left > 8)
+            live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
+        for i in np.flatnonzero(same & (size > LONG)).tolist():
+            same[i] = self.bytes(i) == self.bytes(other[i])
+        return same
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of each that is different, and for each word the number of its like."""
+        _, first, back = np.unique(self.key, return_index=True, return_inverse=True)
+        if self.same_as(first[back]).all():
+            return first, back
+        seen: dict[bytes, int] = {}  # two words with one hash
+        first, back = [], np.empty(len(self.key), np.int64)
+        for i in range(len(self.key)):
+            n = back[i] = seen.setdefault(self.bytes(i), len(seen))
+            if n == len(first):
+                first.append(i)
+        return np.array(first, np.int64), back
 
 
 class Hasher:
-    """Splits at some bytes; a word's hash is a polynomial over random values of its bytes, mixed. Equal words have equal hashes in every process."""
+    """Splits at some bytes. A word's hash is mixed from its length and its bytes, eight at a time, so equal words have equal hashes in every process
+    and words of up to eight bytes that have one length never share one."""
 
-    def __init__(self, gaps: bytes = WHITE, seed: int = 3):
-        rng = np.random.Generator(np.random.PCG64(seed))
+    def __init__(self, gaps: bytes = WHITE):
         self.gap = np.zeros(256, bool)
         self.gap[list(gaps)] = True
         self.joint = gaps[:1]
-        self.values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-        self.base = int(rng.integers(0, 1 << 63)) * 2 + 1
-
-    def _raised(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Powers of the base and of its inverse; hashers of one seed share them."""
-        held = _powers.get(self.base)
-        if held is None or n > len(held[0]):
-            n = max(n, (1 << 20) + (1 << 16))
-            factors = np.repeat(np.array([[self.base], [pow(self.base, -1, 1 << 64)]], np.uint64), n, axis=1)
-            factors[:, 0] = 1
-            held = _powers[self.base] = tuple(np.cumprod(factors, axis=1, dtype=np.uint64))
-        return held
-
-    def keys(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+
+    @staticmethod
+    def keys(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hashes of the stretches [start, stop) of bytes."""
-        powers, inverse = self._raised(len(x))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[x] * powers[: len(x)], dtype=np.uint64)])
-        h = (sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+        limbs, left = _limbs(data), stop - start
+        h = left.astype(np.uint64) * _ODD[0]
+        long = np.flatnonzero(left > LONG).tolist()
+        live = np.flatnonzero((left > 0) & (left <= LONG))
+        at, left = start[live], left[live]
+        while len(live):
+            x = (h[live] ^ limbs[at] & _MASK[np.minimum(left, 8)]) * _ODD[1]
+            h[live] = x ^ x >> np.uint64(32)
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        for i in long:
+            h[i] = xxhash.xxh3_64_intdigest(data[start[i] : stop[i]])
+        h = (h ^ h >> np.uint64(30)) * _ODD[1]
+        h = (h ^ h >> np.uint64(27)) * _ODD[2]
+        return h ^ h >> np.uint64(31)
 
     def spans(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of what stands between gaps; the last byte is one."""
@@ -68,10 +126,9 @@ class Hasher:
     def __call__(self, held: list[bytes], lower: bool = False) -> Spans:
         data = self.joint.join(held) + self.joint
         data = data.lower() if lower else data
-        x = np.frombuffer(data, np.uint8)
-        start, stop = self.spans(x)
+        start, stop = self.spans(np.frombuffer(data, np.uint8))
         bounds = np.cumsum([0, *(len(t) + 1 for t in held)])
-        return Spans(data, start, stop, self.keys(x, start, stop), np.searchsorted(start, bounds))
+        return Spans(data, start, stop, self.keys(data, start, stop), np.searchsorted(start, bounds))
 
 
 def pieces_of(texts: list[str | None], most: int = 1 << 20):
@@ -89,29 +146,29 @@ def pieces_of(texts: list[str | None], most: int = 1 << 20):
 
 
 class Table:
-    """A value for each distinct word that a worker has seen, computed once; starts anew when `most` are held."""
+    """A value for each distinct word that a worker has seen, computed once; starts anew when `most` words are held."""
 
-    def __init__(self, value, kind, most: int = 600_000):
+    def __init__(self, value, kind, most: int = 500_000):
         self.value, self.kind, self.most = value, kind, most
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[int, int] = {}
+        self.number: dict[bytes, int] = {}
         self.values = np.zeros(1 << 12, self.kind)
 
     def __call__(self, spans: Spans) -> np.ndarray:
         """The value of each word."""
-        key, at, back = np.unique(spans.key, return_index=True, return_inverse=True)
-        keys = key.tolist()
-        if len(self.number) + len(keys) > self.most:
+        first, back = spans.distinct()
+        words = [spans.bytes(i) for i in first.tolist()]
+        if len(self.number) + len(words) > self.most:
             self.forget()
         get = self.number.get
-        numbers = np.array([get(k, -1) for k in keys], np.int64)
+        numbers = np.array([get(w, -1) for w in words], np.int64)
         for i in np.flatnonzero(numbers < 0).tolist():
-            n = numbers[i] = self.number[keys[i]] = len(self.number)
+            n = numbers[i] = self.number[words[i]] = len(self.number)
             if n >= len(self.values):
                 self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            self.values[n] = self.value(spans.text(at[i]))
+            self.values[n] = self.value(words[i].decode("utf-8"))
         return self.values[numbers[back]]
 
 

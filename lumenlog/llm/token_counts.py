@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.chunks import Hasher, Table, pieces_of
+from lumenlog.llm.chunks import Hasher, Table, of_worker, pieces_of
 from lumenlog.llm.pieces import Pieces, pieces
 
 NODES = 600_000
@@ -64,14 +64,9 @@ class TrieCounter:
         return self._insert("▁" + word)
 
 
-_tables: dict[str, Table] = {}
-
-
 def _table(model: str) -> Table:
     """The worker's own table; tasks that run one after the other in a worker share what it has seen."""
-    if model not in _tables:
-        _tables[model] = Table(TrieCounter(pieces(model)), np.int64)
-    return _tables[model]
+    return of_worker("counts", model, lambda: Table(TrieCounter(pieces(model)), np.int64))
 
 
 _hasher = Hasher()

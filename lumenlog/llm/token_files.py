@@ -3,7 +3,7 @@
 A token file is a Parquet table of blocks. A block holds whole documents in ascending doc_id order; its
 ids are packed at `width` bits each (the fewest that hold the vocabulary), little end first, so id i of a block
 lies at bits [i * width, (i + 1) * width) of `payload`: one numpy call unpacks any slice, and a single id can be
-read without its neighbours. `starts` has the place of each document in its block, `base` the ids that stand
+read without its neighbours. `first_id` and `last_id` are the block's least and greatest doc_id. `starts` has the place of each document in its block, `base` the ids that stand
 before the block in its part, and parts follow each other in ascending doc_id order.
 
 Defined results: a null text is an empty one (only the end id); a null doc_id sorts first; rows that repeat a
@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.chunks import Hasher, pieces_of
+from lumenlog.llm.chunks import Hasher, Spans, of_worker, pieces_of
 
 BLOCK_IDS = 1 << 16
-CACHE_CHUNKS = 800_000
-FILE_SCHEMA = "part int, block int, base long, n_ids long, width int, doc_ids array<long>, starts array<long>, payload binary"
+CACHE_CHUNKS = 500_000
+FILE_SCHEMA = "part int, block int, base long, n_ids long, width int, first_id long, last_id long, doc_ids array<long>, starts array<long>, payload binary"
 
 
 def id_width(vocabulary: int) -> int:
@@ -62,8 +62,8 @@ class ChunkEncoder:
     The tokenizer turns white space into one blank, composes characters (which a blank never takes part in) and
     drops blanks before it looks for words, so the ids of a text are those of its chunks one after the other. A letter ends a word of the
     tokenizer where a full stop or comma follows, so that mark at a chunk's end is looked up apart; and ASCII letters are lower-cased
-    one by one, so they can be before. Chunks of a batch are found and hashed (64 bits of a polynomial over random bytes' values) in numpy; each distinct
-    chunk is looked up once, and what is new goes to the library, many words in one text.
+    one by one, so they can be before. Chunks of a batch are found and hashed in numpy; each distinct chunk is looked up once, by its
+    bytes, and what is new goes to the library, many words in one text.
     """
 
     def __init__(self, path: str, vocabulary: int, by_chunk: bool = True):
@@ -79,7 +79,7 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.seen: dict[int, int] = {}
+        self.seen: dict[bytes, int] = {}
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, self.kind), 0
 
@@ -97,7 +97,8 @@ class ChunkEncoder:
             out += [ids[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else self._library(some)
         return out
 
-    def _learn(self, keys: list[int], chunks: list[str]) -> None:
+    def _learn(self, keys: list[bytes]) -> None:
+        chunks = [k.decode("utf-8") for k in keys]
         plain = [i for i, c in enumerate(chunks) if c.isalpha()] if self.ends is not None else []
         rest = sorted(set(range(len(chunks))).difference(plain))
         for places, found in ((plain, self._words([chunks[i] for i in plain])), (rest, self._library([chunks[i] for i in rest]))):
@@ -123,16 +124,17 @@ class ChunkEncoder:
         last, before = x[stop - 1], x[np.maximum(stop - 2, 0)] | 32
         marked = ((last == 46) | (last == 44)) & (stop - start > 1) & (before >= 97) & (before <= 122)
         stem = stop - marked
-        key, at, back = np.unique(self.hasher.keys(x, start, stem), return_index=True, return_inverse=True)
-        keys = key.tolist()
+        spans = Spans(data, start, stem, self.hasher.keys(data, start, stem), start)
+        at, back = spans.distinct()
+        keys = [spans.bytes(i) for i in at.tolist()]
         if len(self.seen) + len(keys) > CACHE_CHUNKS:
             self.forget()
         number = np.fromiter(map(self.seen.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(number < 0)
         if len(new):
-            a, b = start[at[new]].tolist(), stem[at[new]].tolist()
-            self._learn([keys[i] for i in new.tolist()], [data[i:j].decode("utf-8") for i, j in zip(a, b)])
-            number[new] = np.fromiter(map(self.seen.__getitem__, (keys[i] for i in new.tolist())), np.int64, len(new))
+            some = [keys[i] for i in new.tolist()]
+            self._learn(some)
+            number[new] = np.fromiter(map(self.seen.__getitem__, some), np.int64, len(new))
         number = number[back]
         size = self.size[number]
         end = np.cumsum(size + marked)
@@ -155,15 +157,9 @@ class ChunkEncoder:
         return [ids for held in pieces_of(texts) for ids in self._piece(held)]
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(tokenizer: str, vocabulary: int) -> ChunkEncoder:
     """The worker's own encoder; tasks that run one after the other in a worker share what it has seen."""
-    key = tokenizer, vocabulary
-    if key not in _encoders:
-        _encoders[key] = ChunkEncoder(_tokenizer_path(tokenizer), vocabulary)
-    return _encoders[key]
+    return of_worker("encoder", (tokenizer, vocabulary), lambda: ChunkEncoder(_tokenizer_path(tokenizer), vocabulary))
 
 
 def _tokenizer_path(name: str) -> str:
@@ -192,7 +188,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: in
 
         def closed() -> pa.RecordBatch:
             nonlocal block, base
-            row = {"part": part, "block": block, "base": base, "n_ids": starts[-1], "width": width, "doc_ids": list(doc_ids), "starts": list(starts), "payload": pack_ids(np.concatenate(ids), width)}
+            row = {"part": part, "block": block, "base": base, "n_ids": starts[-1], "width": width, "first_id": next((d for d in doc_ids if d is not None), None), "last_id": doc_ids[-1], "doc_ids": list(doc_ids), "starts": list(starts), "payload": pack_ids(np.concatenate(ids), width)}
             block, base = block + 1, base + starts[-1]
             ids.clear(), doc_ids.clear(), starts.__setitem__(slice(1, None), [])
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
@@ -220,7 +216,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: in
 
 
 ARROW = pa.schema(
-    [("part", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("payload", pa.binary())]
+    [("part", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("payload", pa.binary())]
 )
 
 
@@ -252,7 +248,19 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_ids(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """Random access: the ids of one document, unpacked from its own bits only."""
-    rows = spark.read.schema(FILE_SCHEMA).parquet(path).filter(F.array_contains("doc_ids", doc_id)).collect()
-    return [unpack_ids(r.payload, r.width, r.starts[i], r.starts[i + 1]).tolist() for r in sorted(rows, key=lambda r: (r.part, r.block)) for i, d in enumerate(r.doc_ids) if d == doc_id]
+def read_ids(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """Random access: part, block, place, ids of each row of one document, unpacked from its own bits only.
+
+    Blocks are in ascending doc_id order and hold their first and last id, so the scan skips files and row groups by the statistics of these two columns.
+    """
+    blocks = spark.read.schema(FILE_SCHEMA).parquet(path).filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                for i, d in enumerate(r["doc_ids"]):
+                    if d == doc_id:
+                        ids = unpack_ids(r["payload"], r["width"], r["starts"][i], r["starts"][i + 1])
+                        yield pa.RecordBatch.from_pylist([{"part": r["part"], "block": r["block"], "place": i, "ids": ids.tolist()}], schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), ("place", pa.int32()), ("ids", pa.list_(pa.int64()))]))
+
+    return blocks.mapInArrow(unpacked, "part int, block int, place int, ids array<long>")

@@ -45,7 +45,8 @@ def test_token_files(spark, odd_docs, no_docs):
         want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
-    assert token_files.read_ids(spark, path, 9) == [[*e.tokenizer.encode("one two", add_special_tokens=False).ids, 2]]
+    assert [r.ids for r in token_files.read_ids(spark, path, 9).collect()] == [[*e.tokenizer.encode("one two", add_special_tokens=False).ids, 2]]
+    assert [r.ids for r in token_files.read_ids(spark, path, 7).orderBy("place").collect()] == [[*e.tokenizer.encode(odd_docs.filter("doc_id = 7").first().text, add_special_tokens=False).ids, 2]] * 2
     empty = f"{shared_dir(spark)}/e"
     token_files.write_token_files(no_docs, empty, "word_bpe_49k.json", 49_408, 2)
     assert token_files.read_token_files(spark, empty).count() == 0
