@@ -1,10 +1,11 @@
 """Components of rows whose sets are alike, from entries that bring likely pairs together.
 
-An entry says that a row may be met under a key (an n-gram of its prefix, a MinHash band). Rows under one key meet one of them, not each
+An entry says that a row may be met under a key (the content of a fragment of its set, a MinHash band). Rows under one key meet one of them, not each
 other: first the one that shares most of its keys, then, where a key's rows are still in several components, another one of the
 largest. After that, only rows outside the component that holds most of a key's rows are compared with the key's rows in other
 components, and a map of bits of each row decides in the join which of these pairs can be links at all. So all links that could join two components are looked at, and a
-key with very many alike rows costs as many comparisons as it has rows.
+key with very many alike rows costs as many comparisons as it has rows. Tables of one row a key are written before they are joined, so that
+both sides of these joins are plain shuffles, which Spark splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.components import components
-from lumenlog.llm.shared import written
+from lumenlog.llm.shared import temporary, written
 
 MARK_BITS = 20
 KEY_BITS = 24
@@ -71,7 +72,7 @@ def parity_map(members: np.ndarray, words: int) -> np.ndarray:
 
 
 def shared_entries(held: DataFrame) -> DataFrame:
-    """row, n, pos, gram of the keys in `grams` that two rows hold, and of a few others.
+    """row, n, gram of the keys in `grams` that two rows hold, and of a few others.
 
     The keys are counted; those that come twice are marked in a map of 2**KEY_BITS bits, and only what it lets through
     goes on, which for keys that are mostly unique is a small part.
@@ -91,13 +92,10 @@ def shared_entries(held: DataFrame) -> DataFrame:
             grams = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             at = grams.view(np.uint64) >> np.uint64(64 - KEY_BITS)
             keep = np.flatnonzero(sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
-            owner = np.repeat(np.arange(len(n)), n)[keep]
-            pos = keep - (np.cumsum(n) - n)[owner]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(pa.array(owner)), batch.column("n").take(pa.array(owner)), pa.array(pos.astype(np.int32)), pa.array(grams[keep])], names=["row", "n", "pos", "gram"]
-            )
+            owner = pa.array(np.repeat(np.arange(len(n)), n)[keep])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(owner), batch.column("n").take(owner), pa.array(grams[keep])], names=["row", "n", "gram"])
 
-    return held.select("row", "n", "grams").mapInArrow(run, "row long, n int, pos int, gram long")
+    return held.select("row", "n", "grams").mapInArrow(run, "row long, n int, gram long")
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -111,35 +109,45 @@ def _pairs(joined: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, words: int, may_reach: Callable[[str, str], Column]) -> DataFrame:
+def roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, words: int) -> DataFrame:
     """node, root of the rows that have links.
 
     held: row, n (size of the row's set), grams (its keys), bits (its parity map, of so many words). sets_of: row, segments of the rows of a table.
     """
-    entries = shared_entries(held)
-    twice = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
-    entries = written(written(entries, "marked").join(twice, "gram"), "entries")
-    # rows that share most of their keys come first: the text that others were copied from
-    central = entries.groupBy("row").agg(F.count(F.lit(1)).alias("c"))
-    entries = entries.join(central, "row").withColumn("order", F.struct((-F.col("c")).alias("c"), "row")).drop("c")
-    known = written(entries.withColumn("root", F.col("row")), "known")
+    with temporary(held.sparkSession):
+        return written(_roots_of(held, sets_of, num, den, words), "roots", stays=True)
+
+
+def _roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, words: int) -> DataFrame:
+    entries = written(shared_entries(held), "marked")
+    twice = written(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"), "twice")
+    entries = written(entries.join(twice, "gram"), "entries")
     maps = held.select("row", "bits")
+    allowed = F.expr(f"least(x.n, y.n) * {den}L >= greatest(x.n, y.n) * {num}L")  # by length
 
-    links = None
+    # rows that share most of their keys come first: the text that others were copied from
+    central = entries.groupBy("row").agg(F.count(F.lit(1)).alias("c"))
+    known = written(entries.join(central, "row").withColumn("root", F.col("row")), "known")
+    open_, links = known, None
     for turn in range(HUB_TURNS):
-        order = F.col("order") if turn == 0 else F.struct(F.xxhash64("row", F.lit(turn)).alias("c"), "row")
-        open_ = _open(known)
-        hubs = open_.filter("root = main").groupBy("gram").agg(F.min_by(F.struct("row", "n", "pos", "root"), order).alias("h")).select("gram", "h.*") if turn else known.groupBy("gram").agg(F.min_by(F.struct("row", "n", "pos", "root"), order).alias("h")).select("gram", "h.*")
-        star = (open_ if turn else known).alias("x").join(hubs.alias("y"), "gram").filter("x.root <> y.root").filter(may_reach("x", "y"))
+        order = F.xxhash64("row", F.lit(turn)) if turn else F.struct((-F.col("c")).alias("c"), "row")
+        main = open_.filter("root = main") if turn else open_
+        hubs = written(main.groupBy("gram").agg(F.min_by(F.struct("row", "n", "root"), order).alias("h")).select("gram", "h.*"), "hubs")
+        star = open_.alias("x").join(hubs.alias("y"), "gram").filter("x.root <> y.root").filter(allowed)
         pairs = _with_maps(_pairs(star), maps).filter(_bits_allow("x", "y", words, num, den)).select("a", "b", "n_a", "n_b")
-        more = linked(pairs, sets_of, num, den)
-        links = written(more if links is None else links.unionAll(more), "links")
-        roots = written(components(links), "roots").withColumnsRenamed({"node": "row", "root": "_root"})
+        with temporary(held.sparkSession):  # the sets are the bulk
+            more = linked(pairs, sets_of, num, den)
+            links = written(more if links is None else links.unionAll(more), "links", stays=True)
+        found = components(links)
+        roots = written(found.withColumnsRenamed({"node": "row", "root": "_root"}), "roots")
         known = written(known.join(roots, "row", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root"), "known")
+        open_ = written(_open(known), "open")
+        if open_.isEmpty():
+            return found
 
-    open_ = written(_open(known).join(maps, "row"), "open")
+    open_ = written(open_.join(maps, "row"), "compared")
     rest = open_.filter("root <> main").alias("x").join(open_.alias("y"), "gram")
-    rest = rest.filter(F.expr("x.root <> y.root AND (y.root = y.main OR x.row < y.row)") & may_reach("x", "y") & _bits_allow("x", "y", words, num, den))
+    rest = rest.filter(F.expr("x.root <> y.root AND (y.root = y.main OR x.row < y.row)") & allowed & _bits_allow("x", "y", words, num, den))
     return components(links.unionAll(linked(_pairs(rest), sets_of, num, den)))
 
 
@@ -147,7 +155,7 @@ def _open(known: DataFrame) -> DataFrame:
     """Entries of keys whose rows are in several components, with the one that most are in."""
     of_key = known.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
     split = of_key.groupBy("gram").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    return known.join(split.select("gram", F.col("most.root").alias("main")), "gram")
+    return known.join(written(split.select("gram", F.col("most.root").alias("main")), "split"), "gram")
 
 
 def _with_maps(pairs: DataFrame, maps: DataFrame) -> DataFrame:

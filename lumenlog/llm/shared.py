@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,21 +20,41 @@ PIECES = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path under spark.checkpoint.dir; the folder is set here only where the session has none (tests)."""
+    """A fresh path under spark.checkpoint.dir. Where the session has none, a temporary folder becomes it on a local master (tests); on a cluster that is an error,
+    since executors would each write to their own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + (own := tempfile.mkdtemp(prefix="lumenlog-"))
         atexit.register(shutil.rmtree, own, True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lumenlog-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
+_frames: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` stores meanwhile are deleted at the end, but for those written with `stays`, which belong to the frame around this one."""
+    _frames.append([])
+    try:
+        yield
+    finally:
+        for name in _frames.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str = "table", codec: str = "zstd", stays: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: its lineage is a table that every executor sees."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    if len(_frames) > stays:
+        _frames[-1 - stays].append(folder)
+    df.write.option("compression", codec).parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def counted(texts: DataFrame, places: Callable[[list], np.ndarray], size: int) -> np.ndarray:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lumenlog.llm.chunks import Hasher, pieces_of
 from lumenlog.llm.jaccard_join import _ODD, windows
 from lumenlog.llm.near import KEY_BITS, flagged, mark_of, parity_map, roots_of
-from lumenlog.llm.shared import written
+from lumenlog.llm.shared import temporary, written
 
 MIN_WORDS = 20
 MIN_ROWS = 3
@@ -165,14 +165,11 @@ def repeated(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words
     equal = paras.groupBy("sig_a", "sig_b").agg(F.min(F.struct("row", "n", "doc_id", "key", "para")).alias("h"), F.min(place).alias("low"), F.max(place).alias("high"), F.any_value("grams").alias("grams"), F.any_value("bits").alias("bits"))
     equal = written(equal.select("sig_a", "sig_b", "h.*", "low", "high", "grams", "bits"), "equal", "uncompressed")
 
-    def lengths(x: str, y: str) -> Column:
-        return F.expr(f"least({x}.n, {y}.n) * {den}L >= greatest({x}.n, {y}.n) * {num}L")
-
     def sets_of(these: DataFrame) -> DataFrame:
         wanted = written(equal.select("row", "doc_id", "key", "para", "sig_a", "sig_b").join(these, "row"), "wanted")
         return paragraph_sets(docs, n, min_words, wanted)
 
-    roots = roots_of(equal.select("row", "n", "grams", "bits"), sets_of, num, den, MAP_WORDS, lengths)
+    roots = roots_of(equal.select("row", "n", "grams", "bits"), sets_of, num, den, MAP_WORDS)
     placed = equal.select("sig_a", "sig_b", "row", "low", "high").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     placed = written(placed, "placed")
     groups = placed.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("root", "low")
@@ -314,6 +311,7 @@ def runs(left: DataFrame) -> DataFrame:
     held = stretches(left)
     place = F.struct("doc_id", "key", "word")
     firsts = held.groupBy("sig_a", "sig_b").agg(F.min(F.struct("doc_id", "key", "word", "para")).alias("low"), F.min(place).alias("at"), F.max(place).alias("high")).filter("at <> high").select("sig_a", "sig_b", "low")
+    firsts = written(firsts, "firsts")  # so that the join may split a stretch that very many texts share
     met = held.join(firsts, ["sig_a", "sig_b"]).select("doc_id", "key", "word", "para", "low").distinct()
     met = met.withColumns({"_apart": F.col("word") - F.col("low.word"), "_own": F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("key") == F.col("low.key"))})
     line = Window.partitionBy("doc_id", "key", "low.doc_id", "low.key", "_apart").orderBy("word")
@@ -346,7 +344,8 @@ def _left(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def passages(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words: int = MIN_WORDS) -> DataFrame:
     """The places of paragraphs as in `repeated`, with no start, and of the `runs` in what these leave."""
-    places = written(repeated(docs, n, num, den, min_words), "places")
+    with temporary(docs.sparkSession):
+        places = written(repeated(docs, n, num, den, min_words), "places", stays=True)
     more = runs(_left(docs, _gone(places)))
     return places.withColumn("start", F.lit(None).cast("int")).unionByName(more)
 
@@ -376,19 +375,28 @@ def without_runs(text: str | None, cuts: list | None) -> str | None:
     return b"".join([*out, data[done:]]).decode("utf-8")
 
 
-def cleaned(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without the passages that stand elsewhere first; columns as they were. Only documents that lose something are shuffled."""
+def _lost(docs: DataFrame, n: int, num: int, den: int, min_words: int) -> DataFrame:
+    """_id, _key, _gone (lines), _cuts (runs) of the documents that lose something."""
     gone = _gone(repeated(docs, n, num, den, min_words))
     cuts = runs(_left(docs, gone)).filter("removed").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n_words")).alias("_cuts"))
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.lit(None).cast("array<int>").alias("_gone"), "_cuts")
     both = gone.withColumn("_cuts", F.lit(None).cast(cuts.schema["_cuts"].dataType)).unionByName(cuts)
-    lost = written(both.groupBy("_id", "_key").agg(F.first("_gone", True).alias("_gone"), F.first("_cuts", True).alias("_cuts")), "lost")
-    keyed = flagged(docs.withColumn("_text_key", F.xxhash64("text")), ["_text_key"], lost.select(mark_of("_key").alias("mark")))
-    columns = docs.columns
-    here = keyed.filter("_hit").join(lost, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    cut = F.udf(without_runs, "string")
-    same = F.col("_gone").isNull() & F.col("_cuts").isNull()
+    return both.groupBy("_id", "_key").agg(F.first("_gone", True).alias("_gone"), F.first("_cuts", True).alias("_cuts"))
+
+
+def cleaned(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without the passages that stand elsewhere first; columns as they were. Only documents that lose something are shuffled."""
+    with temporary(docs.sparkSession):
+        lost = written(_lost(docs, n, num, den, min_words), "lost", stays=True)
+    # a row's own columns are one struct here, so none of their names can clash
+    whole = docs.select(F.struct("*").alias("whole"), "text", F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("id"))
+    keyed = flagged(whole, ["key"], lost.select(mark_of("_key").alias("mark")))
+    here = keyed.filter("_hit").join(lost, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    cut = F.udf(without_runs, "string", useArrow=True)
     changed = here.withColumn("text", cut(_without_lines("text", "_gone"), F.col("_cuts")))
-    if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(columns).unionAll(keyed.filter("NOT _hit").select(columns))
+    own = {c: F.col("whole").getField(c) for c in docs.columns}
+    if "n_chars" in own:
+        same = F.col("_gone").isNull() & F.col("_cuts").isNull()
+        own["n_chars"] = F.when(same, own["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    own["text"] = F.col("text")
+    return changed.select(*(x.alias(c) for c, x in own.items())).unionAll(keyed.filter("NOT _hit").select("whole.*"))

@@ -1,6 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, row long, key string, mark int, score string, source string"
+#: Names that operators use themselves; every odd table has them all.
+CLASHES = ["phase", "slot", "offset", "_key", "_hit", "_mark", "_word", "_source", "_order", "_gone", "_cuts", "_id", "whole", "id", "bucket", "n", "size", "sub", "cell", "range", "weight", "held", "fate_key", "stays", "times"]
 LONG = "wort " * 3000 + "ende " + "x" * 500
 
 
@@ -20,9 +23,13 @@ def odd_docs(spark):
         (None, "no id", 1, "k", 1, "s", "c"),
         (9, "one two", 1, "k", 1, "s", None),
     ]
-    return spark.createDataFrame(rows, DOCS)
+    return clashing(spark.createDataFrame(rows, DOCS))
 
 
 @pytest.fixture(scope="session")
 def no_docs(spark):
-    return spark.createDataFrame([], DOCS)
+    return clashing(spark.createDataFrame([], DOCS))
+
+
+def clashing(docs):
+    return docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})

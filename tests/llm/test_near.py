@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 
 from lumenlog.llm import components, jaccard_join, substring_dedup
@@ -72,6 +74,33 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_long_words_are_told_apart(spark):
+    a = "ab"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.classes(docs, 3, 90, 100).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+    words = f"{passage(3, 60)}"
+    docs = spark.createDataFrame([(1, f"{words} {a} {words[::-1]}"), (2, f"{passage(4, 60)} {b} {passage(5, 60)}")], "doc_id long, text string")
+    assert substring_dedup.passages(docs).count() == 0
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (8, 10), (5, 10), (3, 10)])
+def test_sets_at_the_threshold_share_a_key(num, den):
+    """Any two sets that reach the threshold have a key in common, at every size."""
+    r = random.Random(num)
+    for size in [*range(1, 40), 60, 100, 257, 1000]:
+        for _ in range(12):
+            other = r.randint(-(-num * size // den), size)
+            both = -(-num * (size + other) // (den + num))
+            if both > min(size, other):
+                continue
+            common = [r.getrandbits(64) for _ in range(both)]
+            x, y = (np.unique(np.array([*common, *(r.getrandbits(64) for _ in range(n - both))], np.uint64)) for n in (size, other))
+            assert (x.tolist() == y.tolist()) or set(jaccard_join.fragment_keys(x, num, den).tolist()) & set(jaccard_join.fragment_keys(y, num, den).tolist()), (size, other)
+
+
 def passage(seed, n=60):
     r = random.Random(seed)
     return " ".join(f"p{r.randrange(5000)}" for _ in range(n))
