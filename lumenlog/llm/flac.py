@@ -19,6 +19,7 @@ import numpy as np
 BLOCK = 4096
 RATE = 8000
 LPC_PRECISION = 12
+LPC_LEAST = 256
 
 
 class FlacError(ValueError):
@@ -128,9 +129,10 @@ def _subframe(samples: np.ndarray, lpc_order: int) -> bytes:
         if (size := np.abs(tried).sum()) < best:
             best, residual, order, kind = size, tried, m, 0x08 | m
     head = np.empty(0, np.uint8)
-    if 0 < lpc_order < n and (fit := _lpc(s, lpc_order)):
+    if 0 < lpc_order and n >= LPC_LEAST and (fit := _lpc(s, lpc_order)):
         tried = _lpc_residual(s, *fit)
-        if np.abs(tried).sum() < best and np.abs(tried).max() < 1 << 24:
+        size = max(1, np.abs(tried).sum())  # about the log of the mean for each sample; coefficients have to pay for themselves
+        if n * np.log2(size / max(1, best)) + 9 + (LPC_PRECISION + 8) * lpc_order < 8 * order and np.abs(tried).max() < 1 << 24:
             residual, order, kind = tried, lpc_order, 0x20 | (lpc_order - 1)
             head = np.concatenate([_bits_of([LPC_PRECISION - 1], 4), _bits_of([fit[1]], 5), _bits_of(fit[0], LPC_PRECISION)])
     k, folded, size = _rice(residual)
@@ -236,13 +238,23 @@ def _restored(warm: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predicted(warm: np.ndarray, residual: np.ndarray, coefficients: list[int], shift: int) -> np.ndarray:
-    out = [int(v) for v in warm]
-    m = len(coefficients)
-    turned = coefficients[::-1]
-    for r in residual.tolist():
-        out.append(r + (sum(c * v for c, v in zip(turned, out[-m:])) >> shift))
-    return np.array(out, np.int64)
+def _predicted(frames: list[dict]) -> list[np.ndarray]:
+    """Undo the linear predictors of frames of one order: sample i of all frames at once, the longest frames first."""
+    by_size = sorted(range(len(frames)), key=lambda i: -frames[i]["n"])
+    held = [frames[i] for i in by_size]
+    order, sizes = len(held[0]["warm"]), np.array([f["n"] for f in held])
+    out = np.zeros((int(sizes[0]), len(held)), np.int64)
+    for j, f in enumerate(held):
+        out[:order, j], out[order : f["n"], j] = f["warm"], f["residual"]
+    coefficients, shift = np.array([f["lpc"][0][::-1] for f in held]).T, np.array([f["lpc"][1] for f in held])
+    active = np.searchsorted(-sizes, -np.arange(len(out)), side="left").tolist()
+    for i in range(order, len(out)):
+        m = active[i]
+        out[i, :m] += (coefficients[:, :m] * out[i - order : i, :m]).sum(0) >> shift[:m]
+    found: list[np.ndarray] = [None] * len(frames)  # type: ignore[list-item]
+    for j, i in enumerate(by_size):
+        found[i] = out[: frames[i]["n"], j]
+    return found
 
 
 def _partitioned(reader: _Reader, n: int, order: int, method: int, partition_order: int) -> np.ndarray:
@@ -363,12 +375,16 @@ def _frames(jobs: list[tuple[int, bytes, int, int]]) -> list[tuple[np.ndarray, i
         for f, v, e in zip(stepped, values, ends.tolist()):
             f["residual"] = _unfolded(v)
             f["reader"].bit += e - f["bit"]
+    for order in {len(f["warm"]) for f in waiting if "lpc" in f}:
+        of_order = [f for f in waiting if "lpc" in f and len(f["warm"]) == order]
+        for f, x in zip(of_order, _predicted(of_order)):
+            f["samples"] = x
     out = []
     for f in waiting:
         data, at, stop = f["data"], f["at"], -(-f["reader"].bit // 8)
         if stop + 2 > len(data) or _crc16(np.frombuffer(data, np.uint8, stop - at, at)) != int.from_bytes(data[stop : stop + 2], "big"):
             raise FlacError("a frame's checksum differs")
         if "samples" not in f:
-            f["samples"] = _predicted(f["warm"], f["residual"], *f["lpc"]) if "lpc" in f else _restored(f["warm"], f["residual"])
+            f["samples"] = _restored(f["warm"], f["residual"])
         out.append((f["samples"].astype(np.int8), stop + 2))
     return out

@@ -1,15 +1,20 @@
 """Operator 10, media columns: FLAC.
 
-`encoded` turns a text's bytes (zeros up to a positive multiple of 64) into a column of FLAC streams; `decoded` reads those stored bytes, checks
+`encoded` turns a text's bytes (zeros up to a positive multiple of 64) into a column of FLAC streams: each frame has the fixed predictor or the linear one of order
+LPC_ORDER, whichever takes fewer bits. `decoded` reads those stored bytes, checks
 every checksum and gives PCM blocks with the number of their first sample, so that `samples` reads any
 stretch without the blocks before it. Texts stream through in small batches; there is no shuffle.
 
+`media_features` stores the streams, reads them back, stores the PCM blocks and reads these back. Streams of text hardly compress, so it goes in WAVES, each the texts whose hash
+falls to it: a wave's streams are deleted when its blocks are written, and the disk holds those of one wave only.
+
 Defined results: a null text is an empty one (64 zero bytes); a null doc_id is kept; equal texts give equal values; repeated
 rows are kept; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -20,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm import flac
-from lumenlog.llm.shared import written
+from lumenlog.llm.shared import temporary, written
 
 ROWS = 1024
+LPC_ORDER = 4
+WAVES = 4
 MEDIA = "doc_id long, n_bytes long, media binary"
 PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<first_sample: long, pcm: binary>>"
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -50,7 +57,7 @@ def encoded(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
                 held = [payload(t) for t in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([n for _, n in held], pa.int64()), pa.array([flac.encode(p) for p, _ in held], pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([n for _, n in held], pa.int64()), pa.array([flac.encode(p, LPC_ORDER) for p, _ in held], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEDIA)
 
@@ -98,6 +105,11 @@ def features(pcm: DataFrame) -> DataFrame:
     return pcm.mapInArrow(run, FEATURES)
 
 
-def media_features(docs: DataFrame) -> DataFrame:
-    """Encode, decode from the stored bytes, write the PCM blocks to the shared folder, read them back and describe them."""
-    return features(written(decoded(encoded(docs)), "pcm"))
+def media_features(docs: DataFrame, waves: int = WAVES) -> DataFrame:
+    """Encode, store the streams, decode them, store the PCM blocks, read them back and describe them; wave by wave."""
+    pcm = []
+    for wave in range(waves):
+        with temporary(docs.sparkSession):
+            streams = written(encoded(docs.filter(F.pmod(F.xxhash64("text"), F.lit(waves)) == wave)), "streams")
+            pcm.append(written(decoded(streams), "pcm", stays=True))
+    return features(functools.reduce(DataFrame.unionAll, pcm))

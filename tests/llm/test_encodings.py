@@ -113,10 +113,76 @@ def test_samples_follow_the_distribution():
     assert abs(sum(np.exp(r[3]) for r in every) - 1) < 1e-5 and {r[5] for r in every} == {0.0}
 
 
+def all_segmentations(table, text):
+    """Ids of every segmentation of a word with a blank's sign before it -> log of its share."""
+    out = []
+
+    def go(at, ids, score):
+        if at == len(text):
+            out.append((ids, score))
+        elif text[at] not in table.score:
+            more = table.spelled(text[at])
+            go(at + 1, (*ids, *more), score + table.BYTE * len(more))
+        for end in range(at + 1, len(text) + 1):
+            if text[at:end] in table.score:
+                go(end, (*ids, table.id[text[at:end]]), score + table.score[text[at:end]])
+
+    go(0, (), 0.0)
+    whole = np.logaddexp.reduce([s for _, s in out])
+    return [(zlib.crc32(np.array(ids, "<u4").tobytes()), s - whole) for ids, s in out]
+
+
+def test_samples_are_all_segmentations_of_short_words():
+    table = pieces(MODEL)
+    words = ["the", "abc", "train", "station", "in", "hello", "\u4e2d", "x\u00e9y", "aaaa", "inter", "over", "A", "Wort", "ende", "zu", "q.", "don't", "1234"]
+    for w in words:
+        want = sorted(all_segmentations(table, "\u2581" + w))
+        got = segmentations.Sampler(table, len(want) + 3, 5)([w.encode()], np.arange(1))[1][0]
+        assert [r[2] for r in sorted(got, key=lambda r: (r[2], r[3]))] == [c for c, _ in want], w
+        assert np.allclose(sorted(r[3] for r in got), sorted(s for _, s in want), atol=2e-6), w
+
+
+def test_pieces_lie_over_any_place_of_a_long_word():
+    s, piece = segmentations.Sampler(pieces(MODEL), 1, 5), max((p for p in pieces(MODEL).score if p.isascii()), key=lambda p: (len(p), p))
+    n, word = len(piece), "x" * 43 + piece * 30
+    s([word.encode()], np.arange(1))
+    jumps = {(p, int(j)) for p in range(s.lattice.n) for j in s.lattice.jump[s.lattice.first[p] : s.lattice.first[p + 1]]}
+    assert n > 8 and s.lattice.n == len(word) + 1 and all((44 + n * i, n) in jumps for i in range(30))
+
+
+def thue_morse(n):
+    a = "ab"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_polynomials_mix_up():
+    """Words of 4,096 letters that a sum of powers modulo 2**64 can't tell apart."""
+    a, b = thue_morse(4096)
+    spans = chunks.Hasher()([f"{a} {b} {a}".encode()])
+    assert spans.key[0] != spans.key[1] and spans.key[0] == spans.key[2]
+    table = pieces(MODEL)
+    assert chunks.Table(token_counts.TrieCounter(table), np.int64)(spans).tolist() == [brute_count(table, "\u2581" + w) for w in (a, b, a)]
+    e = token_files.encoder("word_bpe_49k.json", 49_408)
+    for t, ids in zip((a, b), e([a, b])):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    ids = segmentations.Sampler(table, 1, 5)([a.encode(), b.encode()], np.arange(2))[0]
+    assert [x.tolist() for x in ids] == [table.model.encode(a), table.model.encode(b)]
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(chunks.Hasher, "keys", staticmethod(lambda data, start, stop: np.zeros(len(start), np.uint64)))
+    table = pieces(MODEL)
+    words = ["hello", "help", "w" * 300, "w" * 299 + "v", "hello"]
+    spans = chunks.Hasher()([" ".join(words).encode()])
+    assert chunks.Table(token_counts.TrieCounter(table), np.int64)(spans).tolist() == [brute_count(table, "\u2581" + w) for w in words]
+
+
 CASES = [b"a" * 64, bytes(64), bytes(range(256)) * 20, b"hello world " * 700, bytes([0, 255] * 3000), (b"\0" * 300 + b"\xff") * 30, b"\x80" * 500 + b"\x81" + b"\x80" * 500 + b"\x00"]
 
 
-@pytest.mark.parametrize("lpc", [0, 4, 8])
+@pytest.mark.parametrize("lpc", [0, 1, 4, 8])
 def test_flac_round_trip(lpc):
     noise = np.random.default_rng(0).integers(0, 256, 9000, dtype=np.uint8).tobytes()
     streams = [flac.encode(c, lpc) for c in [*CASES, noise]]
@@ -135,6 +201,13 @@ def test_flac_finds_changed_bytes():
         flac.decode_all([held[:-3]])
 
 
+def test_linear_predictors_are_stored():
+    streams = [flac.encode(c, media.LPC_ORDER) for c in CASES]
+    wave = (128 + 90 * np.sin(np.arange(5000) / 9)).astype(np.uint8).tobytes()
+    kinds = [flac._Reader(s, 8 * (s.index(b"\xff\xf8") + 8)).take(8) >> 1 for s in (flac.encode(wave, media.LPC_ORDER),)]
+    assert kinds[0] >= 32 and [b"".join(x) for x in flac.decode_all([*streams, flac.encode(wave, media.LPC_ORDER)])] == [*CASES, wave]
+
+
 def test_media(spark, odd_docs, no_docs):
     import hashlib
 
