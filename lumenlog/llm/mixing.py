@@ -1,19 +1,20 @@
 """Operator 9, mixing sources to target weights: Pfair scheduling.
 
 A source's documents, in a seeded random order, form blocks of BLOCK documents. The weights become whole numbers, whose sum is the number of slots of a
-frame (so they hold exactly; only weights whose sum would pass MOST_SLOTS are rounded to that many slots). Of a source of weight w, block i may go out from slot floor(i / w) on and has to be out before slot ceil((i + 1) / w). Going through the slots, the
+frame, so they hold exactly; a float is read as the simplest fraction that it stands for, so 1 / 3 is a third. Only weights whose sum would pass MOST_SLOTS are rounded to that
+many slots, which adds half a block to the deviation after MOST_SLOTS blocks. Of a source of weight w, block i may go out from slot floor(i / w) on and has to be out before slot ceil((i + 1) / w). Going through the slots, the
 block with the earliest deadline among those that may go out is next, which keeps each source's blocks within less than one of
 weight * slots at every slot. The schedule of a frame repeats, so the slot of any block is arithmetic, not a
 simulation over all blocks. When a source runs dry the others share its weight: a new phase with its own frame; there are as many
 phases as sources at most.
 
 Documents are numbered inside a source without putting a source into one task: a first table counts the documents of each
-(source, bucket of the random order), and windows number them inside the buckets, of about BUCKET rows each.
+(source, bucket of the random order), and windows number them inside the buckets, of about BUCKET rows each. Until then a row's own columns are one struct, so their names can't clash.
 
 Defined results: a null source is a source; null texts and repeated rows are documents like others; sources without a target
-weight share what the others leave in equal parts, or have the mean weight where nothing is left; weights of zero or less are
-refused. An empty table gives an empty table. Other columns stay. `phase`, `slot` and `offset` say where a document
-goes; rows with equal doc_id and text may change places with each other.
+weight share what the others leave in equal parts, or have the mean weight where nothing is left; weights of zero or less and more than MOST_SOURCES sources are
+refused. An empty table gives an empty table. `phase`, `slot` and `offset` say where a document
+goes; other columns stay, but one with such a name is replaced. Rows with equal doc_id and text may change places with each other.
 """
 
 from __future__ import annotations
@@ -28,14 +29,21 @@ from pyspark.sql import functions as F
 from lumenlog.llm.shared import written
 
 BLOCK = 100
-BUCKET = 20_000
-MOST_SLOTS = 10_000
+BUCKET = 2_000
+MOST_SLOTS = 100_000
 MOST_SOURCES = 1000
+BROADCAST_BYTES = 64 << 20
+
+
+def fraction(w) -> Fraction:
+    """A weight as it was meant: the simplest fraction that gives the float."""
+    near = Fraction(w).limit_denominator(1_000_000)
+    return near if float(near) == float(w) else Fraction(str(w))
 
 
 def whole(weights: dict, most: int = MOST_SLOTS) -> dict:
     """The weights as whole numbers: exactly in proportion where their sum stays within `most`, else by largest remainders of `most`."""
-    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    exact = {s: fraction(w) for s, w in weights.items()}
     scale = math.lcm(*(w.denominator for w in exact.values()))
     out = {s: int(w * scale) for s, w in exact.items()}
     shared = math.gcd(*out.values())
@@ -90,43 +98,52 @@ def phases(blocks: dict, weights: dict) -> list[dict]:
     return out
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed: int = 7, source: str = "source") -> DataFrame:
-    """All rows with phase, slot and offset: the order (slot, offset) holds each source's target weight. Without weights all sources weigh the same."""
+def placed(docs: DataFrame, weights: dict | None, block: int, seed: int, source: str) -> DataFrame:
+    """whole (a row's own columns), phase, slot, offset."""
     spark = docs.sparkSession
-    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("_source")
-    order = F.xxhash64("doc_id", "text", F.lit(seed))
-    keyed = docs.withColumn("_source", name).withColumn("_order", order)
-    counts = dict(keyed.groupBy("_source").agg(F.count(F.lit(1))).collect())
+    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("source")
+    keyed = docs.select(F.struct("*").alias("whole"), name, F.xxhash64("doc_id", "text", F.lit(seed)).alias("order"), F.col("doc_id").alias("id"))
+    counts = dict(keyed.groupBy("source").agg(F.count(F.lit(1))).limit(MOST_SOURCES + 1).collect())
     if not counts:
-        return docs.select("*", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("offset"))
+        return keyed.select("whole", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("offset"))
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: mix groups of them")
-    given = {"null" if s is None else f"={s}": w for s, w in (weights or {}).items()}
+    given = {"null" if s is None else f"={s}": fraction(w) for s, w in (weights or {}).items()}
     if any(not w > 0 for w in given.values()):
         raise ValueError("weights are above zero")
     held = {s: given[s] for s in counts if s in given}
-    rest = len(counts) - len(held)
-    share = ((1 - sum(held.values())) if 0 < sum(held.values()) < 1 else sum(held.values()) / max(1, len(held)) * rest or rest) / max(1, rest)
+    rest, total = len(counts) - len(held), sum(held.values())
+    share = (1 - total if 0 < total < 1 else total / len(held) * rest if held else Fraction(rest)) / max(1, rest)
     targets = {s: held.get(s, share) for s in sorted(counts)}
     blocks = {s: -(-counts[s] // block) for s in targets}
 
     plan = phases(blocks, targets)
     bits = max(0, (max(counts.values()) // BUCKET).bit_length())
-    bucket = F.shiftrightunsigned("_order", 64 - bits) if bits else F.lit(0).cast("long")
-    keyed = keyed.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = written(sizes.select("_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")), "buckets")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", "doc_id")
-    numbered = keyed.withColumn("_inside", F.row_number().over(inside) - 1).join(sizes, ["_source", "_bucket"]).withColumn("_number", F.col("_first") + F.col("_inside"))
-    numbered = numbered.withColumn("_block", F.expr(f"_number div {block}"))
+    keyed = keyed.withColumn("bucket", F.shiftrightunsigned("order", 64 - bits) if bits else F.lit(0).cast("long"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "buckets")
+    inside = Window.partitionBy("source", "bucket").orderBy("order", "id")
+    numbered = keyed.withColumn("inside", F.row_number().over(inside) - 1).join(sizes, ["source", "bucket"]).withColumn("number", F.col("first") + F.col("inside"))
+    numbered = numbered.withColumn("block", F.expr(f"number div {block}"))
 
     steps = [(s, i, p["before"][s], p["begin"], p["size"], len(places), places) for i, p in enumerate(plan) for s, places in p["places"].items()]
-    table = spark.createDataFrame(steps, "_source string, phase int, _from long, _begin long, _size long, _own long, _places array<long>")
-    ends = Window.partitionBy("_source").orderBy("_from", "phase")
-    table = table.withColumn("_to", F.coalesce(F.lead("_from").over(ends), F.lit((1 << 63) - 1)))
-    # phases * MOST_SLOTS numbers at most, so 80 MB for MOST_SOURCES sources and far less for few
-    out = numbered.join(F.broadcast(table), ["_source"]).filter("_block >= _from AND _block < _to")
-    nth = "(_block - _from)"
-    slot = F.expr(f"_begin + {nth} div _own * _size + get(_places, CAST({nth} % _own AS INT))")
-    return out.select(*docs.columns, "phase", slot.alias("slot"), F.expr(f"_number % {block}").alias("offset"))
+    table = spark.createDataFrame(steps, "source string, phase int, since long, begin long, size long, own long, places array<long>")
+    ends = Window.partitionBy("source").orderBy("since", "phase")
+    table = table.withColumn("until", F.coalesce(F.lead("since").over(ends), F.lit((1 << 63) - 1)))
+    if 8 * sum(p["size"] for p in plan) <= BROADCAST_BYTES:  # a number for each slot of each phase's frame
+        table = F.broadcast(table)
+    out = numbered.join(table, "source").filter("block >= since AND block < until")
+    slot = F.expr("begin + (block - since) div own * size + get(places, CAST((block - since) % own AS INT))")
+    return out.select("whole", "phase", slot.alias("slot"), F.expr(f"number % {block}").alias("offset"))
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed: int = 7, source: str = "source") -> DataFrame:
+    """All rows with phase, slot and offset: the order (slot, offset) holds each source's target weight. Without weights all sources weigh the same."""
+    own = [F.col("whole").getField(c).alias(c) for c in docs.columns if c not in ("phase", "slot", "offset")]
+    return placed(docs, weights, block, seed, source).select(*own, "phase", "slot", "offset")
+
+
+def in_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed: int = 7, source: str = "source") -> DataFrame:
+    """The rows, columns as they were, in the order of the mix: ranges of slots, sorted."""
+    return placed(docs, weights, block, seed, source).orderBy("slot", "offset").select("whole.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm import mixing, toxicity
+from lumenlog.llm import toxicity
 from lumenlog.llm.chunks import pieces_of
 
 
@@ -29,11 +29,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, limit: f
     return docs.mapInArrow(run, docs.schema)
 
 
-def in_mixed_order(docs: DataFrame, weights: dict) -> DataFrame:
-    """The documents in the order of the mix: ranges of slots, sorted."""
-    return mixing.mixed(docs, weights).orderBy("slot", "offset").select(docs.columns)
-
-
 def fifth_by_crc32() -> Column:
     """Whether an id falls into the held-out fifth."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
