@@ -8,8 +8,12 @@ far are squeezed out of the arrays. What is left at the end has exact integer sc
 Queries are taken in chunks of bounded bytes (`CHUNK_BYTES`); a chunk is broadcast and meets every candidate, so a larger
 query set costs more passes and never more memory.
 
+Components are held as doubles whose floor is a whole number; sums are added up in doubles where all stay below 2**52, else in longs where all stay
+below 2**62, else in whole numbers of any size, without bounds. Vectors with a component of LARGE or more are kept apart from the others, so a few of them slow down
+only themselves.
+
 Defined results: components become floor(1024 * x). Vectors that are null, hold null, NaN or infinite components,
-have a component beyond 2**27 after scaling (their products would leave a long), or have a null id, take no part.
+or have a null id, take no part. A score beyond a long is told as the nearest long, and such scores are ranked as doubles.
 A query meets the vectors of its own length. Rows that repeat a vec_id are candidates each; a query's own vec_id is none;
 a query id that repeats is answered once, by its smallest vector. Equal scores: the smaller vec_id first. An
 empty table, or one without queries, gives an empty table; other columns are ignored.
@@ -17,6 +21,7 @@ empty table, or one without queries, gives an empty table; other columns are ign
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,42 +32,58 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 16 << 20
 GROUP = 8
 BLOCK = 8192
-LARGEST = 1 << 27
-HITS = "query_id long, vec_id long, score long"
+LARGE = 1 << 17
+HITS = "query_id long, vec_id long, score long, reach double"
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: the vectors that take part, as integers."""
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * 1024 < LARGEST))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("long")).alias("v")
-    )
+    """vec_id, v: the vectors that take part, as doubles, not yet scaled."""
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def whole(x: float) -> int:
+    """floor(1024 * x), where the product may leave a double."""
+    return int(x) * 1024 if abs(x) >= 1 << 53 else math.floor(x * 1024)
 
 
 def _matrices(ids: pa.Array, vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and rows, for each length of vectors."""
+    """Ids and rows of whole numbers, for each length of vectors, those with a large component apart: these are Python's numbers."""
     lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
     ids = ids.to_numpy(zero_copy_only=False)
     for d in np.unique(lengths):
         at = np.flatnonzero(lengths == d)
         held = vectors if len(at) == len(lengths) else vectors.take(pa.array(at))
-        yield ids[at], held.flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(d))
+        rows = held.flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(d))
+        large = (np.abs(rows) >= LARGE).any(1)
+        if not large.all():
+            yield ids[at[~large]], np.floor(rows[~large] * 1024).astype(np.int64)
+        if large.any():
+            yield ids[at[large]], np.array([[whole(x) for x in r] for r in rows[large].tolist()], object)
 
 
 class Queries:
     """The queries of one length, with their dimensions in the order in which their mass falls."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int):
-        self.ids, self.k = ids, k
+        self.ids, self.k, self.large = ids, k, rows.dtype == object
+        self.scores = [np.empty(0, np.int64)] * len(ids)
+        self.found = [np.empty(0, np.int64)] * len(ids)
+        self.given = rows
+        if self.large:
+            return
         self.order = np.argsort(-(rows.astype(np.float64) ** 2).sum(0), kind="stable")
         self.rows = rows[:, self.order]
         self.groups = [slice(a, min(a + GROUP, rows.shape[1])) for a in range(0, rows.shape[1], GROUP)]
         mass = self.rows.astype(np.float64) ** 2
         self.rest = np.array([np.sqrt(mass[:, g.stop :].sum(1)) for g in self.groups]).reshape(len(self.groups), len(ids))
-        self.scores = [np.empty(0, np.int64)] * len(ids)
-        self.found = [np.empty(0, np.int64)] * len(ids)
 
     def meet(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        if self.large or rows.dtype == object:
+            return self._any_size(ids, rows)
+        most = [int(np.abs(x).max(initial=0)) for x in (self.given, rows)]
+        if most[0] * most[1] * rows.shape[1] >= 1 << 62:  # from 2**8 dimensions on
+            return self._any_size(ids, rows)
         for at in range(0, len(ids), BLOCK):
             self._block(ids[at : at + BLOCK], np.ascontiguousarray(rows[at : at + BLOCK, self.order].T))
 
@@ -81,25 +102,38 @@ class Queries:
                 if g:
                     sums = sums + rows[q, group] @ columns[group][:, left]
                 if least is not None:
-                    kept = sums + self.rest[g, q] * rest[g][left] * (1 + 1e-9) + 1 >= least
+                    kept = sums + self.rest[g, q] * rest[g][left] * (1 + 1e-9) + np.abs(sums) * 1e-12 + (1 + abs(float(least)) * 1e-12) >= float(least)
                     if not kept.all():
                         left, sums = left[kept], sums[kept]
                 if not len(left):
                     break
             if len(left):
-                scores, found = np.concatenate([self.scores[q], sums.astype(np.int64)]), np.concatenate([self.found[q], ids[left]])
-                if len(scores) > 4 * self.k:  # only what reaches the k-th score has to be put in order
-                    reach = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-                    scores, found = scores[reach], found[reach]
-                best = np.lexsort((found, -scores))[: self.k]
-                self.scores[q], self.found[q] = scores[best], found[best]
+                self._keep(q, sums.astype(np.int64), ids[left])
+
+    def _keep(self, q: int, scores: np.ndarray, found: np.ndarray) -> None:
+        """The k best of what query q has and these."""
+        scores, found = np.concatenate([self.scores[q], scores]), np.concatenate([self.found[q], found])
+        if scores.dtype == object:
+            best = sorted(range(len(scores)), key=lambda i: (-scores[i], found[i]))[: self.k]
+        else:
+            if len(scores) > 4 * self.k:  # only what reaches the k-th score has to be put in order
+                reach = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+                scores, found = scores[reach], found[reach]
+            best = np.lexsort((found, -scores))[: self.k]
+        self.scores[q], self.found[q] = scores[best], found[best]
+
+    def _any_size(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """The scores as Python's numbers, all of them."""
+        for q, own in enumerate(self.ids.tolist()):
+            others = ids != own
+            x = self.given[q].astype(object)
+            self._keep(q, np.array([int(sum(x * r)) for r in rows[others].astype(object)], object), ids[others])
 
     def hits(self) -> pa.RecordBatch:
-        n = [len(x) for x in self.found]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(self.ids, n), pa.int64()), pa.array(np.concatenate([*self.found, np.empty(0, np.int64)]), pa.int64()), pa.array(np.concatenate([*self.scores, np.empty(0, np.int64)]), pa.int64())],
-            names=["query_id", "vec_id", "score"],
-        )
+        n, scores = [len(x) for x in self.found], [s for x in self.scores for s in x.tolist()]
+        reach = [float(s) if abs(s) < 1 << 1000 else math.copysign(math.inf, s) for s in scores]
+        told = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in scores]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n), pa.int64()), pa.array(np.concatenate([*self.found, np.empty(0, np.int64)]), pa.int64()), pa.array(told, pa.int64()), pa.array(reach, pa.float64())], names=["query_id", "vec_id", "score", "reach"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
@@ -117,12 +151,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         sent = spark.sparkContext.broadcast(list(_matrices(held.column("vec_id").combine_chunks(), held.column("v").combine_chunks())))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            by_length = {x.shape[1]: Queries(ids, x, k) for ids, x in sent.value}
+            held = [Queries(ids, x, k) for ids, x in sent.value]
             for batch in batches:
                 for ids, x in _matrices(batch.column("vec_id"), batch.column("v")):
-                    if x.shape[1] in by_length:
-                        by_length[x.shape[1]].meet(ids, x)
-            yield from (x.hits() for x in by_length.values())
+                    for q in held:
+                        if q.given.shape[1] == x.shape[1]:
+                            q.meet(ids, x)
+            yield from (q.hits() for q in held)
 
         parts.append(rows.mapInArrow(search, HITS))
     if not parts:
@@ -130,5 +165,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionAll(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("reach"), F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,6 +27,28 @@ def test_shards_of_a_hot_text_are_near_equal(spark):
     assert len(sizes) == 10 and max(sizes) - min(sizes) <= 2 * (8 * 32 + 16)
 
 
+def test_shards_by_a_brute_force_version(spark):
+    """Ranks and shards from the definition: rows in the order of (text hash, second hash); the middle of a row, or of a light text's rows, decides."""
+    docs = spark.range(3000).select((F.col("id") * 7).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot text " * 9)).when(F.col("id") % 3 == 1, F.concat(F.lit("copy "), F.col("id") % 200)).otherwise(F.repeat(F.md5(F.col("id").cast("string")), (F.col("id") % 60).cast("int"))).alias("text"))
+    keyed = docs.select("doc_id", (F.octet_length("text") + 16).alias("size"), F.xxhash64("text").alias("key"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("sub")).collect()
+    keyed.sort(key=lambda r: (r.key, r.sub))
+    total, shards, at, weight = sum(r["size"] for r in keyed), 7, 0, {}
+    for r in keyed:
+        weight[r.key] = weight.get(r.key, 0) + r["size"]
+    want, first = {}, {}
+    for r in keyed:
+        begin = first.setdefault(r.key, at)
+        light = weight[r.key] <= int(sharding.TOGETHER * total / shards)
+        want[r.doc_id] = min(shards - 1, (2 * begin + weight[r.key] if light else 2 * at + r["size"]) * shards // (2 * total))
+        at += r["size"]
+    got = sharding.shard(docs, shards).collect()
+    assert {r.doc_id: r.shard for r in got} == want
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sum(len(s) > 1 for s in by_text.values()) == 1
+
+
 def brute_top(rows, k):
     out = []
     for q, a in rows:
@@ -54,6 +76,23 @@ def test_top_k_of_odd_vectors(spark):
     assert vector_search.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 50, 137])
+def test_top_k_of_large_components(spark, n):
+    """Finite vectors of any size take part, and scores are exact whole numbers as long as a long holds them."""
+    rng = np.random.default_rng(n)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(0, 7, 3)]) for i in range(n)] + [(1000 + 100 * i, [1.5e5 * i, 2.0, -3e6]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    held = [(i, [vector_search.whole(x) for x in v]) for i, v in rows]
+    for q, a in held:
+        if q % 100 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in held if c != q)[:10]
+            want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scored)]
+    assert sorted(map(tuple, vector_search.top_k(df, F.col("vec_id") % 100 == 0).collect())) == sorted(want)
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0])], df.schema)
+    assert [(r.vec_id, r.score) for r in vector_search.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (3, (1 << 63) - 1), (2, -(1 << 63))]
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2, "d": 1}, {"a": 97, "b": 2, "c": 1}])
 def test_a_schedule_stays_within_a_block(weights):
     whole = mixing.whole(weights)
@@ -65,6 +104,7 @@ def test_a_schedule_stays_within_a_block(weights):
 
 def test_weights_that_do_not_fit_are_rounded():
     assert mixing.whole({"a": 0.5, "b": 0.25, "c": 0.25}) == {"a": 2, "b": 1, "c": 1}
+    assert mixing.whole({"a": 1 / 3, "b": 2 / 7, "c": 0.1}) == {"a": 70, "b": 60, "c": 21}
     held = mixing.whole({"a": 1 / 3, "b": 2 / 7, "c": 0.1234567})
     assert abs(sum(held.values()) - mixing.MOST_SLOTS) <= 3
 
@@ -83,7 +123,10 @@ def test_mixing(spark, odd_docs, no_docs):
         slots.setdefault(r.slot, []).append(r)
     assert sorted(slots) == list(range(len(slots))) and all(len({r.source for r in x}) == 1 and sorted(r.offset for r in x) == list(range(len(x))) for x in slots.values())
     odd = mixing.mixed(odd_docs, None, block=2)
-    assert odd.count() == odd_docs.count() and odd.columns[: len(odd_docs.columns)] == odd_docs.columns
+    own = [c for c in odd_docs.columns if c not in ("phase", "slot", "offset")]
+    assert odd.count() == odd_docs.count() and odd.columns == [*own, "phase", "slot", "offset"] and {r.slot for r in odd.collect()} == set(range(len({r.slot for r in odd.collect()})))
+    ordered = mixing.in_order(odd_docs, None, block=2)
+    assert ordered.columns == odd_docs.columns and {r.slot for r in ordered.collect()} == {"own slot"}
     assert mixing.mixed(no_docs).count() == 0
     with pytest.raises(ValueError):
         mixing.mixed(docs, {"hot": 0})
@@ -149,3 +192,21 @@ def test_words_of_long_chunks_are_found(joint):
             assert toxicity.features("scoundrel")[0] in words.of(chunk), (word, n)
     glued = "".join(["x1y"] * 100) + "s-c-o-u-n-d-r-e-l"
     assert toxicity.features("scoundrel")[0] in words.of(glued)
+
+
+def test_other_scripts_count():
+    words = words_of("please bring all these papers over")
+    assert toxicity.features("\u0433\u0430\u0434\u043a\u0438\u0439".replace("\u0439", "\u0438"), 2)[0] in words.of("\u0413\u0430\u0434\u043a\u0438\u0439!")
+    assert toxicity._places("\u5783\u573e") in words.of("\u4f60\u662f\u5783\u573e\u4eba\u3002")
+    spelled = [w for w in words.spaced("\u0433 \u0430 \u0434 \u043a \u0438")]
+    assert "\u0433\u0430\u0434\u043a\u0438" in spelled
+
+
+def test_words_of_any_length_count(spark):
+    """A word of 500 characters and one in Cyrillic letters that stand in toxic documents only."""
+    long, cyrillic = "schurke" * 72, "\u043d\u0435\u0433\u043e\u0434\u044f\u0439"
+    rows = [(i, f"word{chr(97 + i % 26)} text of its own {long if i % 4 == 0 else cyrillic if i % 4 == 1 else 'plain'}") for i in range(200)]
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.scores(docs, docs.select("doc_id", (F.col("doc_id") % 4 < 2).cast("int").alias("toxic")), out).collect()}
+    assert got == {i: int(i % 4 < 2) for i in range(200)}
