@@ -4,7 +4,8 @@
 2. Restoration: a token that looks disguised (digits or signs among letters, runs of a letter, letters set apart by blanks) becomes a lattice: a
    sign may stand for itself-like letters or for nothing, a run for one letter or two. Viterbi search finds the letters with the best sum of channel and
    model costs. Letters set apart are restored to the last, in overlapping stretches; words of up to LONGEST letters are looked for in them. A chunk without ASCII blanks may be of any length: of one over LONGEST characters the parts between its signs are taken, and
-   its letters as if set apart. Other tokens are only lower-cased and stripped of accents and of the signs around them.
+   its letters as if set apart. Other tokens are only lower-cased and stripped of accents and of the signs around them. Letters of other scripts than Latin are not searched, as
+   the model has none; their words are features as they stand, and so are two and three signs in a row of scripts that set no blanks (from U+2E80 on).
 3. Score: words and word beginnings of the restored text are counted in labelled documents of either class. A feature whose precision is above one half
    by the lower end of its Wilson interval is evidence; a document's score is the noisy-or of its three strongest, or the base
    rate where it has none. Features are hashed to FEATURE_BITS bits in each of TABLES tables, whose size is fixed.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.chunks import Hasher, Spans, Table, pieces_of
+from lumenlog.llm.chunks import Hasher, Spans, Table, of_worker, pieces_of
 from lumenlog.llm.shared import counted
 
 SAMPLE = 50_000
@@ -50,6 +51,8 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
 _RUN = re.compile(r"([a-z])\1\1")
 _BETWEEN = re.compile("(?:[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "]|_)+")  # stands for no letter
 _NO_LETTER = re.compile(r"[\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{2,}")
+_UNSPACED = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]{2,}")
 _LONG_RUN = re.compile(r"([a-z])\1{3,}|([^a-z])\2{2,}")
 
 
@@ -137,9 +140,9 @@ def _places(key: str) -> tuple[int, ...]:
     return tuple([(h >> (FEATURE_BITS * t) & mask) + (t << FEATURE_BITS) for t in range(TABLES)])
 
 
-def features(word: str) -> list[tuple[int, ...]]:
+def features(word: str, least: int = 3) -> list[tuple[int, ...]]:
     """The places of a word and of its beginnings, one in each of TABLES tables."""
-    if len(word) < 3:
+    if len(word) < least:
         return []
     return [_places(k) for k in (word, *(word[:n] + "*" for n in (5, 7) if len(word) > n))]
 
@@ -157,6 +160,9 @@ class Words:
         if len(token) > LONGEST:
             tokens |= {bare(x) for between in (_BETWEEN, _NO_LETTER) for x in between.split(token)}
         found = {f: None for w in re.findall(r"[a-z]{3,}", token) for f in features(w)}
+        if not whole.isascii():
+            found |= {f: None for w in _WORD.findall(whole) if not w.isascii() for f in features(w, 2)}
+            found |= {_places(w[a : a + n]): None for w in _UNSPACED.findall(whole) for n in (2, 3) for a in range(len(w) - n + 1)}
         for t in sorted(filter(disguised, tokens)):
             restored = [self.restore(x) for x in overlapping(t)]
             found |= dict.fromkeys(features(restored[0]))
@@ -165,9 +171,11 @@ class Words:
         return list(found)
 
     def spaced(self, text: str) -> Iterator[str]:
-        """Letters that stand alone, put together; all of them restored, in overlapping stretches."""
+        """Letters that stand alone, put together; all of them restored, in overlapping stretches. Letters of other scripts stay."""
         for m in _SPACED.finditer(text):
-            yield from map(self.restore, overlapping(re.sub(r"[ .\-_*]", "", folded(m[0]))))
+            for x in overlapping(re.sub(r"[ .\-_*]", "", folded(m[0]))):
+                yield self.restore(x)
+                yield from (w for w in _WORD.findall(x) if not w.isascii())
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -189,15 +197,14 @@ def evidence(docs: DataFrame, sample: DataFrame, counts: np.ndarray) -> tuple[np
 
     def places(rows: list[dict]) -> np.ndarray:
         words, out, at = Words(Restorer(counts)), [np.empty(0, np.int64)], 0
-        held: dict[int, list[int]] = {}
+        held: dict[bytes, list[int]] = {}
         for some in pieces_of([r["text"] for r in rows]):
             spans = _hasher(some, lower=True)
             for i, (a, b) in enumerate(zip(spans.first[:-1].tolist(), spans.first[1:].tolist())):
                 toxic, found = rows[at + i]["toxic"], set()
-                key, first = np.unique(spans.key[a:b], return_index=True)
-                for k, j in zip(key.tolist(), first.tolist()):
+                for k in {spans.bytes(j) for j in range(a, b)}:
                     if k not in held:
-                        held[k] = [p for f in words.of(spans.text(a + j)) for p in f]
+                        held[k] = [p for f in words.of(k.decode("utf-8")) for p in f]
                     found.update(held[k])
                 if _may_be_spaced(spans, a, b):
                     found.update(p for whole in words.spaced(some[i].decode("utf-8")) for f in _stretches(whole) for p in f)
@@ -253,7 +260,7 @@ class Scorer:
 
     def __init__(self, counts: np.ndarray, strength: np.ndarray, base: float):
         self.words, self.strength, self.base = Words(Restorer(counts)), strength, base
-        self.table = Table(lambda word: strongest(strength, self.words.of(word)), np.float64)
+        self.table = Table(lambda word: strongest(strength, self.words.of(word)), np.float64, 400_000)
 
     def __call__(self, held: list[bytes]) -> Iterator[float]:
         spans = _hasher(held, lower=True)
@@ -272,12 +279,6 @@ class Scorer:
             yield 1 - left
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(key: str, sent) -> Scorer:
     """The worker's scorer for a run, so that tasks share what it has seen."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(*sent.value)
-    return _scorers[key]
+    return of_worker("scorer", key, lambda: Scorer(*sent.value))
