@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlog.llm import jaccard_join, mixing, segmentations, stages, substring_dedup
+from lumenlog.llm import jaccard_join, segmentations, stages, substring_dedup
+from lumenlog.llm.mixing import in_order
 from lumenlog.llm.queries import MIX
 from lumenlog.llm.shared import written
 
@@ -29,7 +30,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.in_order(docs, MIX)
+    return in_order(docs, MIX)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
