@@ -12,6 +12,9 @@ BANDS = {"Midnight": (0, 6), "Morning": (6, 10), "Daytime": (10, 18), "Night": (
 ON_VALUES = ["ON", "OPEN", "PRESENT", "1"]
 OFF_VALUES = ["OFF", "CLOSE", "ABSENT", "0"]
 ARROW = "->"
+# The labels of evaluations, and other spellings of one of them.
+EVALUATED = ["Sleep", "Wake-up", "Meal", "Relax", "Outing", "Hygiene", "Toileting", "Housework", "Work", "Other"]
+SPELLINGS = {"wakeup": "Wake-up", "wake_up": "Wake-up", "wake up": "Wake-up", "wake-up": "Wake-up"}
 
 
 def _c(x: Column | str) -> Column:
@@ -189,3 +192,56 @@ def mean_sd_text(mean: Column, sd: Column, digits: int = 3) -> Column:
 def stable_json(entries: Column) -> Column:
     """A map as JSON with sorted keys."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def normalised_label(label: Column | str) -> Column:
+    """The label of an evaluation that a word stands for, whatever its case and its dashes, underscores and slashes; null where there is none."""
+    text = F.trim(_c(label))
+    key = F.lower(F.trim(F.translate(text, "-_/", "   ")))
+    known = {x.lower().replace("-", " "): x for x in EVALUATED} | {k: v for k, v in SPELLINGS.items()}
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.when(text.isin(EVALUATED), text).otherwise(F.coalesce(names[key], names[F.translate(key, " ", "_")]))
+
+
+def label_values(text: Column | str) -> Column:
+    """The labels that a text lists: a JSON array of strings, or words between the first of ; | , \u3001 / that it has."""
+    t = F.trim(_c(text))
+    listed = F.when(F.startswith(t, F.lit("[")), F.from_json(t, "array<string>"))
+    parts = F.array(t)
+    for sign in ("/", "\u3001", ",", "|", ";"):
+        parts = F.when(F.contains(t, F.lit(sign)), F.split(t, f"[{sign}]")).otherwise(parts)
+    return F.filter(F.transform(F.coalesce(listed, parts, F.array().cast("array<string>")), F.trim), lambda x: F.length(x) > 0)
+
+
+def label_sets(values: Column) -> dict[str, Column]:
+    """labels (known ones, in order of name), unknown (the others, in order) and status (missing, unknown, valid) of an array of raw labels."""
+    held = F.coalesce(values, F.array().cast("array<string>"))
+    labels = F.array_sort(F.array_distinct(F.filter(F.transform(held, normalised_label), lambda x: x.isNotNull())))
+    unknown = F.array_distinct(F.filter(held, lambda x: normalised_label(x).isNull()))
+    return {"labels": labels, "unknown": unknown, "status": F.when(F.size(held) == 0, "missing").when(F.size(unknown) > 0, "unknown").otherwise("valid")}
+
+
+def ordered_unique(values: Column | str) -> Column:
+    """Values without repeats, each where it came first."""
+    return F.array_distinct(_c(values))
+
+
+def number(text: Column | str, least: float | None = None) -> Column:
+    """A finite number in a text, else null; with `least`, smaller ones are null as well."""
+    x = F.trim(_c(text).cast("string")).try_cast("double")
+    fine = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(fine & (x >= least) if least is not None else fine, x)
+
+
+def valid_sequence(seq: Column | str, others: list[str] | None = None) -> Column:
+    """Two to four states, none unmapped, none twice in a row, and not a, b, a, b."""
+    s = _c(seq)
+    loop = (F.size(s) == 4) & (F.get(s, F.lit(0)) == F.get(s, F.lit(2))) & (F.get(s, F.lit(1)) == F.get(s, F.lit(3)))
+    return F.size(s).between(2, 4) & ~F.exists(s, lambda x: x.isin(others or ["Other", OTHER])) & ~self_transition(s) & ~F.coalesce(loop, F.lit(False))
+
+
+def low_information(seq: Column | str, marks: list[str], informative: Column | None = None) -> Column:
+    """The share of a sequence's states that say little: those that a map of states says so of (a state that it lacks fails the job), else those named."""
+    s = _c(seq)
+    low = F.filter(s, lambda x: x.isin(marks)) if informative is None else F.filter(s, lambda x: ~F.coalesce(informative[x], F.raise_error(F.concat(F.lit("no attribute of state "), x)).cast("boolean")))
+    return safe_divide(F.size(low), F.size(s))

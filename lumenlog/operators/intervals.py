@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import micros, overlap_seconds, seconds_between, temporal_iou
+from lumenlog.functions import BANDS, f1_of, micros, overlap_seconds, safe_divide, seconds_between, temporal_iou, time_band
 
 BUCKET_SECONDS = 6 * 3600
 
@@ -155,3 +155,140 @@ def greedy_match(pairs: DataFrame, group: list[str], prediction: str, truth: str
         return rows.loc[keep]
 
     return pairs.select(*group, prediction, truth, score).groupBy(*group).applyInPandas(match, schema)
+
+
+def long_enough(rows: DataFrame, least: dict[str, float], default: float, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The intervals that last as many seconds as their category has to, and how many of each category were removed."""
+    need = F.lit(default)
+    for category, seconds in least.items():
+        need = F.when(F.col("category") == category, F.lit(seconds)).otherwise(need)
+    marked = rows.withColumn("_ok", seconds_between("start_time", "end_time") >= need)
+    counts = marked.groupBy(*by, "category").agg(F.count_if("_ok").alias("kept"), F.count_if(~F.col("_ok")).alias("removed"))
+    return marked.filter("_ok").drop("_ok"), counts
+
+
+def boundary_errors(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Of matched pairs (see `iou_pairs`): mean signed and median absolute seconds between starts and between ends, and the mean IoU."""
+    s, e = seconds_between("b_start_time", "start_time"), seconds_between("b_end_time", "end_time")
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("start_mean"), F.median(F.abs(s)).alias("start_median_abs"), F.avg(e).alias("end_mean"), F.median(F.abs(e)).alias("end_median_abs"), F.avg("iou").alias("mean_iou"))
+
+
+def activity_truth(marks: DataFrame, keys: list[str], until: Column | None = None) -> DataFrame:
+    """keys, start_time, end_time, complete: each start mark with the end mark that follows it; an open one ends at `until`, or at the key's last mark.
+
+    marks: keys (resident, activity), ts, ord, kind (begin, end).
+    """
+    w = Window.partitionBy(*keys).orderBy("ts", "ord")
+    held = marks.withColumns({"_kind": F.lead("kind").over(w), "_next": F.lead("ts").over(w), "_last": F.max("ts").over(Window.partitionBy(*keys))})
+    done = F.coalesce(F.col("_kind") == "end", F.lit(False))
+    return held.filter("kind = 'begin'").select(*keys, F.col("ts").alias("start_time"), F.when(done, F.col("_next")).otherwise(F.col("_last") if until is None else until).alias("end_time"), done.alias("complete"))
+
+
+def repeated_marks(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Marks that come more than once; a log that has one is not to be paired."""
+    return marks.groupBy(*keys, "ts", "kind").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+
+
+def category_seconds(predictions: DataFrame, truths: DataFrame, keys: list[str], domain: DataFrame | None = None) -> DataFrame:
+    """category with predicted, true and shared seconds, and time-weighted precision, recall and F1.
+
+    Spans of a category count once where they overlap. `domain`: spans (keys, start_time, end_time) outside which nothing counts.
+    """
+    every = [*keys, "category"]
+
+    def inside(rows: DataFrame) -> DataFrame:
+        spans = union_spans(rows, every)
+        if domain is None:
+            return spans
+        pairs = overlap_join(spans, union_spans(domain, keys), keys)
+        return pairs.select(*every, F.greatest("start_time", "b_start_time").alias("start_time"), F.least("end_time", "b_end_time").alias("end_time"))
+
+    p, t = inside(predictions), inside(truths)
+    length = F.sum(seconds_between("start_time", "end_time"))
+    shared = intersections(p, t, every).groupBy("category").agg(length.alias("tp"))
+    out = p.groupBy("category").agg(length.alias("predicted")).join(t.groupBy("category").agg(length.alias("true")), "category", "full").join(shared, "category", "left").fillna(0.0)
+    precision, recall = safe_divide(F.col("tp"), F.col("predicted")), safe_divide(F.col("tp"), F.col("true"))
+    return out.select("category", "tp", "predicted", "true", precision.alias("precision"), recall.alias("recall"), f1_of(precision, recall).alias("f1"))
+
+
+def expanded(rows: DataFrame, also: DataFrame, default: str = "__unknown__") -> DataFrame:
+    """Each interval once for every category of its label: those that `also` (label, categories) has and its own; `default` where it has none of either."""
+    every = F.array_distinct(F.array_compact(F.concat(F.coalesce("categories", F.array().cast("array<string>")), F.array("category"))))
+    joined = rows.join(also.select(F.lower("label").alias("_label"), "categories"), F.lower("label") == F.col("_label"), "left")
+    return joined.withColumn("category", F.explode(F.when(F.size(every) > 0, every).otherwise(F.array(F.lit(default))))).select(*rows.columns)
+
+
+def split_at_bands(series: DataFrame, keys: list[str], bands: dict[str, tuple[int, int]] = BANDS) -> DataFrame:
+    """keys, date, band, start_time, end_time, state: intervals cut at midnights and at the bands' edges; pieces of one state that touch inside a band are one.
+
+    Every interval makes its own pieces, as many as edges it crosses.
+    """
+    hours = sorted({h for span in bands.values() for h in span if h < 24} | {0})
+    first = F.to_date("start_time").cast("timestamp_ntz")
+    days = F.sequence(F.lit(0), F.datediff("end_time", "start_time"))
+    edges = F.flatten(F.transform(days, lambda d: F.array(*[F.timestamp_add("HOUR", d * 24 + h, first) for h in hours])))
+    inner = F.filter(edges, lambda t: (t > F.col("start_time")) & (t < F.col("end_time")))
+    cuts = series.withColumn("_at", F.concat(F.array("start_time"), inner, F.array("end_time")))
+    pieces = cuts.select(*keys, "state", F.explode(F.expr("transform(sequence(1, size(_at) - 1), i -> struct(get(_at, i - 1) AS start_time, get(_at, i) AS end_time))")).alias("p")).select(*keys, "state", "p.*")
+    pieces = pieces.withColumns({"date": F.to_date("start_time"), "band": time_band("start_time", bands)})
+    block = [*keys, "date", "band"]
+    w = Window.partitionBy(*block).orderBy("start_time")
+    new = (F.lag("state").over(w) == F.col("state")) & (F.lag("end_time").over(w) == F.col("start_time"))
+    marked = pieces.withColumn("_new", F.when(F.coalesce(new, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*block, "state", "_run").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).drop("_run")
+
+
+def mapped_predictions(occurrences: DataFrame, mapping: DataFrame, on: list[str], unmapped: str = "Unmapped") -> DataFrame:
+    """Occurrences of patterns with the category of their pattern; those of patterns without one, or with `unmapped`, are left out. mapping: on, category."""
+    return occurrences.join(mapping.filter(F.col("category").isNotNull() & (F.col("category") != unmapped)).select(*on, "category"), on)
+
+
+def unseen(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct values of `on` in rows that `known` lacks: sensors of a test log that training never saw, expected runs without an artifact."""
+    return rows.select(*on).distinct().join(known.select(*on).distinct(), on, "left_anti")
+
+
+def by_position(schedule: DataFrame, episodes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Each planned episode with the actual one at the same place in the day (keys hold the day); null where there is none. Columns of episodes are prefixed actual_."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    a = schedule.withColumn("nth", F.row_number().over(w))
+    b = episodes.withColumn("nth", F.row_number().over(w))
+    b = b.select(*keys, "nth", *(F.col(c).alias(f"actual_{c}") for c in episodes.columns if c not in keys))
+    return a.join(b, [*keys, "nth"], "left")
+
+
+def many_to_one(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with the columns of the one row of `keyed` that has their key; a key that comes twice in `keyed` fails the job."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*on))
+    checked = keyed.withColumn("_n", n).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("key comes twice: "), F.to_json(F.struct(*on))))).otherwise(F.col("_n")))
+    return rows.join(checked.filter("_n = 1").drop("_n"), on)
+
+
+def in_mode(rows: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame:
+    """Rows whose time of day lies in [start, end), as HH:mm; where the hour of the end is before that of the start, all that lie before the end."""
+    a, b = ([int(x) for x in t.split(":")] for t in (start, end))
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    before = minute < b[0] * 60 + b[1]
+    return rows.filter(before if b[0] < a[0] else (minute >= a[0] * 60 + a[1]) & before)
+
+
+def first_days(rows: DataFrame, keys: list[str], days: int | None = None, ratio: float | None = None, ts: str = "ts") -> DataFrame:
+    """Rows of each key's first `days` calendar days, from the midnight of its first one; or of `ratio` of the days that it has, one at least."""
+    w = Window.partitionBy(*keys)
+    day = F.datediff(F.to_date(ts), F.to_date(F.min(ts).over(w)))
+    n = F.lit(days) if days is not None else F.greatest(F.lit(1), F.floor((F.datediff(F.to_date(F.max(ts).over(w)), F.to_date(F.min(ts).over(w))) + 1) * F.lit(ratio)))
+    return rows.withColumn("_day", day).withColumn("_n", n).filter("_day < _n").drop("_day", "_n")
+
+
+def timeline(events: DataFrame, keys: list[str], dates: DataFrame, step_seconds: int) -> DataFrame:
+    """keys, date, at, state: the state that holds just before the end of every step of each date (column date), days before included; at is the step's begin.
+
+    A row for each key, date and step is the result itself; points and events go through one window a key.
+    """
+    steps = F.explode(F.sequence(F.lit(0), F.lit(86_400 - step_seconds), F.lit(step_seconds))).alias("_s")
+    points = events.select(*keys).distinct().join(dates).select(*keys, "date", steps)
+    begin = F.timestamp_add("SECOND", F.col("_s"), F.col("date").cast("timestamp_ntz"))
+    points = points.select(*keys, F.timestamp_add("SECOND", F.lit(step_seconds), begin).alias("ts"), F.lit(-1).cast("long").alias("ord"), F.lit(None).cast("string").alias("state"), "date", begin.alias("at"))
+    rows = points.unionByName(events.select(*keys, "ts", "ord", "state"), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("state", F.last("state", ignorenulls=True).over(w)).filter("at IS NOT NULL AND state IS NOT NULL").select(*keys, "date", "at", "state")

@@ -73,3 +73,19 @@ def key_scores(gold: DataFrame, predicted: DataFrame, keys: list[str], by: list[
     tp, fp, fn = F.count_if(F.col("_g").isNotNull() & F.col("_p").isNotNull()), F.count_if(F.col("_g").isNull()), F.count_if(F.col("_p").isNull())
     out = both.groupBy(*by).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
     return out.withColumn("f1", safe_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"), None))
+
+
+def holding_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """prediction, truth: pairs of sequences of a and b of which one stands in the other; an equi-join on the parts of both, none of all pairs."""
+
+    def whole(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col("sequence").alias(name), F.col("sequence").alias("_part")).distinct()
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        s = F.split("sequence", ARROW)
+        every = F.expr("array_distinct(flatten(transform(sequence(1, size(_s)), k -> transform(sequence(1, size(_s) - k + 1), i -> array_join(slice(_s, i, k), '->')))))")
+        return rows.select("sequence", s.alias("_s")).select(F.col("sequence").alias(name), F.explode(every).alias("_part"))
+
+    inside = whole(a, "prediction").join(parts(b, "truth"), "_part").select("prediction", "truth")
+    around = parts(a, "prediction").join(whole(b, "truth"), "_part").select("prediction", "truth")
+    return inside.unionAll(around).distinct()

@@ -141,3 +141,9 @@ def groundedness(sequences: DataFrame, edges: DataFrame, theta: float) -> DataFr
     at = pairs.join(edges.select("src", "dst", "prob"), ["src", "dst"], "left")
     out = at.groupBy("sequence").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("prob").isNull()).alias("missing"), F.count_if(F.col("prob") < theta).alias("low"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"))
     return out.withColumn("grounded", ((F.col("missing") == 0) & (F.col("low") == 0) & (F.col("self_loops") == 0)).cast("int"))
+
+
+def ratings(rows: DataFrame, by: list[str], criteria: list[str]) -> DataFrame:
+    """by, criterion, n, mean, sd of columns that hold ratings, one criterion each; missing ones don't count."""
+    long = rows.unpivot(by, criteria, "criterion", "value")
+    return long.groupBy(*by, "criterion").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import seconds_between
+from lumenlog.functions import OTHER, seconds_between
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], single: bool = False) -> None:
@@ -42,11 +42,25 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum"))
 
 
-def snapshots(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The latest state of each sensor after each event as a map, where the map changes."""
-    w = Window.partitionBy(*keys).orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    history = F.collect_list(F.struct("sensor", "bit")).over(w)
-    latest = F.aggregate(history, F.create_map().cast("map<string,int>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["sensor"]), F.create_map(x["sensor"], x["bit"].cast("int"))))
-    sig = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(latest))))
+def snapshots(events: DataFrame, keys: list[str], sensors: list[str]) -> DataFrame:
+    """The latest state of each sensor after each event as a JSON object, where it changes; sensors without an event yet are left out.
+
+    One running value a sensor, so a row holds no history.
+    """
     order = Window.partitionBy(*keys).orderBy("ts", "ord")
-    return events.withColumn("snapshot", sig).withColumn("_p", F.lag("snapshot").over(order)).filter(~F.col("snapshot").eqNullSafe(F.col("_p"))).drop("_p")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    state = F.to_json(F.struct(*(F.last(F.when(F.col("sensor") == s, F.col("bit").cast("int")), ignorenulls=True).over(upto).alias(s) for s in sorted(sensors))))
+    return events.withColumn("snapshot", state).withColumn("_p", F.lag("snapshot").over(order)).filter(~F.col("snapshot").eqNullSafe(F.col("_p"))).drop("_p")
+
+
+def state_table_tsv(states: DataFrame, sensors: list[str], path: str, label: str = "\u72b6\u614b", other: str = OTHER) -> None:
+    """States (rank, state_id, mask) as a tab-separated table with a column of 0 and 1 for each sensor, and a row of dashes for what is not mapped."""
+    rows = states.select("rank", F.col("state_id").alias(label), *(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, "1").otherwise("0").alias(s) for i, s in enumerate(sensors)))
+    last = states.sparkSession.range(1).select(F.lit(1 << 30).alias("rank"), F.lit(other).alias(label), *(F.lit("-").alias(s) for s in sensors))
+    rows.unionByName(last).coalesce(1).sortWithinPartitions("rank").drop("rank").write.mode("errorifexists").option("header", True).option("sep", "\t").csv(path)  # k rows
+
+
+def sequences_json(counts: DataFrame, path: str, order: list, most: int | None = None) -> None:
+    """Rows of sequences with their counts or chances as JSON lines in one file, in order; `most`: the first so many."""
+    ranked = counts.orderBy(*order)
+    (ranked.limit(most) if most is not None else ranked).coalesce(1).write.mode("errorifexists").json(path)

@@ -17,17 +17,14 @@ def boundary_errors(spark, sf):
     """How far the ends of overlapping predictions and truths of a home lie apart."""
     e = log(spark, sf)
     p = intervals.iou_pairs(predictions(e).drop("ord"), truths(e).drop("ord", "category"), ["home"], 0.0)
-    s, t = fn.seconds_between("b_start_time", "start_time"), fn.seconds_between("b_end_time", "end_time")
-    out = p.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("start_mean"), F.median(F.abs(s)).alias("start_median_abs"), F.avg(t).alias("end_mean"), F.median(F.abs(t)).alias("end_median_abs"), F.avg("iou").alias("mean_iou"))
+    out = intervals.boundary_errors(p, ["category"])
     return _round(_round(out, "start_mean", "start_median_abs", "end_mean", "end_median_abs", digits=3), "mean_iou")
 
 
 @query(f"WITH {INTERVAL_TABLES}, m AS (SELECT category, (epoch_us(end_time) - epoch_us(start_time)) / 1e6 >= CASE category WHEN 'Sleeping' THEN 1800 WHEN 'Meal_Preparation' THEN 600 ELSE 300 END AS ok FROM pr) SELECT category, count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS removed FROM m GROUP BY category")
 def minimum_durations(spark, sf):
     """Predictions that last as long as their category has to."""
-    least = F.when(F.col("category") == "Sleeping", 1800).when(F.col("category") == "Meal_Preparation", 600).otherwise(300)
-    ok = fn.seconds_between("start_time", "end_time") >= least
-    return predictions(log(spark, sf)).groupBy("category").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("removed"))
+    return intervals.long_enough(predictions(log(spark, sf)), {"Sleeping": 1800.0, "Meal_Preparation": 600.0}, 300.0, [])[1]
 
 
 @query(f"WITH {_SETS}, r AS (SELECT home % 2 AS method, home % 5 + 1 AS run, avg(b / (np + nt - b)) AS jaccard, avg(2.0 * b / (np + nt)) AS f1 FROM sm GROUP BY ALL) SELECT coalesce(method, -1) AS method, coalesce(run, -1) AS run, round(avg(jaccard), 6) AS jaccard, round(avg(f1), 6) AS f1, count(*) AS n FROM r GROUP BY ROLLUP (method, run)")
@@ -108,22 +105,25 @@ def blind_sample(spark, sf):
 def ratings(spark, sf):
     """Three columns as ratings of a method: count, mean and deviation of each."""
     l = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_returnflag").alias("method"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.col("l_tax").cast("double").alias("tax"))
-    u = l.unpivot(["method"], ["quantity", "discount", "tax"], "criterion", "value")
-    return _round(u.groupBy("method", "criterion").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")), "mean", "sd")
+    return _round(scoring.ratings(l, ["method"], ["quantity", "discount", "tax"]), "mean", "sd")
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def keyed_join(spark, sf):
     """Many rows to one key row."""
     o, c = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/customer.parquet")
-    return _round(o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), "total", digits=2)
+    both = intervals.many_to_one(o, c.withColumnRenamed("c_custkey", "o_custkey").select("o_custkey", "c_mktsegment"), ["o_custkey"])
+    return _round(both.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), "total", digits=2)
 
 
 @query(f"WITH {EV} SELECT sensor, count(*) FILTER (hour(ts) >= 6 AND hour(ts) < 10) AS morning, count(*) FILTER (hour(ts) < 4) AS late FROM ev GROUP BY sensor")
 def time_modes(spark, sf):
     """Events of a mode; one whose end is before its start keeps what lies before its end, as such logs are cut."""
-    h = F.hour("ts")
-    return log(spark, sf).groupBy("sensor").agg(F.count_if((h >= 6) & (h < 10)).alias("morning"), F.count_if(h < 4).alias("late"))
+    e = log(spark, sf)
+    n, every = F.count(F.lit(1)), e.select("sensor").distinct()
+    morning = intervals.in_mode(e, "06:00", "10:00").groupBy("sensor").agg(n.alias("morning"))
+    late = intervals.in_mode(e, "22:00", "04:00").groupBy("sensor").agg(n.alias("late"))
+    return every.join(morning, "sensor", "left").join(late, "sensor", "left").fillna(0)
 
 
 _HALF = f"{EV}, s AS (SELECT *, lead(ts) OVER (PARTITION BY home ORDER BY ts, ord) AS nt, lead(sensor) OVER (PARTITION BY home ORDER BY ts, ord) AS ns, max(ts) OVER (PARTITION BY home) AS last FROM ev WHERE sensor IN ('signup', 'purchase'))"
@@ -132,11 +132,8 @@ _HALF = f"{EV}, s AS (SELECT *, lead(ts) OVER (PARTITION BY home ORDER BY ts, or
 @query(f"WITH {_HALF} SELECT home, ts AS start_time, CASE WHEN ns = 'purchase' THEN nt ELSE last END AS end_time, coalesce(ns = 'purchase', false) AS complete FROM s WHERE sensor = 'signup'")
 def activity_truth(spark, sf):
     """Starts with the end that follows them; others are open, and closed at the home's last mark."""
-    w = Window.partitionBy("home").orderBy("ts", "ord")
-    m = log(spark, sf).filter(F.col("sensor").isin("signup", "purchase"))
-    m = m.withColumn("ns", F.lead("sensor").over(w)).withColumn("nt", F.lead("ts").over(w)).withColumn("last", F.max("ts").over(Window.partitionBy("home")))
-    done = F.coalesce(F.col("ns") == "purchase", F.lit(False))
-    return m.filter("sensor = 'signup'").select("home", F.col("ts").alias("start_time"), F.when(done, F.col("nt")).otherwise(F.col("last")).alias("end_time"), done.alias("complete"))
+    m = log(spark, sf).filter(F.col("sensor").isin("signup", "purchase")).withColumn("kind", F.when(F.col("sensor") == "signup", "begin").otherwise("end"))
+    return intervals.activity_truth(m, ["home"])
 
 
 @query(f"WITH {_IV}, d AS (SELECT home, state, (epoch_us(end_time) - epoch_us(start_time)) / 1e6 AS s FROM iv) SELECT home, count(*) AS n_intervals, count(*) FILTER (state = '{OTHER}') AS n_other, round(coalesce(sum(s) FILTER (state = '{OTHER}'), 0) / sum(s), 6) AS other_ratio FROM d GROUP BY home")
@@ -151,19 +148,14 @@ def series_summary(spark, sf):
 def low_information(spark, sf):
     """Share of a sequence's states that say little."""
     c = sequences.ngram_counts(log(spark, sf), ["home"], []).withColumn("x", F.split("sequence", fn.ARROW))
-    low = F.size(F.filter("x", lambda s: s.isin(OTHER, "view"))) / F.size("x")
-    return _round(c.select("sequence", "cnt", low.alias("low_information")), "low_information")
+    return _round(c.select("sequence", "cnt", fn.low_information("x", [OTHER, "view"]).alias("low_information")), "low_information")
 
 
 @query(f"WITH {INTERVAL_TABLES}, m(category, extra) AS (VALUES ('Sleeping', 'Wake_Up'), ('Eating', 'Meal_Preparation'), ('Meal_Preparation', 'Eating')), e AS (SELECT home, ord, category FROM tr UNION ALL SELECT home, ord, extra FROM tr JOIN m USING (category)) SELECT category, count(*) AS n FROM e GROUP BY category")
 def expanded_labels(spark, sf):
     """Each label interval once for every category that it may stand for."""
-    also = {"Sleeping": ["Wake_Up"], "Eating": ["Meal_Preparation"], "Meal_Preparation": ["Eating"]}
-    extra = F.lit(None).cast("array<string>")
-    for c, more in also.items():
-        extra = F.when(F.col("category") == c, F.array(*map(F.lit, more))).otherwise(extra)
-    every = F.array_distinct(F.concat(F.array("category"), F.coalesce(extra, F.array().cast("array<string>"))))
-    return truths(log(spark, sf)).select(F.explode(every).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    also = spark.createDataFrame([("Sleeping", ["Wake_Up"]), ("Eating", ["Meal_Preparation"]), ("Meal_Preparation", ["Eating"])], "label string, categories array<string>")
+    return intervals.expanded(truths(log(spark, sf)).withColumn("label", F.col("category")), also).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH c AS (SELECT conv_id % 7 AS model, conv_id % 3 AS run, CASE WHEN turn = 3 AND conv_id % 11 = 0 THEN NULL ELSE strlen(text) END AS a, strlen(role) AS b FROM conversations) SELECT model, run, count(*) AS n_calls, CAST(sum(a) AS BIGINT) AS input_tokens, CAST(sum(b) AS BIGINT) AS output_tokens, CAST(count(*) FILTER (a IS NULL OR b IS NULL) = 0 AND count(*) = 25 AS INTEGER) AS complete FROM c GROUP BY model, run")
@@ -178,12 +170,8 @@ def usage_totals(spark, sf):
 def timeline(spark, sf):
     """The last state of each home before the end of every hour, days before included."""
     e = log(spark, sf)
-    hours = F.explode(F.expr("sequence(0, 23)"))
-    grid = e.select("home").distinct().join(F.broadcast(e.select("date").distinct())).select("home", "date", hours.alias("hour"))  # homes times days times hours is the result
-    at = grid.select("home", F.timestamp_add("HOUR", F.col("hour") + 1, F.col("date").cast("timestamp_ntz")).alias("ts"), F.lit(-1).cast("long").alias("ord"), F.lit(None).cast("string").alias("state"), "date", "hour")
-    rows = at.unionAll(e.select("home", "ts", "ord", "state", F.lit(None).cast("date").alias("date"), F.lit(None).cast("int").alias("hour")))
-    w = Window.partitionBy("home").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("state", F.last("state", ignorenulls=True).over(w)).filter("hour IS NOT NULL AND state IS NOT NULL").select("home", F.col("date").cast("string").alias("date"), "hour", "state")
+    out = intervals.timeline(e, ["home"], e.select("date").distinct(), 3600)
+    return out.select("home", F.col("date").cast("string").alias("date"), F.hour("at").alias("hour"), "state")
 
 
 @query()
@@ -191,6 +179,6 @@ def listed_matches(spark, sf):
     """Frequent sequences of two halves of the log matched one to one, by equality or containment."""
     e, split = log(spark, sf), F.lit(SPLIT).cast("timestamp_ntz")
     a, b = (sequences.top_patterns(sequences.ngram_counts(x, ["home"], []), [], 20).select("sequence") for x in (e.filter(F.col("ts") < split), e.filter(F.col("ts") >= split)))
-    pairs = a.withColumnRenamed("sequence", "prediction").join(F.broadcast(b.withColumnRenamed("sequence", "truth")), patterns.holds(F.col("prediction"), F.col("truth")) | patterns.holds(F.col("truth"), F.col("prediction")))  # twenty rows each
+    pairs = patterns.holding_pairs(a, b)
     score = (F.col("prediction") == F.col("truth")).cast("double")
     return intervals.greedy_match(pairs.withColumn("part", F.lit(1)).withColumn("iou", score), ["part"], "prediction", "truth", "iou")

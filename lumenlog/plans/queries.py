@@ -51,9 +51,7 @@ def segment_network(spark, sf):
 @query(f"WITH {EV}, {runs_sql('home')}, {_STEPS.format(keys='home')}, c AS (SELECT state AS src, nx AS dst, count(*) AS cnt FROM n WHERE nx IS NOT NULL GROUP BY ALL) SELECT src, dst, cnt, round(cnt / sum(cnt) OVER (PARTITION BY src), 6) AS prob FROM c WHERE src <> '{OTHER}' AND dst <> '{OTHER}' QUALIFY cnt / sum(cnt) OVER (PARTITION BY src) >= 0.2")
 def filtered_edges(spark, sf):
     """Edges of at least 0.2 without the unmapped state; chances are over what is left of a source."""
-    e = sequences.transitions(log(spark, sf), ["home"], []).filter((F.col("src") != OTHER) & (F.col("dst") != OTHER)).drop("prob")
-    e = e.withColumn("prob", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("src")))
-    return _round(e.filter("prob >= 0.2"), "prob")
+    return _round(sequences.filtered_edges(sequences.transitions(log(spark, sf), ["home"], []), [], 0.2, [OTHER]), "prob")
 
 
 @query(f"WITH {EV}, {runs_sql('home')} SELECT home, ts, ord, state FROM r")
@@ -88,9 +86,7 @@ def period_intervals(spark, sf):
 @query(f"WITH {EV}, f AS (SELECT home, min(date_trunc('day', ts)) AS d0 FROM ev GROUP BY home) SELECT home, count(*) AS n_events FROM ev JOIN f USING (home) WHERE ts < d0 + INTERVAL 7 DAY GROUP BY home")
 def first_days(spark, sf):
     """Events of the first seven calendar days of each home."""
-    e = log(spark, sf)
-    first = e.groupBy("home").agg(F.min(F.date_trunc("day", "ts")).cast("timestamp_ntz").alias("d0"))
-    return e.join(first, "home").filter(F.col("ts") < F.col("d0") + F.expr("INTERVAL 7 DAYS")).groupBy("home").agg(F.count(F.lit(1)).alias("n_events"))
+    return intervals.first_days(log(spark, sf), ["home"], 7).groupBy("home").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 _NET = f"{EV}, {runs_sql('home, band')}, {_STEPS.format(keys='home, band')}, {_TRANSITIONS.format(by='band')}, e AS (SELECT band, src, dst, cnt / sum(cnt) OVER (PARTITION BY band, src) AS prob FROM c)"
@@ -638,10 +634,14 @@ def invariants(spark, sf):
     return faults.violations(log(spark, sf), ["home"], ["click", "view"])
 
 
-@query()
+_HELD = ", ".join(f"last_value(CASE WHEN sensor = '{x}' THEN bit END IGNORE NULLS) OVER w AS {x}_" for x in SENSORS)
+_OBJECT = ", ".join(f"CASE WHEN {x}_ IS NOT NULL THEN '\"{x}\":' || {x}_ END" for x in sorted(SENSORS))
+
+
+@query(f"WITH {EV}, h AS (SELECT home, ts, ord, {_HELD} FROM ev WINDOW w AS (PARTITION BY home ORDER BY ts, ord ROWS UNBOUNDED PRECEDING)), s AS (SELECT home, ts, ord, '{{' || concat_ws(',', {_OBJECT}) || '}}' AS snapshot FROM h) SELECT home, ts, ord, snapshot FROM (SELECT *, lag(snapshot) OVER (PARTITION BY home ORDER BY ts, ord) AS p FROM s) WHERE p IS NULL OR p <> snapshot")
 def snapshots(spark, sf):
     """Sensor states after each change, as JSON."""
-    return sinks.snapshots(log(spark, sf), ["home"]).select("home", "ts", "ord", "snapshot")
+    return sinks.snapshots(log(spark, sf), ["home"], SENSORS).select("home", "ts", "ord", "snapshot")
 
 
 @query()

@@ -8,7 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import OTHER, binary_value, parse_sequence
+from lumenlog.functions import OTHER, binary_value, label_sets, normalised_label, parse_sequence, time_band
+from lumenlog.operators.intervals import pair_annotations
 
 FORMATS = ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
 
@@ -75,6 +76,12 @@ def labelled_text(spark: SparkSession, path: str) -> DataFrame:
     ).filter("ts IS NOT NULL")
 
 
+def checked(events: DataFrame, sensors: list[str]) -> DataFrame:
+    """The events; one of a sensor that the state table lacks fails the job."""
+    known = F.col("sensor").isin(sensors)
+    return events.withColumn("sensor", F.when(known, F.col("sensor")).otherwise(F.raise_error(F.concat(F.lit("not in the state table: "), "sensor"))))
+
+
 def mapped(events: DataFrame, sensor_map: DataFrame) -> DataFrame:
     """Sensors renamed by a small table sensor, name; sensors that it lacks keep their names."""
     return events.join(sensor_map.select("sensor", "name"), "sensor", "left").withColumn("sensor", F.coalesce("name", "sensor")).drop("name")
@@ -185,3 +192,86 @@ def pattern_records(answers: DataFrame, column: str) -> DataFrame:
 
 def is_other(state: Column | str) -> Column:
     return (F.col(state) if isinstance(state, str) else state) == OTHER
+
+
+def _first(raw: DataFrame, *names: str) -> Column:
+    """The first of these columns that a row has a value in; columns that a file lacks are passed over."""
+    held = [F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names if n in raw.columns]
+    return F.coalesce(*held) if held else F.lit(None).cast("string")
+
+
+def adl_intervals_csv(spark: SparkSession, path: str) -> DataFrame:
+    """start_time, end_time, raw_label, category of a CSV whose columns have one of several names; labels that are not known are `Other`, rows without a time or label are left out."""
+    raw = spark.read.option("header", True).csv(path)
+    label = _first(raw, "adl_category", "category", "raw_label")
+    rows = raw.select(parsed(_first(raw, "start_time", "start")).alias("start_time"), parsed(_first(raw, "end_time", "end")).alias("end_time"), F.coalesce(_first(raw, "raw_label"), label).alias("raw_label"), label.alias("_l"))
+    return rows.dropna(subset=["start_time", "end_time", "_l"]).select("start_time", "end_time", "raw_label", F.coalesce(normalised_label("_l"), F.lit("Other")).alias("category"))
+
+
+def pattern_occurrences_csv(spark: SparkSession, path: str, method: str | None = None) -> DataFrame:
+    """pattern_id, pattern_name, sequence, start_time, end_time, band of a CSV of occurrences; with `method`, rows of other methods are left out. The band is that of the start where the file has none."""
+    raw = spark.read.option("header", True).csv(path)
+    start = parsed(_first(raw, "start_time", "start"))
+    rows = raw.select(
+        _first(raw, "method").alias("_m"), _first(raw, "pattern_id", "id").alias("pattern_id"), F.coalesce(_first(raw, "pattern_name"), F.lit("")).alias("pattern_name"),
+        F.array_join(parse_sequence(F.coalesce(_first(raw, "sequence"), F.lit(""))), "->").alias("sequence"), start.alias("start_time"), parsed(_first(raw, "end_time", "end")).alias("end_time"), F.coalesce(_first(raw, "time_band"), time_band(start)).alias("band"),
+    ).dropna(subset=["pattern_id", "start_time", "end_time"])
+    return (rows if method is None else rows.filter(F.col("_m").isNull() | (F.col("_m") == method))).drop("_m")
+
+
+def ordered_series(spark: SparkSession, path: str, zone: str | None = None) -> DataFrame:
+    """start_time, end_time (UTC instants), state of a CSV of ISO times; times without an offset are in `zone`. A time that is none, an interval that ends at or before its start, or one that
+    begins before the one before it ends fails the job."""
+    raw = numbered(spark.read.option("header", True).csv(path))
+
+    def instant(name: str) -> Column:
+        offset = F.rlike(F.trim(name), F.lit(r"(Z|[+-]\d\d:?\d\d)$"))
+        local = F.to_utc_timestamp(F.try_to_timestamp(F.concat(F.trim(name), F.lit("Z"))), zone) if zone else F.lit(None).cast("timestamp")
+        return F.when(offset, F.try_to_timestamp(F.trim(name))).otherwise(local)
+
+    rows = raw.select("source_order", F.col("state_id").alias("state"), instant("start_time").alias("start_time"), instant("end_time").alias("end_time"))
+    before = F.max("end_time").over(Window.orderBy("source_order").rowsBetween(Window.unboundedPreceding, -1))  # a file is one home's series
+    fault = F.when(F.col("start_time").isNull() | F.col("end_time").isNull() | (F.col("end_time") <= F.col("start_time")), "invalid state interval").when(before > F.col("start_time"), "state intervals must be ordered and apart")
+    return rows.withColumn("state", F.when(fault.isNull(), F.col("state")).otherwise(F.raise_error(fault))).select("start_time", "end_time", "state")
+
+
+def paired_labels(log: DataFrame, key: str = "raw_label", start: str | None = None, end: str | None = None) -> DataFrame:
+    """Intervals of begin and end marks of a labelled log by raw label or by category, of days from `start` to before `end`; no rule for what follows a sleep.
+
+    log: ts, ord, kind (begin, end) and the key. Marks of one key may nest; the latest open one ends first.
+    """
+    rows = log
+    if start is not None:
+        rows = rows.filter(F.to_date("ts") >= F.lit(start).cast("date"))
+    if end is not None:
+        rows = rows.filter(F.to_date("ts") < F.lit(end).cast("date"))
+    return pair_annotations(rows, [key])
+
+
+def first_period(log: DataFrame, days: int) -> DataFrame:
+    """Rows of a log less than `days` times 24 hours after its first row."""
+    first = log.agg(F.min("ts").alias("_t0"))
+    return log.join(F.broadcast(first), F.col("ts") < F.timestamp_add("DAY", F.lit(days), F.col("_t0"))).drop("_t0")  # one row
+
+
+def stated_events(log: DataFrame) -> DataFrame:
+    """Rows whose value is one of those that mean on or off."""
+    return log.filter(binary_value("value").isNotNull())
+
+
+def band_interpretations(spark: SparkSession, path: str) -> DataFrame:
+    """pattern_id, pattern_name, sequence, band, labels (array), status of a JSON list of patterns: one row for each band that `time_band_interpretations` has, else one for `All`."""
+    text = numbered(spark.read.text(path, wholetext=True))
+    kind = "array<struct<pattern_id: string, id: string, pattern_name: string, name: string, sequence: array<string>, adl_labels: array<string>, time_band_interpretations: map<string, struct<adl_labels: array<string>>>>>"
+    rows = text.select(F.posexplode(F.from_json("value", kind)).alias("n", "p")).select("n", "p.*")
+    own = F.create_map(F.lit("All"), F.struct(F.col("adl_labels")))
+    bands = F.when(F.size(F.coalesce("time_band_interpretations", F.create_map().cast("map<string, struct<adl_labels: array<string>>>"))) > 0, F.col("time_band_interpretations")).otherwise(own)
+    each = rows.withColumn("_id", F.coalesce("pattern_id", "id", F.format_string("P%03d", F.col("n") + 1))).select("_id", F.coalesce("pattern_name", "name").alias("pattern_name"), "sequence", F.explode(bands).alias("band", "_l"))
+    sets = label_sets(F.col("_l.adl_labels"))
+    return each.select(F.col("_id").alias("pattern_id"), "pattern_name", F.array_join("sequence", "->").alias("sequence"), "band", sets["labels"].alias("labels"), sets["status"].alias("status"))
+
+
+def manifest_faults(manifest: dict, n_rows: int, start: str, end: str, columns: list[str]) -> list[str]:
+    """What a snapshot's manifest says that its log does not keep: number of rows, period, columns, zone."""
+    said = {"row_count": n_rows, "period_start": start, "period_end": end, "columns": columns}
+    return [k for k, v in said.items() if manifest.get(k) != v] + ([] if manifest.get("timezone") else ["timezone"])

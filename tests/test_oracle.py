@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lumenlog.plans import more, queries as plans
+from lumenlog.plans import evaluations, more, queries as plans
 
-assert more  # adds its queries to plans
+assert more and evaluations  # add their queries to plans
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
