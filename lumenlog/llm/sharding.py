@@ -1,9 +1,9 @@
 """Operator 7, sharding: sampled splitters [native].
 
-Rows are put in the order (hash of the text, hash of doc_id and row), so equal texts stand side by side and a hot text can
-still be cut between its rows. A sample in which a row's chance follows its weight gives splitters at equal
+Rows are put in the order (hash of the text, hash of the doc_id), so equal texts stand side by side and a hot text can
+still be cut between its rows. The hashes are the first HASH_BITS bits of md5. A sample in which a row's chance follows its weight gives splitters at equal
 quantiles; a range that holds too much weight all the same is sampled again and subdivided. A splitter begins at a text's first row,
-but where several fall on one text it is cut by the second hash. Inside a range a window numbers
+but where INSIDE or more fall on one text it is cut by the second hash. Inside a range a window numbers
 the rows and sums their weights; what stands before a range comes from one number a range. So no task holds more
 than a range, and the shard of a row follows from its exact place in the whole order:
 
@@ -11,19 +11,18 @@ than a range, and the shard of a row follows from its exact place in the whole o
   less than TOGETHER of a shard, the middle of them all, so such a text is not split between shards and these differ by 2 * TOGETHER more;
 * law `rows`: the row's number, so counts differ by one at most.
 
-A row finds its range in two small tables of splitters, by the leading bits of its hashes: they have one entry for each splitter and CELLS or SUB_CELLS rows a hot text, so
-they are broadcast.
+A row finds its range in two small tables of splitters, by the leading bits of its hashes: they have one entry for each splitter, and 2**CELL_BITS rows or 2**SUB_BITS
+for each hot text, so they are broadcast.
 
 Defined results: a null text is an empty one (size 16, crc32 0); rows that repeat a doc_id or text are all kept;
-a null doc_id is an id like others; an empty table gives an empty table; other columns are ignored. Which of several rows that are equal in all comes first depends on
-the order of the input's files.
+a null doc_id is an id like others; an empty table gives an empty table; other columns are ignored. Nothing depends on how rows lie in files.
 """
 
 from __future__ import annotations
 
 from itertools import groupby
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.llm.shared import temporary, written
@@ -33,6 +32,8 @@ SAMPLES_PER_RANGE = 20
 OVERFULL = 4
 ROUNDS = 3
 TOGETHER = 0.005
+INSIDE = 4
+HASH_BITS = 60
 CELL_BITS = 12
 SUB_BITS = 4
 Splitter = tuple[int, int | None]
@@ -47,19 +48,19 @@ def _splitters(sample: list[tuple[int, int]], step: int) -> set[Splitter]:
     out: set[Splitter] = set()
     for key, own in groupby(sample[step - 1 :: step], lambda s: s[0]):
         subs = [sub for _, sub in own]
-        out.update([(key, None)] if len(subs) == 1 else [(key, sub) for sub in subs])
+        out.update([(key, None)] if len(subs) < INSIDE else [(key, sub) for sub in subs])
     return out
 
 
 def _ranged(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
     """Adds `range`, the number of splitters at or before a row."""
-    spark, half = rows.sparkSession, 1 << (CELL_BITS - 1)
+    spark = rows.sparkSession
     by_key = [(key, [sub for _, sub in own]) for key, own in groupby(splitters, lambda s: s[0])]
     by_cell: dict[int, list] = {}
     for key, subs in by_key:
-        by_cell.setdefault(key >> (64 - CELL_BITS), []).append((key, len(subs), subs != [None]))
+        by_cell.setdefault(key >> (HASH_BITS - CELL_BITS), []).append((key, len(subs), subs != [None]))
     cells, base = [], 0
-    for cell in range(-half, half):
+    for cell in range(1 << CELL_BITS):
         own = by_cell.get(cell, [])
         cells.append((cell, base, own))
         base += sum(n for _, n, _ in own)
@@ -69,19 +70,23 @@ def _ranged(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
             continue
         held = [s for s in subs if s is not None]
         whole = len(subs) - len(held)
-        for cell in range(-(1 << (SUB_BITS - 1)), 1 << (SUB_BITS - 1)):
-            low = cell << (64 - SUB_BITS)
-            inside.append((key, cell, whole + sum(s < low for s in held), [s for s in held if s >> (64 - SUB_BITS) == cell]))
-    found = rows.withColumn("cell", F.shiftright("key", 64 - CELL_BITS)).join(F.broadcast(spark.createDataFrame(cells, "cell long, base long, held array<struct<key: long, n: int, inside: boolean>>")), "cell")
+        for cell in range(1 << SUB_BITS):
+            low = cell << (HASH_BITS - SUB_BITS)
+            inside.append((key, cell, whole + sum(s < low for s in held), [s for s in held if s >> (HASH_BITS - SUB_BITS) == cell]))
+    found = rows.withColumn("cell", F.shiftright("key", HASH_BITS - CELL_BITS)).join(F.broadcast(spark.createDataFrame(cells, "cell long, base long, held array<struct<key: long, n: int, inside: boolean>>")), "cell")
     at = F.expr("base + aggregate(filter(held, s -> s.key < key OR s.key = key AND NOT s.inside), 0L, (sum, s) -> sum + s.n)")
     found = found.withColumn("range", at).drop("cell", "base", "held")
     if inside:
         table = spark.createDataFrame(inside, "key long, cell long, base long, subs array<long>")
-        found = found.withColumn("cell", F.shiftright("sub", 64 - SUB_BITS)).join(F.broadcast(table), ["key", "cell"], "left")
+        found = found.withColumn("cell", F.shiftright("sub", HASH_BITS - SUB_BITS)).join(F.broadcast(table), ["key", "cell"], "left")
         found = found.withColumn("range", F.col("range") + F.expr("coalesce(base + size(filter(subs, s -> s <= sub)), 0)")).drop("cell", "base", "subs")
     return found
 
 
+def _hash(text) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def shard(docs: DataFrame, shards: int = 40, law: str = "bytes") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; see the module's text."""
     if law not in ("bytes", "rows") or shards < 1:
@@ -101,10 +106,10 @@ def _placed(docs: DataFrame, shards: int, law: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("key"),
-        F.monotonically_increasing_id().alias("row"),
+        _hash(text).alias("key"),
+        _hash(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))).alias("sub"),
     )
-    rows = written(rows.withColumns({"sub": F.xxhash64("doc_id", "row"), "weight": F.col("size") if law == "bytes" else F.lit(1).cast("long")}), "keys")
+    rows = written(rows.withColumn("weight", F.col("size") if law == "bytes" else F.lit(1).cast("long")), "keys")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     share = max(1, total // (shards * RANGES_PER_SHARD))
 
@@ -127,7 +132,7 @@ def _placed(docs: DataFrame, shards: int, law: str) -> DataFrame:
         before.append((r["range"], weight_before, rows_before))
         weight_before, rows_before = weight_before + r["weight"], rows_before + r["rows"]
 
-    order = Window.partitionBy("range").orderBy("key", "sub", "row")
+    order = Window.partitionBy("range").orderBy("key", "sub")
     of_text = Window.partitionBy("range", "key")
     placed = ranged.join(F.broadcast(docs.sparkSession.createDataFrame(before, "range long, weight_before long, rows_before long")), "range")
     placed = placed.withColumns(
