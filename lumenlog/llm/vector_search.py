@@ -131,7 +131,7 @@ class Queries:
 
     def hits(self) -> pa.RecordBatch:
         n, scores = [len(x) for x in self.found], [s for x in self.scores for s in x.tolist()]
-        reach = [float(s) if abs(s) < 1 << 1000 else math.copysign(math.inf, s) for s in scores]
+        reach = [float(s) if abs(s) < 1 << 1000 else (math.inf if s > 0 else -math.inf) for s in scores]
         told = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in scores]
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n), pa.int64()), pa.array(np.concatenate([*self.found, np.empty(0, np.int64)]), pa.int64()), pa.array(told, pa.int64()), pa.array(reach, pa.float64())], names=["query_id", "vec_id", "score", "reach"])
 

@@ -1,8 +1,10 @@
+import os
 import random
 
 import numpy as np
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenlog.llm import components, jaccard_join, substring_dedup
 
@@ -154,3 +156,22 @@ def test_runs_inside_and_across_lines(spark):
 def test_a_text_that_repeats_itself_keeps_a_run(spark):
     docs = spark.createDataFrame([(1, "start " + "ha " * 300 + "end")], "doc_id long, text string")
     assert substring_dedup.cleaned(docs).first().text == "start " + "ha " * 50 + "end"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_runs_are_those_of_all_windows(spark):
+    """All words that stand in a stretch of 50 words that comes twice, by comparing all stretches of the smallest table, against the places that are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").withColumn("text", F.translate("text", "\n", " "))
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    firsts, removed = {}, set()
+    for i in sorted(texts):
+        for at in range(len(texts[i]) - 49):
+            first = firsts.setdefault(tuple(texts[i][at : at + 50]), (i, at))
+            if first != (i, at) and (first[0] != i or at - first[1] >= 50):
+                removed.update((i, at + k) for k in range(50))
+    assert removed
+    got = set()
+    for r in substring_dedup.passages(docs, min_words=1 << 30).filter("removed").collect():
+        got.update((r.doc_id, r.start + k) for k in range(r.n_words))
+    own = {(i, w) for i, w in got if (i, w) not in removed}
+    assert removed <= got and not own
