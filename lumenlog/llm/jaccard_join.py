@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.chunks import Hasher, pieces_of
-from lumenlog.llm.near import flagged, mark_of, parity_map, roots_of
+from lumenlog.llm.near import flagged, mark_of, parity_map, roots_of, wide_maps
 from lumenlog.llm.shared import temporary, written
 
 RATIO = 1.5
@@ -141,9 +141,13 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 piece = batch.slice(at, ROWS)
                 held = list(shingle_sets(piece.column("text").to_pylist(), n))
                 keys = [fragment_keys(x, num, den) for x in held]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(list(map(len, held)), pa.int32()), *_signatures(held), _lists(keys), _lists([parity_map(x, MAP_WORDS) for x in held])], names=["doc_id", "key", "n", "sig_a", "sig_b", "grams", "bits"])
+                wide, less = zip(*map(wide_maps, held))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), piece.column("key"), pa.array(list(map(len, held)), pa.int32()), *_signatures(held), _lists(keys), _lists([parity_map(x, MAP_WORDS) for x in held]), _lists(wide), _lists(less)],
+                    names=["doc_id", "key", "n", "sig_a", "sig_b", "grams", "bits", "wide", "less"],
+                )
 
-    rows = _keyed(docs).mapInArrow(run, "doc_id long, key long, n int, sig_a long, sig_b long, grams array<long>, bits array<long>")
+    rows = _keyed(docs).mapInArrow(run, "doc_id long, key long, n int, sig_a long, sig_b long, grams array<long>, bits array<long>, wide array<long>, less array<long>")
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "sizes", "uncompressed")
 
 
@@ -164,7 +168,7 @@ def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     chosen = flagged(_keyed(docs), ["doc_id", "key"], wanted.select(mark_of("doc_id", "key").alias("mark"))).filter("_hit").drop("_hit")
     found = chosen.mapInArrow(run, "doc_id long, key long, sig_a long, sig_b long, segments array<array<long>>").withColumnRenamed("doc_id", "_id")
     rows = found.join(wanted, ["key", "sig_a", "sig_b"]).filter(F.col("_id").eqNullSafe(F.col("doc_id")))
-    return rows.select("row", "segments").dropDuplicates(["row"])
+    return rows.dropDuplicates(["key", "sig_a", "sig_b", "row"]).select("row", "segments")  # dealt by the first three already
 
 
 def _classed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -176,14 +180,19 @@ def _classed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 def _found(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     sets = document_sets(docs, n, num, den)
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    equal = sets.filter("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("row", "doc_id", "key")).alias("h"), F.min(name).alias("least"), F.any_value("grams").alias("grams"), F.any_value("bits").alias("bits"))
-    equal = written(equal.select("sig_a", "sig_b", "n", "h.*", "least", "grams", "bits"), "equal", "uncompressed")
+    # classes of equal sets without their keys and maps, which stay where they are written; only rows that may be no first one of a class are shuffled
+    equal = sets.filter("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("row", "doc_id", "key")).alias("h"), F.min(name).alias("least"))
+    equal = written(equal.select("sig_a", "sig_b", "n", "h.*", "least"), "equal")
+    again = written(sets.filter("n > 0").select("row").join(equal.select("row"), "row", "left_anti").select(mark_of("row").alias("mark")), "again")
+    marked = flagged(sets.filter("n > 0").select("row", "n", "grams", "bits", "wide", "less"), ["row"], again)
+    first = marked.filter("_hit").join(equal.select("row"), "row", "left_semi")
+    held = marked.filter("NOT _hit").unionByName(first).drop("_hit")
 
     def sets_of(rows: DataFrame) -> DataFrame:
         wanted = written(equal.select("row", "doc_id", "key", "sig_a", "sig_b").join(rows, "row"), "wanted")
         return whole_sets(docs, n, wanted)
 
-    roots = roots_of(equal.select("row", "n", "grams", "bits"), sets_of, num, den, MAP_WORDS)
+    roots = roots_of(held, sets_of, num, den, MAP_WORDS)
     placed = equal.select("sig_a", "sig_b", "n", "row", "least").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     placed = written(placed, "placed")
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("first")), "root").select("sig_a", "sig_b", "n", "first")

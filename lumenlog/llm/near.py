@@ -71,6 +71,32 @@ def parity_map(members: np.ndarray, words: int) -> np.ndarray:
     return np.packbits((np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def map_words(n: int) -> int:
+    """Words of a wide map: two bits a member at least."""
+    words = 8
+    while 32 * words < n:
+        words *= 4
+    return words
+
+
+def wide_maps(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A parity map as wide as the set asks for, and the next narrower one (none below the narrowest), to be held against sets of either width."""
+    words = map_words(len(members))
+    return parity_map(members, words), parity_map(members, words // 4) if words > 8 else np.empty(0, np.int64)
+
+
+def _wide_allow(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that wide maps leave, as in `_bits_allow`; pairs whose widths are further apart than one step stay."""
+    for name in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("row").alias(name), F.struct("wide", "less").alias(f"m_{name}")), name)
+    x, y = F.size("m_a.wide"), F.size("m_b.wide")
+    p = F.when(x == y, F.col("m_a.wide")).when(x == 4 * y, F.col("m_a.less")).when(4 * x == y, F.col("m_a.wide"))
+    q = F.when(x == y, F.col("m_b.wide")).when(x == 4 * y, F.col("m_b.wide")).when(4 * x == y, F.col("m_b.less"))
+    apart = F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda sum_, i: sum_ + i)
+    most = F.expr(f"n_a + n_b - 2 * ceil({num}L * (n_a + n_b) / {num + den}L - 1e-9)")
+    return pairs.filter(F.coalesce(apart <= most, F.lit(True))).select("a", "b", "n_a", "n_b")
+
+
 def shared_entries(held: DataFrame) -> DataFrame:
     """row, n, gram of the keys in `grams` that two rows hold, and of a few others.
 
@@ -112,7 +138,8 @@ def _pairs(joined: DataFrame) -> DataFrame:
 def roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, words: int) -> DataFrame:
     """node, root of the rows that have links.
 
-    held: row, n (size of the row's set), grams (its keys), bits (its parity map, of so many words). sets_of: row, segments of the rows of a table.
+    held: row, n (size of the row's set), grams (its keys), bits (its parity map, of so many words), and where sets are large, wide and less (see `wide_maps`).
+    sets_of: row, segments of the rows of a table.
     """
     with temporary(held.sparkSession):
         return written(_roots_of(held, sets_of, num, den, words), "roots", stays=True)
@@ -135,6 +162,7 @@ def _roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: i
         hubs = written(main.groupBy("gram").agg(F.min_by(F.struct("row", "n", "root"), order).alias("h")).select("gram", "h.*"), "hubs")
         star = open_.alias("x").join(hubs.alias("y"), "gram").filter("x.root <> y.root").filter(allowed)
         pairs = _with_maps(_pairs(star), maps).filter(_bits_allow("x", "y", words, num, den)).select("a", "b", "n_a", "n_b")
+        pairs = _wide_allow(pairs, held, num, den) if "wide" in held.columns else pairs
         with temporary(held.sparkSession):  # the sets are the bulk
             more = linked(pairs, sets_of, num, den)
             links = written(more if links is None else links.unionAll(more), "links", stays=True)
@@ -148,7 +176,8 @@ def _roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: i
     open_ = written(open_.join(maps, "row"), "compared")
     rest = open_.filter("root <> main").alias("x").join(open_.alias("y"), "gram")
     rest = rest.filter(F.expr("x.root <> y.root AND (y.root = y.main OR x.row < y.row)") & allowed & _bits_allow("x", "y", words, num, den))
-    return components(links.unionAll(linked(_pairs(rest), sets_of, num, den)))
+    pairs = _wide_allow(_pairs(rest), held, num, den) if "wide" in held.columns else _pairs(rest)
+    return components(links.unionAll(linked(pairs, sets_of, num, den)))
 
 
 def _open(known: DataFrame) -> DataFrame:

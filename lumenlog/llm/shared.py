@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import shutil
 import tempfile
@@ -37,11 +38,16 @@ _frames: list[list[str]] = []
 
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that `written` stores meanwhile are deleted at the end, but for those written with `stays`, which belong to the frame around this one."""
+    """Tables that `written` stores meanwhile are deleted at the end, but for those written with `stays`, which belong to the frame around this one.
+
+    Shuffle files go when the driver's garbage is collected, so that is asked for here: at the end of a step that has shuffled sets.
+    """
     _frames.append([])
     try:
         yield
     finally:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
         for name in _frames.pop():
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

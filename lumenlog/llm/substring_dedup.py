@@ -150,7 +150,7 @@ def paragraph_sets(docs: DataFrame, n: int, min_words: int, wanted: DataFrame) -
     found = chosen.mapInArrow(run, "doc_id long, key long, para int, sig_a long, sig_b long, segments array<array<long>>")
     found = flagged(found, ["key", "para"], wanted.select(mark_of("key", "para").alias("mark"))).filter("_hit").drop("_hit").withColumnRenamed("doc_id", "_id")
     rows = found.join(wanted, ["key", "para", "sig_a", "sig_b"]).filter(F.col("_id").eqNullSafe(F.col("doc_id")))
-    return rows.select("row", "segments").dropDuplicates(["row"])
+    return rows.dropDuplicates(["key", "para", "sig_a", "sig_b", "row"]).select("row", "segments")  # dealt by the first four already
 
 
 def repeated(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, min_words: int = MIN_WORDS) -> DataFrame:
