@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import ARROW, has_part, safe_divide
+from lumenlog.functions import ARROW, alternating_loop, has_part, other_round_trip, safe_divide, self_transition
 
 
 def merge_bands(patterns: DataFrame) -> DataFrame:
@@ -29,11 +29,29 @@ def holds(longer: Column, shorter: Column) -> Column:
     return has_part(F.split(longer, ARROW), F.split(shorter, ARROW))
 
 
-def quality(rows: DataFrame, grounded: float = 0.3, useless: float = 0.1) -> DataFrame:
-    """Adds grounded, useless and useful flags to hit_rate, purity and fragmented."""
-    g = (F.col("hit_rate") >= grounded) | (F.col("purity") >= grounded)
-    u = (F.col("hit_rate") < useless) & (F.col("purity") < useless)
-    return rows.withColumns({"grounded": g.cast("int"), "useless": u.cast("int"), "useful": (g & ~u & (F.col("fragmented") == 0)).cast("int")})
+def quality(rows: DataFrame, others: list[str], grounded: tuple[float, float] = (0.3, 0.3), useless: tuple[float, float] = (0.1, 0.1), without_test: bool = False) -> DataFrame:
+    """Flags of patterns, 0 or 1, and why they are useless.
+
+    rows: sequence, train_support, test_support, hit_rate and purity (of the category that training gave), any_hit_rate and any_purity (of any category), fragmented. Only patterns with
+    support in training, and in the test as well unless `without_test`, are counted; the others have no flag. Grounded: hit rate or purity high enough. Useless: a) overlaps no
+    category enough, b) goes by an unmapped state and back, c) alternates; structural: b, c or a state twice. Contextless: structural or a. Useful: grounded, neither structural nor fragmented.
+    """
+    counted = (F.col("train_support") > 0) & ((F.col("test_support") > 0) | F.lit(without_test))
+    seen, s = F.col("test_support") > 0, F.split("sequence", ARROW)
+    twice, trip, loop = counted & self_transition(s), counted & other_round_trip(s, others), counted & alternating_loop(s)
+    good = counted & seen & ((F.col("hit_rate") >= grounded[0]) | (F.col("purity") >= grounded[1]))
+    low = counted & seen & (F.col("any_hit_rate") < useless[0]) & (F.col("any_purity") < useless[1])
+    structural, broken = twice | trip | loop, counted & (F.col("fragmented") != 0)
+    flags = {"counted": counted, "grounded": good, "useless_a": low, "useless_b": trip, "useless_c": loop, "useless": low | trip | loop, "structural": structural, "contextless": structural | low, "fragment": broken, "useful": good & ~structural & ~broken}
+    reasons = F.concat_ws(";", F.when(low, "low_overlap"), F.when(twice, "self_transition"), F.when(trip, "other_round_trip"), F.when(loop, "alternating_loop"))
+    return rows.select("*", *(x.cast("int").alias(n) for n, x in flags.items()), reasons.alias("reasons"))
+
+
+def quality_rates(flagged: DataFrame, by: list[str]) -> DataFrame:
+    """How many patterns are counted, and the share of these for which each flag of `quality` holds; 0 where none is."""
+    n = F.sum("counted")
+    names = ["grounded", "useless", "contextless", "structural", "fragment", "useful"]
+    return flagged.groupBy(*by).agg(F.count(F.lit(1)).alias("n_patterns"), n.alias("n_counted"), *(safe_divide(F.sum(x), n).alias(f"{x}_rate") for x in names))
 
 
 def ranked(rows: DataFrame, falling: list[str], rising: list[str], by: list[str] | None = None) -> DataFrame:
@@ -67,6 +85,15 @@ def split_days(rows: DataFrame, keys: list[str], ratio: float) -> DataFrame:
     return span.select(*keys, days.alias("n_days"), train.alias("train_days"), F.date_add("_a", train).alias("split"))
 
 
+def split_at(rows: DataFrame, keys: list[str], ratio: float | None = None, days: int | None = None) -> DataFrame:
+    """keys, split: the instant after `ratio` of each key's span of time, or the midnight `days` days after its first day."""
+    span = rows.groupBy(*keys).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    if days is not None:
+        return span.select(*keys, F.date_add(F.to_date("_a"), days).cast("timestamp_ntz").alias("split"))
+    part = F.floor(F.timestamp_diff("MICROSECOND", F.col("_a"), F.col("_b")) * F.lit(ratio))
+    return span.select(*keys, F.timestamp_add("MICROSECOND", part, F.col("_a")).alias("split"))
+
+
 def key_scores(gold: DataFrame, predicted: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """tp, fp, fn and F1 of two sets of keys for each `by`; null where both are empty."""
     both = gold.select(*by, *keys).distinct().withColumn("_g", F.lit(1)).join(predicted.select(*by, *keys).distinct().withColumn("_p", F.lit(1)), [*by, *keys], "full")

@@ -147,3 +147,11 @@ def ratings(rows: DataFrame, by: list[str], criteria: list[str]) -> DataFrame:
     """by, criterion, n, mean, sd of columns that hold ratings, one criterion each; missing ones don't count."""
     long = rows.unpivot(by, criteria, "criterion", "value")
     return long.groupBy(*by, "criterion").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+
+
+def confusion(predicted: DataFrame, true: DataFrame, candidates: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """tp, fp, fn, tn of keys for each `by`, over all candidates and what either side has besides."""
+    marks = [rows.select(*by, *keys, *(F.lit(1 if i == j else 0).alias(n) for j, n in enumerate(("_p", "_t")))) for i, rows in enumerate((predicted, true, candidates))]
+    both = marks[0].unionAll(marks[1]).unionAll(marks[2]).groupBy(*by, *keys).agg(F.max("_p").alias("_p"), F.max("_t").alias("_t"))
+    p, t = F.col("_p") == 1, F.col("_t") == 1
+    return both.groupBy(*by).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lumenlog import functions as fn
 from lumenlog.functions import OTHER
-from lumenlog.operators import evaluation, intervals, sequences, vectors
+from lumenlog.operators import evaluation, intervals, patterns, scoring, sequences, vectors
 from lumenlog.plans.adapter import EV, INTERVAL_TABLES, LABELS, SPLIT, log, predictions, runs_sql, truths
-from lumenlog.plans.queries import _BAND, _IV, _MASKS, _grams_sql, _round, _span_grams, _vectors, query
+from lumenlog.plans.queries import _BAND, _IV, _LOOP, _MASKS, _SELF, _TRIP, _grams_sql, _round, _span_grams, _vectors, query
 
 _LIST = ", ".join(f"'{x}'" for x in LABELS)
 _M = evaluation.METRICS
@@ -180,7 +180,7 @@ def _grams(spark, sf) -> DataFrame:
     for i in range(1, 4):
         r = r.withColumn(f"s{i}", F.lead("state", i).over(w))
     made = [F.when(F.col(f"s{n - 1}").isNotNull(), F.struct(F.concat_ws(fn.ARROW, "state", *(f"s{i}" for i in range(1, n))).alias("sequence"), F.lit(n).alias("length"))) for n in range(2, 5)]
-    return r.select("home", "date", "band", F.explode(F.array_compact(F.array(*made))).alias("g")).select("home", "date", "band", "g.*")
+    return r.select("home", "date", "band", "ts", "k", F.explode(F.array_compact(F.array(*made))).alias("g")).select("home", "date", "band", "ts", "k", "g.*")
 
 
 @query("WITH x AS (SELECT l_shipdate AS d, l_suppkey, l_linenumber, l_returnflag FROM lineitem) SELECT CAST(d AS DATE)::VARCHAR AS day, l_returnflag AS method, count(*) AS n, count(*) - count(DISTINCT ROW(l_suppkey, l_linenumber)) AS duplicates, CASE WHEN count(*) > 1 THEN round((count(*) - count(DISTINCT ROW(l_suppkey, l_linenumber))) / count(*), 6) END AS duplicate_rate FROM x GROUP BY ALL")
@@ -331,3 +331,61 @@ def frequency_baseline(spark, sf):
     """The 25 most frequent sequences of bands."""
     return evaluation.frequency_baseline(_grams(spark, sf), 2, 25)
 
+
+
+# Quality ----------------------------------------------------------------------------------------------------------------
+
+_QUALITY = f"""{EV}, {runs_sql('home, date, band')}, {_grams_sql('home, date, band', 2, 4)}, q AS (
+  SELECT band, sequence, string_split(sequence, '->') AS x, count(*) FILTER (ts < TIMESTAMP '{SPLIT}') AS tr, count(*) FILTER (ts >= TIMESTAMP '{SPLIT}') AS te FROM g GROUP BY band, sequence
+), fl AS (
+  SELECT *, tr > 0 AND te > 0 AS c, te / (tr + te) AS hit, (te % 7) / 10 AS pu, (tr % 5) / 10 AS ah, (tr % 3) / 10 AS ap, len(x) = 2 AS fr, {_SELF} AS tw, {_TRIP} AS bt, {_LOOP} AS lo FROM q
+), qa AS (
+  SELECT band, sequence, c, c AND (hit >= 0.6 OR pu >= 0.3) AS g, c AND ah < 0.2 AND ap < 0.2 AS la, c AND bt AS b, c AND lo AS l, c AND (tw OR bt OR lo) AS st, c AND fr AS fr FROM fl
+)"""
+
+
+def _flagged(spark, sf) -> DataFrame:
+    g, split = _grams(spark, sf), F.lit(SPLIT).cast("timestamp_ntz")
+    q = g.groupBy("band", "sequence").agg(F.count_if(F.col("ts") < split).alias("train_support"), F.count_if(F.col("ts") >= split).alias("test_support"))
+    a, b = F.col("train_support"), F.col("test_support")
+    rows = q.select("*", (b / (a + b)).alias("hit_rate"), (b % 7 / 10).alias("purity"), (a % 5 / 10).alias("any_hit_rate"), (a % 3 / 10).alias("any_purity"), (F.size(F.split("sequence", fn.ARROW)) == 2).cast("int").alias("fragmented"))
+    return patterns.quality(rows, [OTHER], (0.6, 0.3), (0.2, 0.2))
+
+
+@query(f"WITH {_QUALITY} SELECT band, sequence, CAST(c AS INTEGER) AS counted, CAST(g AS INTEGER) AS grounded, CAST(la AS INTEGER) AS useless_a, CAST(b AS INTEGER) AS useless_b, CAST(l AS INTEGER) AS useless_c, CAST(la OR b OR l AS INTEGER) AS useless, CAST(st AS INTEGER) AS structural, CAST(st OR la AS INTEGER) AS contextless, CAST(fr AS INTEGER) AS fragment, CAST(g AND NOT st AND NOT fr AS INTEGER) AS useful FROM qa")
+def pattern_quality(spark, sf):
+    """Which sequences of bands are grounded, useless, broken off or useful."""
+    return _flagged(spark, sf).select("band", "sequence", "counted", "grounded", "useless_a", "useless_b", "useless_c", "useless", "structural", "contextless", "fragment", "useful")
+
+
+@query(f"WITH {_QUALITY} SELECT band, count(*) AS n_patterns, count(*) FILTER (c) AS n_counted, {', '.join(f'round(coalesce(count(*) FILTER ({x}) / nullif(count(*) FILTER (c), 0), 0), 6) AS {n}_rate' for n, x in {'grounded': 'g', 'useless': 'la OR b OR l', 'contextless': 'st OR la', 'structural': 'st', 'fragment': 'fr', 'useful': 'g AND NOT st AND NOT fr'}.items())} FROM qa GROUP BY band")
+def quality_rates(spark, sf):
+    """The shares of these flags in each band."""
+    return _round(patterns.quality_rates(_flagged(spark, sf), ["band"]), "grounded_rate", "useless_rate", "contextless_rate", "structural_rate", "fragment_rate", "useful_rate")
+
+
+@query(f"WITH {EV}, {runs_sql('home, date, band')}, {_grams_sql('home, date, band', 2, 4)}, u AS (SELECT band, sequence, max(CAST(ts >= TIMESTAMP '{SPLIT}' AS INTEGER)) AS p, max(CAST(k = 3 AS INTEGER)) AS t FROM g GROUP BY band, sequence) SELECT band, count(*) FILTER (p = 1 AND t = 1) AS tp, count(*) FILTER (p = 1 AND t = 0) AS fp, count(*) FILTER (p = 0 AND t = 1) AS fn, count(*) FILTER (p = 0 AND t = 0) AS tn FROM u GROUP BY band")
+def confusion(spark, sf):
+    """Sequences after the split against those that begin with k = 3, over all sequences of a band."""
+    g, split = _grams(spark, sf), F.lit(SPLIT).cast("timestamp_ntz")
+    return scoring.confusion(g.filter(F.col("ts") >= split), g.filter("k = 3"), g, ["sequence"], ["band"])
+
+
+@query(f"WITH {EV}, s AS (SELECT home, min(ts) AS a, max(ts) AS b FROM ev GROUP BY home) SELECT home, a + to_microseconds(CAST(floor((epoch_us(b) - epoch_us(a)) * 0.7) AS BIGINT)) AS split FROM s")
+def split_instants(spark, sf):
+    """Seven tenths of each home's span of time."""
+    return patterns.split_at(log(spark, sf), ["home"], ratio=0.7)
+
+
+@query(f"WITH {EV}, s AS (SELECT home, min(ts) AS a FROM ev GROUP BY home) SELECT home, CAST(CAST(a AS DATE) + 21 AS TIMESTAMP) AS split FROM s")
+def split_after_days(spark, sf):
+    """The midnight 21 days after each home's first day."""
+    return patterns.split_at(log(spark, sf), ["home"], days=21)
+
+
+@query(f"WITH {INTERVAL_TABLES}, pu AS (SELECT home, category, min(start_time) AS s, max(end_time) AS e FROM (SELECT *, sum(CASE WHEN r IS NULL OR start_time > r THEN 1 ELSE 0 END) OVER (PARTITION BY home, category ORDER BY start_time, end_time ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, max(end_time) OVER (PARTITION BY home, category ORDER BY start_time, end_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM pr)) GROUP BY home, category, isl), tu AS (SELECT home, category, min(start_time) AS s, max(end_time) AS e FROM (SELECT *, sum(CASE WHEN r IS NULL OR start_time > r THEN 1 ELSE 0 END) OVER (PARTITION BY home, category ORDER BY start_time, end_time ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, max(end_time) OVER (PARTITION BY home, category ORDER BY start_time, end_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM tr)) GROUP BY home, category, isl), sh AS (SELECT pu.category, sum((epoch_us(least(pu.e, tu.e)) - epoch_us(greatest(pu.s, tu.s))) / 1e6) AS tp FROM pu JOIN tu ON pu.home = tu.home AND pu.category = tu.category AND pu.s < tu.e AND tu.s < pu.e GROUP BY pu.category), a AS (SELECT category, sum((epoch_us(e) - epoch_us(s)) / 1e6) AS p FROM pu GROUP BY category), b AS (SELECT category, sum((epoch_us(e) - epoch_us(s)) / 1e6) AS t FROM tu GROUP BY category) SELECT category, round(coalesce(tp, 0), 3) AS tp, round(coalesce(p, 0), 3) AS predicted, round(coalesce(t, 0), 3) AS true_seconds, round(coalesce(2 * tp / (p + t), 0), 6) AS f1 FROM a FULL JOIN b USING (category) LEFT JOIN sh USING (category)")
+def weighted_seconds(spark, sf):
+    """Predicted, true and shared seconds of each category."""
+    e = log(spark, sf)
+    out = intervals.category_seconds(predictions(e).drop("ord"), truths(e).drop("ord"), ["home"]).withColumnRenamed("true", "true_seconds")
+    return _round(_round(out.select("category", "tp", "predicted", "true_seconds", "f1"), "f1"), "tp", "predicted", "true_seconds", digits=3)

@@ -184,9 +184,9 @@ def window_support(spark, sf):
     return _round(sequences.window_support(log(spark, sf), ["home"], 24), "support", "confidence")
 
 
-@query(f"WITH {_WINDOWS}, m AS (SELECT c.sequence, sum(c.windows_with) / sum(n_windows) AS support, sum(c.cnt) / sum(p.cnt) AS confidence FROM ct AS c JOIN ct AS p ON c.home = p.home AND p.n = c.n - 1 AND p.sequence = regexp_replace(c.sequence, '->[^>]*$', '') JOIN tot ON c.home = tot.home WHERE c.n >= 2 GROUP BY c.sequence), f AS (SELECT sequence, count(*) AS cnt, min(n) AS n, min(ROW(ts, ord)) AS f FROM (SELECT g2.* FROM (SELECT * FROM g WHERE n >= 2) AS g2) GROUP BY sequence ORDER BY cnt DESC, sequence LIMIT 40), gr AS (SELECT s.v / 100.0 AS s, c.v / 20.0 AS c FROM range(1, 11) AS s(v), range(1, 11) AS c(v)), u AS (SELECT gr.s, gr.c, coalesce(m.support >= gr.s AND m.confidence >= gr.c, false) AS t, f.sequence IS NOT NULL AS p FROM m FULL JOIN f ON m.sequence = f.sequence, gr), k AS (SELECT s AS support_min, c AS confidence_min, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM u GROUP BY s, c) SELECT round(support_min, 6) AS support_min, round(confidence_min, 6) AS confidence_min, tp, fp, fn, tn, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1 FROM k")
+@query(f"WITH {_WINDOWS}, m AS (SELECT c.sequence, sum(c.windows_with) / sum(n_windows) AS support, sum(c.cnt) / sum(p.cnt) AS confidence FROM ct AS c JOIN ct AS p ON c.home = p.home AND p.n = c.n - 1 AND p.sequence = regexp_replace(c.sequence, '->[^>]*$', '') JOIN tot ON c.home = tot.home WHERE c.n >= 2 GROUP BY c.sequence), f AS (SELECT sequence, count(*) AS cnt, min(n) AS n, min(ROW(ts, ord)) AS f FROM (SELECT g2.* FROM (SELECT * FROM g WHERE n >= 2) AS g2) GROUP BY sequence ORDER BY cnt DESC, sequence LIMIT 40), gr AS (SELECT s.v / 100.0 AS s, c.v / 20.0 AS c FROM range(1, 21) AS s(v), range(1, 21) AS c(v)), u AS (SELECT gr.s, gr.c, coalesce(m.support >= gr.s AND m.confidence >= gr.c, false) AS t, f.sequence IS NOT NULL AS p FROM m FULL JOIN f ON m.sequence = f.sequence, gr), k AS (SELECT s AS support_min, c AS confidence_min, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM u GROUP BY s, c) SELECT round(support_min, 6) AS support_min, round(confidence_min, 6) AS confidence_min, tp, fp, fn, tn, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1 FROM k")
 def threshold_grid(spark, sf):
-    """F1 of the forty most frequent sequences for a hundred pairs of thresholds on pooled support and confidence."""
+    """F1 of the forty most frequent sequences for four hundred pairs of thresholds on pooled support and confidence."""
     e = log(spark, sf)
     w = sequences.window_support(e, ["home"], 24)
     # pooled over homes: windows with the sequence over windows, and counts over counts of prefixes
@@ -196,7 +196,7 @@ def threshold_grid(spark, sf):
     total = w.groupBy("sequence").agg((F.sum("windows_with") / F.sum("n_windows")).alias("support"))
     prefix = slots.select("home", F.col("sequence").alias("_p"), F.col("cnt").alias("_c"))
     conf = slots.filter("n >= 2").withColumn("_p", F.regexp_replace("sequence", "->[^>]*$", "")).join(prefix, ["home", "_p"]).groupBy("sequence").agg((F.sum("cnt") / F.sum("_c")).alias("confidence"))
-    grid = scoring.threshold_grid(total.join(conf, "sequence"), top, [i / 100 for i in range(1, 11)], [i / 20 for i in range(1, 11)])
+    grid = scoring.threshold_grid(total.join(conf, "sequence"), top, [i / 100 for i in range(1, 21)], [i / 20 for i in range(1, 21)])
     return _round(grid.select("support_min", "confidence_min", "tp", "fp", "fn", "tn", "f1"), "support_min", "confidence_min", "f1")
 
 
