@@ -306,12 +306,12 @@ def strict_records(spark, sf):
     return out.select("band", F.array_join("states", fn.ARROW).alias("sequence"), "o_orderkey")
 
 
-_CATALOG = f"{EV}, {runs_sql('home, date, band')}, {_grams_sql('home, date, band', 2, 4)}, su AS (SELECT home % 4 AS target, band, sequence, n, count(DISTINCT home || '|' || date) AS support FROM g GROUP BY ALL HAVING count(DISTINCT home || '|' || date) >= 3), ca AS (SELECT * FROM su QUALIFY rank() OVER (PARTITION BY target, band ORDER BY support DESC, n DESC) = 1)"
+_CATALOG = f"{EV}, {runs_sql('home, date, band')}, {_grams_sql('home, date, band', 2, 4)}, su AS (SELECT home AS target, band, sequence, n, count(DISTINCT home || '|' || date) AS support FROM g GROUP BY ALL HAVING count(DISTINCT home || '|' || date) >= 2), ca AS (SELECT * FROM su QUALIFY rank() OVER (PARTITION BY target, band ORDER BY support DESC, n DESC) = 1)"
 
 
 def _catalog(spark, sf):
-    g = _grams(spark, sf).withColumns({"target": F.col("home") % 4, "episode": F.concat_ws("|", "home", "date")})
-    return evaluation.gold_catalog(g.groupBy("target", "band", "episode").agg(F.collect_set("sequence").alias("sequences")), "target", 3)
+    g = _grams(spark, sf).withColumns({"target": F.col("home"), "episode": F.concat_ws("|", "home", "date")})
+    return evaluation.gold_catalog(g.groupBy("target", "band", "episode").agg(F.collect_set("sequence").alias("sequences")), "target", 2)
 
 
 @query(f"WITH {_CATALOG} SELECT target, band, sequence, support FROM ca")
