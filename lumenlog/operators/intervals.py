@@ -140,7 +140,7 @@ def hit_rates(predictions: DataFrame, truths: DataFrame, keys: list[str], catego
 def greedy_match(pairs: DataFrame, group: list[str], prediction: str, truth: str, score: str) -> DataFrame:
     """One-to-one pairs of each group, best first: by score, prediction and truth, all falling.
 
-    Groups are a home's pairs in one category: what is sequential stays inside a group, and groups are spread.
+    What is sequential stays inside a group, and groups are spread; a group's pairs are one frame of one task, so `group` has to name what bounds them, such as a home (and a day).
     """
     schema = pairs.select(*group, prediction, truth, score).schema
 
