@@ -88,7 +88,7 @@ def test_no_passage_is_left_twice(stages):
             assert seen.setdefault(w, (i, at))[0] == i, (i, seen[w])
     times = {}
     for i, t in old.items():
-        for w in set(windows(t)):
+        for w in windows(t):
             times[w] = times.get(w, 0) + 1
     clean = {i for i, t in old.items() if all(times[w] == 1 for w in windows(t))}
     lines = {}
