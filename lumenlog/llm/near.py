@@ -43,8 +43,7 @@ def flagged(rows: DataFrame, columns: list[str], places: DataFrame) -> DataFrame
 
 
 def linked(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b, n_a, n_b), those with den * overlap >= num * union, by `segments` of their sets: overlaps by fragment, summed per pair."""
-    pairs = written(pairs, "pairs")
+    """Of the pairs (a, b, n_a, n_b; written), those with den * overlap >= num * union, by `segments` of their sets: overlaps by fragment, summed per pair."""
     if pairs.isEmpty():
         return pairs.select("a", "b")
     sets = written(sets_of(pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct()), "sets", "uncompressed")
@@ -155,17 +154,24 @@ def _roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: i
     # rows that share most of their keys come first: the text that others were copied from
     central = entries.groupBy("row").agg(F.count(F.lit(1)).alias("c"))
     known = written(entries.join(central, "row").withColumn("root", F.col("row")), "known")
-    open_, links = known, None
+    open_, links, tried = known, None, None
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        """Those that no turn has looked at, written: no pair of sets is compared twice."""
+        pairs = _wide_allow(pairs, held, num, den) if "wide" in held.columns else pairs
+        return written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+
     for turn in range(HUB_TURNS):
         order = F.xxhash64("row", F.lit(turn)) if turn else F.struct((-F.col("c")).alias("c"), "row")
         main = open_.filter("root = main") if turn else open_
         hubs = written(main.groupBy("gram").agg(F.min_by(F.struct("row", "n", "root"), order).alias("h")).select("gram", "h.*"), "hubs")
         star = open_.alias("x").join(hubs.alias("y"), "gram").filter("x.root <> y.root").filter(allowed)
         pairs = _with_maps(_pairs(star), maps).filter(_bits_allow("x", "y", words, num, den)).select("a", "b", "n_a", "n_b")
-        pairs = _wide_allow(pairs, held, num, den) if "wide" in held.columns else pairs
+        pairs = fresh(pairs)
         with temporary(held.sparkSession):  # the sets are the bulk
             more = linked(pairs, sets_of, num, den)
             links = written(more if links is None else links.unionAll(more), "links", stays=True)
+        tried = pairs.select("a", "b") if tried is None else tried.unionAll(pairs.select("a", "b"))
         found = components(links)
         roots = written(found.withColumnsRenamed({"node": "row", "root": "_root"}), "roots")
         known = written(known.join(roots, "row", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root"), "known")
@@ -176,8 +182,7 @@ def _roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: i
     open_ = written(open_.join(maps, "row"), "compared")
     rest = open_.filter("root <> main").alias("x").join(open_.alias("y"), "gram")
     rest = rest.filter(F.expr("x.root <> y.root AND (y.root = y.main OR x.row < y.row)") & allowed & _bits_allow("x", "y", words, num, den))
-    pairs = _wide_allow(_pairs(rest), held, num, den) if "wide" in held.columns else _pairs(rest)
-    return components(links.unionAll(linked(pairs, sets_of, num, den)))
+    return components(links.unionAll(linked(fresh(_pairs(rest)), sets_of, num, den)))
 
 
 def _open(known: DataFrame) -> DataFrame:
