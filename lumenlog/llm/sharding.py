@@ -20,9 +20,10 @@ a null doc_id is an id like others; an empty table gives an empty table; other c
 
 from __future__ import annotations
 
+import json
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlog.llm.shared import temporary, written
@@ -52,6 +53,13 @@ def _splitters(sample: list[tuple[int, int]], step: int) -> set[Splitter]:
     return out
 
 
+def _table(spark: SparkSession, rows: list[tuple], **kinds: str) -> DataFrame:
+    """A small table from a literal, so that no Python worker makes its rows."""
+    text = json.dumps([dict(zip(kinds, r)) for r in rows])
+    kind = ", ".join(f"{n}: {k}" for n, k in kinds.items())
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
 def _ranged(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
     """Adds `range`, the number of splitters at or before a row."""
     spark = rows.sparkSession
@@ -62,7 +70,7 @@ def _ranged(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
     cells, base = [], 0
     for cell in range(1 << CELL_BITS):
         own = by_cell.get(cell, [])
-        cells.append((cell, base, own))
+        cells.append((cell, base, [{"key": key, "n": n, "inside": cut} for key, n, cut in own]))
         base += sum(n for _, n, _ in own)
     inside = []
     for key, subs in by_key:
@@ -73,11 +81,11 @@ def _ranged(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
         for cell in range(1 << SUB_BITS):
             low = cell << (HASH_BITS - SUB_BITS)
             inside.append((key, cell, whole + sum(s < low for s in held), [s for s in held if s >> (HASH_BITS - SUB_BITS) == cell]))
-    found = rows.withColumn("cell", F.shiftright("key", HASH_BITS - CELL_BITS)).join(F.broadcast(spark.createDataFrame(cells, "cell long, base long, held array<struct<key: long, n: int, inside: boolean>>")), "cell")
+    found = rows.withColumn("cell", F.shiftright("key", HASH_BITS - CELL_BITS)).join(F.broadcast(_table(spark, cells, cell="long", base="long", held="array<struct<key: long, n: int, inside: boolean>>")), "cell")
     at = F.expr("base + aggregate(filter(held, s -> s.key < key OR s.key = key AND NOT s.inside), 0L, (sum, s) -> sum + s.n)")
     found = found.withColumn("range", at).drop("cell", "base", "held")
     if inside:
-        table = spark.createDataFrame(inside, "key long, cell long, base long, subs array<long>")
+        table = _table(spark, inside, key="long", cell="long", base="long", subs="array<long>")
         found = found.withColumn("cell", F.shiftright("sub", HASH_BITS - SUB_BITS)).join(F.broadcast(table), ["key", "cell"], "left")
         found = found.withColumn("range", F.col("range") + F.expr("coalesce(base + size(filter(subs, s -> s <= sub)), 0)")).drop("cell", "base", "subs")
     return found
@@ -134,7 +142,7 @@ def _placed(docs: DataFrame, shards: int, law: str) -> DataFrame:
 
     order = Window.partitionBy("range").orderBy("key", "sub")
     of_text = Window.partitionBy("range", "key")
-    placed = ranged.join(F.broadcast(docs.sparkSession.createDataFrame(before, "range long, weight_before long, rows_before long")), "range")
+    placed = ranged.join(F.broadcast(_table(docs.sparkSession, before, range="long", weight_before="long", rows_before="long")), "range")
     placed = placed.withColumns(
         {"before": F.col("weight_before") + F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight"), "number": F.col("rows_before") + F.row_number().over(order) - 1}
     )
