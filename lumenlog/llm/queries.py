@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import jaccard_join, media, mixing, segmentations, sharding, substring_dedup, token_counts, token_files, toxicity, vector_search
+from lumenlog.llm import fill_in_middle, jaccard_join, media, mixing, segmentations, sharding, substring_dedup, token_counts, token_files, toxicity, vector_search
 from lumenlog.llm.shared import shared_dir
 
 
@@ -111,5 +111,27 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_token_counts": op2_token_counts, "op3_top_k": op3_top_k, "op4_segmentations": op4_segmentations, "op5_toxicity": op5_toxicity, "op6_substring_dedup": op6_substring_dedup, "op7_sharding": op7_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_media": op10_media}
-ORACLE: dict[str, str] = {"op3_top_k": OP3_SQL, "op7_sharding": OP7_SQL}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over documents: half of them as fill-in-middle texts, and what is restored from these."""
+    made = fill_in_middle.transformed(table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80)
+    hashed = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hashed(F.col("output")).alias("output_sha256"), hashed(fill_in_middle.restored()).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents
+), r AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+    x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 AS plain, CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 AS spm FROM d
+), c AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM r
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE WHEN plain THEN x WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256
+FROM c
+"""
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op2_token_counts": op2_token_counts, "op3_top_k": op3_top_k, "op4_segmentations": op4_segmentations, "op5_toxicity": op5_toxicity, "op6_substring_dedup": op6_substring_dedup, "op7_sharding": op7_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_media": op10_media, "op12_fill_in_middle": op12_fill_in_middle}
+ORACLE: dict[str, str] = {"op3_top_k": OP3_SQL, "op7_sharding": OP7_SQL, "op12_fill_in_middle": OP12_SQL}
