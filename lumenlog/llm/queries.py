@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import fill_in_middle, jaccard_join, media, mixing, segmentations, sharding, substring_dedup, token_counts, token_files, toxicity, vector_search
+from lumenlog.llm import fill_in_middle, jaccard_join, lexical_search, media, mixing, segmentations, sharding, substring_dedup, token_counts, token_files, toxicity, vector_search
 from lumenlog.llm.shared import shared_dir
 
 
@@ -111,6 +111,33 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over documents: the 50 best of them all for each item of benchmark."""
+    return lexical_search.ranked(lexical_search.built(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
+_TERMS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL
+), k AS (
+  SELECT count(*) AS N, CAST(sum(len(terms)) AS BIGINT) AS L FROM d WHERE len(terms) > 0
+), p AS (
+  SELECT r, doc_id, own, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS own, unnest(terms) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), k
+), q AS (
+  SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark
+), s AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * own * N) // L))))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), k GROUP BY item_id, r, doc_id
+), o AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 12 over documents: half of them as fill-in-middle texts, and what is restored from these."""
     made = fill_in_middle.transformed(table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80)
@@ -133,5 +160,5 @@ FROM c
 """
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_token_counts": op2_token_counts, "op3_top_k": op3_top_k, "op4_segmentations": op4_segmentations, "op5_toxicity": op5_toxicity, "op6_substring_dedup": op6_substring_dedup, "op7_sharding": op7_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_media": op10_media, "op12_fill_in_middle": op12_fill_in_middle}
-ORACLE: dict[str, str] = {"op3_top_k": OP3_SQL, "op7_sharding": OP7_SQL, "op12_fill_in_middle": OP12_SQL}
+QUERIES = {"op1_token_files": op1_token_files, "op2_token_counts": op2_token_counts, "op3_top_k": op3_top_k, "op4_segmentations": op4_segmentations, "op5_toxicity": op5_toxicity, "op6_substring_dedup": op6_substring_dedup, "op7_sharding": op7_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_media": op10_media, "op11_lexical_search": op11_lexical_search, "op12_fill_in_middle": op12_fill_in_middle}
+ORACLE: dict[str, str] = {"op3_top_k": OP3_SQL, "op7_sharding": OP7_SQL, "op11_lexical_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
