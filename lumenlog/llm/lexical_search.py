@@ -34,7 +34,7 @@ from lumenlog.llm.chunks import Hasher, pieces_of
 from lumenlog.llm.shared import written
 
 BLOCK = 128
-SHARD_BYTES = 1 << 25
+SHARD_BYTES = 1 << 24
 SHARD_DOCS = 1 << 16
 #: Queries that are sent to all tasks at once, in bytes of their terms; more go in further passes over the index.
 CHUNK_BYTES = 1 << 24
@@ -329,7 +329,8 @@ def ranked(index: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
 
         wanted = terms.unionAll(spark.createDataFrame([(None,)], "term binary"))  # and the shards' own rows
         rows = index.join(F.broadcast(wanted), index.term.eqNullSafe(wanted.term), "left_semi")
-        parts.append(rows.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("term")).mapInArrow(search, HITS))
+        # a set number of tasks: by bytes alone few tasks would get all shards, and searching costs more than reading
+        parts.append(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", F.asc_nulls_first("term")).mapInArrow(search, HITS))
     if not parts:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     hits = parts[0]
