@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import BANDS, f1_of, micros, overlap_seconds, safe_divide, seconds_between, temporal_iou, time_band
+from lumenlog.operators.percentiles import joined, percentiles
 
 BUCKET_SECONDS = 6 * 3600
 
@@ -170,7 +171,10 @@ def long_enough(rows: DataFrame, least: dict[str, float], default: float, by: li
 def boundary_errors(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Of matched pairs (see `iou_pairs`): mean signed and median absolute seconds between starts and between ends, and the mean IoU."""
     s, e = seconds_between("b_start_time", "start_time"), seconds_between("b_end_time", "end_time")
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("start_mean"), F.median(F.abs(s)).alias("start_median_abs"), F.avg(e).alias("end_mean"), F.median(F.abs(e)).alias("end_median_abs"), F.avg("iou").alias("mean_iou"))
+    out = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("start_mean"), F.avg(e).alias("end_mean"), F.avg("iou").alias("mean_iou"))
+    for name, x in (("start_median_abs", s), ("end_median_abs", e)):
+        out = joined(out, percentiles(pairs, by, F.abs(x), {name: 0.5}), by)
+    return out
 
 
 def activity_truth(marks: DataFrame, keys: list[str], until: Column | None = None) -> DataFrame:

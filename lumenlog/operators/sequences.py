@@ -1,53 +1,73 @@
 """States of homes over time: runs, transitions, durations, n-grams, mined patterns.
 
 A series is a DataFrame with keys (a home, and what it is split by), `ts`, `ord` (a tie-break) and `state`. Every window is partitioned by the
-keys, so homes spread over the cluster; no operator sorts all rows together.
+keys, so homes spread over the cluster; no operator sorts all rows together. Where one key may be too long for a task, `block` (see `blocks`) cuts
+it: same rows, and no task holds more of a key than a block.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import ARROW, filter_reason, seconds_between, time_band
+from lumenlog.operators import blocks
+from lumenlog.operators.percentiles import joined, percentiles
 
 ORDER = ("ts", "ord")
 
 
-def runs(series: DataFrame, keys: list[str]) -> DataFrame:
+def runs(series: DataFrame, keys: list[str], block: Column | None = None) -> DataFrame:
     """The first row of every run of one state; rows without a state are left out."""
     series = series.filter(F.col("state").isNotNull())
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    return series.withColumn("_last", F.lag("state").over(w)).filter(~F.col("state").eqNullSafe(F.col("_last"))).drop("_last")
+    if block is None:
+        marked = series.withColumn("_last", F.lag("state").over(Window.partitionBy(*keys).orderBy(*ORDER)))
+    else:
+        marked = blocks.neighbours(series, keys, block, ORDER, before={"_last": F.col("state")})
+    return marked.filter(~F.col("state").eqNullSafe(F.col("_last"))).drop("_last")
 
 
-def steps(series: DataFrame, keys: list[str]) -> DataFrame:
+def steps(series: DataFrame, keys: list[str], block: Column | None = None) -> DataFrame:
     """Each run with the state of the next one; the last run of a key is left out."""
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    return runs(series, keys).withColumn("next_state", F.lead("state").over(w)).filter(F.col("next_state").isNotNull())
+    changes = runs(series, keys, block)
+    if block is None:
+        moved = changes.withColumn("next_state", F.lead("state").over(Window.partitionBy(*keys).orderBy(*ORDER)))
+    else:
+        moved = blocks.neighbours(changes, keys, block, ORDER, after={"next_state": F.col("state")})
+    return moved.filter(F.col("next_state").isNotNull())
 
 
-def transitions(series: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+def transitions(series: DataFrame, keys: list[str], by: list[str], block: Column | None = None) -> DataFrame:
     """by, src, dst, cnt, prob: moves inside a key, counted over `by`; chances sum to 1 for each source."""
-    counted = steps(series, keys).groupBy(*by, F.col("state").alias("src"), F.col("next_state").alias("dst")).agg(F.count(F.lit(1)).alias("cnt"))
+    counted = steps(series, keys, block).groupBy(*by, F.col("state").alias("src"), F.col("next_state").alias("dst")).agg(F.count(F.lit(1)).alias("cnt"))
     return counted.withColumn("prob", F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*by, "src")))
 
 
-def durations(series: DataFrame, keys: list[str], by: list[str], last: float = 1.0) -> DataFrame:
+def durations(series: DataFrame, keys: list[str], by: list[str], last: float = 1.0, block: Column | None = None) -> DataFrame:
     """by, state, seconds: until the next row of the key; the last row counts `last` seconds."""
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    held = series.withColumn("_s", F.coalesce(seconds_between("ts", F.lead("ts").over(w)), F.lit(last)))
+    if block is None:
+        ahead = series.withColumn("_next", F.lead("ts").over(Window.partitionBy(*keys).orderBy(*ORDER)))
+    else:
+        ahead = blocks.neighbours(series, keys, block, ORDER, after={"_next": F.col("ts")})
+    held = ahead.withColumn("_s", F.coalesce(seconds_between("ts", "_next"), F.lit(last)))
     return held.groupBy(*by, "state").agg(F.sum("_s").alias("seconds"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def intervals(series: DataFrame, keys: list[str]) -> DataFrame:
+def intervals(series: DataFrame, keys: list[str], block: Column | None = None) -> DataFrame:
     """keys, start_time, end_time, state: runs up to the next run; the last ends at the key's last row. Empty intervals are left out."""
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    marked = series.withColumn("_prev", F.lag("state").over(w)).withColumn("_end", F.max("ts").over(Window.partitionBy(*keys)))
-    first = marked.filter(~F.col("state").eqNullSafe(F.col("_prev")))
-    out = first.select(*keys, F.col("ts").alias("start_time"), F.coalesce(F.lead("ts").over(w), F.col("_end")).alias("end_time"), "state", "ord")
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy(*ORDER)
+        marked = series.withColumn("_prev", F.lag("state").over(w)).withColumn("_end", F.max("ts").over(Window.partitionBy(*keys)))
+        first = marked.filter(~F.col("state").eqNullSafe(F.col("_prev")))
+        ahead = first.withColumn("_next", F.lead("ts").over(w))
+    else:
+        # a key's last row is known by having none behind it; where its run began earlier, the run's end is that row's time
+        marked = blocks.neighbours(series, keys, block, ORDER, before={"_prev": F.col("state")}, after={"_after": F.col("ts")})
+        edges = marked.withColumn("_new", ~F.col("state").eqNullSafe(F.col("_prev"))).filter(F.col("_new") | F.col("_after").isNull())
+        ahead = blocks.neighbours(edges, keys, block, ORDER, after={"_next": F.col("ts")}).filter("_new").withColumn("_end", F.col("ts"))
+    out = ahead.select(*keys, F.col("ts").alias("start_time"), F.coalesce("_next", "_end").alias("end_time"), "state", "ord")
     return out.filter("end_time > start_time")
 
 
@@ -89,8 +109,8 @@ def transaction_support(held: DataFrame, keys: list[str], others: list[str], min
     grams = rows.select(*keys, bucket.alias("bucket"), "start_time", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("g"))
     grams = grams.select(*keys, "bucket", F.col("g.sequence").alias("seq"), seconds_between("start_time", "g.end_time").alias("span"))
     total = held.select(F.count_distinct(bucket).alias("n_buckets"))
-    out = grams.groupBy("seq").agg(F.count_distinct("bucket").alias("support"), F.count(F.lit(1)).alias("cnt"), F.median("span").alias("median_span"), F.percentile("span", 0.9).alias("p90_span"))
-    out = out.filter(F.col("support") >= min_support).join(F.broadcast(total))  # one row
+    out = grams.groupBy("seq").agg(F.count_distinct("bucket").alias("support"), F.count(F.lit(1)).alias("cnt")).filter(F.col("support") >= min_support)
+    out = joined(out, percentiles(grams, ["seq"], "span", {"median_span": 0.5, "p90_span": 0.9}), ["seq"]).join(F.broadcast(total))  # one row
     reason = filter_reason("seq", F.col("median_span"), F.col("p90_span"), others, most_median, most_p90)
     return out.select(F.concat_ws(ARROW, "seq").alias("sequence"), "support", "cnt", (F.col("support") / F.col("n_buckets")).alias("support_ratio"), "median_span", "p90_span", reason.alias("filter_reason"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import safe_divide, seconds_between
+from lumenlog.operators.percentiles import joined, percentiles
 
 
 def daily_variation(events: DataFrame, by: list[str]) -> DataFrame:
@@ -24,7 +25,8 @@ def gaps(events: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Seconds between a key's events: count, mean, median, 90th percentile."""
     w = Window.partitionBy(*keys).orderBy("ts", "ord")
     g = events.withColumn("gap", seconds_between(F.lag("ts").over(w), "ts")).filter(F.col("gap").isNotNull())
-    return g.groupBy(*by).agg(F.count(F.lit(1)).alias("n_gaps"), F.avg("gap").alias("mean_gap"), F.median("gap").alias("median_gap"), F.percentile("gap", 0.9).alias("p90_gap"))
+    out = g.groupBy(*by).agg(F.count(F.lit(1)).alias("n_gaps"), F.avg("gap").alias("mean_gap"))
+    return joined(out, percentiles(g, by, "gap", {"median_gap": 0.5, "p90_gap": 0.9}), by)
 
 
 def activations(events: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -33,7 +35,9 @@ def activations(events: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     changed = events.withColumn("_p", F.lag("bit").over(w)).filter((F.col("_p").isNull() & (F.col("bit") == 1)) | (F.col("_p") != F.col("bit")))
     held = changed.withColumn("_next", F.lead("ts").over(w)).filter(F.col("_next").isNotNull()).withColumn("s", seconds_between("ts", "_next"))
     on, off = F.when(F.col("bit") == 1, F.col("s")), F.when(F.col("bit") == 0, F.col("s"))
-    return held.groupBy(*by).agg(F.count(on).alias("n_on"), F.avg(on).alias("mean_on"), F.median(on).alias("median_on"), F.count(off).alias("n_off"), F.median(off).alias("median_off"))
+    out = held.groupBy(*by).agg(F.count(on).alias("n_on"), F.avg(on).alias("mean_on"), F.count(off).alias("n_off"))
+    out = joined(out, percentiles(held, by, on, {"median_on": 0.5}), by)
+    return joined(out, percentiles(held, by, off, {"median_off": 0.5}), by).select(*by, "n_on", "mean_on", "median_on", "n_off", "median_off")
 
 
 def divergence(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -50,12 +54,23 @@ def divergence(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def quantile_distance(a: DataFrame, b: DataFrame, column: str, points: int = 256) -> DataFrame:
     """Mean distance of two samples' quantiles at evenly spaced points (interpolated)."""
     at = [(i + 0.5) / points for i in range(points)]
-    qa = a.agg(F.percentile(column, at).alias("qa"))
-    qb = b.agg(F.percentile(column, at).alias("qb"))
+    qa, qb = percentiles(a, [], column, {"qa": at}), percentiles(b, [], column, {"qb": at})
     pairs = qa.join(F.broadcast(qb)).select(F.explode(F.arrays_zip("qa", "qb")).alias("x"))  # one row each
     return pairs.agg(F.avg(F.abs(F.col("x.qa") - F.col("x.qb"))).alias("distance"))
 
 
+def ranked_distance(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Of two counts by key (sensors, states), most frequent first: the mean distance of the shares at equal ranks, and at how many ranks both have the same key.
+
+    Ties are in order of the key; where one side has fewer keys, its share is 0.
+    """
+    by = Window.partitionBy(F.lit(1))  # one row for each key of a histogram
+    side = lambda x, name: x.select(F.row_number().over(by.orderBy(F.desc("n"), key)).alias("rank"), F.col(key).alias(f"_k{name}"), (F.col("n") / F.sum("n").over(by)).alias(f"_s{name}"))
+    both = side(a, "a").join(side(b, "b"), "rank", "full")
+    gap = F.abs(F.coalesce("_sa", F.lit(0.0)) - F.coalesce("_sb", F.lit(0.0)))
+    return both.agg(F.count(F.lit(1)).alias("n_ranks"), F.avg(gap).alias("mean_distance"), F.sum(gap).alias("distance"), F.count_if(F.col("_ka") == F.col("_kb")).alias("same_key"))
+
+
 def network_summary(edges: DataFrame, by: list[str]) -> DataFrame:
     """States, edges, density, share of edges whose reverse exists, mean entropy of what leaves a state."""
     states = edges.select(*by, F.explode(F.array("src", "dst")).alias("s")).groupBy(*by).agg(F.count_distinct("s").alias("n_states"))

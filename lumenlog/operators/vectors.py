@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import OTHER, hamming, micros
+from lumenlog.operators import blocks
 
 
 def _at(us: Column) -> Column:
@@ -23,24 +24,29 @@ def bit_of(sensor: Column | str, sensors: list[str]) -> Column:
     return out.cast("long")
 
 
-def event_vectors(events: DataFrame, keys: list[str], sensors: list[str]) -> DataFrame:
+def _mask(values: list[Column]) -> Column:
+    """The mask of sensors' values; null is 0."""
+    return sum((F.coalesce(v, F.lit(0)).cast("long") * F.lit(1 << i) for i, v in enumerate(values)), F.lit(0).cast("long"))
+
+
+def event_vectors(events: DataFrame, keys: list[str], sensors: list[str], block: Column | None = None) -> DataFrame:
     """keys, ts, ord, mask after each event of a known sensor and value; every sensor starts at 0.
 
-    events: keys, ts, ord, sensor, bit. One window a home: each sensor's last value is a running max over (place, value).
+    events: keys, ts, ord, sensor, bit. Each sensor's last value so far, in one window a home, or in one for each `block` of a home (see `blocks`).
     """
-    w = Window.partitionBy(*keys).orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
     known = events.filter(F.col("sensor").isin(sensors) & F.col("bit").isNotNull())
-    parts = [F.coalesce(F.last(F.when(F.col("sensor") == s, F.col("bit").cast("long")), ignorenulls=True).over(w), F.lit(0)) * F.lit(1 << i) for i, s in enumerate(sensors)]
-    mask = parts[0]
-    for p in parts[1:]:
-        mask = mask + p
-    return known.select(*keys, "ts", "ord", mask.cast("long").alias("mask"))
+    values = [F.when(F.col("sensor") == s, F.col("bit").cast("long")) for s in sensors]
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
+        return known.select(*keys, "ts", "ord", _mask([F.last(v, ignorenulls=True).over(w) for v in values]).alias("mask"))
+    held = blocks.folded(known, keys, block, ("ts", "ord"), {f"_h{i}": ("last", v) for i, v in enumerate(values)})
+    return held.select(*keys, "ts", "ord", _mask([F.col(f"_h{i}") for i in range(len(sensors))]).alias("mask"))
 
 
-def sample_and_hold(events: DataFrame, keys: list[str], sensors: list[str], start: str, step_seconds: int, n: int) -> DataFrame:
+def sample_and_hold(events: DataFrame, keys: list[str], sensors: list[str], start: str, step_seconds: int, n: int, block_points: int | None = None) -> DataFrame:
     """keys, ts, mask on a grid of n points: an event counts from the first point at or after it; events before the grid count at its first point.
 
-    The grid is one range of rows for each home; last values fill forward in one window a home.
+    The grid is one range of rows for each home; last values fill forward in one window a home, or in one for every `block_points` points of it.
     """
     t0, step = micros(F.lit(start).cast("timestamp_ntz")), step_seconds * 1_000_000
     slot = F.greatest(F.lit(0).cast("long"), F.ceil((micros("ts") - t0) / F.lit(step)).cast("long"))
@@ -48,10 +54,18 @@ def sample_and_hold(events: DataFrame, keys: list[str], sensors: list[str], star
     last = held.groupBy(*keys, "slot", "sensor").agg(F.max_by("bit", F.struct("ts", "ord")).alias("bit"))
     values = [F.max(F.when(F.col("sensor") == s, F.col("bit"))).alias(f"_v{i}") for i, s in enumerate(sensors)]
     at_slot = last.groupBy(*keys, "slot").agg(*values)
-    grid = events.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("slot"))
-    w = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(at_slot, [*keys, "slot"], "left")
-    mask = sum((F.coalesce(F.last(f"_v{i}", ignorenulls=True).over(w), F.lit(0)).cast("long") * F.lit(1 << i) for i in range(len(sensors))), F.lit(0).cast("long"))
+    homes = events.select(*keys).distinct()
+    if block_points is None:
+        grid = homes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("slot"))
+        w = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+        filled = grid.join(at_slot, [*keys, "slot"], "left")
+        mask = _mask([F.last(f"_v{i}", ignorenulls=True).over(w) for i in range(len(sensors))])
+    else:
+        # blocks of a home first, points when blocks are spread, so that no task writes a home's whole grid
+        firsts = homes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(block_points).cast("long"))).alias("_first")).repartition(*keys, "_first")
+        grid = firsts.select(*keys, F.explode(F.sequence("_first", F.least(F.col("_first") + (block_points - 1), F.lit(n - 1)))).alias("slot"))
+        held = blocks.folded(grid.join(at_slot, [*keys, "slot"], "left"), keys, F.floor(F.col("slot") / F.lit(block_points)), ("slot",), {f"_h{i}": ("last", F.col(f"_v{i}")) for i in range(len(sensors))})
+        filled, mask = held, _mask([F.col(f"_h{i}") for i in range(len(sensors))])
     return filled.select(*keys, _at(t0 + F.col("slot") * step).alias("ts"), mask.alias("mask"))
 
 
@@ -63,10 +77,13 @@ def delayed_off(vectors: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return vectors.withColumn("mask", F.bit_or("mask").over(w))
 
 
-def compressed(vectors: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts",)) -> DataFrame:
+def compressed(vectors: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts",), block: Column | None = None) -> DataFrame:
     """The first row of every run of one mask."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return vectors.withColumn("_p", F.lag("mask").over(w)).filter(F.col("_p").isNull() | (F.col("_p") != F.col("mask"))).drop("_p")
+    if block is None:
+        marked = vectors.withColumn("_p", F.lag("mask").over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        marked = blocks.neighbours(vectors, keys, block, order, before={"_p": F.col("mask")})
+    return marked.filter(F.col("_p").isNull() | (F.col("_p") != F.col("mask"))).drop("_p")
 
 
 def representative_states(vectors: DataFrame, k: int, order: tuple[str, ...]) -> DataFrame:

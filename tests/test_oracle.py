@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lumenlog.plans import evaluations, more, queries as plans
+from lumenlog.plans import evaluations, more, queries as plans, scale
 
-assert more and evaluations  # add their queries to plans
+assert more and evaluations and scale  # add their queries to plans
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("events", "conversations", "orders", "customer", "lineitem"):
+    for t in ("events", "conversations", "orders", "customer", "lineitem", "part", "supplier"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
