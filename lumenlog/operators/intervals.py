@@ -6,11 +6,11 @@ its overlap begins, so it comes once. Nothing is broadcast, and long intervals f
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import BANDS, f1_of, micros, overlap_seconds, safe_divide, seconds_between, temporal_iou, time_band
+from lumenlog.operators.matching import one_to_one
 from lumenlog.operators.percentiles import joined, percentiles
 
 BUCKET_SECONDS = 6 * 3600
@@ -139,23 +139,8 @@ def hit_rates(predictions: DataFrame, truths: DataFrame, keys: list[str], catego
 
 
 def greedy_match(pairs: DataFrame, group: list[str], prediction: str, truth: str, score: str) -> DataFrame:
-    """One-to-one pairs of each group, best first: by score, prediction and truth, all falling.
-
-    What is sequential stays inside a group, and groups are spread; a group's pairs are one frame of one task, so `group` has to name what bounds them, such as a home (and a day).
-    """
-    schema = pairs.select(*group, prediction, truth, score).schema
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        taken_p, taken_t, keep = set(), set(), []
-        rows = rows.sort_values([score, prediction, truth], ascending=False)
-        for i, p, t in zip(rows.index, rows[prediction], rows[truth]):
-            if p not in taken_p and t not in taken_t:
-                taken_p.add(p)
-                taken_t.add(t)
-                keep.append(i)
-        return rows.loc[keep]
-
-    return pairs.select(*group, prediction, truth, score).groupBy(*group).applyInPandas(match, schema)
+    """One-to-one pairs of each group, best first: by score, prediction and truth, all falling; see `matching`."""
+    return one_to_one(pairs.select(*group, prediction, truth, score), group, prediction, truth, [F.col(score), F.col(prediction), F.col(truth)])
 
 
 def long_enough(rows: DataFrame, least: dict[str, float], default: float, by: list[str]) -> tuple[DataFrame, DataFrame]:

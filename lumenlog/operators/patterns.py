@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import ARROW, alternating_loop, has_part, other_round_trip, safe_divide, self_transition
+from lumenlog.functions import ARROW, alternating_loop, f1_of, has_part, other_round_trip, safe_divide, self_transition
+from lumenlog.operators.matching import one_to_one
 
 
 def merge_bands(patterns: DataFrame) -> DataFrame:
@@ -102,8 +103,8 @@ def key_scores(gold: DataFrame, predicted: DataFrame, keys: list[str], by: list[
     return out.withColumn("f1", safe_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"), None))
 
 
-def holding_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """prediction, truth: pairs of sequences of a and b of which one stands in the other; an equi-join on the parts of both, none of all pairs."""
+def holding_pairs(a: DataFrame, b: DataFrame, a_may_hold: bool = True, b_may_hold: bool = True) -> DataFrame:
+    """prediction, truth: pairs of sequences of a and b that are equal, or of which one stands in the other as far as allowed; an equi-join on parts, none of all pairs."""
 
     def whole(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(F.col("sequence").alias(name), F.col("sequence").alias("_part")).distinct()
@@ -111,8 +112,27 @@ def holding_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     def parts(rows: DataFrame, name: str) -> DataFrame:
         s = F.split("sequence", ARROW)
         every = F.expr("array_distinct(flatten(transform(sequence(1, size(_s)), k -> transform(sequence(1, size(_s) - k + 1), i -> array_join(slice(_s, i, k), '->')))))")
-        return rows.select("sequence", s.alias("_s")).select(F.col("sequence").alias(name), F.explode(every).alias("_part"))
+        return rows.select("sequence", s.alias("_s")).distinct().select(F.col("sequence").alias(name), F.explode(every).alias("_part"))
 
-    inside = whole(a, "prediction").join(parts(b, "truth"), "_part").select("prediction", "truth")
-    around = parts(a, "prediction").join(whole(b, "truth"), "_part").select("prediction", "truth")
-    return inside.unionAll(around).distinct()
+    left, right = (parts(a, "prediction") if a_may_hold else whole(a, "prediction")), (parts(b, "truth") if b_may_hold else whole(b, "truth"))
+    inside = whole(a, "prediction").join(right, "_part").select("prediction", "truth")
+    return inside.unionAll(left.join(whole(b, "truth"), "_part").select("prediction", "truth")).distinct() if a_may_hold else inside.distinct()
+
+
+def listed_matches(predicted: DataFrame, gold: DataFrame, by: list[str], a_may_hold: bool = False, b_may_hold: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two lists of sequences matched one to one in list order, and their scores.
+
+    predicted, gold: by, place (in the list), sequence. Each prediction in turn takes the first gold sequence that is left and matches it: is equal, or stands in it (`a_may_hold`), or
+    holds it (`b_may_hold`). Matches: by, prediction, truth (places), sequence, gold_sequence. Scores: by, tp, fp, fn, precision, recall, f1.
+    """
+    held = holding_pairs(predicted.select("sequence"), gold.select("sequence"), a_may_hold, b_may_hold)
+    a = predicted.select(*by, F.col("place").alias("prediction"), F.col("sequence"))
+    b = gold.select(*by, F.col("place").alias("truth"), F.col("sequence").alias("gold_sequence"))
+    pairs = a.join(held.withColumnsRenamed({"prediction": "sequence", "truth": "gold_sequence"}), "sequence").join(b, [*by, "gold_sequence"])
+    found = one_to_one(pairs.select(*by, "prediction", "truth", "sequence", "gold_sequence"), by, "prediction", "truth", [-F.col("prediction"), -F.col("truth")])
+    n = F.count(F.lit(1))
+    sides = a.groupBy(*by).agg(n.alias("_a")).join(b.groupBy(*by).agg(n.alias("_b")), by, "full") if by else a.agg(n.alias("_a")).join(b.agg(n.alias("_b")))
+    tp = found.groupBy(*by).agg(n.alias("tp"))
+    counts = (sides.join(tp, by, "left") if by else sides.join(tp)).fillna(0, ["_a", "_b", "tp"])
+    p, r = safe_divide(F.col("tp"), F.col("_a")), safe_divide(F.col("tp"), F.col("_b"))
+    return found, counts.select(*by, "tp", (F.col("_a") - F.col("tp")).alias("fp"), (F.col("_b") - F.col("tp")).alias("fn"), p.alias("precision"), r.alias("recall"), f1_of(p, r).alias("f1"))

@@ -174,11 +174,29 @@ def timeline(spark, sf):
     return out.select("home", F.col("date").cast("string").alias("date"), F.hour("at").alias("hour"), "state")
 
 
-@query()
+def _listed_sql(name: str, where: str) -> str:
+    return f"{name}r AS (SELECT * FROM (SELECT *, lag(state) OVER (PARTITION BY home ORDER BY ts, ord) AS _p FROM ev WHERE {where}) WHERE _p IS NULL OR _p <> state), {_grams_sql('home', 2, 4, name + 'r').replace('a AS (', name + 'a AS (', 1).replace('g AS (', name + 'g AS (', 1).replace('FROM a', f'FROM {name}a')}, {name} AS (SELECT sequence, CAST(row_number() OVER (ORDER BY c DESC, sequence) AS INTEGER) AS place FROM (SELECT sequence, count(*) AS c FROM {name}g GROUP BY sequence ORDER BY c DESC, sequence LIMIT 120))"
+
+
+@query(f"""WITH RECURSIVE {EV}, {_listed_sql("x", f"ts < TIMESTAMP '{SPLIT}'")}, {_listed_sql("y", f"ts >= TIMESTAMP '{SPLIT}'")},
+c AS (SELECT x.place AS p, list(y.place ORDER BY y.place) FILTER (y.place IS NOT NULL) AS ts FROM x LEFT JOIN y ON x.sequence = y.sequence OR contains('->' || x.sequence || '->', '->' || y.sequence || '->') GROUP BY x.place),
+m AS (SELECT 0 AS p, [] :: INTEGER[] AS taken, NULL :: INTEGER AS truth UNION ALL SELECT c.p, CASE WHEN len(l.f) > 0 THEN list_append(m.taken, l.f[1]) ELSE m.taken END, l.f[1] FROM m JOIN c ON c.p = m.p + 1, LATERAL (SELECT list_filter(coalesce(c.ts, []), lambda t: NOT list_contains(m.taken, t)) AS f) AS l)
+SELECT p AS prediction, truth, x.sequence, y.sequence AS gold_sequence FROM m JOIN x ON x.place = p JOIN y ON y.place = truth""")
 def listed_matches(spark, sf):
-    """Frequent sequences of two halves of the log matched one to one, by equality or containment."""
-    e, split = log(spark, sf), F.lit(SPLIT).cast("timestamp_ntz")
-    a, b = (sequences.top_patterns(sequences.ngram_counts(x, ["home"], []), [], 20).select("sequence") for x in (e.filter(F.col("ts") < split), e.filter(F.col("ts") >= split)))
-    pairs = patterns.holding_pairs(a, b)
-    score = (F.col("prediction") == F.col("truth")).cast("double")
-    return intervals.greedy_match(pairs.withColumn("part", F.lit(1)).withColumn("iou", score), ["part"], "prediction", "truth", "iou")
+    """Frequent sequences of two halves of the log matched in list order; a prediction may hold what it matches."""
+    return patterns.listed_matches(*_two_lists(spark, sf), [], a_may_hold=True)[0]
+
+
+def _two_lists(spark, sf) -> list[DataFrame]:
+    e, split, out = log(spark, sf), F.lit(SPLIT).cast("timestamp_ntz"), []
+    for half in (e.filter(F.col("ts") < split), e.filter(F.col("ts") >= split)):
+        top = sequences.ngram_counts(half, ["home"], []).groupBy("sequence").agg(F.sum("cnt").alias("c")).orderBy(F.desc("c"), "sequence").limit(120)
+        out.append(top.select("sequence", F.row_number().over(Window.orderBy(F.desc("c"), "sequence")).alias("place")))  # 120 rows
+    return out
+
+
+@query(f"""WITH {EV}, {_listed_sql("x", f"ts < TIMESTAMP '{SPLIT}'")}, {_listed_sql("y", f"ts >= TIMESTAMP '{SPLIT}'")}, k AS (SELECT count(*) FILTER (x.place IS NOT NULL AND y.place IS NOT NULL) AS tp, count(*) FILTER (y.place IS NULL) AS fp, count(*) FILTER (x.place IS NULL) AS fn FROM x FULL JOIN y USING (sequence))
+SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM k""")
+def listed_scores(spark, sf):
+    """Scores of the same lists where only equal sequences match."""
+    return _round(patterns.listed_matches(*_two_lists(spark, sf), [])[1], "precision", "recall", "f1")

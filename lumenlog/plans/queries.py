@@ -375,7 +375,10 @@ def hit_rates(spark, sf):
     return intervals.hit_rates(predictions(e), truths(e).drop("ord"), ["home"], "category", 7200.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {INTERVAL_TABLES}, o AS (SELECT a.home, a.ord AS prediction, b.ord AS truth, {_IOU} AS iou FROM pr AS a JOIN tr AS b ON a.home = b.home AND a.start_time < b.end_time AND b.start_time < a.end_time),
+r AS (SELECT *, row_number() OVER (PARTITION BY home ORDER BY iou DESC, prediction DESC, truth DESC) AS nth FROM o WHERE iou >= 0.01),
+m AS (SELECT DISTINCT home, 0 AS nth, [] :: BIGINT[] AS ps, [] :: BIGINT[] AS ts, false AS hit FROM r UNION ALL SELECT r.home, r.nth, CASE WHEN f THEN list_append(ps, prediction) ELSE ps END, CASE WHEN f THEN list_append(ts, truth) ELSE ts END, f FROM m JOIN r ON r.home = m.home AND r.nth = m.nth + 1, LATERAL (SELECT NOT list_contains(ps, prediction) AND NOT list_contains(ts, truth) AS f) AS l)
+SELECT home, prediction, truth, round(iou, 6) AS iou FROM m JOIN r USING (home, nth) WHERE hit""")
 def greedy_matches(spark, sf):
     """One-to-one matches of a home's predictions and truths, best IoU first."""
     e = log(spark, sf)
