@@ -34,34 +34,42 @@ class TrieCounter:
         self.byte = table.BYTE
         self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}
 
-    def _best(self, text: str, end: int, above: list[tuple[float, int]]) -> tuple[float, int]:
-        """Score and negated count at `end`, from those of all shorter beginnings."""
-        score, n = above[end - 1]
+    def _best(self, text: str, end: int, above: list[tuple[float, int]], first: int = 0) -> tuple[float, int]:
+        """Score and negated count at `end`, from those of shorter beginnings: above[i] is that of length first + i."""
+        score, n = above[end - 1 - first]
         char = text[end - 1]
         best = (score + self.score[char], n - 1) if char in self.score else (score + self.byte * (k := len(char.encode())), n - k)
         get = self.score.get
         for start in range(max(0, end - self.longest), end - 1):
             s = get(text[start:end])
-            if s is not None and (found := (above[start][0] + s, above[start][1] - 1)) > best:
+            if s is not None and (found := (above[start - first][0] + s, above[start - first][1] - 1)) > best:
                 best = found
         return best
 
     def _insert(self, token: str) -> int:
-        nodes = self.nodes if len(token) <= IN_TRIE else {"": (0.0, 0)}
-        held = len(token)
+        nodes, held = self.nodes, len(token)
         while token[:held] not in nodes:
             held -= 1
         above = [nodes[token[:i]] for i in range(held + 1)]
         for end in range(held + 1, len(token) + 1):
             above.append(self._best(token, end, above))
-            if len(token) <= IN_TRIE:
-                nodes[token[:end]] = above[-1]
+            nodes[token[:end]] = above[-1]
+        return -above[-1][1]
+
+    def _long(self, token: str) -> int:
+        """A word that is too long for the trie: only the scores that a piece may still reach back to are kept."""
+        above, first = [(0.0, 0)], 0
+        for end in range(1, len(token) + 1):
+            above.append(self._best(token, end, above, first))
+            if len(above) > 64 * self.longest:
+                cut = len(above) - self.longest - 1
+                above, first = above[cut:], first + cut
         return -above[-1][1]
 
     def __call__(self, word: str) -> int:
         if len(self.nodes) > NODES:
             self.nodes = {"": (0.0, 0)}
-        return self._insert("▁" + word)
+        return self._insert("▁" + word) if len(word) < IN_TRIE else self._long("▁" + word)
 
 
 def _table(model: str) -> Table:

@@ -65,7 +65,10 @@ def folded(text: str) -> str:
 def bare(token: str) -> str:
     """Without the signs around it; a sign that is repeated behind a word belongs to what is around it."""
     token = token.strip(_ASIDE)
-    return re.sub(r"([^\w])\1+$", "", token).strip(_ASIDE)
+    if token and not (token[-1].isalnum() or token[-1] == "_"):
+        kept = token.rstrip(token[-1])
+        token = kept if len(kept) < len(token) - 1 else token
+    return token.strip(_ASIDE)
 
 
 def overlapping(token: str) -> Iterator[str]:

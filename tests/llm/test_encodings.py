@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -226,3 +227,11 @@ def test_media(spark, odd_docs, no_docs):
 def test_hashes_tell_words_apart():
     spans = chunks.Hasher()([b"a b ab ba a", b"", b"b a"])
     assert len(set(spans.key.tolist())) == 4 and spans.first.tolist() == [0, 5, 5, 7] and spans.text(2) == "ab"
+
+
+@pytest.mark.parametrize("word", ["ab" * 200_000, "éx9" * 100_000, "QUJD/x+9" * 50_000])
+def test_counts_of_very_long_words(word):
+    """Linear in the word's length, and the same as by the plain recurrence on a part of it."""
+    c, began = token_counts.TrieCounter(pieces(MODEL)), time.time()
+    assert c(word) > 0 and time.time() - began < 20
+    assert [c(word[:n]) for n in (40, 47, 48, 49, 3000)] == [brute_count(pieces(MODEL), "▁" + word[:n]) for n in (40, 47, 48, 49, 3000)]

@@ -1,3 +1,4 @@
+import random
 import math
 import os
 import zlib
@@ -250,3 +251,22 @@ def test_held_out_labels_are_met(spark):
     rows = toxicity.scores(spark.read.parquet(f"{data}/documents.parquet"), labels, out).join(labels, "doc_id").filter("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in rows)
     assert hit >= 0.75 * sum(r.toxic for r in rows) and hit >= 0.9 * sum(r.predicted for r in rows) and len(rows) > 400
+
+
+def test_bare_tokens_in_linear_time():
+    import re
+    import time
+
+    from lumenlog.llm import toxicity
+
+    def plain(token):
+        token = token.strip(toxicity._ASIDE)
+        return re.sub(r"([^\w])\1+$", "", token).strip(toxicity._ASIDE)
+
+    rng = random.Random(2)
+    for _ in range(20_000):
+        token = "".join(rng.choice("a9_$€.é(") for _ in range(rng.randint(0, 9)))
+        assert toxicity.bare(token) == plain(token), token
+    began = time.time()
+    toxicity.bare("a" + "." * 1_000_000 + "b" + "$" * 1_000_000)
+    assert time.time() - began < 2
