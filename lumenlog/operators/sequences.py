@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumenlog.functions import ARROW, filter_reason, seconds_between, time_band
 from lumenlog.operators import blocks
 from lumenlog.operators.percentiles import joined, percentiles
+from lumenlog.operators.search import occurrences  # noqa: F401  a part of this module's API
 
 ORDER = ("ts", "ord")
 
@@ -149,30 +150,6 @@ def window_support(series: DataFrame, keys: list[str], hours: int, least: int =
     return whole.select(*keys, "sequence", "n", "windows_with", "n_windows", (F.col("windows_with") / F.col("n_windows")).alias("support"), (F.col("cnt") / F.col("prefix_cnt")).alias("confidence"))
 
 
-def occurrences(series: DataFrame, keys: list[str], patterns: DataFrame, other: str | None = None, most_skip: float = 0.0, longest: int | None = None) -> DataFrame:
-    """keys, sequence, start_time, end_time of every place where a pattern's states follow each other in intervals; starts may overlap.
-
-    With `other`, one interval of that state, no longer than `most_skip` seconds, may stand between two states of the pattern. All
-    windows of intervals become text keys once and meet the patterns in one equi-join. Windows are as long as the longest pattern (`longest`, or counted: one number).
-    """
-    if longest is None:
-        longest = max(2, patterns.agg(F.coalesce(F.max(F.size(F.split("sequence", ARROW))), F.lit(2))).first()[0])
-    w = Window.partitionBy(*keys).orderBy("start_time", "ord")
-    rows = series
-    for i in range(1, longest + 1):
-        rows = rows.withColumns({f"_s{i}": F.lead("state", i).over(w), f"_e{i}": F.lead("end_time", i).over(w), f"_d{i}": F.lead(seconds_between("start_time", "end_time"), i).over(w)})
-    names = ["state", *(f"_s{i}" for i in range(1, longest + 1))]
-    made = [F.when(F.col(names[n - 1]).isNotNull(), F.struct(F.concat_ws(ARROW, *names[:n]).alias("sequence"), F.col(f"_e{n - 1}").alias("end_time"))) for n in range(2, longest + 1)]
-    if other is not None:
-        for n in range(3, longest + 2):
-            for skip in range(1, n - 1):
-                kept = [names[i] for i in range(n) if i != skip]
-                fits = F.col(names[n - 1]).isNotNull() & (F.col(names[skip]) == other) & (F.col(f"_d{skip}") <= most_skip) & (F.col(names[skip + 1]) != other)
-                made.append(F.when(fits, F.struct(F.concat_ws(ARROW, *kept).alias("sequence"), F.col(f"_e{n - 1}").alias("end_time"))))
-    grams = rows.select(*keys, "start_time", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("g")).select(*keys, "start_time", "g.*")
-    return grams.join(patterns.select("sequence").distinct(), "sequence").groupBy(*keys, "sequence", "start_time").agg(F.min("end_time").alias("end_time"))
-
-
 def by_band(series: DataFrame, keys: list[str]) -> DataFrame:
     """The runs of each band by itself: a state goes on over the times that lie in other bands, and begins anew in each band."""
     return runs(series, [*keys, "band"])

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lumenlog.functions import OTHER
 from lumenlog.operators import sequences, stats, vectors
 from lumenlog.operators.blocks import daily
+from lumenlog.operators.shared import stored
 from lumenlog.plans.adapter import EV, SENSORS, SPLIT, log
-from lumenlog.plans.queries import ORACLE, _round, query
+from lumenlog.plans.queries import _IV, ORACLE, _round, _span_grams, query
 
 
 def uneven(spark, sf) -> DataFrame:
@@ -74,3 +75,15 @@ def ranked_distance(spark, sf):
     count = lambda x: x.groupBy("sensor").agg(F.count(F.lit(1)).alias("n"))
     out = stats.ranked_distance(count(e.filter((F.col("ts") < split) & (F.col("bit") == 1))), count(e.filter((F.col("ts") >= split) & (F.col("bit") == 0) & (F.col("state") != OTHER))), "sensor")
     return _round(out, "mean_distance", "distance")
+
+
+_MANY = "tp AS (SELECT sequence FROM (SELECT sequence, count(*) AS c FROM g GROUP BY sequence) ORDER BY c DESC, sequence LIMIT 1000)"
+
+
+@query(_uneven(f"WITH {_IV}, {_span_grams(7)}, {_MANY} SELECT home, sequence, start_time, end_time FROM g WHERE sequence IN (SELECT sequence FROM tp)"))
+def long_occurrences(spark, sf):
+    """Where the thousand most frequent sequences of two to seven intervals stand, in homes that are cut by date."""
+    held = stored(sequences.intervals(uneven(spark, sf), ["home"], daily()))
+    named = held.withColumnRenamed("start_time", "ts")
+    counts = sequences.ngrams(named, ["home"], 2, 7).groupBy("sequence").agg(F.count(F.lit(1)).alias("c"))
+    return sequences.occurrences(held, ["home"], counts.orderBy(F.desc("c"), "sequence").limit(1000), block=daily("start_time"))
