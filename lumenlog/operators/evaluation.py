@@ -2,47 +2,57 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import ARROW, f1_of, safe_divide, set_scores, time_band, token_cost, within_band
-from lumenlog.operators import intervals, scoring, vectors
+from lumenlog.functions import ARROW, OTHER, f1_of, hamming, safe_divide, set_scores, time_band, token_cost, within_band
+from lumenlog.operators import intervals, scoring, search, vectors
+from lumenlog.operators.shared import stored
 
 ALL = "All"
 METRICS = ["exact_set_match", "jaccard", "precision", "recall", "f1"]
 SCOPES = ["conditional", "end_to_end"]
 
 
-def matched(patterns: DataFrame, occurrences: DataFrame) -> DataFrame:
+def matched(patterns: DataFrame, occurrences: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Occurrences of each pattern, by its own or its group's id; by its sequence only where the ids have none.
 
-    patterns: pattern_id, group_id, band, sequence. occurrences: pattern_id (null where a file has none), sequence, start_time, end_time and others.
-    Adds assigned (it starts in the pattern's band; `All` takes every one), crossing (it leaves its band) and accepted.
+    patterns: by, pattern_id, group_id, band, sequence. occurrences: pattern_id (null where a file has none, or no such column), sequence, start_time, end_time and others; columns of `by` that they have, such as a condition, have to
+    be equal. Adds assigned (it starts in the pattern's band; `All` takes every one), crossing (it leaves its band) and accepted.
     """
-    own = patterns.select(F.col("pattern_id").alias("_p"), F.col("band").alias("_band"), F.col("sequence").alias("_s"), F.explode(F.array_distinct(F.array("pattern_id", F.coalesce("group_id", "pattern_id")))).alias("_id"))
-    by_id = own.join(occurrences, F.col("_id") == F.col("pattern_id")).drop("_id")
-    rest = own.drop("_id").distinct().join(by_id.select("_p").distinct(), "_p", "left_anti")
-    by_sequence = rest.filter("_s <> ''").join(occurrences, F.col("_s") == F.col("sequence"))
-    both = by_id.unionByName(by_sequence).drop("_s", "pattern_id").withColumnsRenamed({"_p": "pattern_id", "_band": "band"})
+    by = by or []
+    on = [c for c in by if c in occurrences.columns]
+    own = patterns.select(*by, F.col("pattern_id").alias("_p"), F.col("band").alias("_band"), F.col("sequence").alias("_s"), F.explode(F.array_distinct(F.array("pattern_id", F.coalesce("group_id", "pattern_id")))).alias("_id"))
+    seen = occurrences.drop("pattern_id").withColumn("_s", F.col("sequence"))
+    if "pattern_id" in occurrences.columns:
+        known = occurrences.filter(F.col("pattern_id").isNotNull()).select(*on, F.col("pattern_id").alias("_id")).distinct()
+        with_id = own.join(known, [*on, "_id"], "left_semi")
+        by_id = with_id.drop("_s").join(occurrences.withColumnRenamed("pattern_id", "_id"), [*on, "_id"]).drop("_id")
+        rest = own.drop("_id").distinct().join(with_id.select(*by, "_p").distinct(), [*by, "_p"], "left_anti")
+        both = by_id.unionByName(rest.filter("_s <> ''").join(seen, [*on, "_s"]).drop("_s"))
+    else:
+        both = own.drop("_id").distinct().filter("_s <> ''").join(seen, [*on, "_s"]).drop("_s")
+    both = both.withColumnsRenamed({"_p": "pattern_id", "_band": "band"})
     whole, every = within_band("start_time", "end_time", time_band("start_time")), F.col("band") == ALL
     assigned = every | (time_band("start_time") == F.col("band"))
     crosses = F.when(every, time_band("start_time") != time_band(F.col("end_time") - F.expr("INTERVAL 0.000001 SECOND"))).otherwise(~whole)
     return both.withColumns({"assigned": assigned, "crossing": assigned & crosses, "accepted": assigned & (every | whole)})
 
 
-def interpretation_scores(patterns: DataFrame, occurrences: DataFrame, truths: DataFrame, keys: list[str], ratio: float) -> DataFrame:
+def interpretation_scores(patterns: DataFrame, occurrences: DataFrame, truths: DataFrame, keys: list[str], ratio: float, by: list[str] | None = None) -> DataFrame:
     """Predicted against true label sets of patterns, in two scopes.
 
-    patterns: pattern_id, group_id, band, sequence, labels, status (valid, missing, unknown). A pattern that occurs nowhere scores 0 end to end and nothing conditionally; one whose
+    patterns: by (a condition, a run), pattern_id, group_id, band, sequence, labels, status (valid, missing, unknown). A pattern that occurs nowhere scores 0 end to end and nothing conditionally; one whose
     occurrences meet no truth scores nothing at all; one without a valid prediction scores 0 in both. Truth: labels with `ratio` of the summed overlap at least.
+    The matched occurrences are stored; counts and overlaps, and so all scopes and strata, are read from that table.
     """
-    found = matched(patterns, occurrences)
-    counts = found.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_matching"), F.count_if("assigned").alias("n_assigned"), F.count_if("crossing").alias("n_crossing"), F.count_if("accepted").alias("n_occurrences"))
-    shared = intervals.overlap_join(found.filter("accepted").select("pattern_id", *keys, "start_time", "end_time"), truths.select(*keys, "category", "start_time", "end_time"), keys)
-    true = scoring.true_sets(shared.withColumnRenamed("b_category", "category"), ["pattern_id"], ratio).withColumnsRenamed({"labels": "true_labels", "total": "overlap_seconds"})
-    rows = patterns.join(counts, "pattern_id", "left").fillna(0, ["n_matching", "n_assigned", "n_crossing", "n_occurrences"]).join(true, "pattern_id", "left")
+    by = by or []
+    every = [*by, "pattern_id"]
+    found = stored(matched(patterns, occurrences, by).select(*every, *keys, "start_time", "end_time", "assigned", "crossing", "accepted"))
+    counts = found.groupBy(*every).agg(F.count(F.lit(1)).alias("n_matching"), F.count_if("assigned").alias("n_assigned"), F.count_if("crossing").alias("n_crossing"), F.count_if("accepted").alias("n_occurrences"))
+    shared = intervals.overlap_join(found.filter("accepted").select(*every, *keys, "start_time", "end_time"), truths.select(*keys, "category", "start_time", "end_time"), keys)
+    true = scoring.true_sets(shared.withColumnRenamed("b_category", "category"), every, ratio).withColumnsRenamed({"labels": "true_labels", "total": "overlap_seconds"})
+    rows = patterns.join(counts, every, "left").fillna(0, ["n_matching", "n_assigned", "n_crossing", "n_occurrences"]).join(true, every, "left")
     occurs, defined, valid = F.col("n_occurrences") > 0, F.col("overlap_seconds").isNotNull(), F.col("status") == "valid"
     none = F.array().cast("array<string>")
     scores = {m: x.cast("double") for m, x in set_scores(F.coalesce("labels", none), F.coalesce("true_labels", none)).items()}
@@ -52,7 +62,37 @@ def interpretation_scores(patterns: DataFrame, occurrences: DataFrame, truths: D
         out[f"conditional_{m}"] = F.when(occurs & defined, scored)
         out[f"end_to_end_{m}"] = F.when(~occurs, F.lit(0.0)).when(defined, scored)
     status = {"occurrence_status": F.when(occurs, "matched").otherwise("no_occurrence"), "truth_status": F.when(occurs & defined, "defined").otherwise("no_adl_overlap")}
-    return rows.select("pattern_id", "band", "sequence", "labels", "status", "n_matching", "n_assigned", "n_crossing", "n_occurrences", "true_labels", F.coalesce("overlap_seconds", F.lit(0.0)).alias("overlap_seconds"), *(x.alias(n) for n, x in (status | out).items()))
+    return rows.select(*every, "band", "sequence", "labels", "status", "n_matching", "n_assigned", "n_crossing", "n_occurrences", "true_labels", F.coalesce("overlap_seconds", F.lit(0.0)).alias("overlap_seconds"), *(x.alias(n) for n, x in (status | out).items()))
+
+
+def searched(patterns: DataFrame, series: DataFrame, keys: list[str], by: list[str], other: str | None, most_skip: float, block: Column | None) -> DataFrame:
+    """by, keys, sequence, start_time, end_time of all patterns in the series of their own condition, in one search.
+
+    series: by (those of `by` that tell series apart), keys, start_time, end_time, ord, state. States carry their condition through the search, so that a
+    pattern is looked for in its own series only; `other` does not, as it is passed over in all.
+    """
+    tag = F.concat(*(x for c in by for x in (F.col(c).cast("string"), F.lit("|")))) if by else F.lit("")
+    tagged = lambda s: F.when(s == F.lit(other), s).otherwise(F.concat(tag, s)) if other is not None else F.concat(tag, s)
+    bare = lambda s: F.when(s == F.lit(other), s).otherwise(F.substr(s, F.length(tag) + 1)) if other is not None else F.substr(s, F.length(tag) + 1)
+    states = lambda f: F.array_join(F.transform(F.split("sequence", ARROW), f), ARROW)
+    wanted = patterns.select(*by, "sequence").distinct().select(states(tagged).alias("sequence"))
+    found = search.occurrences(series.withColumn("state", tagged(F.col("state"))), [*by, *keys], wanted, other, most_skip, block)
+    return found.withColumn("sequence", states(bare))
+
+
+def evaluated(patterns: DataFrame, series: DataFrame, truths: DataFrame, keys: list[str], ratio: float, by: list[str] | None = None, period: tuple[str, str] | None = None, other: str | None = None, most_skip: float = 0.0, block: Column | None = None) -> dict[str, DataFrame]:
+    """One method from search to summary: details (see `interpretation_scores`), and their summary as a whole, by band, by true label and by frequency.
+
+    patterns: by, pattern_id, group_id, band, sequence, labels, status. series: keys, start_time, end_time, ord, state, and those columns of `by` that tell series apart (others, such as a run, share them). Of series
+    and truths the part inside `period` counts. Frequency: thirds of a row of `by`, by accepted occurrences, the rarest first.
+    """
+    by = by or []
+    if period is not None:
+        series, truths = intervals.clip(series, *period), intervals.clip(truths, *period)
+    found = searched(patterns, series, keys, [c for c in by if c in series.columns], other, most_skip, block)
+    details = stored(interpretation_scores(patterns, found, truths, keys, ratio, by))
+    seen = scoring.tertiles(details.filter("n_occurrences > 0"), by, ["n_occurrences", "band", "sequence", "pattern_id"])
+    return {"details": details, "summary": summary(details, by), "bands": summary(details, [*by, "band"]), "labels": label_summary(details, "true_labels", by), "frequencies": summary(seen, [*by, "frequency_band"])}
 
 
 def evaluable(rows: DataFrame, scope: str) -> Column:
@@ -78,9 +118,9 @@ def summary(details: DataFrame, by: list[str]) -> DataFrame:
     return details.groupBy(*by).agg(*(x.alias(name) for name, x in (counts | rates | means).items()))
 
 
-def label_summary(details: DataFrame, labels: str) -> DataFrame:
+def label_summary(details: DataFrame, labels: str, by: list[str] | None = None) -> DataFrame:
     """`summary` for each label of an array column; a pattern counts for each of its labels."""
-    return summary(details.withColumn("label", F.explode(labels)), ["label"])
+    return summary(details.withColumn("label", F.explode(labels)), [*(by or []), "label"])
 
 
 def processed_hits(predictions: DataFrame, truths: DataFrame, keys: list[str], gap_seconds: float, least: dict[str, float], default: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -90,20 +130,45 @@ def processed_hits(predictions: DataFrame, truths: DataFrame, keys: list[str], g
     """
     merged = intervals.merge_gaps(predictions, ["method", *keys, "category"], gap_seconds)
     kept, removed = intervals.long_enough(merged, least, default, ["method"])
-    methods = predictions.select("method").distinct()
-    every = truths.join(F.broadcast(methods))  # a copy of the truths for each method: as large as the result's base
-    hits = intervals.hit_rates(kept.withColumn("_c", F.struct("method", "category")).drop("n"), every.withColumn("_c", F.struct("method", "category")), keys, "_c", tolerance)
-    return kept, removed, hits.select("_c.*", "n_truth", "hit_overlap", "hit_tolerance")
+    same = [*keys, "category"]
+    marked = truths.withColumn("_id", F.struct(*same, "start_time", "end_time"))
+    near = intervals.overlap_join(marked, kept.select("method", *same, "start_time", "end_time"), same, tolerance=tolerance)
+    hit = near.groupBy(F.col("b_method").alias("method"), "category", "_id").agg(F.max((F.col("overlap") > 0).cast("int")).alias("_o"))
+    # a truth that comes twice counts twice
+    n = F.count(F.lit(1))
+    sums = hit.join(marked.groupBy("_id").agg(n.alias("_times")), "_id").groupBy("method", "category").agg(F.sum(F.col("_o") * F.col("_times")).alias("hit_overlap"), F.sum("_times").alias("hit_tolerance"))
+    every = F.broadcast(predictions.agg(F.array_sort(F.collect_set("method")).alias("_methods")))  # one row
+    counts = truths.groupBy("category").agg(n.alias("n_truth")).join(every).select(F.explode("_methods").alias("method"), "category", "n_truth")
+    return kept, removed, counts.join(sums, ["method", "category"], "left").fillna(0, ["hit_overlap", "hit_tolerance"])
 
 
 def swept(vectors_: DataFrame, conditions: list[tuple[int, int]], order: tuple[str, ...]) -> DataFrame:
-    """n_states, threshold and the mapped vectors of each condition (number of representative states, Hamming threshold): one plan for each, joined by union.
+    """n_states, threshold and the mapped vectors of each condition (number of representative states, Hamming threshold), in one plan whatever their number.
 
-    The vectors are ranked once; k states are the first k of the longest list.
+    k states are the first k of the longest list. Each distinct mask keeps its distances in order of rank, so the nearest of the first k is the least of a
+    beginning of that list, and within h bits if that one is. Rows are multiplied by the conditions at the end only.
     """
     ranked = vectors.representative_states(vectors_, max(k for k, _ in conditions), order)
-    parts = [vectors.nearest_states(vectors_, ranked.filter(F.col("rank") <= k), h).select(F.lit(k).alias("n_states"), F.lit(h).alias("threshold"), *vectors_.columns, "state") for k, h in conditions]
-    return reduce(DataFrame.unionAll, parts)
+    masks = vectors_.select("mask").distinct()  # 2**sensors at most, against as many states as the longest list has
+    near = masks.join(F.broadcast(ranked.select("rank", "state_id", F.col("mask").alias("_m"))))
+    held = near.groupBy("mask").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(hamming("mask", "_m").alias("d"), F.col("rank").alias("r"), F.col("state_id").alias("s")).alias("x")))).alias("_held"))
+    every = F.array(*(F.struct(F.lit(k).alias("n_states"), F.lit(h).alias("threshold")) for k, h in dict.fromkeys(conditions)))
+    of = held.withColumn("_c", F.explode(every)).select("mask", "_c.*", F.array_min(F.transform(F.filter("_held", lambda x: x["rank"] <= F.col("_c.n_states")), lambda x: x["x"])).alias("_best"))
+    state = F.when(F.col("_best.d") <= F.col("threshold"), F.col("_best.s")).otherwise(F.lit(OTHER))
+    return vectors_.join(of.select("mask", "n_states", "threshold", state.alias("state")), "mask").select("n_states", "threshold", *vectors_.columns, "state")
+
+
+CONDITION = ["n_states", "threshold"]
+
+
+def swept_evaluation(series: DataFrame, patterns: DataFrame, truths: DataFrame, keys: list[str], ratio: float, **named) -> dict[str, DataFrame]:
+    """`evaluated` for every condition and run at once: details, and summaries of runs, bands, labels and frequencies keyed by n_states, threshold and run; and bands and labels over a condition's runs.
+
+    series: n_states, threshold, keys, start_time, end_time, ord, state (see `swept`). patterns: n_states, threshold, run and the columns of `evaluated`.
+    """
+    out = evaluated(patterns, series, truths, keys, ratio, [*CONDITION, "run"], **named)
+    details = out["details"]
+    return {**out, "runs": out["summary"], "condition_bands": summary(details, [*CONDITION, "band"]), "condition_labels": label_summary(details, "true_labels", CONDITION)}
 
 
 def seed_means(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lumenlog import functions as fn
 from lumenlog.functions import OTHER
 from lumenlog.operators import evaluation, intervals, patterns, scoring, sequences, vectors
-from lumenlog.plans.adapter import EV, INTERVAL_TABLES, LABELS, SPLIT, log, predictions, runs_sql, truths
+from lumenlog.operators.shared import stored
+from lumenlog.plans.adapter import EV, INTERVAL_TABLES, LABELS, SENSORS, SPLIT, log, predictions, runs_sql, truths
 from lumenlog.plans.queries import _BAND, _IV, _LOOP, _MASKS, _SELF, _TRIP, _grams_sql, _round, _span_grams, _vectors, query
 
 _LIST = ", ".join(f"'{x}'" for x in LABELS)
@@ -24,47 +25,61 @@ _PATTERNS = f"""{_IV}, {_span_grams(4)}, pt AS (
 ), pa AS (
   SELECT band || ':' || sequence AS pattern_id, band, sequence, list_sort(list_distinct([([{_LIST}])[c % 10 + 1], ([{_LIST}])[(c + i) % 7 + 1]])) AS labels,
     CASE WHEN i % 9 = 4 THEN 'missing' WHEN i % 9 = 7 THEN 'unknown' ELSE 'valid' END AS status FROM pt
-), oc AS (
-  SELECT pa.pattern_id, g.home, g.start_time, g.end_time, pa.band = 'All' OR {_BAND.format(t='g.start_time')} = pa.band AS assigned,
+)"""
+_PATTERNS = _PATTERNS.replace(f"{EV},", f"{INTERVAL_TABLES},", 1)
+
+
+def _audit_sql(by: tuple[str, ...] = (), on: tuple[str, ...] = ()) -> str:
+    """From patterns (pa), n-grams (g) and truths (tr) to details (de); by: leading columns of patterns, on: those that n-grams have as well."""
+    b, p, a, using = "".join(f"{c}, " for c in by), "".join(f"pa.{c}, " for c in by), "".join(f"a.{c}, " for c in by), ", ".join([*by, "pattern_id"])
+    same = "".join(f" AND pa.{c} = g.{c}" for c in on)
+    return f"""oc AS (
+  SELECT {p}pa.pattern_id, g.home, g.start_time, g.end_time, pa.band = 'All' OR {_BAND.format(t='g.start_time')} = pa.band AS assigned,
     {_BAND.format(t='g.start_time')} = {_BAND.format(t="(g.end_time - INTERVAL 1 MICROSECOND)")} AS same,
     CAST(g.start_time AS DATE) = CAST(g.end_time - INTERVAL 1 MICROSECOND AS DATE) AND g.end_time > g.start_time AS one_day, pa.band = 'All' AS every
-  FROM pa JOIN g ON pa.sequence = g.sequence
+  FROM pa JOIN g ON pa.sequence = g.sequence{same}
 ), ac AS (SELECT *, assigned AND (every OR same AND one_day) AS accepted, assigned AND CASE WHEN every THEN NOT same ELSE NOT (same AND one_day) END AS crossing FROM oc),
-cn AS (SELECT pattern_id, count(*) AS n_matching, count(*) FILTER (assigned) AS n_assigned, count(*) FILTER (crossing) AS n_crossing, count(*) FILTER (accepted) AS n_occurrences FROM ac GROUP BY pattern_id),
-sh AS (SELECT a.pattern_id, b.category, sum((epoch_us(least(a.end_time, b.end_time)) - epoch_us(greatest(a.start_time, b.start_time))) / 1e6) AS s FROM ac AS a JOIN tr AS b ON a.accepted AND a.home = b.home AND a.start_time < b.end_time AND b.start_time < a.end_time GROUP BY ALL),
-tl AS (SELECT pattern_id, total, list(category ORDER BY category) AS true_labels FROM (SELECT *, sum(s) OVER (PARTITION BY pattern_id) AS total FROM sh) WHERE s >= 0.15 * total GROUP BY ALL),
+cn AS (SELECT {b}pattern_id, count(*) AS n_matching, count(*) FILTER (assigned) AS n_assigned, count(*) FILTER (crossing) AS n_crossing, count(*) FILTER (accepted) AS n_occurrences FROM ac GROUP BY ALL),
+sh AS (SELECT {a}a.pattern_id, b.category, sum((epoch_us(least(a.end_time, b.end_time)) - epoch_us(greatest(a.start_time, b.start_time))) / 1e6) AS s FROM ac AS a JOIN tr AS b ON a.accepted AND a.home = b.home AND a.start_time < b.end_time AND b.start_time < a.end_time GROUP BY ALL),
+tl AS (SELECT {b}pattern_id, total, list(category ORDER BY category) AS true_labels FROM (SELECT *, sum(s) OVER (PARTITION BY {using}) AS total FROM sh) WHERE s >= 0.15 * total GROUP BY ALL),
 jn AS (
-  SELECT pa.pattern_id, pa.band, pa.sequence, pa.labels, pa.status, coalesce(n_matching, 0) AS n_matching, coalesce(n_assigned, 0) AS n_assigned, coalesce(n_crossing, 0) AS n_crossing, coalesce(n_occurrences, 0) AS n_occurrences,
+  SELECT {p}pa.pattern_id, pa.band, pa.sequence, pa.labels, pa.status, coalesce(n_matching, 0) AS n_matching, coalesce(n_assigned, 0) AS n_assigned, coalesce(n_crossing, 0) AS n_crossing, coalesce(n_occurrences, 0) AS n_occurrences,
     true_labels, coalesce(total, 0.0) AS overlap_seconds, coalesce(n_occurrences, 0) > 0 AS occurs, total IS NOT NULL AS defined, len(list_intersect(labels, coalesce(true_labels, []))) AS b, len(labels) AS np, coalesce(len(true_labels), 0) AS nt
-  FROM pa LEFT JOIN cn USING (pattern_id) LEFT JOIN tl USING (pattern_id)
+  FROM pa LEFT JOIN cn USING ({using}) LEFT JOIN tl USING ({using})
 ), de AS (
   SELECT *, CASE WHEN occurs THEN 'matched' ELSE 'no_occurrence' END AS occurrence_status, CASE WHEN occurs AND defined THEN 'defined' ELSE 'no_adl_overlap' END AS truth_status,
     {', '.join(f"CASE WHEN occurs AND defined THEN CASE WHEN status = 'valid' THEN {x} ELSE 0.0 END END AS conditional_{m}, CASE WHEN NOT occurs THEN 0.0 WHEN defined THEN CASE WHEN status = 'valid' THEN {x} ELSE 0.0 END END AS end_to_end_{m}" for m, x in {'exact_set_match': 'CAST(b = np AND b = nt AS DOUBLE)', 'jaccard': 'b / (np + nt - b)', 'precision': 'b / np', 'recall': 'CASE WHEN nt > 0 THEN b / nt ELSE 0.0 END', 'f1': '2.0 * b / (np + nt)'}.items())}
   FROM jn
 )"""
-_PATTERNS = _PATTERNS.replace(f"{EV},", f"{INTERVAL_TABLES},", 1)
 
 
-def _details(spark, sf) -> DataFrame:
-    e = log(spark, sf)
-    held = sequences.intervals(e, ["home"])
-    w = Window.partitionBy("home").orderBy("start_time", "ord")
-    rows = held
-    for i in range(1, 4):
-        rows = rows.withColumns({f"s{i}": F.lead("state", i).over(w), f"e{i}": F.lead("end_time", i).over(w)})
-    made = [F.when(F.col(f"s{n - 1}").isNotNull(), F.struct(F.concat_ws(fn.ARROW, "state", *(f"s{i}" for i in range(1, n))).alias("sequence"), F.col(f"e{n - 1}").alias("end_time"))) for n in range(2, 5)]
-    grams = rows.select("home", "start_time", F.explode(F.array_compact(F.array(*made))).alias("g")).select("home", "start_time", "g.*").withColumn("pattern_id", F.lit(None).cast("string"))
-    counts = grams.groupBy(fn.time_band("start_time").alias("band"), "sequence").agg(F.count(F.lit(1)).alias("c"))
+_PATTERNS = f"{_PATTERNS}, {_audit_sql()}"
+
+
+def _interpreted(held: DataFrame) -> DataFrame:
+    """Twelve frequent sequences of each band and two for all, with made-up labels."""
+    grams = sequences.ngrams(held.withColumnRenamed("start_time", "ts"), ["home"], 2, 4)
+    counts = grams.groupBy(fn.time_band("ts").alias("band"), "sequence").agg(F.count(F.lit(1)).alias("c"))
     top = counts.withColumn("_r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("c"), "sequence"))).filter("_r <= 12").drop("_r")
-    more = spark.range(2).select(F.lit("All").alias("band"), F.when(F.col("id") == 0, "view->view").otherwise("view->click").alias("sequence"), F.lit(0).cast("long").alias("c"))
+    more = held.sparkSession.range(2).select(F.lit("All").alias("band"), F.when(F.col("id") == 0, "view->view").otherwise("view->click").alias("sequence"), F.lit(0).cast("long").alias("c"))
     i = F.row_number().over(Window.orderBy("band", "sequence"))  # fifty patterns
     labels = F.array(*map(F.lit, LABELS))
-    patterns = top.unionByName(more).withColumn("i", i).select(
+    return top.unionByName(more).withColumn("i", i).select(
         F.concat("band", F.lit(":"), "sequence").alias("pattern_id"), F.lit(None).cast("string").alias("group_id"), "band", "sequence",
         F.array_sort(F.array_distinct(F.array(F.get(labels, (F.col("c") % 10).cast("int")), F.get(labels, ((F.col("c") + F.col("i")) % 7).cast("int"))))).alias("labels"),
         F.when(F.col("i") % 9 == 4, "missing").when(F.col("i") % 9 == 7, "unknown").otherwise("valid").alias("status"),
     )
-    return evaluation.interpretation_scores(patterns, grams, truths(e).drop("ord"), ["home"], 0.15)
+
+
+def _evaluated(spark, sf, period: tuple[str, str] | None = None) -> dict[str, DataFrame]:
+    e = log(spark, sf)
+    held = sequences.intervals(e, ["home"])
+    known = _interpreted(held if period is None else intervals.clip(held, *period))
+    return evaluation.evaluated(known, held, truths(e).drop("ord"), ["home"], 0.15, period=period)
+
+
+def _details(spark, sf) -> DataFrame:
+    return _evaluated(spark, sf)["details"]
 
 
 @query(f"WITH {_PATTERNS} SELECT pattern_id, band, sequence, array_to_string(labels, ';') AS labels, status, n_matching, n_assigned, n_crossing, n_occurrences, coalesce(array_to_string(true_labels, ';'), '') AS true_labels, round(overlap_seconds, 3) AS overlap_seconds, occurrence_status, truth_status, {', '.join(f'round({c}, 6) AS {c}' for c in _SC)} FROM de")
@@ -74,12 +89,12 @@ def interpretation_scores(spark, sf):
     return _round(_round(out, *_SC), "overlap_seconds", digits=3)
 
 
-def _summary_sql(by: str, source: str) -> str:
+def _summary_sql(by: str, source: str, tables: str = _PATTERNS) -> str:
     rate = "coalesce({} / nullif({}, 0), 0.0)"
     rates = {"occurrence_coverage": rate.format("n_matched", "n_patterns"), "truth_coverage": rate.format("n_truth_defined", "n_matched"), "missing_rate": rate.format("n_missing", "n_patterns"), "crossing_rate": rate.format("n_crossing", "n_assigned")}
     counts = "count(*) AS n_patterns, count(*) FILTER (occurs) AS n_matched, count(*) FILTER (occurs AND defined) AS n_truth_defined, count(*) FILTER (occurs AND NOT defined) AS n_no_overlap, CAST(sum(n_assigned) AS BIGINT) AS n_assigned, CAST(sum(n_crossing) AS BIGINT) AS n_crossing, " + ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in ("valid", "missing", "unknown")) + ", count(conditional_f1) AS n_conditional_evaluable, count(end_to_end_f1) AS n_end_to_end_evaluable"
     means = ", ".join(f"round(avg({s}_{m}), 6) AS {s}_mean_{m}" for s in evaluation.SCOPES for m in _M)
-    return f"WITH {_PATTERNS}, su AS (SELECT {by}, {counts}, {means} FROM {source} GROUP BY {by}) SELECT *, {', '.join(f'round({x}, 6) AS {n}' for n, x in rates.items())} FROM su"
+    return f"WITH {tables}, su AS (SELECT {by}, {counts}, {means} FROM {source} GROUP BY {by}) SELECT *, {', '.join(f'round({x}, 6) AS {n}' for n, x in rates.items())} FROM su"
 
 
 _ROUNDED = ["occurrence_coverage", "truth_coverage", "missing_rate", "crossing_rate", *(f"{s}_mean_{m}" for s in evaluation.SCOPES for m in _M)]
@@ -97,6 +112,24 @@ def label_summary(spark, sf):
     return _round(evaluation.label_summary(_details(spark, sf), "true_labels"), *_ROUNDED)
 
 
+_PERIOD = ("2024-01-08", SPLIT)
+_CLIPPED = _PATTERNS.replace("iv AS (", "iv0 AS (", 1).replace("tr AS (", "tr0 AS (", 1)
+_CLIP = "SELECT * REPLACE (greatest(start_time, TIMESTAMP '2024-01-08') AS start_time, least(end_time, TIMESTAMP '2024-01-22') AS end_time) FROM {0} WHERE end_time > TIMESTAMP '2024-01-08' AND start_time < TIMESTAMP '2024-01-22'"
+_CLIPPED = _CLIPPED.replace(", a AS (SELECT", f", iv AS ({_CLIP.format('iv0')}), tr AS ({_CLIP.format('tr0')}), a AS (SELECT", 1)
+
+
+@query(_summary_sql("band", "de", _CLIPPED))
+def method_by_band(spark, sf):
+    """One method from search to summary, on two weeks of the log."""
+    return _round(_evaluated(spark, sf, _PERIOD)["bands"], *_ROUNDED)
+
+
+@query(_summary_sql("frequency_band", "(SELECT *, (['Low', 'Middle', 'High'])[ntile(3) OVER (ORDER BY n_occurrences, band, sequence, pattern_id)] AS frequency_band FROM de WHERE n_occurrences > 0)", _CLIPPED))
+def method_by_frequency(spark, sf):
+    """The same in thirds of patterns, by how often they occur."""
+    return _round(_evaluated(spark, sf, _PERIOD)["frequencies"], *_ROUNDED)
+
+
 # Methods and conditions -------------------------------------------------------------------------------------------------
 
 _MERGED = """mg AS (SELECT method, home, category, min(start_time) AS start_time, max(end_time) AS end_time FROM (SELECT *, sum(CASE WHEN r IS NULL OR epoch_us(start_time) - epoch_us(r) > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY method, home, category ORDER BY start_time, end_time ROWS UNBOUNDED PRECEDING) AS isl
@@ -136,6 +169,56 @@ def condition_sweep(spark, sf):
     return rows.groupBy("n_states", "threshold", fn.time_band("ts").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == OTHER).alias("n_other"), F.count_distinct("state").alias("n_used"))
 
 
+_THIRTY = [(k, h) for k in (2, 4, 6, 8, 12) for h in range(6)]
+_RANKED12 = _RANKED.replace("LIMIT 8", "LIMIT 12")
+_CV = f"cv(n_states, threshold) AS (VALUES {', '.join(f'({k}, {h})' for k, h in _THIRTY)})"
+_SWEPT = f"""{_MASKS.replace(f'{EV},', f'{INTERVAL_TABLES},', 1)}, {_RANKED12}, ds AS (SELECT q.mask, st.rank, bit_count(xor(q.mask, st.mask)) AS d FROM (SELECT DISTINCT mask FROM vc) AS q, st), {_CV},
+nm AS (SELECT n_states, threshold, mask, arg_min('S' || rank, ROW(d, rank)) AS s FROM ds JOIN cv ON rank <= n_states AND d <= threshold GROUP BY ALL),
+mp AS (SELECT cv.n_states, cv.threshold, home, ts, ord, coalesce(s, '{OTHER}') AS state FROM vc CROSS JOIN cv LEFT JOIN nm ON nm.n_states = cv.n_states AND nm.threshold = cv.threshold AND nm.mask = vc.mask),
+rr AS (SELECT * FROM (SELECT *, lag(state) OVER (PARTITION BY n_states, threshold, home ORDER BY ts, ord) AS _p, max(ts) OVER (PARTITION BY n_states, threshold, home) AS last_ts FROM mp) WHERE _p IS NULL OR _p <> state),
+iv AS (SELECT * FROM (SELECT n_states, threshold, home, ts AS start_time, coalesce(lead(ts) OVER (PARTITION BY n_states, threshold, home ORDER BY ts, ord), last_ts) AS end_time, state, ord FROM rr) WHERE end_time > start_time),
+{_span_grams(3).replace('PARTITION BY home', 'PARTITION BY n_states, threshold, home').replace('SELECT home, start_time', 'SELECT n_states, threshold, home, start_time')},
+pt AS (SELECT n_states, threshold, {_BAND.format(t='start_time')} AS band, sequence, count(*) AS c FROM g GROUP BY ALL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY n_states, threshold, band ORDER BY c DESC, sequence) AS i FROM pt),
+pa AS (SELECT n_states, threshold, CAST(i % 2 AS INTEGER) AS run, band || ':' || sequence AS pattern_id, band, sequence, list_sort(list_distinct([([{_LIST}])[c % 10 + 1], ([{_LIST}])[(c + i) % 7 + 1]])) AS labels, CASE WHEN i = 6 THEN 'missing' ELSE 'valid' END AS status FROM pk WHERE i <= 6),
+{_audit_sql(('n_states', 'threshold', 'run'), ('n_states', 'threshold'))}"""
+
+
+def _swept(spark, sf) -> dict[str, DataFrame]:
+    e = log(spark, sf)
+    v = vectors.compressed(vectors.event_vectors(e, ["home"], SENSORS), ["home"], ("ts", "ord"))
+    every = evaluation.CONDITION
+    series = stored(sequences.intervals(evaluation.swept(v, _THIRTY, ("ts", "ord", "home")), [*every, "home"]))
+    grams = sequences.ngrams(series.withColumnRenamed("start_time", "ts"), [*every, "home"], 2, 3)
+    counts = grams.groupBy(*every, fn.time_band("ts").alias("band"), "sequence").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.withColumn("i", F.row_number().over(Window.partitionBy(*every, "band").orderBy(F.desc("c"), "sequence"))).filter("i <= 6")
+    labels = F.array(*map(F.lit, LABELS))
+    known = top.select(
+        *every, (F.col("i") % 2).cast("int").alias("run"), F.concat("band", F.lit(":"), "sequence").alias("pattern_id"), F.lit(None).cast("string").alias("group_id"), "band", "sequence",
+        F.array_sort(F.array_distinct(F.array(F.get(labels, (F.col("c") % 10).cast("int")), F.get(labels, ((F.col("c") + F.col("i")) % 7).cast("int"))))).alias("labels"),
+        F.when(F.col("i") == 6, "missing").otherwise("valid").alias("status"),
+    )
+    return evaluation.swept_evaluation(series, known, truths(e).drop("ord"), ["home"], 0.15)
+
+
+@query(_summary_sql("n_states, threshold, run", "de", _SWEPT))
+def sweep_runs(spark, sf):
+    """Thirty conditions of two runs each, in one scan of the events."""
+    return _round(_swept(spark, sf)["runs"], *_ROUNDED)
+
+
+@query(_summary_sql("n_states, threshold, band", "de", _SWEPT))
+def sweep_bands(spark, sf):
+    """The same by band, over a condition's runs."""
+    return _round(_swept(spark, sf)["condition_bands"], *_ROUNDED)
+
+
+@query(_summary_sql("n_states, threshold, label", "(SELECT *, unnest(true_labels) AS label FROM de)", _SWEPT))
+def sweep_labels(spark, sf):
+    """The same by true label."""
+    return _round(_swept(spark, sf)["condition_labels"], *_ROUNDED)
+
+
 _SEEDS = "rw AS (SELECT l_returnflag AS method, CAST(l_suppkey % 40 AS INTEGER) AS seed, CASE WHEN l_orderkey % 997 = 0 THEN 'missing' WHEN l_orderkey % 1499 = 0 THEN 'invalid' ELSE 'complete' END AS status, CASE WHEN l_orderkey % 997 = 0 OR l_orderkey % 1499 = 0 OR l_partkey % 5003 = 1 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS quantity, CAST(l_discount AS DOUBLE) AS discount FROM lineitem)"
 
 
