@@ -13,26 +13,40 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: ASCII white space.
 WHITE = bytes([9, 10, 11, 12, 13, 32])
 #: Words of more bytes are hashed by the library, one by one.
 LONG = 256
+#: Rows of a column that are Python's objects at a time.
+STEP = 256
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _tables: dict[tuple, object] = {}
 
 
+def released() -> None:
+    """Lets go what the worker holds of all operators; tasks that need none of it begin with this."""
+    if _tables:
+        _tables.clear()
+        trimmed()
+
+
+def trimmed() -> None:
+    """Freed memory goes back to the system: a worker waits for its next task beside the JVM and other workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if name := ctypes.util.find_library("c"):
+        getattr(ctypes.CDLL(name), "malloc_trim", int)(0)
+
+
 def of_worker(kind: str, key, make: Callable):
     """The worker's own table of an operator, made once for all of its tasks. When another operator's first task comes, what the others
     held is let go: a worker serves all stages, and their tables together would not fit."""
     if (kind, key) not in _tables:
-        for other in [k for k in _tables if k[0] != kind or k[1] != key]:
-            del _tables[other]
-        gc.collect()
-        if name := ctypes.util.find_library("c"):
-            getattr(ctypes.CDLL(name), "malloc_trim", int)(0)
+        released()
         _tables[kind, key] = make()
     return _tables[kind, key]
 
@@ -131,16 +145,20 @@ class Hasher:
         return Spans(data, start, stop, self.keys(data, start, stop), np.searchsorted(start, bounds))
 
 
-def pieces_of(texts: list[str | None], most: int = 1 << 20):
-    """Texts as bytes, in stretches of about `most` bytes."""
+def pieces_of(texts: list[str | None] | pa.Array, most: int = 1 << 20):
+    """Texts as bytes, in stretches of about `most` bytes. Those of a column are taken from its bytes, STEP rows at a time, so that a batch is never held as Python's texts."""
+    column = isinstance(texts, pa.Array)
+    texts = texts.cast(pa.binary()) if column else texts
     some, size = [], 0
-    for t in texts:
-        held = (t or "").encode("utf-8")
-        if some and size + len(held) > most:
-            yield some
-            some, size = [], 0
-        some.append(held)
-        size += len(held)
+    for at in range(0, len(texts), STEP):
+        rows = texts[at : at + STEP]
+        for t in rows.to_pylist() if column else rows:
+            held = (t or b"") if column else (t or "").encode("utf-8")
+            if some and size + len(held) > most:
+                yield some
+                some, size = [], 0
+            some.append(held)
+            size += len(held)
     if some:
         yield some
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.chunks import Hasher, pieces_of
+from lumenlog.llm.chunks import Hasher, pieces_of, released
 from lumenlog.llm.near import flagged, mark_of, parity_map, roots_of, wide_maps
 from lumenlog.llm.shared import temporary, written
 
@@ -55,7 +55,7 @@ def windows(w: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None] | pa.Array, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the word n-grams of each text."""
     for held in pieces_of(texts):
         spans = _hasher(held, lower=True)
@@ -136,10 +136,11 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Size, signature, keys and parity map of every row's set, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
-                held = list(shingle_sets(piece.column("text").to_pylist(), n))
+                held = list(shingle_sets(piece.column("text"), n))
                 keys = [fragment_keys(x, num, den) for x in held]
                 wide, less = zip(*map(wide_maps, held))
                 yield pa.RecordBatch.from_arrays(
@@ -155,10 +156,11 @@ def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """row, segments of the wanted rows (row, doc_id, key, sig_a, sig_b), from their texts; others are left out before anything is computed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
-                held = list(shingle_sets(piece.column("text").to_pylist(), n))
+                held = list(shingle_sets(piece.column("text"), n))
                 begin = np.cumsum([0, *map(len, held)])
                 ends = np.array([segment_ends(x) for x in held])
                 segments = pa.ListArray.from_arrays(pa.array(np.append(0, (ends + begin[:-1, None]).reshape(-1)), pa.int32()), pa.array(np.concatenate(held).view(np.int64)))

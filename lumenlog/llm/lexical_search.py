@@ -147,7 +147,7 @@ def lengths(docs: DataFrame) -> tuple[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             documents = terms = 0
-            for held in pieces_of(batch.column(0).to_pylist()):
+            for held in pieces_of(batch.column(0)):
                 start, _ = _hasher.spans(np.frombuffer(_hasher.joint.join(held) + _hasher.joint, np.uint8))
                 n = np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in held)])))
                 documents, terms = documents + int((n > 0).sum()), terms + int(n.sum())
@@ -164,7 +164,7 @@ def built(docs: DataFrame) -> DataFrame:
         shard, now = TaskContext.get().partitionId() << 32, Builder(documents, terms)
         for batch in batches:
             ids, at = batch.column("doc_id").to_pylist(), 0
-            for held in pieces_of(batch.column("text").to_pylist()):
+            for held in pieces_of(batch.column("text")):
                 now.add(held, ids[at : at + len(held)])
                 at += len(held)
                 if now.bytes >= SHARD_BYTES or len(now.ids) >= SHARD_DOCS:

@@ -23,7 +23,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, limit: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = toxicity._scorer(run_key, sent)
         for batch in batches:
-            found = np.array([x for held in pieces_of(batch.column("text").to_pylist()) for x in score(held)], np.float64)
+            found = np.array([x for held in pieces_of(batch.column("text")) for x in score(held)], np.float64)
             yield batch.filter(pa.array(found < limit))
 
     return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.llm.chunks import Hasher, pieces_of
+from lumenlog.llm.chunks import Hasher, pieces_of, released
 from lumenlog.llm.jaccard_join import _ODD, windows
 from lumenlog.llm.near import KEY_BITS, flagged, mark_of, parity_map, roots_of
 from lumenlog.llm.shared import temporary, written
@@ -114,9 +114,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], n: int, min_words: int) -> Iterator[tuple[list[pa.Array], Paragraphs]]:
+    released()
     for batch in batches:
         at = 0
-        for texts in pieces_of(batch.column("text").to_pylist()):
+        for texts in pieces_of(batch.column("text")):
             piece, at = batch.slice(at, len(texts)), at + len(texts)
             held = Paragraphs(texts, n, min_words)
             if held.size:
@@ -244,7 +245,7 @@ def _seeds_twice(left: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for texts in pieces_of(batch.column("text").to_pylist()):
+            for texts in pieces_of(batch.column("text")):
                 piece, done = batch.slice(done, len(texts)), done + len(texts)
                 held = Stretches(texts)
                 at = held.chosen()
@@ -278,7 +279,7 @@ def stretches(left: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for texts in pieces_of(batch.column("text").to_pylist()):
+            for texts in pieces_of(batch.column("text")):
                 piece, done = batch.slice(done, len(texts)), done + len(texts)
                 held = Stretches(texts)
                 bit = held.mixed(held.least) >> np.uint64(64 - KEY_BITS)

@@ -87,7 +87,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
         table = _table(model)
         for batch in batches:
             at = 0
-            for held in pieces_of(batch.column("text").to_pylist()):
+            for held in pieces_of(batch.column("text")):
                 spans = _hasher(held)
                 counts = np.concatenate([[0], np.cumsum(table(spans))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(held)), pa.array(np.diff(spans.first)), pa.array(np.diff(counts[spans.first]))], names=["doc_id", "n_pretokens", "n_tokens"])

@@ -251,7 +251,7 @@ def scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(run_key, sent)
         for batch in batches:
-            found = np.array([x for held in pieces_of(batch.column("text").to_pylist()) for x in score(held)], np.float64)
+            found = np.array([x for held in pieces_of(batch.column("text")) for x in score(held)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))

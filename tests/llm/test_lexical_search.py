@@ -55,7 +55,7 @@ def test_against_brute_force(spark, monkeypatch, block, shard_docs, first):
     monkeypatch.setattr(ls, "BLOCK", block)
     monkeypatch.setattr(ls, "SHARD_DOCS", shard_docs)
     monkeypatch.setattr(ls, "FIRST", first)
-    monkeypatch.setattr(ls, "pieces_of", lambda texts: ([(t or "").encode() for t in texts[a : a + 5]] for a in range(0, len(texts), 5)))
+    monkeypatch.setattr(ls, "pieces_of", lambda texts: ([(t.as_py() or "").encode() for t in texts[a : a + 5]] for a in range(0, len(texts), 5)))
     rng = random.Random(block)
     word = lambda: rng.choice(["w", "é", "中", "X"]) + str(int(rng.paretovariate(0.7)) % 200)
     docs = [(i, " ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(600)]
