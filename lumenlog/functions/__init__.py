@@ -12,9 +12,12 @@ BANDS = {"Midnight": (0, 6), "Morning": (6, 10), "Daytime": (10, 18), "Night": (
 ON_VALUES = ["ON", "OPEN", "PRESENT", "1"]
 OFF_VALUES = ["OFF", "CLOSE", "ABSENT", "0"]
 ARROW = "->"
-# The labels of evaluations, and other spellings of one of them.
+# The labels of evaluations.
 EVALUATED = ["Sleep", "Wake-up", "Meal", "Relax", "Outing", "Hygiene", "Toileting", "Housework", "Work", "Other"]
-SPELLINGS = {"wakeup": "Wake-up", "wake_up": "Wake-up", "wake up": "Wake-up", "wake-up": "Wake-up"}
+# Signs between labels that a text lists, the last one first.
+LABEL_SIGNS = ["/", "、", ",", "|", ";"]
+# Fixed value: the heading of states in tables of them.
+STATE_HEADING = "状態"
 
 
 def _c(x: Column | str) -> Column:
@@ -195,22 +198,20 @@ def stable_json(entries: Column) -> Column:
 
 
 def normalised_label(label: Column | str) -> Column:
-    """The label of an evaluation that a word stands for, whatever its case and its dashes, underscores and slashes; null where there is none."""
-    text = F.trim(_c(label))
-    key = F.lower(F.trim(F.translate(text, "-_/", "   ")))
-    known = {x.lower().replace("-", " "): x for x in EVALUATED} | {k: v for k, v in SPELLINGS.items()}
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.when(text.isin(EVALUATED), text).otherwise(F.coalesce(names[key], names[F.translate(key, " ", "_")]))
+    """The label of an evaluation with the same letters and digits, whatever their case and what stands between them; null where there is none."""
+    letters = lambda x: F.lower(F.regexp_replace(x, r"[\W_]+", ""))
+    names = F.map_from_arrays(F.transform(F.array(*map(F.lit, EVALUATED)), letters), F.array(*map(F.lit, EVALUATED)))
+    return names[letters(_c(label))]
 
 
 def label_values(text: Column | str) -> Column:
-    """The labels that a text lists: a JSON array of strings, or words between the first of ; | , \u3001 / that it has."""
+    """The labels that a text lists: a JSON array of strings, or words between the last of LABEL_SIGNS that it has."""
     t = F.trim(_c(text))
     listed = F.when(F.startswith(t, F.lit("[")), F.from_json(t, "array<string>"))
     parts = F.array(t)
-    for sign in ("/", "\u3001", ",", "|", ";"):
+    for sign in LABEL_SIGNS:
         parts = F.when(F.contains(t, F.lit(sign)), F.split(t, f"[{sign}]")).otherwise(parts)
-    return F.filter(F.transform(F.coalesce(listed, parts, F.array().cast("array<string>")), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.coalesce(listed, parts, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def label_sets(values: Column) -> dict[str, Column]:
@@ -245,3 +246,9 @@ def low_information(seq: Column | str, marks: list[str], informative: Column | N
     s = _c(seq)
     low = F.filter(s, lambda x: x.isin(marks)) if informative is None else F.filter(s, lambda x: ~F.coalesce(informative[x], F.raise_error(F.concat(F.lit("no attribute of state "), x)).cast("boolean")))
     return safe_divide(F.size(low), F.size(s))
+
+
+def threshold_values(least: float, most: float, samples: int) -> list[float]:
+    """Evenly spaced thresholds of four decimals; of one sample the least."""
+    step = (most - least) / (samples - 1) if samples > 1 else 0.0
+    return [round(least + step * i, 4) for i in range(max(1, samples))]

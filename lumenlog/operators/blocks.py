@@ -4,7 +4,8 @@ A window over a whole key is one task for it, however long its log. Here windows
 the date), each block leaves one row of summary behind, one window over the summaries of a key carries values from block to block, and an equi-join on
 (key, block) brings them back to the rows. What one task holds of a key is a block, or a row for each of its blocks.
 
-Rows whose keys or block are null are left out. Order columns have to tell the rows of a key apart.
+Rows whose keys or block are null are left out. Order columns have to tell the rows of a key apart, but for sums and the like over rows of one order. Without keys all rows are one series, whose
+summaries, a row a block, meet in one task.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ def neighbours(rows: DataFrame, keys: list[str], block: Column, order: tuple[str
     return held.withColumns(local).join(summary, [*keys, _BLOCK]).select(*rows.columns, *(c.alias(n) for n, c in out.items()))
 
 
-def folded(rows: DataFrame, keys: list[str], block: Column, order: tuple[str, ...], folds: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Adds running values up to each row, itself included: for each name a kind (last non-null, sum, max, min, bit_or) and what it runs over."""
+def folded(rows: DataFrame, keys: list[str], block: Column, order: tuple[str, ...], folds: dict[str, tuple[str, Column]], itself: bool = True) -> DataFrame:
+    """Adds running values up to each row, with or without itself: for each name a kind (last non-null, sum, max, min, bit_or) and what it runs over."""
     held = rows.withColumn(_BLOCK, block).filter(F.col(_BLOCK).isNotNull())
-    w = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     local, ends, carried, out = {}, [], [], {}
     for i, (name, (kind, value)) in enumerate(folds.items()):

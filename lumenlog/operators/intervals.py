@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import BANDS, f1_of, micros, overlap_seconds, safe_divide, seconds_between, temporal_iou, time_band
+from lumenlog.operators import blocks
 from lumenlog.operators.matching import one_to_one
 from lumenlog.operators.percentiles import joined, percentiles
 
@@ -281,3 +282,41 @@ def timeline(events: DataFrame, keys: list[str], dates: DataFrame, step_seconds:
     rows = points.unionByName(events.select(*keys, "ts", "ord", "state"), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("state", F.last("state", ignorenulls=True).over(w)).filter("at IS NOT NULL AND state IS NOT NULL").select(*keys, "date", "at", "state")
+
+
+def strictly_inside(points: DataFrame, spans: DataFrame, keys: list[str], by: list[str], block: Column | None = None) -> DataFrame:
+    """by, n_spans, n_inside: how many points of a key lie after a span's start and before its end, summed over the spans of each `by` (of their columns).
+
+    points: keys, ts, and where they have one, weight. No span meets a point: both ends of spans go into the points' order, and a span's number is the running count at its end less that at its
+    start. At equal times ends come first, then points, then starts. `block` (of ts) cuts keys that are too long for a task.
+    """
+    weight = F.col("weight").cast("long") if "weight" in points.columns else F.lit(1).cast("long")
+    own = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    none = [F.lit(None).cast(spans.schema[c].dataType).alias(f"_by{i}") for i, c in enumerate(by)]
+    at = spans.filter("end_time > start_time")
+    edge = lambda c, side, sign: at.select(*keys, F.col(c).alias("ts"), F.lit(side).alias("_side"), F.lit(0).cast("long").alias("_w"), F.lit(sign).alias("_sign"), *own)
+    stream = points.select(*keys, "ts", F.lit(1).alias("_side"), weight.alias("_w"), F.lit(0).alias("_sign"), *none).unionAll(edge("end_time", 0, 1)).unionAll(edge("start_time", 2, -1))
+    order = ("ts", "_side")
+    if block is None:
+        counted = stream.withColumn("_n", F.sum("_w").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        counted = blocks.folded(stream, keys, block, order, {"_n": ("sum", F.col("_w"))})
+    named = [F.col(f"_by{i}").alias(c) for i, c in enumerate(by)]
+    return counted.filter("_sign <> 0").groupBy(*named).agg(F.count_if(F.col("_sign") == 1).alias("n_spans"), F.sum(F.col("_sign") * F.col("_n")).alias("n_inside"))
+
+
+def series_metrics(series: DataFrame, spans: DataFrame, keys: list[str], others: list[str], label: str = "category", block: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of each key's series of intervals: counts, share of unmapped time and changes of state strictly inside labelled spans; and these changes by label.
+
+    series: keys, start_time, end_time, ord, state. A change is an interval's start, but for a key's first one. First table: keys, n_intervals, n_transitions, n_states, n_other, other_ratio, n_spans, n_inside; second: label, n_spans, n_inside.
+    `block` is an expression of ts.
+    """
+    other, seconds = F.col("state").isin(others), F.greatest(F.lit(0.0), seconds_between("start_time", "end_time"))
+    totals = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_intervals"), F.count_distinct(F.when(~other, F.col("state"))).alias("n_states"), F.count_if(other).alias("n_other"), safe_divide(F.coalesce(F.sum(F.when(other, seconds)), F.lit(0.0)), F.sum(seconds)).alias("other_ratio"))
+    first = series.groupBy(*keys).agg(F.min(F.struct("start_time", "ord"))["start_time"].alias("ts"))
+    # the first start counts once and is taken back once
+    points = series.select(*keys, F.col("start_time").alias("ts"), F.lit(1).alias("weight")).unionAll(first.select(*keys, "ts", F.lit(-1).alias("weight")))
+    inside = strictly_inside(points, spans, keys, [*keys, label], block)
+    per = inside.groupBy(*keys).agg(F.sum("n_spans").alias("n_spans"), F.sum("n_inside").alias("n_inside"))
+    one = totals.join(per, keys, "left").fillna(0, ["n_spans", "n_inside"]).select(*keys, "n_intervals", (F.col("n_intervals") - 1).alias("n_transitions"), "n_states", "n_other", "other_ratio", "n_spans", "n_inside")
+    return one, inside.groupBy(label).agg(F.sum("n_spans").alias("n_spans"), F.sum("n_inside").alias("n_inside"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import OTHER, seconds_between
+from lumenlog.functions import OTHER, STATE_HEADING, seconds_between
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], single: bool = False) -> None:
@@ -53,7 +56,7 @@ def snapshots(events: DataFrame, keys: list[str], sensors: list[str]) -> DataFra
     return events.withColumn("snapshot", state).withColumn("_p", F.lag("snapshot").over(order)).filter(~F.col("snapshot").eqNullSafe(F.col("_p"))).drop("_p")
 
 
-def state_table_tsv(states: DataFrame, sensors: list[str], path: str, label: str = "\u72b6\u614b", other: str = OTHER) -> None:
+def state_table_tsv(states: DataFrame, sensors: list[str], path: str, label: str = STATE_HEADING, other: str = OTHER) -> None:
     """States (rank, state_id, mask) as a tab-separated table with a column of 0 and 1 for each sensor, and a row of dashes for what is not mapped."""
     rows = states.select("rank", F.col("state_id").alias(label), *(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, "1").otherwise("0").alias(s) for i, s in enumerate(sensors)))
     last = states.sparkSession.range(1).select(F.lit(1 << 30).alias("rank"), F.lit(other).alias(label), *(F.lit("-").alias(s) for s in sensors))
@@ -64,3 +67,26 @@ def sequences_json(counts: DataFrame, path: str, order: list, most: int | None =
     """Rows of sequences with their counts or chances as JSON lines in one file, in order; `most`: the first so many."""
     ranked = counts.orderBy(*order)
     (ranked.limit(most) if most is not None else ranked).coalesce(1).write.mode("errorifexists").json(path)
+
+
+def file_fingerprints(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """file, size, n_rows, checksum of each file of a table: a sum of hashes of its rows (of its lines, in text formats), so that one task holds neither a file nor its rows, and files are spread."""
+    rows = spark.read.parquet(path) if form == "parquet" else spark.read.text(path)
+    content = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}) if form == "parquet" else F.col("value")
+    h = F.conv(F.substring(F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    named = rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size"), h.alias("_h"))
+    return named.groupBy("file", "size").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_h").cast("string").alias("checksum"))
+
+
+def write_verified(rows: DataFrame, path: str, form: str = "parquet") -> None:
+    """Writes a table and, beside it in path.manifest, the fingerprint of each of its files; an existing table is refused. Read it with `sources.verified`."""
+    out = rows.write.mode("errorifexists").format(form)
+    (out.option("header", True) if form == "csv" else out).save(path)
+    file_fingerprints(rows.sparkSession, path, form).coalesce(1).write.mode("errorifexists").json(f"{path}.manifest")  # a row a file
+
+
+def preparation_fingerprint(spark: SparkSession, paths: list[str], parameters: dict) -> str:
+    """Sixteen hex digits that stand for the parameters and for every file of the tables at these paths, by their manifests."""
+    kept = "file string, size long, n_rows long, checksum string"
+    sums = [tuple(fingerprint(spark.read.schema(kept).json(f"{p}.manifest"), ["file", "size", "n_rows", "checksum"]).first()) for p in paths]
+    return hashlib.sha256(json.dumps([parameters, sums], ensure_ascii=False, sort_keys=True).encode("utf-8")).hexdigest()[:16]

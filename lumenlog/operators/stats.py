@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import safe_divide, seconds_between
+from lumenlog.operators import blocks
 from lumenlog.operators.percentiles import joined, percentiles
 
 
@@ -93,3 +94,23 @@ def usage_totals(calls: DataFrame, by: list[str], expected: int) -> DataFrame:
     """Token totals of runs, complete where all calls are there and no field is missing."""
     ok = F.count_if(F.col("input_tokens").isNull() | F.col("output_tokens").isNull()) == 0
     return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("n_calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), (ok & (F.count(F.lit(1)) == expected)).cast("int").alias("complete"))
+
+
+def occupancy(rows: DataFrame, keys: list[str], by: list[str], column: str, block: Column | None = None) -> DataFrame:
+    """by, name, hours, share: how long each name of a map column was held, times the length of its list; a row's map holds until the key's next row, the last one's not at all.
+
+    rows: keys, ts, ord, column (map of names to lists). Share: of all hours of a `by`.
+    """
+    if block is None:
+        ahead = rows.withColumn("_next", F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts", "ord")))
+    else:
+        ahead = blocks.neighbours(rows, keys, block, ("ts", "ord"), after={"_next": F.col("ts")})
+    held = ahead.filter(F.col("_next").isNotNull()).withColumn("_s", F.greatest(F.lit(0.0), seconds_between("ts", "_next")))
+    each = held.select(*by, "_s", F.explode(column).alias("name", "_who"))
+    sums = each.groupBy(*by, "name").agg((F.sum(F.col("_s") * F.size("_who")) / 3600).alias("hours"))
+    return sums.withColumn("share", safe_divide(F.col("hours"), F.sum("hours").over(Window.partitionBy(*(by or [F.lit(1)])))))  # a row a name
+
+
+def wide(rows: DataFrame, by: list[str], column: str, values: list, value: Column) -> DataFrame:
+    """by, and a column for each of the given values of `column` with the aggregate `value`; they are given, so no job has to find them first."""
+    return rows.groupBy(*by).pivot(column, values).agg(value)

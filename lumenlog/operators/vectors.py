@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import OTHER, hamming, micros
-from lumenlog.operators import blocks
+from lumenlog.operators import blocks, sequences
 
 
 def _at(us: Column) -> Column:
@@ -145,3 +145,9 @@ def network_intervals(events: DataFrame, keys: list[str], sensors: list[str], da
     masks = change.withColumn("mask", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("us < _t1")
     kept = masks.withColumn("_p", F.lag("mask").over(w)).filter("_p IS NULL OR _p <> mask")
     return kept.select(*keys, _at(F.col("us")).alias("start_time"), _at(F.coalesce(F.lead("us").over(w), F.col("_t1"))).alias("end_time"), "mask")
+
+
+def state_sequence(events: DataFrame, keys: list[str], sensors: list[str], states: DataFrame, h: int | None = None, other: str = OTHER, compress: bool = True, block: Column | None = None) -> DataFrame:
+    """keys, ts, ord, state after each event: its mask's own state, or with `h` the nearest within h bits, else `other`; `compress`: only where the state changes."""
+    held = nearest_states(event_vectors(events, keys, sensors, block), states, h or 0, other).select(*keys, "ts", "ord", "state")
+    return sequences.runs(held, keys, block) if compress else held

@@ -196,7 +196,7 @@ def threshold_grid(spark, sf):
     total = w.groupBy("sequence").agg((F.sum("windows_with") / F.sum("n_windows")).alias("support"))
     prefix = slots.select("home", F.col("sequence").alias("_p"), F.col("cnt").alias("_c"))
     conf = slots.filter("n >= 2").withColumn("_p", F.regexp_replace("sequence", "->[^>]*$", "")).join(prefix, ["home", "_p"]).groupBy("sequence").agg((F.sum("cnt") / F.sum("_c")).alias("confidence"))
-    grid = scoring.threshold_grid(total.join(conf, "sequence"), top, [i / 100 for i in range(1, 21)], [i / 20 for i in range(1, 21)])
+    grid = scoring.threshold_grid(total.join(conf, "sequence"), top, fn.threshold_values(0.01, 0.2, 20), fn.threshold_values(0.05, 1.0, 20))
     return _round(grid.select("support_min", "confidence_min", "tp", "fp", "fn", "tn", "f1"), "support_min", "confidence_min", "f1")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import OTHER, binary_value, label_sets, normalised_label, parse_sequence, time_band
+from lumenlog.functions import OTHER, STATE_HEADING, binary_value, label_sets, normalised_label, parse_sequence, time_band
+from lumenlog.operators import blocks
 from lumenlog.operators.intervals import pair_annotations
+from lumenlog.operators.sinks import file_fingerprints
 
 FORMATS = ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
 
@@ -24,6 +27,11 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("source_order", F.monotonically_increasing_id())
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Adds _file, _part (where the stretch that one task reads begins in it) and source_order, which rises inside a stretch."""
+    return numbered(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part")))
+
+
 def event_log(spark: SparkSession, path: str, value: str | None = None) -> DataFrame:
     """Headerless date,time,sensor,value (or timestamp,sensor,value) rows: ts, sensor, value, source_order. Rows without a timestamp or sensor are dropped."""
     raw = numbered(spark.read.schema("a string, b string, c string, d string").csv(path))
@@ -93,7 +101,7 @@ def sensor_map(spark: SparkSession, path: str) -> DataFrame:
     return text
 
 
-def state_table(spark: SparkSession, path: str, label: str = "状態") -> DataFrame:
+def state_table(spark: SparkSession, path: str, label: str = STATE_HEADING) -> DataFrame:
     """rank, state_id, mask, sensors of a tab-separated table of 0/1 columns; rows with other marks are skipped."""
     raw = numbered(spark.read.option("header", True).option("sep", "\t").csv(path))
     sensors = [c for c in raw.columns if c not in (label, "source_order")]
@@ -105,10 +113,11 @@ def state_table(spark: SparkSession, path: str, label: str = "状態") -> DataFr
 def state_series(spark: SparkSession, path: str) -> DataFrame:
     """start_time, end_time, state from a CSV of intervals, or of changes (each holds until the next one; the last is dropped)."""
     raw = spark.read.option("header", True).csv(path)
-    state = next(c for c in ("state_id", "state", "状態") if c in raw.columns)
+    state = next(c for c in ("state_id", "state", STATE_HEADING) if c in raw.columns)
     if "timestamp" in raw.columns:
         rows = numbered(raw).withColumn("start_time", parsed(F.col("timestamp")))
-        rows = rows.withColumn("end_time", F.lead("start_time").over(Window.orderBy("start_time", "source_order")))
+        # cut by date: a task holds a day, and a row for each day
+        rows = blocks.neighbours(rows, [], blocks.daily("start_time"), ("start_time", "source_order"), after={"end_time": F.col("start_time")})
     else:
         a, b = next((x, y) for x, y in (("start_time", "end_time"), ("start", "end")) if x in raw.columns)
         rows = raw.withColumn("_a", parsed(F.col(a))).withColumn("_b", parsed(F.col(b))).select(F.col("_a").alias("start_time"), F.col("_b").alias("end_time"), state)
@@ -145,6 +154,73 @@ def snapshot_faults(log: DataFrame, start: str, end: str) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~inside).alias("outside"), F.count_if(binary_value("value").isNull()).alias("unknown_values")).join(F.broadcast(again))  # one row each
 
 
+def snapshot_period(path: str) -> tuple[str, str]:
+    """First day and the day after the last one, of a folder that is named by both."""
+    m = re.fullmatch(r"(\d{4}-\d\d-\d\d)_(\d{4}-\d\d-\d\d)", path.rstrip("/").rpartition("/")[2])
+    if not m:
+        raise ValueError(f"a snapshot's folder is named by its period: {path}")
+    start, end = (datetime.date.fromisoformat(x) for x in m.groups())
+    if end <= start:
+        raise ValueError(f"a snapshot's period has to end after its start: {path}")
+    return str(start), str(end)
+
+
+def snapshot(spark: SparkSession, path: str, stated: dict[str, str], file: str = "events.csv", manifest: str = "manifest.json", zone: str = "$.timezone", period: tuple[str, str] = ("$.source.start", "$.source.end_exclusive"), rows_at: str = "$.conversion_report.output_events") -> tuple[DataFrame, DataFrame]:
+    """The log of a snapshot folder (ts, sensor, value, bit, source_order), and its faults: rule, severity (error, warning), n; a rule that is kept has no row.
+
+    Lines have four fields (date, time, sensor, value), none empty, with a time inside the folder's period and a known value, and no line comes twice; a line that is out of order is a warning. The manifest has the
+    values of `stated` (JSON paths and texts), a zone, the folder's period as times with offsets that are midnights of that zone, and the number of lines.
+    """
+    start, end = (F.lit(d).cast("timestamp_ntz") for d in snapshot_period(path))
+    fields = F.transform(F.split("value", ",", -1), lambda x: F.trim(x))
+    part = lambda i: F.get("_f", F.lit(i))
+    raw = in_file_order(spark.read.text(f"{path}/{file}")).withColumn("_f", fields)
+    rows = raw.select("_file", "_part", "source_order", F.size("_f").alias("_n"), F.exists("_f", lambda x: x == "").alias("_empty"), parsed(F.concat_ws(" ", part(0), part(1))).alias("ts"), part(2).alias("sensor"), F.upper(part(3)).alias("value")).withColumn("bit", binary_value("value"))
+    late = blocks.folded(rows, ["_file"], F.col("_part"), ("source_order",), {"_latest": ("max", F.col("ts"))}, itself=False)
+    again = rows.groupBy("ts", "sensor", "value").agg((F.count(F.lit(1)) - 1).alias("_c"))
+    n = F.count(F.lit(1))
+    counts = {
+        "four_columns": F.count_if(F.col("_n") != 4), "empty_field": F.count_if("_empty"), "invalid_time": F.count_if(F.col("ts").isNull()), "unknown_value": F.count_if(F.col("bit").isNull()),
+        "outside_period": F.count_if((F.col("ts") < start) | (F.col("ts") >= end)), "no_rows": F.when(n == 0, 1).otherwise(0), "out_of_order": F.count_if(F.col("ts") < F.col("_latest")),
+    }
+    text = spark.read.text(f"{path}/{manifest}", wholetext=True)
+    at = lambda p: F.get_json_object("value", p)
+    local = lambda p: F.convert_timezone(F.current_timezone(), at(zone), F.when(F.rlike(at(p), F.lit(r"(Z|[+-]\d\d:?\d\d)$")), F.try_to_timestamp(at(p))).cast("timestamp_ntz"))
+    wrong = {f"manifest {p}": at(p) != F.lit(v) for p, v in stated.items()} | {f"manifest {zone}": F.trim(at(zone)) == "", f"manifest {period[0]}": local(period[0]) != start, f"manifest {period[1]}": local(period[1]) != end}
+    one = text.agg(*(F.max(F.when(F.coalesce(w, F.lit(True)), 1).otherwise(0)).cast("long").alias(f"_m{i}") for i, w in enumerate(wrong.values())), F.max(at(rows_at)).alias("_rows"))
+    sums = late.agg(*(c.cast("long").alias(f"_l{i}") for i, c in enumerate(counts.values())), n.alias("_lines")).join(again.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("_again"))).join(one)  # one row each
+    found = [(k, f"_l{i}", "warning" if k == "out_of_order" else "error") for i, k in enumerate(counts)] + [("repeated_row", "_again", "error")] + [(k, f"_m{i}", "error") for i, k in enumerate(wrong)]
+    table = [F.struct(F.lit(k).alias("rule"), F.lit(level).alias("severity"), F.coalesce(F.col(c), F.lit(1)).alias("n")) for k, c, level in found]
+    table.append(F.struct(F.lit(f"manifest {rows_at}").alias("rule"), F.lit("error").alias("severity"), F.when(F.col("_rows") == F.col("_lines").cast("string"), 0).otherwise(1).cast("long").alias("n")))
+    return rows.select("ts", "sensor", "value", "bit", "source_order"), sums.select(F.explode(F.array(*table)).alias("f")).select("f.*").filter("n > 0")
+
+
+def without_faults(log: DataFrame, faults: DataFrame) -> DataFrame:
+    """The log of a snapshot that has no fault but warnings; else an error that names them."""
+    if found := faults.filter("severity = 'error'").collect():  # a row a rule
+        raise ValueError("; ".join(f"{r.rule}: {r.n}" for r in found))
+    return log
+
+
+def verified(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """A table of `sinks.write_verified`; a file that has changed, is lost or came in since is an error that names it."""
+    was = spark.read.schema("file string, size long, n_rows long, checksum string").json(f"{path}.manifest")
+    now = file_fingerprints(spark, path, form)
+    both = was.alias("a").join(now.alias("b"), F.col("a.file") == F.col("b.file"), "full")
+    same = (F.col("a.size") == F.col("b.size")) & (F.col("a.n_rows") == F.col("b.n_rows")) & (F.col("a.checksum") == F.col("b.checksum"))
+    if found := both.filter(~F.coalesce(same, F.lit(False))).select(F.coalesce("a.file", "b.file").alias("file"), F.when(F.col("b.file").isNull(), "is lost").when(F.col("a.file").isNull(), "is new").otherwise("has changed").alias("how")).take(5):
+        raise ValueError("; ".join(f"{r.file} {r.how}" for r in found))
+    reader = spark.read.option("header", True) if form == "csv" else spark.read
+    return reader.format(form).load(path)
+
+
+def represented(events: DataFrame, representation: str, rooms: DataFrame) -> DataFrame:
+    """Events by single sensor (`individual`), or with each sensor as its room (`room`; rooms: sensor, name)."""
+    if representation not in ("individual", "room"):
+        raise ValueError(f"no such representation: {representation}")
+    return mapped(events, rooms) if representation == "room" else events
+
+
 def json_candidates(text: str) -> list:
     """What parses as JSON in a model's answer: the whole text, fenced blocks, balanced pieces; the first that holds records wins."""
     found = [text, *re.findall(r"```(?:json)?\s*(.*?)```", text, re.S)]
@@ -221,16 +297,17 @@ def pattern_occurrences_csv(spark: SparkSession, path: str, method: str | None =
 
 def ordered_series(spark: SparkSession, path: str, zone: str | None = None) -> DataFrame:
     """start_time, end_time (UTC instants), state of a CSV of ISO times; times without an offset are in `zone`. A time that is none, an interval that ends at or before its start, or one that
-    begins before the one before it ends fails the job."""
-    raw = numbered(spark.read.option("header", True).csv(path))
+    begins before the one before it in the file ends fails the job. Each stretch of a file is looked at by itself, with the latest end of those before it."""
+    raw = in_file_order(spark.read.option("header", True).csv(path))
 
     def instant(name: str) -> Column:
         offset = F.rlike(F.trim(name), F.lit(r"(Z|[+-]\d\d:?\d\d)$"))
         local = F.to_utc_timestamp(F.try_to_timestamp(F.concat(F.trim(name), F.lit("Z"))), zone) if zone else F.lit(None).cast("timestamp")
         return F.when(offset, F.try_to_timestamp(F.trim(name))).otherwise(local)
 
-    rows = raw.select("source_order", F.col("state_id").alias("state"), instant("start_time").alias("start_time"), instant("end_time").alias("end_time"))
-    before = F.max("end_time").over(Window.orderBy("source_order").rowsBetween(Window.unboundedPreceding, -1))  # a file is one home's series
+    rows = raw.select("_file", "_part", "source_order", F.col("state_id").alias("state"), instant("start_time").alias("start_time"), instant("end_time").alias("end_time"))
+    rows = blocks.folded(rows, ["_file"], F.col("_part"), ("source_order",), {"_before": ("max", F.col("end_time"))}, itself=False)  # a file is one home's series
+    before = F.col("_before")
     fault = F.when(F.col("start_time").isNull() | F.col("end_time").isNull() | (F.col("end_time") <= F.col("start_time")), "invalid state interval").when(before > F.col("start_time"), "state intervals must be ordered and apart")
     return rows.withColumn("state", F.when(fault.isNull(), F.col("state")).otherwise(F.raise_error(fault))).select("start_time", "end_time", "state")
 

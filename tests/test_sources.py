@@ -57,7 +57,7 @@ def test_intervals_and_occurrences_with_other_names(spark, tmp_path):
 def test_ordered_series(spark, tmp_path):
     head = "start_time,end_time,state_id\n"
     good = written_to(tmp_path, "s.csv", head + "2024-01-01T00:00:00,2024-01-01T01:00:00,a\n2024-01-01T01:00:00+09:00,2024-01-01T02:00:00+09:00,b\n")
-    got = sources.ordered_series(spark, good, "Asia/Tokyo").collect()
+    got = sources.ordered_series(spark, good, "Asia/Tokyo").orderBy("start_time").collect()
     assert [(r.state, (r.end_time - r.start_time).seconds) for r in got] == [("a", 3600), ("b", 3600)] and got[0].end_time == got[1].start_time
     for rows in ("2024-01-01T00:00:00Z,2024-01-01T00:00:00Z,a\n", "2024-01-01T00:00:00Z,2024-01-01T02:00:00Z,a\n2024-01-01T01:00:00Z,2024-01-01T03:00:00Z,b\n", "2024-01-01T00:00:00,2024-01-01T02:00:00,a\n"):
         with pytest.raises(Exception, match="interval"):
