@@ -20,28 +20,51 @@ from pyspark.sql import functions as F
 from lumenlog.llm.components import components
 from lumenlog.llm.shared import temporary, written
 
-MARK_BITS = 20
-KEY_BITS = 24
+#: Places of the largest maps, as bits: 8 MB and 32 MB. Where more is marked than fits, more passes by chance, up to all; the joins behind maps decide in any case.
+MARK_BITS = 26
+KEY_BITS = 28
 HUB_TURNS = 2
 
 
+def map_bits(n: int, most: int, each: int) -> int:
+    """The bits of a place in a map of n marks with `each` places for one, so that few others pass by chance: a map's size follows what it marks."""
+    return max(12, min(most, (max(1, each * n) - 1).bit_length()))
+
+
 def mark_of(*columns: str) -> Column:
-    """The place of a row in a map of 2**MARK_BITS bits."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << MARK_BITS))
+    """A row's hash, whose last bits are its place in a map."""
+    return F.xxhash64(*columns)
 
 
 def flagged(rows: DataFrame, columns: list[str], places: DataFrame) -> DataFrame:
-    """rows with `_hit`: whether the row's place in a map of bits is one of those in `places` (one column `mark`).
+    """rows with `_hit`: whether the row's place in a map is one of those in `places` (a written table's column `mark`, see `mark_of`).
 
-    The map is a table of 2**MARK_BITS / 64 numbers at most, so it is broadcast; it is there to keep most other rows out of a
+    The map has 64 places for each mark, 2**MARK_BITS at most, and is broadcast as words of 64; it is there to keep most other rows out of a
     shuffle. Some pass by chance, and the join behind it is what decides.
     """
-    words = places.groupBy(F.expr("CAST(mark div 64 AS INT)").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(mark % 64 AS INT))")).alias("_bits"))
-    placed = rows.withColumn("_mark", mark_of(*columns)).withColumn("_word", F.expr("CAST(_mark div 64 AS INT)"))
+    mask = F.lit((1 << map_bits(places.count(), MARK_BITS, 64)) - 1).cast("long")
+    words = places.select(F.col("mark").bitwiseAND(mask).alias("mark")).groupBy(F.expr("CAST(mark div 64 AS INT)").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(mark % 64 AS INT))")).alias("_bits"))
+    placed = rows.withColumn("_mark", mark_of(*columns).bitwiseAND(mask)).withColumn("_word", F.expr("CAST(_mark div 64 AS INT)"))
     hit = F.coalesce(F.expr("getbit(_bits, CAST(_mark % 64 AS INT)) = 1"), F.lit(False))
     return placed.join(F.broadcast(words), "_word", "left").withColumn("_hit", hit).drop("_word", "_bits", "_mark")
 
 
+class KeyMap:
+    """The first bits of some hashes (a written table's column) as a map of bits that goes to all tasks: 32 places for each, 2**KEY_BITS at most."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        self.bits = map_bits(hashes.count(), KEY_BITS, 32)
+        place = F.shiftrightunsigned(column, 64 - self.bits)
+        table = hashes.select(place.alias("p")).groupBy(F.expr("CAST(p div 64 AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits")).toArrow()
+        self.words = np.zeros(max(1, 1 << self.bits >> 6), np.uint64)
+        self.words[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each of these (unsigned) may be one of them."""
+        at = hashes >> np.uint64(64 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def linked(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """Of the pairs (a, b, n_a, n_b; written), those with den * overlap >= num * union, by `segments` of their sets: overlaps by fragment, summed per pair."""
     if pairs.isEmpty():
@@ -96,31 +119,25 @@ def _wide_allow(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFr
     return pairs.filter(F.coalesce(apart <= most, F.lit(True))).select("a", "b", "n_a", "n_b")
 
 
-def shared_entries(held: DataFrame) -> DataFrame:
-    """row, n, gram of the keys in `grams` that two rows hold, and of a few others.
+def shared_entries(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """row, n, gram of the keys in `grams` that two rows hold, and of a few others; and the keys (gram) that two rows hold. Both written.
 
-    The keys are counted; those that come twice are marked in a map of 2**KEY_BITS bits, and only what it lets through
+    The keys are counted; those that come twice are marked in a map, and only what it lets through
     goes on, which for keys that are mostly unique is a small part.
     """
-    twice = held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    place = F.shiftrightunsigned("gram", 64 - KEY_BITS)
-    words = twice.select(place.alias("p")).groupBy(F.expr("CAST(p div 64 AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits"))
-    marks = np.zeros(1 << (KEY_BITS - 6), np.uint64)
-    table = words.toArrow()
-    marks[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    sent = held.sparkSession.sparkContext.broadcast(marks)
+    twice = written(held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"), "twice")
+    sent = held.sparkSession.sparkContext.broadcast(KeyMap(twice, "gram"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("grams")
             n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             grams = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            at = grams.view(np.uint64) >> np.uint64(64 - KEY_BITS)
-            keep = np.flatnonzero(sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            keep = np.flatnonzero(sent.value.holds(grams.view(np.uint64)))
             owner = pa.array(np.repeat(np.arange(len(n)), n)[keep])
             yield pa.RecordBatch.from_arrays([batch.column("row").take(owner), batch.column("n").take(owner), pa.array(grams[keep])], names=["row", "n", "gram"])
 
-    return held.select("row", "n", "grams").mapInArrow(run, "row long, n int, gram long")
+    return written(held.select("row", "n", "grams").mapInArrow(run, "row long, n int, gram long"), "marked"), twice
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -145,8 +162,7 @@ def roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
 
 
 def _roots_of(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, words: int) -> DataFrame:
-    entries = written(shared_entries(held), "marked")
-    twice = written(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"), "twice")
+    entries, twice = shared_entries(held)
     entries = written(entries.join(twice, "gram"), "entries")
     maps = held.select("row", "bits")
     allowed = F.expr(f"least(x.n, y.n) * {den}L >= greatest(x.n, y.n) * {num}L")  # by length

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.llm.chunks import Hasher, pieces_of, released
 from lumenlog.llm.jaccard_join import _ODD, windows
-from lumenlog.llm.near import KEY_BITS, flagged, mark_of, parity_map, roots_of
+from lumenlog.llm.near import KeyMap, flagged, mark_of, parity_map, roots_of
 from lumenlog.llm.shared import temporary, written
 
 MIN_WORDS = 20
@@ -239,8 +239,8 @@ class Stretches:
         return a, b
 
 
-def _seeds_twice(left: DataFrame) -> np.ndarray:
-    """A map of 2**KEY_BITS bits of the least hashes that stand in two places or more, and of some others."""
+def _seeds_twice(left: DataFrame) -> KeyMap:
+    """A map of the least hashes that stand in two places or more, and of some others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,11 +256,7 @@ def _seeds_twice(left: DataFrame) -> np.ndarray:
     found = left.select("text", F.xxhash64("doc_id", "key").alias("place")).mapInArrow(run, "seed long, place long, word int")
     place = F.struct("place", "word")
     twice = found.groupBy("seed").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
-    bit = F.shiftrightunsigned("seed", 64 - KEY_BITS)
-    table = twice.select(bit.alias("p")).groupBy(F.expr("CAST(p div 64 AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits")).toArrow()
-    marks = np.zeros(1 << (KEY_BITS - 6), np.uint64)
-    marks[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return marks
+    return KeyMap(written(twice.select("seed"), "seeds"), "seed")
 
 
 def _line_before(line: int, gone: list[int] | None) -> int:
@@ -282,8 +278,7 @@ def stretches(left: DataFrame) -> DataFrame:
             for texts in pieces_of(batch.column("text")):
                 piece, done = batch.slice(done, len(texts)), done + len(texts)
                 held = Stretches(texts)
-                bit = held.mixed(held.least) >> np.uint64(64 - KEY_BITS)
-                at = np.flatnonzero(held.whole & (sent.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool))
+                at = np.flatnonzero(held.whole & sent.value.holds(held.mixed(held.least)))
                 if not len(at):
                     continue
                 x = np.frombuffer(held.spans.data, np.uint8)
@@ -313,7 +308,8 @@ def runs(left: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "key", "word")
     firsts = held.groupBy("sig_a", "sig_b").agg(F.min(F.struct("doc_id", "key", "word", "para")).alias("low"), F.min(place).alias("at"), F.max(place).alias("high")).filter("at <> high").select("sig_a", "sig_b", "low")
     firsts = written(firsts, "firsts")  # so that the join may split a stretch that very many texts share
-    met = held.join(firsts, ["sig_a", "sig_b"]).select("doc_id", "key", "word", "para", "low").distinct()
+    # dealt by document once, which serves the distinct rows, the windows and the groups below
+    met = held.join(firsts, ["sig_a", "sig_b"]).select("doc_id", "key", "word", "para", "low").repartition("doc_id", "key").distinct()
     met = met.withColumns({"_apart": F.col("word") - F.col("low.word"), "_own": F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("key") == F.col("low.key"))})
     line = Window.partitionBy("doc_id", "key", "low.doc_id", "low.key", "_apart").orderBy("word")
     met = met.withColumn("_run", F.col("word") - F.row_number().over(line))
@@ -330,9 +326,9 @@ def _without_lines(text: str, gone: str) -> Column:
     return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
 
 
-def _gone(places: DataFrame) -> DataFrame:
+def _gone(places: DataFrame, stays: bool = False) -> DataFrame:
     gone = places.filter("removed").groupBy("doc_id", "key").agg(F.collect_set("para").alias("_gone"))
-    return written(gone.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "gone")
+    return written(gone.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "gone", stays=stays)
 
 
 def _left(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -378,7 +374,8 @@ def without_runs(text: str | None, cuts: list | None) -> str | None:
 
 def _lost(docs: DataFrame, n: int, num: int, den: int, min_words: int) -> DataFrame:
     """_id, _key, _gone (lines), _cuts (runs) of the documents that lose something."""
-    gone = _gone(repeated(docs, n, num, den, min_words))
+    with temporary(docs.sparkSession):  # what paragraphs took is let go before runs are looked for
+        gone = _gone(repeated(docs, n, num, den, min_words), stays=True)
     cuts = runs(_left(docs, gone)).filter("removed").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n_words")).alias("_cuts"))
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.lit(None).cast("array<int>").alias("_gone"), "_cuts")
     both = gone.withColumn("_cuts", F.lit(None).cast(cuts.schema["_cuts"].dataType)).unionByName(cuts)

@@ -175,3 +175,26 @@ def test_runs_are_those_of_all_windows(spark):
         got.update((r.doc_id, r.start + k) for k in range(r.n_words))
     own = {(i, w) for i, w in got if (i, w) not in removed}
     assert removed <= got and not own
+
+
+def test_full_maps_change_nothing(spark, monkeypatch):
+    """Maps of 64 places, which let nearly everything through, give what maps that fit give."""
+    from lumenlog.llm import jaccard_join, near, substring_dedup
+
+    rng = random.Random(21)
+    words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(60)) for _ in range(n)]
+    shared, texts = words(70), []
+    for i in range(60):
+        own = words(rng.randint(10, 80))
+        if i % 3 == 0:
+            own[5:5] = shared
+        if i % 4 == 0 and texts:
+            own = texts[rng.randrange(len(texts))].split(" ")
+            own[rng.randrange(len(own))] = "changed"
+        texts.append(" ".join(own[:30]) + "\n" + " ".join(own[30:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    both = lambda: [sorted(map(str, x.collect())) for x in (jaccard_join.classes(docs), substring_dedup.passages(docs), substring_dedup.cleaned(docs))]
+    want = both()
+    assert near.map_bits(0, 26, 16) == 12 and near.map_bits(1000, 26, 16) == 14 and near.map_bits(1 << 40, 26, 16) == 26
+    monkeypatch.setattr(near, "map_bits", lambda n, most, each: 6)
+    assert both() == want and len(want[1]) > 10
