@@ -97,6 +97,30 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: All pairs that share an n-gram, and what links reach; for the oracle's size.
+OP8_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w
+), n AS (
+  SELECT r, count(*) AS n FROM sh GROUP BY r
+), p AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh AS a JOIN sh AS b ON a.s = b.s AND a.r < b.r GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n AS i ON i.r = x JOIN n AS j ON j.r = y WHERE 100 * c >= 90 * (i.n + j.n - c)
+), b AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (
+  SELECT r AS x, r AS y FROM w UNION SELECT reach.x, b.y FROM reach JOIN b ON reach.y = b.x
+), least AS (
+  SELECT reach.x AS r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.y GROUP BY reach.x
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (r) JOIN least USING (r)
+"""
+
+
 #: Target weights of the twenty sources: the first the least, in equal steps.
 MIX = {f"src{i}": i + 1 for i in range(20)}
 
@@ -168,4 +192,4 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_token_files": op1_token_files, "op2_token_counts": op2_token_counts, "op3_top_k": op3_top_k, "op4_segmentations": op4_segmentations, "op5_toxicity": op5_toxicity, "op6_substring_dedup": op6_substring_dedup, "op7_sharding": op7_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_media": op10_media, "op11_lexical_search": op11_lexical_search, "op12_fill_in_middle": op12_fill_in_middle, "op13_pii": op13_pii}
-ORACLE: dict[str, str] = {"op3_top_k": OP3_SQL, "op7_sharding": OP7_SQL, "op11_lexical_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
+ORACLE: dict[str, str] = {"op3_top_k": OP3_SQL, "op7_sharding": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
