@@ -307,7 +307,10 @@ def paired_in_order(spark, sf):
     return intervals.pair_in_order(e.filter("sensor = 'signup'"), e.filter("sensor = 'purchase'"), ["home", "kk"]).select("home", "kk", "nth", "start_time", "end_time")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, r AS (SELECT home, k % 10 AS kk, ts, sensor = 'signup' AS opens, row_number() OVER (PARTITION BY home, k % 10 ORDER BY ts, ord) AS n FROM ev WHERE sensor IN ('signup', 'purchase')),
+m AS (SELECT DISTINCT home, kk, 0 AS n, [] :: TIMESTAMP[] AS held, NULL :: TIMESTAMP AS a, NULL :: TIMESTAMP AS b FROM r UNION ALL
+  SELECT r.home, r.kk, r.n, CASE WHEN opens THEN list_append(held, ts) ELSE held[1:len(held) - 1] END, CASE WHEN NOT opens AND len(held) > 0 THEN held[len(held)] END, ts FROM m JOIN r ON r.home = m.home AND r.kk = m.kk AND r.n = m.n + 1)
+SELECT home, kk, a AS start_time, b AS end_time FROM m WHERE a < b""")
 def paired_annotations(spark, sf):
     """Nested begin and end marks of each home and label; ends without a begin are left out."""
     e = log(spark, sf).withColumn("kk", F.col("k") % 10)
