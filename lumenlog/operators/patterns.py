@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions import ARROW, alternating_loop, f1_of, has_part, other_round_trip, safe_divide, self_transition
+from lumenlog.functions import ARROW, alternating_loop, f1_of, has_part, other_round_trip, safe_divide, seconds_between, self_transition
 from lumenlog.operators.matching import one_to_one
+from lumenlog.operators.shared import stored
 
 
 def merge_bands(patterns: DataFrame) -> DataFrame:
@@ -30,6 +31,30 @@ def holds(longer: Column, shorter: Column) -> Column:
     return has_part(F.split(longer, ARROW), F.split(shorter, ARROW))
 
 
+def truth_shares(occurrences: DataFrame, truths: DataFrame, assigned: DataFrame, keys: list[str], by: list[str], least_seconds: float = 1.0) -> DataFrame:
+    """by, test_support, hit_rate, purity, any_hit_rate, any_purity: how far a pattern's occurrences meet the categories that it was assigned in training, and any at all.
+
+    occurrences: by, keys, start_time, end_time. truths: keys, category, start_time, end_time. assigned: by, labels (array). Hit rate: the share of occurrences that share `least_seconds` with a category; purity: the share of
+    their time. Time that several categories of an occurrence cover counts once. A pattern without occurrences has no row.
+    """
+    from lumenlog.operators import intervals
+
+    occ = occurrences.select(*by, *keys, "start_time", "end_time", F.monotonically_increasing_id().alias("_id"))
+    occ = stored(occ)  # the ids have to stay
+    met = intervals.overlap_join(occ, truths.select(*keys, "category", "start_time", "end_time"), keys)
+    cut = met.select(*by, "_id", F.col("b_category").alias("category"), F.greatest("start_time", "b_start_time").alias("start_time"), F.least("end_time", "b_end_time").alias("end_time"))
+    own = cut.join(assigned.select(*by, "labels"), by).filter(F.array_contains("labels", F.col("category")))
+
+    def shared(rows: DataFrame, name: str) -> DataFrame:
+        spans = intervals.union_spans(rows, ["_id"])
+        return spans.groupBy("_id").agg(F.sum(seconds_between("start_time", "end_time")).alias(name))
+
+    every = occ.join(shared(cut, "_any"), "_id", "left").join(shared(own, "_own"), "_id", "left").fillna(0.0, ["_any", "_own"])
+    n, length = F.count(F.lit(1)), F.sum(seconds_between("start_time", "end_time"))
+    rate = lambda c: F.count_if((F.col(c) > 0) & (F.col(c) >= least_seconds)) / n
+    return every.groupBy(*by).agg(n.alias("test_support"), rate("_own").alias("hit_rate"), safe_divide(F.sum("_own"), length).alias("purity"), rate("_any").alias("any_hit_rate"), safe_divide(F.sum("_any"), length).alias("any_purity"))
+
+
 def quality(rows: DataFrame, others: list[str], grounded: tuple[float, float] = (0.3, 0.3), useless: tuple[float, float] = (0.1, 0.1), without_test: bool = False) -> DataFrame:
     """Flags of patterns, 0 or 1, and why they are useless.
 

@@ -418,27 +418,52 @@ def frequency_baseline(spark, sf):
 
 # Quality ----------------------------------------------------------------------------------------------------------------
 
-_QUALITY = f"""{EV}, {runs_sql('home, date, band')}, {_grams_sql('home, date, band', 2, 4)}, q AS (
-  SELECT band, sequence, string_split(sequence, '->') AS x, count(*) FILTER (ts < TIMESTAMP '{SPLIT}') AS tr, count(*) FILTER (ts >= TIMESTAMP '{SPLIT}') AS te FROM g GROUP BY band, sequence
+_ISLANDS = "SELECT {k}, sum((epoch_us(e) - epoch_us(s)) / 1e6) AS x FROM (SELECT {k}, isl, min(a) AS s, max(b) AS e FROM (SELECT *, sum(CASE WHEN r IS NULL OR a > r THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, max(b) OVER (PARTITION BY {k} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM {t})) GROUP BY {k}, isl) GROUP BY {k}"
+_QUALITY = f"""{_IV.replace(f'{EV},', f'{INTERVAL_TABLES},', 1)}, {_span_grams(4)}, oc AS (
+  SELECT row_number() OVER () AS id, {_BAND.format(t='start_time')} AS band, sequence, home, start_time, end_time, start_time < TIMESTAMP '{SPLIT}' AS train FROM g
+), ov AS (
+  SELECT id, band, sequence, train, category, greatest(oc.start_time, tr.start_time) AS a, least(oc.end_time, tr.end_time) AS b FROM oc JOIN tr ON oc.home = tr.home AND oc.start_time < tr.end_time AND tr.start_time < oc.end_time
+), lb AS (
+  SELECT band, sequence, list(category) AS labels FROM (SELECT *, sum(s) OVER (PARTITION BY band, sequence) AS total FROM (SELECT band, sequence, category, sum((epoch_us(b) - epoch_us(a)) / 1e6) AS s FROM ov WHERE train GROUP BY ALL)) WHERE s >= 0.2 * total GROUP BY band, sequence
+), an AS (SELECT * FROM ov WHERE NOT train), ow AS (SELECT an.* FROM an JOIN lb USING (band, sequence) WHERE list_contains(labels, category)),
+ua AS ({_ISLANDS.format(k='id', t='an')}), uo AS ({_ISLANDS.format(k='id', t='ow')}), sh AS (
+  SELECT band, sequence, count(*) FILTER (train) AS tr, count(*) FILTER (NOT train) AS te, count(*) FILTER (NOT train AND uo.x >= 60) / nullif(count(*) FILTER (NOT train), 0) AS hit, count(*) FILTER (NOT train AND ua.x >= 60) / nullif(count(*) FILTER (NOT train), 0) AS ah,
+    coalesce(sum(uo.x), 0) / nullif(sum((epoch_us(end_time) - epoch_us(start_time)) / 1e6) FILTER (NOT train), 0) AS pu, coalesce(sum(ua.x), 0) / nullif(sum((epoch_us(end_time) - epoch_us(start_time)) / 1e6) FILTER (NOT train), 0) AS ap
+  FROM oc LEFT JOIN ua USING (id) LEFT JOIN uo USING (id) GROUP BY band, sequence
+), q AS (
+  SELECT *, string_split(sequence, '->') AS x, tr > 0 AND te > 0 AS c FROM sh
 ), fl AS (
-  SELECT *, tr > 0 AND te > 0 AS c, te / (tr + te) AS hit, (te % 7) / 10 AS pu, (tr % 5) / 10 AS ah, (tr % 3) / 10 AS ap, len(x) = 2 AS fr, {_SELF} AS tw, {_TRIP} AS bt, {_LOOP} AS lo FROM q
+  SELECT *, len(x) = 2 AS fr, {_SELF} AS tw, {_TRIP} AS bt, {_LOOP} AS lo FROM q
 ), qa AS (
-  SELECT band, sequence, c, c AND (hit >= 0.6 OR pu >= 0.3) AS g, c AND ah < 0.2 AND ap < 0.2 AS la, c AND bt AS b, c AND lo AS l, c AND (tw OR bt OR lo) AS st, c AND fr AS fr FROM fl
+  SELECT band, sequence, hit, pu, c, c AND (hit >= 0.05 OR pu >= 0.01) AS g, c AND ah < 0.1 AND ap < 0.02 AS la, c AND bt AS b, c AND lo AS l, c AND (tw OR bt OR lo) AS st, c AND fr AS fr FROM fl
 )"""
 
 
 def _flagged(spark, sf) -> DataFrame:
-    g, split = _grams(spark, sf), F.lit(SPLIT).cast("timestamp_ntz")
-    q = g.groupBy("band", "sequence").agg(F.count_if(F.col("ts") < split).alias("train_support"), F.count_if(F.col("ts") >= split).alias("test_support"))
-    a, b = F.col("train_support"), F.col("test_support")
-    rows = q.select("*", (b / (a + b)).alias("hit_rate"), (b % 7 / 10).alias("purity"), (a % 5 / 10).alias("any_hit_rate"), (a % 3 / 10).alias("any_purity"), (F.size(F.split("sequence", fn.ARROW)) == 2).cast("int").alias("fragmented"))
-    return patterns.quality(rows, [OTHER], (0.6, 0.3), (0.2, 0.2))
+    e, split, by = log(spark, sf), F.lit(SPLIT).cast("timestamp_ntz"), ["band", "sequence"]
+    held = sequences.intervals(e, ["home"])
+    occ = _span_rows(held).withColumn("band", fn.time_band("start_time"))
+    train, test, t = occ.filter(F.col("start_time") < split), occ.filter(F.col("start_time") >= split), truths(e).drop("ord")
+    met = intervals.overlap_join(train.select(*by, "home", "start_time", "end_time"), t, ["home"]).withColumnRenamed("b_category", "category")
+    shares = patterns.truth_shares(test, t, scoring.true_sets(met, by, 0.2), ["home"], by, least_seconds=60.0)
+    rows = train.groupBy(*by).agg(F.count(F.lit(1)).alias("train_support")).join(shares, by, "full").fillna(0, ["train_support", "test_support"])
+    return patterns.quality(rows.withColumn("fragmented", (F.size(F.split("sequence", fn.ARROW)) == 2).cast("int")), [OTHER], (0.05, 0.01), (0.1, 0.02))
+
+
+def _span_rows(held: DataFrame) -> DataFrame:
+    """home, start_time, end_time, sequence of two to four intervals in a row."""
+    w = Window.partitionBy("home").orderBy("start_time", "ord")
+    rows = held
+    for i in range(1, 4):
+        rows = rows.withColumns({f"s{i}": F.lead("state", i).over(w), f"e{i}": F.lead("end_time", i).over(w)})
+    made = [F.when(F.col(f"s{n - 1}").isNotNull(), F.struct(F.concat_ws(fn.ARROW, "state", *(f"s{i}" for i in range(1, n))).alias("sequence"), F.col(f"e{n - 1}").alias("end_time"))) for n in range(2, 5)]
+    return rows.select("home", "start_time", F.explode(F.array_compact(F.array(*made))).alias("g")).select("home", "start_time", "g.*")
 
 
-@query(f"WITH {_QUALITY} SELECT band, sequence, CAST(c AS INTEGER) AS counted, CAST(g AS INTEGER) AS grounded, CAST(la AS INTEGER) AS useless_a, CAST(b AS INTEGER) AS useless_b, CAST(l AS INTEGER) AS useless_c, CAST(la OR b OR l AS INTEGER) AS useless, CAST(st AS INTEGER) AS structural, CAST(st OR la AS INTEGER) AS contextless, CAST(fr AS INTEGER) AS fragment, CAST(g AND NOT st AND NOT fr AS INTEGER) AS useful FROM qa")
+@query(f"WITH {_QUALITY} SELECT band, sequence, round(hit, 6) AS hit_rate, round(pu, 6) AS purity, CAST(c AS INTEGER) AS counted, CAST(g AS INTEGER) AS grounded, CAST(la AS INTEGER) AS useless_a, CAST(b AS INTEGER) AS useless_b, CAST(l AS INTEGER) AS useless_c, CAST(la OR b OR l AS INTEGER) AS useless, CAST(st AS INTEGER) AS structural, CAST(st OR la AS INTEGER) AS contextless, CAST(fr AS INTEGER) AS fragment, CAST(g AND NOT st AND NOT fr AS INTEGER) AS useful FROM qa")
 def pattern_quality(spark, sf):
     """Which sequences of bands are grounded, useless, broken off or useful."""
-    return _flagged(spark, sf).select("band", "sequence", "counted", "grounded", "useless_a", "useless_b", "useless_c", "useless", "structural", "contextless", "fragment", "useful")
+    return _round(_flagged(spark, sf), "hit_rate", "purity").select("band", "sequence", "hit_rate", "purity", "counted", "grounded", "useless_a", "useless_b", "useless_c", "useless", "structural", "contextless", "fragment", "useful")
 
 
 @query(f"WITH {_QUALITY} SELECT band, count(*) AS n_patterns, count(*) FILTER (c) AS n_counted, {', '.join(f'round(coalesce(count(*) FILTER ({x}) / nullif(count(*) FILTER (c), 0), 0), 6) AS {n}_rate' for n, x in {'grounded': 'g', 'useless': 'la OR b OR l', 'contextless': 'st OR la', 'structural': 'st', 'fragment': 'fr', 'useful': 'g AND NOT st AND NOT fr'}.items())} FROM qa GROUP BY band")
