@@ -29,8 +29,7 @@ def same(a, b):
     assert x == y and x
 
 
-@pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("of", [blocks.daily, lambda: blocks.daily(days=3), lambda: F.hour("ts") * 0])
+@pytest.mark.parametrize("seed, of", [(0, blocks.daily), (1, lambda: blocks.daily(days=3)), (2, lambda: F.hour("ts") * 0)])
 def test_series_in_blocks(spark, seed, of):
     s, block = series(spark, seed), of()
     same(sequences.runs(s, ["home"], block), sequences.runs(s, ["home"]))
@@ -42,7 +41,7 @@ def test_series_in_blocks(spark, seed, of):
     same(vectors.compressed(v, ["home"], ("ts", "ord"), block), vectors.compressed(v, ["home"], ("ts", "ord")))
 
 
-@pytest.mark.parametrize("points", [1, 7, 24, 500])
+@pytest.mark.parametrize("points", [7, 500])
 def test_grids_in_blocks(spark, points):
     s = series(spark, 5)
     a = vectors.sample_and_hold(s, ["home"], ["x", "y", "z"], f"{DAY} 00:00:00", 3600, 200, points)
@@ -85,7 +84,7 @@ def spread(name, rng, n):
 
 
 @pytest.mark.parametrize("name", ["even", "heavy", "few", "one", "far", "two"])
-@pytest.mark.parametrize("most, cells", [(10_000, 1024), (20, 16), (1, 4)])
+@pytest.mark.parametrize("most, cells", [(20, 16), (1, 4)])
 def test_percentiles_are_exact(spark, monkeypatch, name, most, cells):
     monkeypatch.setattr(percentiles, "CELLS", cells)
     rng = np.random.default_rng(4)

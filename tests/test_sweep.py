@@ -23,7 +23,7 @@ def rows(df):
 
 def test_sweep_is_each_condition_alone(spark):
     v, order = vectors_of(spark), ("ts", "ord", "home")
-    conditions = [(k, h) for k in (1, 3, 5, 50) for h in (0, 1, 2, 4)]
+    conditions = [(k, h) for k in (1, 3, 50) for h in (0, 1, 4)]
     got = evaluation.swept(v, conditions + conditions[:2], order)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == len(conditions) * v.count() and plan.count("Scan ExistingRDD") <= 3  # whatever the number of conditions
@@ -54,8 +54,8 @@ def test_conditions_and_runs_are_as_each_alone(spark, named):
     series, patterns, truths = inputs(spark)
     got = evaluation.swept_evaluation(series, patterns, truths, ["home"], 0.15, **named)
     assert got["runs"].count() == 4
-    for k, h in ((3, 0), (5, 1)):
-        for run in (1, 2):
+    for k, h, runs in ((3, 0, (1,)), (5, 1, (2,))):
+        for run in runs:
             at = (F.col("n_states") == k) & (F.col("threshold") == h)
             own, s = patterns.filter(at & (F.col("run") == run)).drop("n_states", "threshold", "run"), series.filter(at).drop("n_states", "threshold")
             t = truths
