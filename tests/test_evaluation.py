@@ -110,3 +110,12 @@ def test_state_tables_and_sequences_as_files(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("S1", "1", "1"), ("S2", "0", "1"), (fn.OTHER, "-", "-")]
     sinks.sequences_json(spark.createDataFrame([("a->b", 1), ("b->c", 3)], "sequence string, cnt int"), f"{tmp_path}/j", [F.desc("cnt")], 1)
     assert [r.sequence for r in spark.read.json(f"{tmp_path}/j").collect()] == ["b->c"]
+
+
+def test_scopes_by_flag_or_by_value(spark):
+    rows = spark.createDataFrame([(0.5, 0.5, 1, 0), (None, 0.0, 0, 1), (0.9, 0.9, None, None)], "conditional_f1 double, end_to_end_f1 double, is_metric_evaluable int, is_end_to_end_evaluable int")
+    of = lambda df: [tuple(r) for r in df.select(*(evaluation.evaluable(df, s) for s in evaluation.SCOPES)).collect()]
+    assert of(rows) == [(True, False), (False, True), (False, False)]
+    assert of(rows.drop("is_metric_evaluable", "is_end_to_end_evaluable")) == [(True, True), (False, True), (True, True)]
+    plain = rows.select(F.col("conditional_f1").alias("f1"))
+    assert of(plain) == [(True, True), (False, False), (True, True)]

@@ -64,3 +64,8 @@ def test_set_scores(spark):
 
 def test_costs_are_exact(spark):
     assert one(spark, c=fn.token_cost(F.lit(3), F.lit("0.1"))).c == Decimal("0.0000003")
+
+
+def test_small_text_forms(spark):
+    r = one(spark, unique=fn.ordered_unique(seq("b a b c a")), json=fn.stable_json(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))), sd=fn.mean_sd_text(F.lit(0.5), F.lit(None).cast("double")), none=fn.mean_sd_text(F.lit(None).cast("double"), F.lit(1.0)))
+    assert (r.unique, r.json, r.sd, r.none) == (["b", "a", "c"], '{"a":2,"b":1}', "0.500 ± 0.000", "-")
