@@ -39,10 +39,10 @@ def mark_of(*columns: str) -> Column:
 def flagged(rows: DataFrame, columns: list[str], places: DataFrame) -> DataFrame:
     """rows with `_hit`: whether the row's place in a map is one of those in `places` (a written table's column `mark`, see `mark_of`).
 
-    The map has 64 places for each mark, 2**MARK_BITS at most, and is broadcast as words of 64; it is there to keep most other rows out of a
+    The map has sixteen places for each mark, 2**MARK_BITS at most, and is broadcast as words of 64; it is there to keep most other rows out of a
     shuffle. Some pass by chance, and the join behind it is what decides.
     """
-    mask = F.lit((1 << map_bits(places.count(), MARK_BITS, 64)) - 1).cast("long")
+    mask = F.lit((1 << map_bits(places.count(), MARK_BITS, 16)) - 1).cast("long")
     words = places.select(F.col("mark").bitwiseAND(mask).alias("mark")).groupBy(F.expr("CAST(mark div 64 AS INT)").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(mark % 64 AS INT))")).alias("_bits"))
     placed = rows.withColumn("_mark", mark_of(*columns).bitwiseAND(mask)).withColumn("_word", F.expr("CAST(_mark div 64 AS INT)"))
     hit = F.coalesce(F.expr("getbit(_bits, CAST(_mark % 64 AS INT)) = 1"), F.lit(False))

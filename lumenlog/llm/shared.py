@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenlog.llm.chunks import trimmed
+
 ROWS = 1024
 PIECES = 64
 
@@ -87,6 +89,7 @@ def counted(texts: DataFrame, places: Callable[[list], np.ndarray], size: int) -
                 else:
                     np.add.at(total, found, 1)
         yield from rows({i: x for i in range(PIECES) if (x := total[i * step : (i + 1) * step]).any()})
+        trimmed()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}

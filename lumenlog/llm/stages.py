@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm import toxicity
-from lumenlog.llm.chunks import pieces_of
+from lumenlog.llm.chunks import pieces_of, trimmed
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, limit: float = 0.5) -> DataFrame:
@@ -25,6 +25,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, limit: f
         for batch in batches:
             found = np.array([x for held in pieces_of(batch.column("text")) for x in score(held)], np.float64)
             yield batch.filter(pa.array(found < limit))
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
 

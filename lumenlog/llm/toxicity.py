@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.chunks import Hasher, Spans, Table, of_worker, pieces_of
+from lumenlog.llm.chunks import Hasher, Spans, Table, of_worker, pieces_of, trimmed
 from lumenlog.llm.shared import counted
 
 SAMPLE = 50_000
@@ -253,6 +253,7 @@ def scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
         for batch in batches:
             found = np.array([x for held in pieces_of(batch.column("text")) for x in score(held)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        trimmed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, SCORED)
@@ -263,7 +264,7 @@ class Scorer:
 
     def __init__(self, counts: np.ndarray, strength: np.ndarray, base: float):
         self.words, self.strength, self.base = Words(Restorer(counts)), strength, base
-        self.table = Table(lambda word: strongest(strength, self.words.of(word)), np.float64, 400_000)
+        self.table = Table(lambda word: strongest(strength, self.words.of(word)), np.float64, 300_000)
 
     def __call__(self, held: list[bytes]) -> Iterator[float]:
         spans = _hasher(held, lower=True)
