@@ -253,6 +253,12 @@ def listed(spans: str | Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])))
 
 
+def counts(spans: str | Column) -> list[Column]:
+    """n_email, n_ip, n_card, n_phone: how many of the spans are of each kind."""
+    of = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k))  # noqa: E731  a second argument would be taken for the place in the array
+    return [of(k).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+
+
 def masked(text: str | Column, spans: str | Column) -> Column:
     """The text with each span replaced by its kind in square brackets; of spans that overlap, the first one is replaced and what others have beyond it goes as well."""
     text, spans = (F.col(x) if isinstance(x, str) else x for x in (text, spans))

@@ -145,3 +145,12 @@ def test_masked(spark):
     docs = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
     rows = docs.join(pii.personal_data(docs), "doc_id").orderBy("doc_id").select(pii.masked("text", "spans").alias("x")).collect()
     assert [r.x for r in rows] == ["é mail [email] or [phone].", "none"]
+
+
+def test_query_counts_spans_of_each_kind(spark, tmp_path):
+    from lumenlog.llm import queries
+
+    texts = [None, "", "1.2.3.4", "a@b.org, c@d.org and e@f.org", "+1 555 010 2000 from 10.0.0.1 to 10.0.0.2, card 4111 1111-1111 1111 of a@b.org", "4111111111111111 " * 3]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in queries.op13_pii(spark, str(tmp_path)).collect()}
+    assert got == {i: tuple(sum(k == n for _, k, _ in brute_base(t or "")) for n in range(4)) for i, t in enumerate(texts)}
