@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import math
 from fractions import Fraction
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,3 +148,16 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed
 def in_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed: int = 7, source: str = "source") -> DataFrame:
     """The rows, columns as they were, in the order of the mix: ranges of slots, sorted."""
     return placed(docs, weights, block, seed, source).orderBy("slot", "offset").select("whole.*")
+
+
+def places(stored: DataFrame) -> DataFrame:
+    """The rows of a table that `in_order` has been written to, with `place`: the row's number in the order of the mix, gapless from 0.
+
+    A file's name tells which range of the order it has, and a row's index where in the file it stands, so nothing is sorted again: what comes to the driver is a
+    count for each file. A table that is not read from parquet files has no such order.
+    """
+    named = stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = stored.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("n")).collect()
+    ends = list(accumulate((r.n for r in sorted(counts, key=lambda r: r._file)), initial=0))
+    first = stored.sparkSession.createDataFrame([(r._file, at) for r, at in zip(sorted(counts, key=lambda r: r._file), ends)], "_file string, _first long")
+    return named.join(F.broadcast(first), "_file").select(*stored.columns, (F.col("_first") + F.col("_row")).alias("place"))

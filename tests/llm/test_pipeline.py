@@ -106,6 +106,19 @@ def test_order_of_the_mix(stages):
     assert sorted(map(str, before.collect())) == sorted(map(str, after.collect()))
 
 
+def test_encoded_texts_have_their_place_in_the_mix(spark):
+    import corpus_pipeline as p
+    from lumenlog.llm.mixing import mixed
+    from lumenlog.llm.shared import written
+
+    docs, stage = spark.read.parquet(f"{DATA}/documents.parquet"), dict(p.STAGES)
+    stored = written(stage["mixing"](spark, docs, DATA).repartitionByRange(5, "doc_id"), "other"), written(stage["mixing"](spark, docs, DATA), "mixing")
+    want = [r.doc_id for r in mixed(docs, p.MIX).orderBy("slot", "offset").collect()]
+    other, got = ({r.place: r.doc_id for r in stage["pieces"](spark, x, DATA).select("doc_id", "place").collect()} for x in stored)
+    assert [got[i] for i in range(len(docs.collect()))] == want
+    assert sorted(other) == sorted(got) and other != got  # another order gives other places
+
+
 def test_pieces_are_the_librarys(stages):
     import numpy as np
 
