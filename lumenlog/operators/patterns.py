@@ -39,17 +39,20 @@ def truth_shares(occurrences: DataFrame, truths: DataFrame, assigned: DataFrame,
     """
     from lumenlog.operators import intervals
 
-    occ = occurrences.select(*by, *keys, "start_time", "end_time", F.monotonically_increasing_id().alias("_id"))
-    occ = stored(occ)  # the ids have to stay
-    met = intervals.overlap_join(occ, truths.select(*keys, "category", "start_time", "end_time"), keys)
-    cut = met.select(*by, "_id", F.col("b_category").alias("category"), F.greatest("start_time", "b_start_time").alias("start_time"), F.least("end_time", "b_end_time").alias("end_time"))
-    own = cut.join(assigned.select(*by, "labels"), by).filter(F.array_contains("labels", F.col("category")))
+    held = occurrences.select(*by, *keys, "start_time", "end_time").join(assigned.select(*by, F.col("labels").alias("_labels")), by, "left")
+    occ = stored(held.withColumn("_id", F.monotonically_increasing_id()))  # the ids have to stay
+    # any category: time that several truths cover is one span before it meets occurrences, so overlaps add up and no pair is shuffled by itself
+    some = intervals.overlap_join(occ.select("_id", *keys, "start_time", "end_time"), intervals.union_spans(truths, keys), keys).groupBy("_id").agg(F.sum("overlap").alias("_any"))
+    # own ones: an occurrence brings its labels with it, so only pairs that count leave the join
+    met = intervals.overlap_join(occ.filter(F.size("_labels") > 0).select("_id", "_labels", *keys, "start_time", "end_time"), truths.select(*keys, "category", "start_time", "end_time"), keys)
+    met = met.filter(F.array_contains("_labels", F.col("b_category")))
+    own = met.select("_id", F.greatest("start_time", "b_start_time").alias("start_time"), F.least("end_time", "b_end_time").alias("end_time"))
 
     def shared(rows: DataFrame, name: str) -> DataFrame:
         spans = intervals.union_spans(rows, ["_id"])
         return spans.groupBy("_id").agg(F.sum(seconds_between("start_time", "end_time")).alias(name))
 
-    every = occ.join(shared(cut, "_any"), "_id", "left").join(shared(own, "_own"), "_id", "left").fillna(0.0, ["_any", "_own"])
+    every = occ.join(some, "_id", "left").join(shared(own, "_own"), "_id", "left").fillna(0.0, ["_any", "_own"])
     n, length = F.count(F.lit(1)), F.sum(seconds_between("start_time", "end_time"))
     rate = lambda c: F.count_if((F.col(c) > 0) & (F.col(c) >= least_seconds)) / n
     return every.groupBy(*by).agg(n.alias("test_support"), rate("_own").alias("hit_rate"), safe_divide(F.sum("_own"), length).alias("purity"), rate("_any").alias("any_hit_rate"), safe_divide(F.sum("_any"), length).alias("any_purity"))

@@ -441,8 +441,8 @@ ua AS ({_ISLANDS.format(k='id', t='an')}), uo AS ({_ISLANDS.format(k='id', t='ow
 
 def _flagged(spark, sf) -> DataFrame:
     e, split, by = log(spark, sf), F.lit(SPLIT).cast("timestamp_ntz"), ["band", "sequence"]
-    held = sequences.intervals(e, ["home"])
-    occ = _span_rows(held).withColumn("band", fn.time_band("start_time"))
+    held = stored(_spans_ahead(sequences.intervals(e, ["home"])))  # read for training and for the test
+    occ = _spans_of(held).withColumn("band", fn.time_band("start_time"))
     train, test, t = occ.filter(F.col("start_time") < split), occ.filter(F.col("start_time") >= split), truths(e).drop("ord")
     met = intervals.overlap_join(train.select(*by, "home", "start_time", "end_time"), t, ["home"]).withColumnRenamed("b_category", "category")
     shares = patterns.truth_shares(test, t, scoring.true_sets(met, by, 0.2), ["home"], by, least_seconds=60.0)
@@ -450,12 +450,15 @@ def _flagged(spark, sf) -> DataFrame:
     return patterns.quality(rows.withColumn("fragmented", (F.size(F.split("sequence", fn.ARROW)) == 2).cast("int")), [OTHER], (0.05, 0.01), (0.1, 0.02))
 
 
-def _span_rows(held: DataFrame) -> DataFrame:
-    """home, start_time, end_time, sequence of two to four intervals in a row."""
+def _spans_ahead(held: DataFrame) -> DataFrame:
+    """home, start_time, state, and states and ends of the three intervals behind."""
     w = Window.partitionBy("home").orderBy("start_time", "ord")
-    rows = held
-    for i in range(1, 4):
-        rows = rows.withColumns({f"s{i}": F.lead("state", i).over(w), f"e{i}": F.lead("end_time", i).over(w)})
+    ahead = {f"{c}{i}": F.lead(x, i).over(w) for i in range(1, 4) for c, x in (("s", "state"), ("e", "end_time"))}
+    return held.withColumns(ahead).select("home", "start_time", "state", *ahead)
+
+
+def _spans_of(rows: DataFrame) -> DataFrame:
+    """home, start_time, end_time, sequence of two to four intervals in a row."""
     made = [F.when(F.col(f"s{n - 1}").isNotNull(), F.struct(F.concat_ws(fn.ARROW, "state", *(f"s{i}" for i in range(1, n))).alias("sequence"), F.col(f"e{n - 1}").alias("end_time"))) for n in range(2, 5)]
     return rows.select("home", "start_time", F.explode(F.array_compact(F.array(*made))).alias("g")).select("home", "start_time", "g.*")
 

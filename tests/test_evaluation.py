@@ -119,3 +119,19 @@ def test_scopes_by_flag_or_by_value(spark):
     assert of(rows.drop("is_metric_evaluable", "is_end_to_end_evaluable")) == [(True, True), (False, True), (True, True)]
     plain = rows.select(F.col("conditional_f1").alias("f1"))
     assert of(plain) == [(True, True), (False, False), (True, True)]
+
+
+def test_pairs_with_truths_are_not_shuffled_one_by_one(spark):
+    import re
+
+    from lumenlog.operators import patterns
+
+    at = lambda c: F.timestamp_add("SECOND", F.col(c), F.lit("2024-01-01").cast("timestamp_ntz"))
+    spans = lambda x, schema: spark.createDataFrame(x, schema).withColumns({"start_time": at("a"), "end_time": at("b")}).drop("a", "b")
+    occ = spans([("x", 1, 0, 100), ("x", 1, 50, 250), ("y", 1, 300, 400), ("y", 2, 0, 100)], "sequence string, home int, a int, b int")
+    truth = spans([(1, c, i, 200 + i) for c in ("Meal", "Work") for i in range(20)] + [(2, "Work", 40, 60)], "home int, category string, a int, b int")
+    assigned = spark.createDataFrame([("x", ["Meal"]), ("y", ["Meal", "Relax"])], "sequence string, labels array<string>")
+    got = patterns.truth_shares(occ, truth, assigned, ["home"], ["sequence"], 60.0)
+    assert sorted(map(tuple, got.collect())) == [("x", 2, 1.0, 269 / 300, 1.0, 269 / 300), ("y", 2, 0.0, 0.0, 0.0, 0.1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Window \[.*\], \[_id#", plan)) == 2  # the own categories' only
