@@ -4,7 +4,7 @@ toxicity      documents that the scorer rejects go
 near_copies   of documents linked by 5-word shingles with Jaccard similarity of 0.8 or more, one of each group stays
 passages      a paragraph that stands elsewhere first is cut out of the text
 mixing        documents in an order that holds the sources' target weights
-pieces        each whole text as ids of a public model, with two sampled segmentations, and its place in the order of the mix
+pieces        each whole text as ids of a public model, with four sampled segmentations, and its place in the order of the mix
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return segmentations.encoded(places(docs), "piece_bpe_32k.model", k=2, place="place")
+    return segmentations.encoded(places(docs), "piece_bpe_32k.model", k=4, place="place")
 
 
 STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("passages", passages), ("mixing", mixing), ("pieces", pieces)]

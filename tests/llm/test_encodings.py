@@ -7,7 +7,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from lumenlog.llm import chunks, flac, media, segmentations, token_counts, token_files
+from lumenlog.llm import chunks, flac, media, queries, segmentations, token_counts, token_files
 from lumenlog.llm.pieces import pieces
 from lumenlog.llm.shared import shared_dir
 
@@ -96,6 +96,35 @@ def test_segmentations(spark, odd_docs, no_docs):
     assert segmentations.encoded(no_docs, MODEL).count() == 0
 
 
+def test_query_opens_sets_of_later_paths(spark):
+    rows = queries.op4_segmentations(spark, "/root/testdata/sf0.001").collect()
+    assert {len(r.samples) for r in rows if r.n_pieces >= 30} == {4}
+    assert all(len({x.ids_crc32 for x in r.samples}) == len(r.samples) for r in rows)
+
+
+def test_full_sampler_keeps_what_comes_often(monkeypatch):
+    texts = [[f"the station of {a}{b}x{i} é漢 and the {b}".encode() for b in "defg"] for i, a in enumerate("abcdefgh")]
+    rows = np.arange(4)
+    want = [segmentations.Sampler(pieces(MODEL), 4, 3)(t, rows) for t in texts]
+    monkeypatch.setattr(segmentations, "UNITS", 32)
+    s = segmentations.Sampler(pieces(MODEL), 4, 3)
+    learned = []
+    monkeypatch.setattr(s, "_learn", lambda keys, learn=s._learn: (learned.extend(keys), learn(keys)))
+    for t, (ids, samples) in zip(texts, want):
+        got = s(t, rows)
+        assert [x.tolist() for x in got[0]] == [x.tolist() for x in ids] and got[1] == samples
+    assert learned.count(b" station") == 1 and len(s.number) <= 32
+
+
+def test_full_table_keeps_what_comes_often():
+    asked = []
+    table, hasher = chunks.Table(lambda w: asked.append(w) or len(w), np.int64, 12), chunks.Hasher()
+    for i in range(9):
+        words = [b"often", b"x" * (i + 1), b"again", b"y" * (i + 2)]
+        assert table(hasher([b" ".join(words)])).tolist() == list(map(len, words))
+    assert asked.count("often") == asked.count("again") == 1 and len(table.number) <= 12
+
+
 def test_samples_follow_the_distribution():
     """First samples come as often as their probabilities say, samples of a row are distinct, and all segmentations come when k is large."""
     s = segmentations.Sampler(pieces(MODEL), 2, 5)
