@@ -40,6 +40,7 @@ WILSON_Z = 2.2
 LEAST = 6
 BASE = 0.05
 LETTERS = 27  # 0 is the word's end
+_USED = (1 << FEATURE_BITS * TABLES) - 1
 _hasher = Hasher()
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 # The letters that a sign may stand for.
@@ -139,7 +140,7 @@ class Restorer:
 
 
 def _places(key: str) -> tuple[int, ...]:
-    h, mask = xxhash.xxh3_128_intdigest(key), (1 << FEATURE_BITS) - 1
+    h, mask = xxhash.xxh3_128_intdigest(key) & _USED, (1 << FEATURE_BITS) - 1
     return tuple([(h >> (FEATURE_BITS * t) & mask) + (t << FEATURE_BITS) for t in range(TABLES)])
 
 
@@ -157,6 +158,9 @@ class Words:
         self.restore = restore
 
     def of(self, chunk: str) -> list[tuple[int, ...]]:
+        plain = chunk.strip(_ASIDE)
+        if plain.isalpha() and plain.isascii() and plain.islower() and chunk.isascii() and len(plain) <= LONGEST and not _RUN.search(plain):
+            return features(plain)  # nothing to restore: most chunks are a word with signs around it
         whole = folded(chunk)
         token = bare(whole)
         tokens = {token, *map(bare, whole.split())}  # a chunk may hold blanks that are not ASCII
@@ -227,7 +231,7 @@ def evidence(docs: DataFrame, sample: DataFrame, counts: np.ndarray) -> tuple[np
 
 
 def strongest(strength: np.ndarray, found: list[tuple[int, ...]]) -> float:
-    return max((min(float(strength[p]) for p in f) for f in found), default=0.0)
+    return max([min([strength.item(p) for p in f]) for f in found], default=0.0)
 
 
 def _stretches(*wholes: str) -> list[tuple[int, ...]]:

@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,13 @@ def test_the_stage_keeps_what_the_plain_form_keeps(scored):
     kept = stages.without_toxic(d.withColumn("source", F.lit("s")), l, stages.fifth_by_crc32())
     assert kept.columns == ["doc_id", "text", "source"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in want.items() if x < 0.5)
+
+
+def test_plain_words_are_features_at_once(monkeypatch):
+    words = toxicity.Words(toxicity.Restorer(np.ones(27**3, np.int64)))
+    slow = ["cafés", "aaargh", "h3llo", "don't", "x" * 41, "a\x1cb", "ab"]
+    want = {w: words.of(w) for w in slow}
+    assert want["ab"] == [] and all(want[w] for w in slow if w != "ab")
+    monkeypatch.setattr(toxicity, "folded", lambda text: pytest.fail(f"{text} is plain"))
+    for w in ("word", "(word),", '"words***', "wordwordword.", "ab,"):
+        assert words.of(w) == toxicity.features(w.strip('"(),.*'))
