@@ -193,11 +193,11 @@ def _swept(spark, sf) -> dict[str, DataFrame]:
     counts = grams.groupBy(*every, fn.time_band("ts").alias("band"), "sequence").agg(F.count(F.lit(1)).alias("c"))
     top = counts.withColumn("i", F.row_number().over(Window.partitionBy(*every, "band").orderBy(F.desc("c"), "sequence"))).filter("i <= 6")
     labels = F.array(*map(F.lit, LABELS))
-    known = top.select(
+    known = stored(top.select(  # six of a band, read for several steps
         *every, (F.col("i") % 2).cast("int").alias("run"), F.concat("band", F.lit(":"), "sequence").alias("pattern_id"), F.lit(None).cast("string").alias("group_id"), "band", "sequence",
         F.array_sort(F.array_distinct(F.array(F.get(labels, (F.col("c") % 10).cast("int")), F.get(labels, ((F.col("c") + F.col("i")) % 7).cast("int"))))).alias("labels"),
         F.when(F.col("i") == 6, "missing").otherwise("valid").alias("status"),
-    )
+    ))
     return evaluation.swept_evaluation(series, known, truths(e).drop("ord"), ["home"], 0.15)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import OTHER
 from lumenlog.operators import evaluation, intervals, sequences, vectors
+from lumenlog.plans import evaluations
 
 START = "2024-01-01"
 
@@ -75,3 +76,11 @@ def test_hits_count_truths_that_come_twice(spark):
     t = spans([(1, "Meal", 50, 150), (1, "Meal", 50, 150), (1, "Meal", 160, 200), (2, "Work", 0, 50)], "home int, category string, a int, b int")
     hits = evaluation.processed_hits(p, t, ["home"], 0.0, {}, 0.0, 60.0)[2]
     assert sorted(map(tuple, hits.collect())) == [("m", "Meal", 3, 2, 3), ("m", "Work", 1, 0, 0), ("n", "Meal", 3, 0, 0), ("n", "Work", 1, 0, 0)]
+
+
+def test_patterns_of_the_sweep_are_read_from_a_table(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(evaluations.evaluation, "swept_evaluation", lambda series, patterns, *rest: held.append(patterns))
+    evaluations._swept(spark, "/root/testdata/sf0.001")
+    plan = held[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and held[0].count() > 0  # nothing is counted again when they are read
