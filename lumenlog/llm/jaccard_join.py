@@ -31,15 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.chunks import Hasher, pieces_of, released
-from lumenlog.llm.near import flagged, mark_of, parity_map, roots_of, wide_maps
+from lumenlog.llm.chunks import Hasher, lean, pieces_of
+from lumenlog.llm.near import ROWS, flagged, mark_of, parity_map, roots_of, wide_maps
 from lumenlog.llm.shared import temporary, written
 
 RATIO = 1.5
 LEVELS = (1.2, 1.5, 2.0)
 MAP_WORDS = 8
 FRAGMENTS = 4
-ROWS = 1024
 
 
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
@@ -136,7 +135,6 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Size, signature, keys and parity map of every row's set, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        released()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
@@ -148,7 +146,7 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     names=["doc_id", "key", "n", "sig_a", "sig_b", "grams", "bits", "wide", "less"],
                 )
 
-    rows = _keyed(docs).mapInArrow(run, "doc_id long, key long, n int, sig_a long, sig_b long, grams array<long>, bits array<long>, wide array<long>, less array<long>")
+    rows = _keyed(docs).mapInArrow(lean(run), "doc_id long, key long, n int, sig_a long, sig_b long, grams array<long>, bits array<long>, wide array<long>, less array<long>")
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "sizes", "uncompressed")
 
 
@@ -156,7 +154,6 @@ def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """row, segments of the wanted rows (row, doc_id, key, sig_a, sig_b), from their texts; others are left out before anything is computed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        released()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
@@ -168,7 +165,7 @@ def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), *_signatures(held), lists], names=["doc_id", "key", "sig_a", "sig_b", "segments"])
 
     chosen = flagged(_keyed(docs), ["doc_id", "key"], wanted.select(mark_of("doc_id", "key").alias("mark"))).filter("_hit").drop("_hit")
-    found = chosen.mapInArrow(run, "doc_id long, key long, sig_a long, sig_b long, segments array<array<long>>").withColumnRenamed("doc_id", "_id")
+    found = chosen.mapInArrow(lean(run), "doc_id long, key long, sig_a long, sig_b long, segments array<array<long>>").withColumnRenamed("doc_id", "_id")
     rows = found.join(wanted, ["key", "sig_a", "sig_b"]).filter(F.col("_id").eqNullSafe(F.col("doc_id")))
     return rows.dropDuplicates(["key", "sig_a", "sig_b", "row"]).select("row", "segments")  # dealt by the first three already
 

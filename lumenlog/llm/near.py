@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.llm.chunks import lean
 from lumenlog.llm.components import components
 from lumenlog.llm.shared import temporary, written
 
@@ -24,6 +25,8 @@ from lumenlog.llm.shared import temporary, written
 MARK_BITS = 26
 KEY_BITS = 28
 HUB_TURNS = 2
+#: Rows of a batch that a task works on at a time.
+ROWS = 1024
 
 
 def map_bits(n: int, most: int, each: int) -> int:
@@ -130,14 +133,16 @@ def shared_entries(held: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("grams")
-            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            grams = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = np.flatnonzero(sent.value.holds(grams.view(np.uint64)))
-            owner = pa.array(np.repeat(np.arange(len(n)), n)[keep])
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(owner), batch.column("n").take(owner), pa.array(grams[keep])], names=["row", "n", "gram"])
-
-    return written(held.select("row", "n", "grams").mapInArrow(run, "row long, n int, gram long"), "marked"), twice
+            for at in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(at, ROWS)
+                lists = piece.column("grams")
+                n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                grams = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                keep = np.flatnonzero(sent.value.holds(grams.view(np.uint64)))
+                owner = pa.array(np.repeat(np.arange(len(n)), n)[keep])
+                yield pa.RecordBatch.from_arrays([piece.column("row").take(owner), piece.column("n").take(owner), pa.array(grams[keep])], names=["row", "n", "gram"])
+
+    return written(held.select("row", "n", "grams").mapInArrow(lean(run), "row long, n int, gram long"), "marked"), twice
 
 
 def _pairs(joined: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlog.llm.chunks import trimmed
+from lumenlog.llm.chunks import lean
 
 ROWS = 1024
 PIECES = 64
@@ -89,7 +89,6 @@ def counted(texts: DataFrame, places: Callable[[list], np.ndarray], size: int) -
                 else:
                     np.add.at(total, found, 1)
         yield from rows({i: x for i in range(PIECES) if (x := total[i * step : (i + 1) * step]).any()})
-        trimmed()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -100,6 +99,6 @@ def counted(texts: DataFrame, places: Callable[[list], np.ndarray], size: int) -
         yield from rows(total)
 
     out = np.zeros(step * PIECES, np.int64)
-    for piece, held in texts.mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).collect():
+    for piece, held in texts.mapInArrow(lean(count), schema).repartition("piece").mapInArrow(lean(add), schema).collect():
         out[piece * step : (piece + 1) * step] += np.frombuffer(zlib.decompress(bytes(held)), np.int64)
     return out[:size]

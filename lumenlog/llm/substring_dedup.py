@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.llm.chunks import Hasher, pieces_of, released
+from lumenlog.llm.chunks import Hasher, lean, pieces_of
 from lumenlog.llm.jaccard_join import _ODD, windows
 from lumenlog.llm.near import KeyMap, flagged, mark_of, parity_map, roots_of
 from lumenlog.llm.shared import temporary, written
@@ -114,7 +114,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], n: int, min_words: int) -> Iterator[tuple[list[pa.Array], Paragraphs]]:
-    released()
     for batch in batches:
         at = 0
         for texts in pieces_of(batch.column("text")):
@@ -135,7 +134,7 @@ def paragraph_bands(docs: DataFrame, n: int, bands: int, rows: int, min_words: i
             maps = pa.ListArray.from_arrays(pa.array(np.arange(held.size + 1) * MAP_WORDS, pa.int32()), pa.array(bits))
             yield pa.RecordBatch.from_arrays([*place, pa.array(held.n_words.astype(np.int32)), pa.array(held.n), lists, maps], names=["doc_id", "key", "para", "sig_a", "sig_b", "n_words", "n", "grams", "bits"])
 
-    found = _keyed(docs).mapInArrow(run, "doc_id long, key long, para int, sig_a long, sig_b long, n_words int, n int, grams array<long>, bits array<long>")
+    found = _keyed(docs).mapInArrow(lean(run), "doc_id long, key long, para int, sig_a long, sig_b long, n_words int, n int, grams array<long>, bits array<long>")
     return written(found.withColumn("row", F.monotonically_increasing_id()), "paragraphs", "uncompressed")
 
 
@@ -148,7 +147,7 @@ def paragraph_sets(docs: DataFrame, n: int, min_words: int, wanted: DataFrame) -
             yield pa.RecordBatch.from_arrays([*place, pa.ListArray.from_arrays(pa.array(np.arange(held.size + 1), pa.int32()), sets)], names=["doc_id", "key", "para", "sig_a", "sig_b", "segments"])
 
     chosen = flagged(_keyed(docs), ["doc_id", "key"], wanted.select(mark_of("doc_id", "key").alias("mark"))).filter("_hit").drop("_hit")
-    found = chosen.mapInArrow(run, "doc_id long, key long, para int, sig_a long, sig_b long, segments array<array<long>>")
+    found = chosen.mapInArrow(lean(run), "doc_id long, key long, para int, sig_a long, sig_b long, segments array<array<long>>")
     found = flagged(found, ["key", "para"], wanted.select(mark_of("key", "para").alias("mark"))).filter("_hit").drop("_hit").withColumnRenamed("doc_id", "_id")
     rows = found.join(wanted, ["key", "para", "sig_a", "sig_b"]).filter(F.col("_id").eqNullSafe(F.col("doc_id")))
     return rows.dropDuplicates(["key", "para", "sig_a", "sig_b", "row"]).select("row", "segments")  # dealt by the first four already
@@ -253,7 +252,7 @@ def _seeds_twice(left: DataFrame) -> KeyMap:
                     word = (at - held.spans.first[held.doc[at]]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(held.mixed(held.seeds[at]).view(np.int64)), piece.column("place").take(pa.array(held.doc[at])), pa.array(word)], names=["seed", "place", "word"])
 
-    found = left.select("text", F.xxhash64("doc_id", "key").alias("place")).mapInArrow(run, "seed long, place long, word int")
+    found = left.select("text", F.xxhash64("doc_id", "key").alias("place")).mapInArrow(lean(run), "seed long, place long, word int")
     place = F.struct("place", "word")
     twice = found.groupBy("seed").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
     return KeyMap(written(twice.select("seed"), "seeds"), "seed")
@@ -296,7 +295,7 @@ def stretches(left: DataFrame) -> DataFrame:
                 word = (at - held.spans.first[owner]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(own), piece.column("key").take(own), pa.array(word), pa.array(line.astype(np.int32)), pa.array(a), pa.array(b)], names=["doc_id", "key", "word", "para", "sig_a", "sig_b"])
 
-    return written(left.select("doc_id", "key", "text", "_gone").mapInArrow(run, "doc_id long, key long, word int, para int, sig_a long, sig_b long"), "stretches")
+    return written(left.select("doc_id", "key", "text", "_gone").mapInArrow(lean(run), "doc_id long, key long, word int, para int, sig_a long, sig_b long"), "stretches")
 
 
 def runs(left: DataFrame) -> DataFrame:

@@ -198,3 +198,33 @@ def test_full_maps_change_nothing(spark, monkeypatch):
     assert near.map_bits(0, 26, 16) == 12 and near.map_bits(1000, 26, 16) == 14 and near.map_bits(1 << 40, 26, 16) == 26
     monkeypatch.setattr(near, "map_bits", lambda n, most, each: 6)
     assert both() == want and len(want[1]) > 10
+
+
+def test_tasks_without_tables_let_those_of_others_go():
+    """A worker that has encoded or scored texts doesn't hold their tables while it counts."""
+    import pyarrow as pa
+
+    from lumenlog.llm import chunks, shared
+
+    class Rows:
+        tasks = []
+
+        def mapInArrow(self, run, schema):
+            self.tasks.append(run)
+            return self
+
+        def repartition(self, *by):
+            return self
+
+        def collect(self):
+            return []
+
+    shared.counted(Rows(), lambda rows: np.array([len(x) for x in rows]), 8)
+    try:
+        for task, rows in zip(Rows.tasks, (["a", "bb"], None)):
+            chunks.of_worker("sampler", "some", list)
+            batch = pa.RecordBatch.from_arrays([pa.array(rows)], names=["text"]) if rows else held[0]
+            held = list(task(iter([batch])))
+            assert held and not chunks._tables
+    finally:
+        chunks._tables.clear()
