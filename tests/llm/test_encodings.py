@@ -116,6 +116,16 @@ def test_full_sampler_keeps_what_comes_often(monkeypatch):
     assert learned.count(b" station") == 1 and len(s.number) <= 32
 
 
+def test_searches_of_many_texts_walk_behind_their_cuts_only(monkeypatch):
+    texts = [f"the station of {a}{b} and the {b} é漢 in a long row of words, {i} of them".encode() for i, (a, b) in enumerate(zip("abcdefgh" * 5, "defghijk" * 5))] + [b"", b"a"]
+    one, all_ = segmentations.Sampler(pieces(MODEL), 4, 3), segmentations.Sampler(pieces(MODEL), 4, 3)
+    want = [one([t], np.array([i]))[1][0] for i, t in enumerate(texts)]
+    walked = []
+    monkeypatch.setattr(all_.lattice, "walk", lambda starts, *a, walk=all_.lattice.walk: (walked.append(len(starts)), walk(starts, *a))[1])
+    assert all_(texts, np.arange(len(texts)))[1] == want
+    assert len(walked) == 4 and max(walked[1:]) < walked[0]
+
+
 def test_full_table_keeps_what_comes_often():
     asked = []
     table, hasher = chunks.Table(lambda w: asked.append(w) or len(w), np.int64, 12), chunks.Hasher()
