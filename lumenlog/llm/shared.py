@@ -14,9 +14,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlog.llm.chunks import lean
+from lumenlog.llm.chunks import lean, trimmed
 
 ROWS = 1024
 PIECES = 64
@@ -38,11 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
 _frames: list[list[str]] = []
 
 
+def driver_trimmed(spark: SparkSession) -> None:
+    """What the driver has freed goes back to the system: its Python's memory, and what the JVM's compiler and native libraries took outside
+    the heap, which would else stay with each of hundreds of jobs. A JVM without that command keeps it."""
+    trimmed()
+    jvm = spark.sparkContext._jvm
+    with contextlib.suppress(Py4JError, StopIteration):
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        call = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+
+
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables that `written` stores meanwhile are deleted at the end, but for those written with `stays`, which belong to the frame around this one.
 
-    Shuffle files go when the driver's garbage is collected, so that is asked for here: at the end of a step that has shuffled sets.
+    Shuffle files go when the driver's garbage is collected, so that is asked for here: at the end of a step that has shuffled sets. The driver then gives freed memory back.
     """
     _frames.append([])
     try:
@@ -53,6 +66,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         for name in _frames.pop():
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        driver_trimmed(spark)
 
 
 def written(df: DataFrame, name: str = "table", codec: str = "zstd", stays: bool = False) -> DataFrame:
@@ -62,6 +76,7 @@ def written(df: DataFrame, name: str = "table", codec: str = "zstd", stays: bool
     if len(_frames) > stays:
         _frames[-1 - stays].append(folder)
     df.write.option("compression", codec).parquet(f"{folder}/{name}")
+    driver_trimmed(spark)
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
